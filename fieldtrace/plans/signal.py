@@ -135,13 +135,13 @@ def w11_rectangle_sum(spark, sf):
 
 
 @query(f"""WITH {SERIES}, a AS (SELECT *, least(coalesce(t - lag(t) OVER ({P}), 0), 10) AS dt, coalesce(g / 100, median(g / 100) OVER (PARTITION BY pass), 0.55) AS sp FROM s),
-  b AS (SELECT *, least(greatest({_med('sp', 5, 1)}, 0), 1.6) AS c FROM a) SELECT pass, idx, {r(f"sum(c * dt) OVER ({P})", 4)} AS dist FROM b""")
+  b AS (SELECT *, least(greatest({_med('sp', 5, 1)}, 0), 1.6) AS c FROM a) SELECT pass, idx, {r(f"sum(c * dt) OVER ({P})", 8)} AS dist FROM b""")
 def w12_speed_distance(spark, sf):
     """Speed with gaps at the pass median (0.55 without one), smoothed, clipped, times steps of 10 s at most."""
     rows = series(spark, sf).withColumn("sp", F.col("g") / 100)
     rows = rows.withColumn("sp", F.coalesce("sp", F.percentile("sp", F.lit(0.5)).over(Window.partitionBy("pass")), F.lit(0.55)))
     rows = rows.withColumn("c", windows.rolling_median("sp", W(), 5, min_periods=1)).withColumn("dt", F.least(F.coalesce(F.col("t") - F.lag("t").over(W()), F.lit(0.0)), F.lit(10.0)))
-    return rows.select("pass", "idx", det_round(windows.rectangle("c", F.col("dt"), W(), 0.0, 1.6), 4).alias("dist"))
+    return rows.select("pass", "idx", det_round(windows.rectangle("c", F.col("dt"), W(), 0.0, 1.6), 8).alias("dist"))
 
 
 @query(f"WITH {SERIES} SELECT pass, idx, max(g) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM s")
