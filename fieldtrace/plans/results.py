@@ -102,9 +102,9 @@ SMOOTH = "CASE WHEN count(x) OVER w >= 1 THEN quantile_cont(x, 0.5) OVER w END"
 W11 = "WINDOW w AS (ORDER BY cell ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 
 
-@query(f"WITH {SERIES}, {GRID}, f AS (SELECT cell, median(v) AS x FROM m WHERE pass % 3 > 0 GROUP BY cell) SELECT cell, {r(SMOOTH)} AS ref FROM f {W11}")
+@query(f"WITH {SERIES}, {GRID}, f AS (SELECT cell, median(v) AS x FROM m GROUP BY cell) SELECT cell, {r(SMOOTH)} AS ref FROM f {W11}")
 def a11_median_reference(spark, sf):
-    return maps.reference(grid(spark, sf).where("pass % 3 > 0")).select("cell", det_round("v").alias("ref"))
+    return maps.reference(grid(spark, sf)).select("cell", det_round("v").alias("ref"))
 
 
 @query(f"WITH {SERIES}, {GRID}, {WM}, f AS (SELECT cell, min(v) AS x FROM c WHERE run >= 0.5 * tot GROUP BY cell) SELECT cell, {r(SMOOTH)} AS ref FROM f {W11}")
