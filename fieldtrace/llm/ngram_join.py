@@ -9,8 +9,9 @@ at least ``threshold``. The join is exact and goes through four steps:
 2. *Adaptive prefix.* For the texts that are left, copies collapse to one class. Each class orders its prefix from the
    rarest shingle to the most frequent and picks k, the matches to require: the longer the prefix (k more shingles), the
    more matches. The choice minimises an estimated cost: postings read, plus the candidates that postings / k allows.
-3. *Candidates.* Classes meet under the smallest class of a shingle's list. A large meeting is split into parts by a
-   hash, and parts meet in pairs, so no task holds more than about two parts. Inside a task, pairs of compatible size
+3. *Candidates.* Classes meet under the smallest class of a shingle's list. A large meeting is split into bands of set
+   size, of which only equal and neighbouring ones can link, and bands into parts by a hash; parts meet in pairs, so no
+   task holds more than about two parts. Inside a task, pairs of compatible size
    with k shared prefix shingles are verified on whole sets, and a spanning forest of the links leaves the task.
 4. *Components* of these links, joined back through the classes to every text.
 """
@@ -18,6 +19,7 @@ at least ``threshold``. The join is exact and goes through four steps:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from .components import connected_components
 #: Share of a set that the base prefix adds to the shortest valid one; each shingle added is one more match required.
 EXTRA = 0.06
 #: Classes that one part of a large meeting holds on average.
-PART = 192
+PART = 512
 #: Cost of verifying a pair, in postings read.
 VERIFY_COST = 8.0
 
@@ -98,6 +100,25 @@ def _adapt(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, k int, probe array<long>")
 
 
+def _seats(meets: DataFrame, percent: int, part: int = PART) -> DataFrame:
+    """(z, doc_id, n) -> (z, band, i, other, j, side, doc_id): part i of a band meets part j of the same or the next band."""
+    width = math.log(100 / percent)
+    total = meets.groupBy("z").agg(F.count("*").alias("m"))
+    # linked sets differ in size by at most the threshold, so by one band at most (a hair wider for rounding)
+    rows = meets.join(total, "z").withColumn("band", F.when(F.col("m") > part, F.floor(F.log("n") / (width * (1 + 1e-9)))).otherwise(0).cast("int"))
+    parts = rows.groupBy("z", "band").agg(F.ceil(F.count("*") / part).cast("int").alias("p"))
+    parts = parts.groupBy("z").agg(F.map_from_entries(F.collect_list(F.struct("band", "p"))).alias("parts"))
+    at = lambda d: F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0))
+    rows = rows.join(parts, "z").withColumn("part", F.pmod(F.xxhash64("doc_id"), at(0).cast("long")).cast("int"))
+    own, band = F.col("part"), F.col("band")
+    seat = lambda b, i, o, j, side: F.struct(b.alias("band"), i.alias("i"), o.alias("other"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    same = F.transform(upto(at(0)), lambda x: seat(band, F.least(own, x), band, F.greatest(own, x), own > x))
+    above = F.transform(upto(at(1)), lambda x: seat(band, own, band + 1, x, F.lit(0)))
+    below = F.transform(upto(at(-1)), lambda x: seat(band - 1, x, band, own, F.lit(1)))
+    return rows.select("z", "doc_id", F.explode(F.concat(same, above, below)).alias("s")).select("z", "doc_id", "s.*")
+
+
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,11 +227,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     lists = probed.select("doc_id", F.explode("probe").alias("h"))
     heads = lists.groupBy("h").agg(F.min("doc_id").alias("z"), F.max("doc_id").alias("last")).where("z < last").select("h", "z")
     meets = cut(lists.join(heads, "h").select("z", "doc_id").distinct())
-    sizes = meets.groupBy("z").agg(F.count("*").alias("m")).select("z", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    placed = meets.join(sizes, "z").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int"))
-    placed = placed.select(
-        "z", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    ).select("z", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id")
+    placed = _seats(meets.join(probed.select("doc_id", "n"), "doc_id"), percent)
     busy = cut(meets.select("doc_id").distinct())
     whole = _full_sets(keep_by_id(base, busy, "doc_id", busy.count()), words).dropDuplicates(["doc_id"])
     blocks = placed.join(probed, "doc_id").join(whole, "doc_id")
@@ -222,7 +239,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         )
         return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
-    edges = blocks.groupBy("z", "i", "j").applyInPandas(verify, "u long, v long")
+    edges = blocks.groupBy("z", "band", "i", "other", "j").applyInPandas(verify, "u long, v long")
 
     # 4. components of the classes, then of every text
     parts = connected_components(edges)
