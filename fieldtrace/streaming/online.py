@@ -26,10 +26,11 @@ def windowed_summary(stream: DataFrame, ts: str, key: str, value: str, width: st
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "mean", "low", "high")
 
 
-def fixed_lag_stream(stream: DataFrame, key: str, order: str, value: str, dist: np.ndarray, ref: np.ndarray, lag: int, vmax: float, period: float, sigma: float = 1.2, timeout_ms: int = 600_000) -> DataFrame:
+def fixed_lag_stream(stream: DataFrame, key: str, order: str, value: str, dist: np.ndarray, ref: np.ndarray, lag: int, vmax: float, period: float, sigma: float = 1.2, timeout_ms: int | None = None) -> DataFrame:
     """Position of each sample once ``lag`` more have come. State per key: scores and the last ``lag`` back pointers.
 
-    Samples of a key must arrive in order; a key silent for ``timeout_ms`` gives out its tail and its state ends.
+    Samples of a key must arrive in order. With ``timeout_ms`` a key silent for so long gives out its tail and its state ends;
+    without it, states stay and a run over what is available ends by itself.
     """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,10 +53,11 @@ def fixed_lag_stream(stream: DataFrame, key: str, order: str, value: str, dist:
                     if len(waiting) > lag:
                         out.append((name[0], waiting.pop(0), float(dist[kernels._rewind([np.array(p) for p in ring], int(dp.argmax()))])))
             state.update((json.dumps([dp.tolist(), ring, waiting]),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=[key, order, "pred"])
 
     kind = dict(stream.dtypes)[key]
     return stream.select(key, order, value).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {order} long, pred double", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} {kind}, {order} long, pred double", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     )

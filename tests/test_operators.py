@@ -134,7 +134,7 @@ def test_interval_join_equals_the_plain_condition(spark):
     pts = spark.createDataFrame(pd.DataFrame({"t": rng.uniform(0, 100, 200)}))
     spans = spark.createDataFrame(pd.DataFrame({"a": np.arange(0.0, 90, 9), "b": np.arange(0.0, 90, 9) + 13}))
     got = joins.interval_join(pts, "t", spans, "a", "b", 5.0, slack=1.0).count()
-    assert got == pts.join(spans, "t >= a - 1 and t <= b + 1").count()
+    assert got == pts.join(spans, F.expr("t >= a - 1 and t <= b + 1")).count()
 
 
 def test_fixed_lag_stream_matches_the_batch(spark, tmp_path):
@@ -148,7 +148,7 @@ def test_fixed_lag_stream_matches_the_batch(spark, tmp_path):
     stream = spark.readStream.schema("k long, i long, v double").option("maxFilesPerTrigger", 1).parquet(str(src))
     out = online.fixed_lag_stream(stream, "k", "i", "v", dist, ref, lag=4, vmax=1.0, period=1.0, sigma=0.2)
     q = out.writeStream.format("memory").queryName("lagged").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(90)
     got = {r.i: r.pred for r in spark.table("lagged").collect()}
     want = dist[kernels.fixed_lag(kernels.log_likelihood(obs, ref, 0.2), dist, np.ones(15), 1.0, 4)]
     assert got == {i: want[i] for i in range(11)}
@@ -157,11 +157,11 @@ def test_fixed_lag_stream_matches_the_batch(spark, tmp_path):
 def test_windowed_stream_drops_late_rows(spark, tmp_path):
     src = str(tmp_path / "ev")
     at = lambda h: dt.datetime(2026, 1, 1, h)
-    for batch in ([(at(1), 1, 1.0), (at(9), 1, 2.0)], [(at(1), 1, 7.0), (at(12), 1, 3.0)], [(at(20), 1, 4.0)]):
+    for batch in ([(at(1), 1, 1.0), (at(9), 1, 2.0)], [(at(10), 1, 5.0)], [(at(1), 1, 7.0), (at(12), 1, 3.0)], [(at(20), 1, 4.0)], [(at(21), 1, 4.0)]):
         spark.createDataFrame(batch, "ts timestamp, k int, v double").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("ts timestamp, k int, v double").option("maxFilesPerTrigger", 1).parquet(src)
     out = online.windowed_summary(stream, "ts", "k", "v", lateness="2 hours")
     q = out.writeStream.format("memory").queryName("hourly").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(90)
     got = {r.start.hour: (r.n, r["mean"]) for r in spark.table("hourly").collect()}
     assert got[1] == (1, 1.0) and got[9] == (1, 2.0)
