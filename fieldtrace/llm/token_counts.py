@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Characters handed to the library in one call.
 CALL_CHARS = 1 << 20
@@ -63,8 +65,12 @@ def _counter(path: str):
 
 def _encode(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
-        for batch in batches:
+        count, seen = _counter(path), set()
+        for batch in slices(batches):
+            digests = batch.column(0).to_pylist()
+            # rows that repeat an id and its text meet in one task; one of them is encoded
+            fresh = [d not in seen and not seen.add(d) for d in digests]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             texts, counts, at = batch.column(1).to_pylist(), [], 0
             while at < len(texts):
                 end, size = at, 0
