@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; bounds the work arrays of a task (about 40 bytes each).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes of an Arrow batch that a Python worker takes up at once.
+SLICE_BYTES = 4 << 20
 #: Rows of a broadcast id list; above it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -65,14 +67,12 @@ def keep_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids.hint("shuffle_hash"), key, "left_semi")
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str, list]]], schema: str) -> DataFrame:
-    """Run ``fn`` over Arrow batches as plain column lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield out
-
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of about SLICE_BYTES, so that a worker never holds a whole batch as Python objects."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:

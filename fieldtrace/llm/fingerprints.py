@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_by_id, mix64, shingle_hashes, shingle_sets, write_shared
+from .common import cut, keep_by_id, mix64, shingle_hashes, shingle_sets, slices, write_shared
 from .components import connected_components
 
 PERMUTATIONS = 128
@@ -128,7 +128,7 @@ def fingerprint_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the slot, id, text and signature that wait for their next row
         done: int | None = None  # slot whose head has been used
-        for batch in batches:
+        for batch in slices(batches):
             slot, ids, texts, head = (batch.column(i).to_pylist() for i in range(4))
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
@@ -174,7 +174,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     rows = PERMUTATIONS // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist(), words, lower=True))
             sign = signatures(sets)
             keys = np.zeros((len(sets), bands), dtype=np.uint64)
@@ -193,7 +193,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     busy = cut(pairs.select("doc_id").unionByName(pairs.select(F.col("z").alias("doc_id"))).distinct())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.view(np.int64).tolist() for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
 

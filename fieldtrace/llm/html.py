@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, write_shared
+
 #: Open elements beyond this depth are read as inline; bounds recursion.
 MAX_DEPTH = 40
 #: Hosts whose wrappers a reading task holds before it hands them on.
@@ -304,7 +306,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["host", "salt", "wrapper"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, w = host_of(url), _wrap(parse(page))
                 held[h] = _merge(held[h], w) if h in held else w
@@ -330,8 +332,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null html counts as empty and gives the empty text; a null or odd url belongs to the host ''. Null ids and repeated rows
     are kept. Other columns are ignored. An empty table gives an empty result.
     """
-    from .common import write_shared
-
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     wrappers = write_shared(host_wrappers(pages), "host-wrappers")
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 64).alias("n")).first()["n"] or 0
@@ -347,7 +347,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read: dict[str, list] = {}
-            for batch in batches:
+            for batch in slices(batches):
                 urls, texts = batch.column(1).to_pylist(), []
                 for url, page in zip(urls, batch.column(2).to_pylist(), strict=True):
                     h = host_of(url)
@@ -362,7 +362,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, list] | None = None
-        for batch in batches:
+        for batch in slices(batches):
             urls, texts = batch.column(1).to_pylist(), []
             for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last is None or last[0] != raw:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_by_id, shingle_sets, write_shared
+from .common import cut, keep_by_id, shingle_sets, slices, write_shared
 from .components import connected_components
 
 #: Share of a set that the base prefix adds to the shortest valid one; each shingle added is one more match required.
@@ -57,12 +57,12 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, digest of the set, and its base prefix (ascending hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, prefix = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True):
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                prefix.append(s[: int(base_prefix(len(s), percent))].view(np.int64))
+                prefix.append(s[: int(base_prefix(len(s), percent))].view(np.int64).copy())  # not a view, which would hold the whole set
             ends = np.zeros(len(n) + 1, dtype=np.int32)
             np.cumsum([len(p) for p in prefix], out=ends[1:])
             flat = np.concatenate(prefix) if prefix else np.empty(0, dtype=np.int64)
@@ -78,7 +78,7 @@ def _adapt(rows: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, tokens array<struct<df, h>>) -> (doc_id, n, k, probe array<long>) by the cheapest k."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+        for batch in slices(frames):
             ids, out_n, ks, probes = [], [], [], []
             for i, n, p, df, h in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 df, h = np.array(df, dtype=np.float64), np.array(h, dtype=np.int64)
@@ -121,7 +121,7 @@ def _seats(meets: DataFrame, percent: int, part: int = PART) -> DataFrame:
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 

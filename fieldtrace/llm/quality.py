@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_blocks, word_hashes
+from .common import mix64, slices, text_blocks, word_hashes
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "long_word", "upper", "digit", "punct", "symbol", "space", "high_byte", "exclaim", "bar",
@@ -155,7 +155,7 @@ def training_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 def _statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = text_statistics(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -180,7 +180,7 @@ def score_quality(docs: DataFrame, model: FlatTrees) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(text_statistics(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_quality(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(text_statistics(batch.column(batch.schema.get_field_index("text")).to_pylist()))
             yield batch.filter(pa.array(s >= 0.5))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes
+from .common import shingle_hashes, slices
 from .quality import training_ids
 
 #: Labelled rows used for fitting at most, and hashed features kept at most.
@@ -116,7 +116,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             least = [int(s.min().view(np.int64)) if len(s) else 0 for s in shingle_hashes(batch.column(2).to_pylist(), 3, lower=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "y", "text", "least"])
 
@@ -131,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kep
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Featurizer(), (Counter(), Counter())
         texts = [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y].update(make.counts(text)[0].keys())
                 texts[y] += 1
@@ -158,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kep
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(features)
-        for batch in batches:
+        for batch in slices(batches):
             rows_ = [make.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([list(r) for r, _ in rows_], pa.list_(pa.int32())), pa.array([list(r.values()) for r, _ in rows_], pa.list_(pa.int32())), pa.array([n for _, n in rows_], pa.int32())],
@@ -186,7 +186,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(model.kept)
-        for batch in batches:
+        for batch in slices(batches):
             p = model.probabilities([make.counts(t)[0] for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))], names=["doc_id", "severity", "p_toxic", "toxic"])
 
@@ -199,7 +199,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featurizer(model.kept)
-        for batch in batches:
+        for batch in slices(batches):
             p = model.probabilities([make.counts(t)[0] for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             yield batch.filter(pa.array(p[:, 0] < 0.5))
 
