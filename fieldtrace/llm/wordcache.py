@@ -15,7 +15,7 @@ from typing import ClassVar
 import numpy as np
 
 #: Words kept by a Python worker (about 200 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Words of one call to the library.
 CALL_WORDS = 20_000
 #: Separators of str.split() that are no Unicode white space; texts with one go to the library whole.
@@ -89,8 +89,7 @@ class WordEncoder:
             new = need - self.cache.keys()
             if new:
                 if len(self.cache) + len(new) > self.cache_words:
-                    self.cache.clear()
-                    new = need
+                    self.cache = {w: self.cache[w] for w in need - new}  # what this batch uses stays
                 self._learn(new)
             get = self.cache.__getitem__
             out += [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts[i : i + step], split, strict=True)]
