@@ -353,6 +353,37 @@ def test_spans_are_minimal_runs():
     assert [n for *_, n in substring.sentences(text)][:4] == [2, 3, 1, 1]
 
 
+def test_passages_planted_in_mid_sentence_go(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    marks = lambda: rng.choice(["", "", "", "", "", ",", ".", '."', "?"])
+    rows, passages = [], []
+    for k in range(60):
+        sparse = k % 2  # every other passage and its hosts have no sentence end at all
+        text = lambda n, sparse=sparse: [word() + ("" if sparse else marks()) for _ in range(n)]
+        passage = [f"{w[:5]}q{k}{w[5:]}" for w in text(51 + k % 30)]
+        passages.append(passage)
+        for at in (0, 1000):
+            rows.append((at + k, " ".join([*text(rng.randint(3, 90)), *passage, *text(rng.randint(3, 90))])))
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    for k, passage in enumerate(passages):
+        before = dict(rows)[1000 + k].split()
+        left = got[1000 + k].text.split()
+        assert got[k].text == dict(rows)[k] and got[k].n_removed == 0
+        assert sum(f"q{k}" in w for w in left) <= 2 * substring.PIECE  # what escapes at the two ends
+        assert [w for w in left if f"q{k}" not in w] == [w for w in before if f"q{k}" not in w]
+        assert got[1000 + k].removed_words == len(before) - len(left)
+
+
+def test_pieces_of_odd_texts():
+    cjk = "天地玄黄。宇宙洪荒！日月盈昃？end."
+    assert [w for *_, w, _ in substring.sentences(cjk)] == ["天 地 玄 黄 。", "宇 宙 洪 荒 ！", "日 月 盈 昃 ？", "end."]
+    assert [w for *_, w, _ in substring.sentences('Say "no." (Or yes!) »So.» then” ok.” z')] == ['Say "no."', "(Or yes!)", "»So.»", "then” ok.”", "z"]
+    for text in [*_fuzz(), cjk * 9, "\n \n a.\n\n b \n", LONG]:
+        p = substring.sentences(text)
+        assert "".join(text[a:b] for a, b, *_ in p) == (text if p else "") and all(1 <= n <= substring.PIECE for *_, n in p if "。" not in text)
+
+
 def test_substring_edges(odd, none):
     rows = substring.remove_repeats(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id: r.text for r in rows}[4] == "one"
