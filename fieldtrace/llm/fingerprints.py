@@ -10,10 +10,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
 from .common import cut, keep_by_id, mix64, shingle_hashes, shingle_sets, slices, write_shared
 from .components import connected_components
 
@@ -167,11 +169,13 @@ def _finish(rows: list[tuple], words: int) -> pa.RecordBatch:
 def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32) -> DataFrame:
     """Near-duplicate classes: signature bands joined in Spark, Jaccard of the shingle sets verified.
 
-    -> ``doc_id, class_id``: one row per distinct non-null id. Texts that share a band are compared with the band's
-    smallest id (never all pairs of a bucket); verified links make the classes. Texts without words stay alone.
+    -> ``doc_id, class_id``: one row per distinct non-null id. Copies collapse first. Every pair of texts that share a band is
+    verified: they meet under the smallest id of a bucket, and large meetings in parts, as in the n-gram join. Verified links
+    make the classes. Texts without words stay alone; texts of a repeated id are one node.
     """
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = PERMUTATIONS // bands
+    rows, percent = PERMUTATIONS // bands, round(threshold * 100, 9)
+    mark = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -183,24 +187,36 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
                     keys = mix64(keys * np.uint64(31) + sign[:, j::rows][:, :bands] + np.uint64(j))
                 keys = mix64(keys + np.arange(bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k.view(np.int64).tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], names=["doc_id", "bands"]
-            )
-
-    keyed = write_shared(base.mapInArrow(run, "doc_id long, bands array<long>"), "minhash-bands")
-    lists = keyed.select("doc_id", F.explode("bands").alias("band"))
+                [
+                    batch.column(0), pa.array([mark(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([k.view(np.int64).tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "digest", "n", "bands"],
+            )
+
+    keyed = write_shared(base.mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>"), "minhash-bands").where("n > 0")
+    classes = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    lists = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("band"))
     heads = lists.groupBy("band").agg(F.min("doc_id").alias("z"), F.max("doc_id").alias("last")).where("z < last").select("band", "z")
-    pairs = cut(lists.join(heads, "band").where("doc_id <> z").select("doc_id", "z").distinct())
-    busy = cut(pairs.select("doc_id").unionByName(pairs.select(F.col("z").alias("doc_id"))).distinct())
+    meets = cut(lists.join(heads, "band").select("z", "doc_id", "n").distinct())
+    busy = cut(meets.select("doc_id").distinct())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.view(np.int64).tolist() for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
-
-    sets = keep_by_id(base, busy, "doc_id", busy.count()).mapInArrow(whole, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
-    left, right = sets.select("doc_id", F.col("s").alias("a")), sets.select(F.col("doc_id").alias("z"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    links = pairs.join(left, "doc_id").join(right, "z").where(both >= threshold * (F.size("a") + F.size("b") - both))
-    parts = connected_components(links.select(F.col("doc_id").alias("u"), F.col("z").alias("v")))
+            sets = list(shingle_sets(batch.column(1).to_pylist(), words, lower=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "s"])
+
+    sets = keep_by_id(base, busy, "doc_id", busy.count()).mapInArrow(whole, "doc_id long, digest binary, s binary").dropDuplicates(["doc_id", "digest"])
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, dtype=np.uint64) for x in pdf["s"]]
+        ones = np.ones(len(own), dtype=np.int64)  # all pairs of a meeting are candidates
+        edges = ngram_join.verify_block(pdf["doc_id"].tolist(), pdf["side"].to_numpy(), np.array([len(x) for x in own], dtype=np.int64), ones, list(ones[:, None]), own, percent)
+        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+
+    blocks = ngram_join._seats(meets, min(percent, 99.99)).join(sets.where(F.length("s") > 0), "doc_id")  # equal sets alone link at 100
+    links = blocks.groupBy("z", "band", "i", "other", "j").applyInPandas(verify, "u long, v long")
+    copies = keyed.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    parts = connected_components(links.unionByName(copies))
     every = base.select("doc_id").distinct()
     return every.join(parts, every["doc_id"] == parts["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

@@ -244,6 +244,35 @@ def test_fingerprint_edges(odd, none, spark):
     assert all(got[i] == got[j] for i in sets for j in sets if sets[i] == sets[j])
 
 
+def test_near_duplicate_classes_at_the_threshold(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(404)]
+    rows = []
+    for i in range(100):  # near copies of one text, at about Jaccard 0.8 with each other
+        w = list(base)
+        for at in rng.sample(range(5, 400), 5):
+            w[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[7][1]), (201, rows[7][1])]
+    sets = {i: _set(t, 5) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in sets}
+    for part in (512, 16):
+        monkeypatch.setattr(ngram_join._seats, "__defaults__", (part,))
+        got = {r.doc_id: r.class_id for r in fingerprints.near_duplicate_classes(spark.createDataFrame(rows, DOCS)).collect()}
+        assert got == want, (len(set(got.values())), len(set(want.values())))
+
+
 # ---- models
 def test_quality_on_held_out_labels(docs, labels, odd, none):
     model = quality.fit_quality(docs, labels)
