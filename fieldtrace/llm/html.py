@@ -8,11 +8,13 @@ partial wrappers of a host, so a host of any size costs a task only as many rows
 
 The wrapper then tells main text from the rest: blocks in navigation, header, footer, aside, form and similar elements or
 classes go; in a host whose pages have an article (or main) element only its blocks stay; constants of a host whose other
-article slots vary are template text and go.
+article slots vary are template text and go. So does text, at any place of the wrapper and also in optional and repeated
+groups, that many of the host's pages of different content share (TEMPLATE_SHARE).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -30,8 +32,15 @@ from .common import slices, write_shared
 MAX_DEPTH = 40
 #: Hosts whose wrappers a reading task holds before it hands them on.
 HELD_HOSTS = 2000
+#: Texts of pages that a reading task holds before it hands them on.
+HELD_LEAVES = 100_000
 #: Pages that must agree on a text, and vary elsewhere in the article, before it counts as template text.
 TEMPLATE_PAGES = 5
+#: Share of a host's different pages (TEMPLATE_PAGES at least) on which a text stands at one place, as template text: elsewhere,
+#: and inside an article or main element.
+TEMPLATE_SHARE = (0.2, 0.5)
+#: Longest texts that tell pages of different content apart; copies of a page count once.
+TELLING = 3
 #: Bytes of wrappers that are broadcast; beyond it pages and wrappers are joined by host and salt.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
@@ -245,15 +254,39 @@ def _varies(w: list, inside: bool) -> bool:
     return (w[0] == "#" and inside and w[3] is None) or any(_varies(k, inside) for k in w[4])
 
 
-def extract(page: str | None, wrapper: list) -> str:
-    """Main text of a page of the wrapper's host: kept blocks in page order, two line ends between them."""
+def _key(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def leaf_keys(root: Node) -> tuple[set[tuple[int, bool]], int]:
+    """(place and text of each leaf as a key, whether it is inside an article or main element), and a key of the page's content."""
+    keys: set[tuple[int, bool]] = set()
+    texts: set[str] = set()
+    todo = [(root, "", False)]
+    while todo:
+        node, place, inside = todo.pop()
+        inside = inside or _is_article(node.sym)
+        for k in node.kids:
+            if k.sym == "#":
+                keys.add((_key(place, k.text), inside))
+                texts.add(k.text)
+            else:
+                todo.append((k, f"{place}/{k.sym}", inside))
+    return keys, _key(*sorted(texts, key=lambda t: (-len(t), t))[:TELLING])
+
+
+def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset()) -> str:
+    """Main text of a page of the wrapper's host: kept blocks in page order, two line ends between them.
+
+    ``shared`` has the keys of the host's template text (see leaf_keys).
+    """
     root = parse(page)
     own = _wrap(root)
     only_article = _has_article(own)
     template = wrapper[2] >= TEMPLATE_PAGES and _varies(wrapper, False)
     out: list[str] = []
 
-    def walk(node: Node, w: list | None, inside: bool) -> None:
+    def walk(node: Node, w: list | None, inside: bool, place: str) -> None:
         inside = inside or _is_article(node.sym)
         where = {} if w is None else _places(node.kids, w[4])
         for i, k in enumerate(node.kids):
@@ -261,12 +294,12 @@ def extract(page: str | None, wrapper: list) -> str:
             if k.sym == "#":
                 constant = template and known is not None and known[3] is not None and known[1] in "1+" and inside
                 linked = k.linked and not inside
-                if (inside or not only_article) and not constant and not linked:
+                if (inside or not only_article) and not constant and not linked and not (shared and _key(place, k.text) in shared):
                     out.append(k.text)
             elif not _outside(k.sym, inside):
-                walk(k, known, inside)
+                walk(k, known, inside, f"{place}/{k.sym}")
 
-    walk(root, wrapper, False)
+    walk(root, wrapper, False, "")
     return "\n\n".join(out)
 
 
@@ -293,26 +326,40 @@ def host_of(url: str | None) -> str:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON) over all pages."""
+    """``host, wrapper`` over all pages: JSON of the host's wrapper and of the keys of its template text."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % SALTS
         held: dict[str, list] = {}
+        leaves: set[tuple[str, int, bool, int]] = set()
+        schema = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string()), ("leaf", pa.int64()), ("inside", pa.bool_()), ("content", pa.int64())])
 
         def hand_on() -> pa.RecordBatch:
-            rows = [(h, salt, json.dumps(w)) for h, w in held.items()]
+            rows = [(h, salt, json.dumps(w), None, None, None) for h, w in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["host", "salt", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        def hand_leaves() -> pa.RecordBatch:
+            rows = [(h, None, None, *r) for h, *r in leaves]
+            leaves.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in slices(batches):
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, w = host_of(url), _wrap(parse(page))
+                root = parse(page)
+                h, w = host_of(url), _wrap(root)
                 held[h] = _merge(held[h], w) if h in held else w
+                keys, content = leaf_keys(root)
+                leaves.update((h, key, inside, content) for key, inside in keys)
+                leaves.add((h, 0, False, content))  # the page itself
+                if len(leaves) >= HELD_LEAVES:
+                    yield hand_leaves()
                 if len(held) >= HELD_HOSTS:
                     yield hand_on()
         yield hand_on()
+        yield hand_leaves()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(pdf["wrapper"])
@@ -321,9 +368,22 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             now = _merge(now, json.loads(p))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(now)]})
 
-    part = pages.select("url", F.col("html").cast("string").alias("html")).mapInArrow(local, "host string, salt int, wrapper string")
-    once = part.groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
-    return once.groupBy("host").applyInPandas(fold, "host string, wrapper string")
+    part = pages.select("url", F.col("html").cast("string").alias("html")).mapInArrow(local, "host string, salt int, wrapper string, leaf long, inside boolean, content long")
+    part = write_shared(part, "host-parts")
+    once = part.where("wrapper is not null").groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
+    whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string").withColumn("hk", F.xxhash64("host"))
+    seen = part.where("leaf is not null").select(F.xxhash64("host").alias("hk"), "leaf", "inside", "content").distinct().groupBy("hk", "leaf", "inside").agg(F.count("*").alias("n"))
+    often = seen.where(F.col("n") >= TEMPLATE_PAGES)  # a host of fewer pages has no template text
+    total = often.where("leaf = 0").select("hk", F.col("n").alias("total"))
+    share = F.when(F.col("inside"), TEMPLATE_SHARE[1]).otherwise(TEMPLATE_SHARE[0])
+    shared = often.where("leaf <> 0").join(total, "hk").where(F.col("n") >= share * F.col("total")).groupBy("hk").agg(F.collect_set("leaf").alias("shared"))
+    keys = F.coalesce(F.concat_ws(",", F.col("shared").cast("array<string>")), F.lit(""))
+    return whole.join(shared, "hk", "left").select("host", F.concat(F.lit("["), "wrapper", F.lit(",["), keys, F.lit("]]")).alias("wrapper"))
+
+
+def _read(raw: str) -> tuple[list, frozenset[int]]:
+    wrapper, shared = json.loads(raw)
+    return wrapper, frozenset(shared)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -346,7 +406,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         table = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read: dict[str, list] = {}
+            read: dict[str, tuple] = {}
             for batch in slices(batches):
                 urls, texts = batch.column(1).to_pylist(), []
                 for url, page in zip(urls, batch.column(2).to_pylist(), strict=True):
@@ -354,20 +414,20 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     if h not in read:
                         if len(read) >= HELD_HOSTS:
                             read.clear()
-                        read[h] = json.loads(table.value[h])
-                    texts.append(extract(page, read[h]))
+                        read[h] = _read(table.value[h])
+                    texts.append(extract(page, *read[h]))
                 yield rows(batch.column(0).to_pylist(), urls, texts)
 
         return pages.mapInArrow(apply, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, list] | None = None
+        last: tuple[str, tuple] | None = None
         for batch in slices(batches):
             urls, texts = batch.column(1).to_pylist(), []
             for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last is None or last[0] != raw:
-                    last = (raw, json.loads(raw))
-                texts.append(extract(page, last[1]))
+                    last = (raw, _read(raw))
+                texts.append(extract(page, *last[1]))
             yield rows(batch.column(0).to_pylist(), urls, texts)
 
     host = F.lower(F.coalesce(F.udf(host_of, "string")("url"), F.lit("")))

@@ -435,6 +435,21 @@ def test_main_text_of_pages(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_text_of_pages_of_plain_blocks_goes(spark):
+    page = lambda i: (
+        "<html><body><div><p>Start here</p><p>All topics</p><p>Write to us</p></div>" + ("<div><p>A notice on some pages.</p></div>" if i % 2 == 0 else "")
+        + f"<div><p>Title {i}</p><p>Body {i} of words. {'w%d ' % i * 20}</p><p>Shared by two {i // 2}</p></div><table><tr><td>Side box</td></tr></table><div>Made by the same hands, all rights kept.</div></body></html>"
+    )
+    rows = [(i, f"http://plain.example.com/{i}", page(i)) for i in range(12)]
+    rows += [(100 + i, f"http://plain.example.com/copy?{i}", page(0)) for i in range(9)]  # copies of a page are no template
+    rows += [(200 + i, "http://few.example.com/", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in [*range(12), *range(100, 109)]:
+        k = i if i < 100 else 0
+        assert got[i] == f"Title {k}\n\nBody {k} of words. {('w%d ' % k * 20).strip()}\n\nShared by two {k // 2}"
+    assert got[200].startswith("Start here") and got[200].endswith("rights kept.")  # too few pages to tell
+
+
 def test_wrapper_is_a_union_free_expression():
     w = html.infer(["<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><ul><li>k</li></ul><p>z</p></div>"])
     assert html.to_regex(w) == "<page><div><h1>A</h1>(<ul><li>k</li></ul>)?(<p>#text</p>)+</div></page>"
