@@ -59,6 +59,10 @@ _WORDS = frozenset(
     "notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login form search comment comments reply replies discussion disqus respond "
     "share sharing social related recommended recommendations pagination pager toolbar copyright legal disclaimer complementary contentinfo dialog toc".split()
 )
+#: Parts of a class word that only say where or what kind of block one of _WORDS names: site-header, but not post-header or has-sidebar.
+_PLAIN = frozenset("site global top bottom left right primary secondary list links link bar box block section area container wrapper wrap inner item items form".split())
+#: Elements to which the words never apply.
+_FRAME = frozenset("html body article main".split())
 
 
 class Node:
@@ -129,7 +133,8 @@ def parse(page: str | None) -> Node:
                         break
                 if len(stack) < MAX_DEPTH:
                     words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower()
-                    node = Node(f"{name}.{'.'.join(sorted(set(re.findall(r'[a-z]+', words))))}" if words else name)
+                    tokens = {"-".join(re.findall("[a-z]+", w)) for w in words.split()} - {""} if name not in _FRAME else ()
+                    node = Node(f"{name}.{'.'.join(sorted(tokens))}" if tokens else name)
                     stack[-1].kids.append(node)
                     stack.append(node)
     flush()
@@ -237,7 +242,13 @@ def _outside(sym: str, in_article: bool) -> bool:
     name, _, words = sym.partition(".")
     if name in _OUTSIDE:
         return not (name == "header" and in_article)
-    return any(x in _WORDS for x in words.split(".")) if words else False
+    return any(_names_outside(x) for x in words.split(".")) if words and name not in _FRAME else False
+
+
+def _names_outside(token: str) -> bool:
+    """Whether a whole class word names a block outside: every part of it is one of _WORDS or plain, one at least of _WORDS."""
+    parts = token.split("-")
+    return any(x in _WORDS for x in parts) and all(x in _WORDS or x in _PLAIN for x in parts)
 
 
 def _is_article(sym: str) -> bool:
@@ -245,8 +256,9 @@ def _is_article(sym: str) -> bool:
     return name in ("article", "main") or "main" in words.split(".")
 
 
-def _has_article(w: list) -> bool:
-    return _is_article(w[0]) or any(_has_article(k) for k in w[4] if not _outside(k[0], False))
+def _has_article(w: list, anywhere: bool = False) -> bool:
+    """Whether an article is at or below a node: outside of blocks that hold no main text, or ``anywhere``."""
+    return _is_article(w[0]) or any(_has_article(k, anywhere) for k in w[4] if anywhere or not _outside(k[0], False))
 
 
 def _varies(w: list, inside: bool) -> bool:
@@ -283,6 +295,8 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
     root = parse(page)
     own = _wrap(root)
     only_article = _has_article(own)
+    hidden = not only_article and _has_article(own, True)  # all articles are in blocks that the words tell outside: such a block stays
+    only_article = only_article or hidden
     template = wrapper[2] >= TEMPLATE_PAGES and _varies(wrapper, False)
     out: list[str] = []
 
@@ -296,7 +310,7 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
                 linked = k.linked and not inside
                 if (inside or not only_article) and not constant and not linked and not (shared and _key(place, k.text) in shared):
                     out.append(k.text)
-            elif not _outside(k.sym, inside):
+            elif not _outside(k.sym, inside) or hidden and not inside and _has_article(_wrap(k), True):
                 walk(k, known, inside, f"{place}/{k.sym}")
 
     walk(root, wrapper, False, "")

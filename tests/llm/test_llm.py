@@ -450,6 +450,22 @@ def test_template_text_of_pages_of_plain_blocks_goes(spark):
     assert got[200].startswith("Start here") and got[200].endswith("rights kept.")  # too few pages to tell
 
 
+@pytest.mark.parametrize("page", [
+    '<body class="has-sidebar">{}</body>', '<body class="comments-open no-sidebar sidebar">{}</body>', '<html class="menu">{}</html>', '<div id="page" class="with-nav">{}</div>',
+    '<form id="aspnet"><div class="content">{}</div></form>', '<div class="widget banner">{}</div>',
+])
+def test_a_block_that_holds_the_article_stays(page):
+    for article in ('<article class="post related">{}</article>', '<main class="search">{}</main>', '<div role="main">{}</div>'):
+        inner = article.format('<div class="post-header"><h1>Title</h1></div><p>Text.</p><div class="comments"><p>reader</p></div><div class="share-links">x</div>')
+        text = page.format('<nav>n</nav><div class="site-header">h</div><div class="main-nav">m</div><div id="cookie_banner">c</div>' + inner + '<div class="sidebar-left">s</div>')
+        assert html.extract(text, html.infer([text])) == "Title\n\nText."
+    plain = page.format("<p>Text.</p>")  # no article: body, html and odd words say nothing
+    if "widget" not in page and "form" not in page:
+        assert html.extract(plain, html.infer([plain])) == "Text."
+    aside = '<body><div class="content"><p>Text.</p><article>Own</article></div><div class="related"><article>Teaser</article></div></body>'
+    assert html.extract(aside, html.infer([aside])) == "Own"
+
+
 def test_wrapper_is_a_union_free_expression():
     w = html.infer(["<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><ul><li>k</li></ul><p>z</p></div>"])
     assert html.to_regex(w) == "<page><div><h1>A</h1>(<ul><li>k</li></ul>)?(<p>#text</p>)+</div></page>"
