@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, write_shared
 
-#: Open elements beyond this depth are read as inline; bounds recursion.
+#: Depth of the tree; bounds recursion. Blocks opened below it become flat children of the deepest block, cut where another comes
+#: between, and marked where a block around them holds no main text or is an article.
 MAX_DEPTH = 40
 #: Hosts whose wrappers a reading task holds before it hands them on.
 HELD_HOSTS = 2000
@@ -83,7 +84,14 @@ def parse(page: str | None) -> Node:
         nonlocal parts, plain
         text = " ".join("".join(parts).split())
         if text:
-            stack[-1].kids.append(Node("#", text, not plain))
+            top = stack[-1]
+            if len(stack) > MAX_DEPTH:
+                below, flat = stack[MAX_DEPTH - 1].kids, top.kids
+                if not (below and flat and below[-1] is flat[-1]):
+                    flat.append(Node(top.text))
+                    below.append(flat[-1])
+                top = flat[-1]
+            top.kids.append(Node("#", text, not plain))
         parts, plain = [], False
 
     def close(upto: int) -> None:
@@ -131,16 +139,27 @@ def parse(page: str | None) -> Node:
                     if names and names[-1] == other:
                         close(len(stack) - 1)
                         break
+                words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower()
+                tokens = {"-".join(re.findall("[a-z]+", w)) for w in words.split()} - {""} if name not in _FRAME else ()
+                node = Node(f"{name}.{'.'.join(sorted(tokens))}" if tokens else name)
                 if len(stack) < MAX_DEPTH:
-                    words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower()
-                    tokens = {"-".join(re.findall("[a-z]+", w)) for w in words.split()} - {""} if name not in _FRAME else ()
-                    node = Node(f"{name}.{'.'.join(sorted(tokens))}" if tokens else name)
                     stack[-1].kids.append(node)
-                    stack.append(node)
+                else:
+                    node.text, node.linked = _flat_sym(node.sym, stack)
+                stack.append(node)
     flush()
     return root
 
 
+def _flat_sym(sym: str, stack: list[Node]) -> tuple[str, bool]:
+    """What a block below MAX_DEPTH counts as, by itself and the blocks around it, and whether that is outside the main text."""
+    if len(stack) > MAX_DEPTH and stack[-1].linked:
+        return stack[-1].text, True
+    if _outside(sym, any(_is_article(n.sym) for n in stack)):
+        return sym, True
+    return ("article" if any(_is_article(n.sym) for n in stack[MAX_DEPTH:]) else sym), False
+
+
 # A wrapper node is [sym, mode, pages, text, kids]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
 # constant or None for a slot.
 def _wrap(node: Node) -> list:

@@ -466,6 +466,15 @@ def test_a_block_that_holds_the_article_stays(page):
     assert html.extract(aside, html.infer([aside])) == "Own"
 
 
+def test_pages_nested_below_the_depth_of_the_tree():
+    for depth in (3, 36, 37, 38, 39, 45, 400):
+        inner = "<div>" * depth + "<div>deep one<nav><div>n</div></nav><div class='comments'><div>c</div><p>d</p></div><div>two</div>three</div>" + "</div>" * depth
+        text = f"<body><article><p>Before.</p><div>{inner}</div><p>After.</p></article><div>beside</div></body>"
+        assert html.extract(text, html.infer([text])) == "Before.\n\ndeep one\n\ntwo\n\nthree\n\nAfter.", depth
+        text = "<div>" * depth + "<p>x</p><article>a<aside>s</aside><div>b</div><header>c</header></article><div>y</div>" + "</div>" * depth + "z"
+        assert html.extract(text, html.infer([text])) == "a\n\nb\n\nc", depth
+
+
 def test_wrapper_is_a_union_free_expression():
     w = html.infer(["<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><ul><li>k</li></ul><p>z</p></div>"])
     assert html.to_regex(w) == "<page><div><h1>A</h1>(<ul><li>k</li></ul>)?(<p>#text</p>)+</div></page>"
