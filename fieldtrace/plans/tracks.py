@@ -415,8 +415,8 @@ CONFIGS = {
 
 
 @query()
-def v3_v25_tracks(spark, sf):
-    """Tracks of the passes under every kind of configuration."""
+def viterbi_tracks(spark, sf):
+    """Tracks of the passes under the configurations of CONFIGS; the README lists the kinds that are left out."""
     dist, ref = localize.check_reference(_reference(spark, sf), "cell", "v")
     scale = float(np.std(ref)) or 1.0
     rows = series(spark, sf).select("pass", "idx", (F.col("v") / scale).alias("obs"), (F.col("idx") % 48).cast("double").alias("truth"))

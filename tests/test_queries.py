@@ -30,3 +30,7 @@ def test_entry(spark):
 def test_wide_window_pushes_columns_to_the_scan(spark):
     plan = catalog.QUERIES["a1_coverage_table"](spark, SMALL)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_extendedprice:double,l_returnflag:string>" in plan
+
+
+def test_tracks_are_named_for_what_they_run():
+    assert "viterbi_tracks" in catalog.QUERIES and "v3_v25_tracks" not in catalog.QUERIES
