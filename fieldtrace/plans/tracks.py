@@ -410,7 +410,7 @@ def x8_x9_likelihoods(spark, sf):
 
 CONFIGS = {
     "exact": {"vmax": 2.0, "smooth": 0.02}, "greedy": {"vmax": 2.0, "smooth": 0.02, "mode": "greedy"}, "gated": {"vmax": 2.0, "gate": (5, 0.30, 0.02, 0.24)}, "gaussian_forward": {"vmax": 2.0, "robust": False, "direction": 1},
-    "lag_5": {"vmax": 2.0, "lag": 5}, "particle": {"vmax": 2.0, "method": "particle", "particles": 500}, "hypotheses": {"vmax": 2.0, "method": "hypotheses", "warmup": 10, "k": 4, "separation": 8}, "switching": {"vmax": 2.0, "method": "switching", "switch": 4.0},
+    "lag_5": {"vmax": 2.0, "lag": 5}, "particle": {"vmax": 2.0, "method": "particle"}, "hypotheses": {"vmax": 2.0, "method": "hypotheses", "warmup": 10, "separation": 8}, "switching": {"vmax": 2.0, "method": "switching", "switch": 4.0},
 }
 
 
@@ -446,7 +446,7 @@ def v25_weak_mileage(spark, sf):
 def l1_l3_reliability_forest(spark, sf):
     """Leave-one-tag-out reliability of results."""
     rows = res(spark, sf).select("id", "tag", "margin", "err", (F.col("id") % 7).cast("double").alias("f1"), (F.abs("err") <= 25).cast("int").alias("good"))
-    out, _ = learn.leave_one_out_forest(learn.disagreement(rows, ["margin", "f1"]), ["F", "O", "P"], "tag", "good", ["margin", "f1", "cand_mean", "cand_range", "cand_gap"], trees=20)
+    out, _ = learn.leave_one_out_forest(learn.disagreement(rows, ["margin", "f1"]), ["F", "O", "P"], "tag", "good", ["margin", "f1", "cand_mean", "cand_range", "cand_gap"])
     return out.select("id", "tag", det_round("prob", 4).alias("prob"))
 
 

@@ -34,3 +34,14 @@ def test_wide_window_pushes_columns_to_the_scan(spark):
 
 def test_tracks_are_named_for_what_they_run():
     assert "viterbi_tracks" in catalog.QUERIES and "v3_v25_tracks" not in catalog.QUERIES
+
+
+def test_queries_run_with_the_operators_default_sizes(spark, monkeypatch):
+    from fieldtrace.operators import learn
+    from fieldtrace.plans import tracks
+
+    assert not {"particles", "k"} & {key for c in tracks.CONFIGS.values() for key in c}
+    seen = {}
+    monkeypatch.setattr(learn, "leave_one_out_forest", lambda df, *a, **kw: (seen.update(kw), (df.withColumn("prob", df["margin"] * 0), 0.0))[1])
+    catalog.QUERIES["l1_l3_reliability_forest"](spark, SMALL)
+    assert "trees" not in seen
