@@ -345,8 +345,9 @@ def c7_c8_window_ncc(spark, sf):
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, l AS (SELECT unnest(range(-10, 11)) AS o), p AS (SELECT m.pass, o, m.v AS q, rv FROM m, l, rf WHERE rf.cell = m.cell + o),
-  z AS (SELECT pass, o, (q - avg(q) OVER w) / stddev_pop(q) OVER w - (rv - avg(rv) OVER w) / stddev_pop(rv) OVER w AS d FROM p WINDOW w AS (PARTITION BY pass, o)), s AS (SELECT pass, o, avg(d * d) AS msd FROM z GROUP BY ALL HAVING count(*) >= 30)
-  SELECT pass, arg_min(o, (floor(msd * 1e9 + 0.5), o)) AS "offset", {r('min(msd)', 5)} AS msd FROM s GROUP BY pass""")
+  z AS (SELECT pass, o, (q - avg(q) OVER w) / stddev_pop(q) OVER w - (rv - avg(rv) OVER w) / stddev_pop(rv) OVER w AS d FROM p WINDOW w AS (PARTITION BY pass, o)),
+  sh AS (SELECT pass, o, avg(d * d) AS msd FROM z GROUP BY ALL HAVING count(*) >= 30)
+  SELECT pass, arg_min(o, (floor(msd * 1e9 + 0.5), o)) AS "offset", {r('min(msd)', 5)} AS msd FROM sh GROUP BY pass""")
 def c22_c23_coarse_msd(spark, sf):
     g = grid(spark, sf)
     out = similarity.shift_msd(g.select("pass", "cell", "v"), g.groupBy("cell").agg(F.avg("v").alias("rv")), "pass", "cell", "v", "rv", list(range(-10, 11)), 30)
