@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: The pre-tokenization pattern of the byte-level vocabulary (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,7 +205,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             ids = [np.frombuffer(bpe.encode(t or ""), dtype="<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _two(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(_two(docs), run, "doc_id long, ids array<int>")
 
 
 def decode_documents(ids: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -217,7 +217,7 @@ def decode_documents(ids: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [bpe.decode(np.array(x or [], dtype=np.uint32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -241,7 +241,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _two(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_two(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _two(docs: DataFrame) -> DataFrame:

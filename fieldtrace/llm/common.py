@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ BLOCK_BYTES = 1 << 19
 SLICE_BYTES = 4 << 20
 #: Rows of a broadcast id list; above it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Shares that a hot key is dealt to where a join is salted.
+SALTS = 16
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -26,6 +29,7 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,15 +37,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of the session. A local session that names none (tests) gets one of its own; a cluster must name it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
         return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "fieldtrace-checkpoints"))
-    return spark.sparkContext.getCheckpointDir()
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "fieldtrace-checkpoints"))
+    return context.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -62,17 +69,50 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int) -> DataFrame:
+def unused(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def attach(df: DataFrame, few: DataFrame, key: str, rows: int, spread: str) -> DataFrame:
+    """``df`` left-joined to ``few`` (``rows`` distinct keys): broadcast while that is short, beyond it with every key salted by ``spread``."""
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(few), key, "left")
+    salt = unused([*df.columns, *few.columns], "salt")
+    left = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return left.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt], "left").drop(salt)
+
+
+def keep_by_id(df: DataFrame, ids: DataFrame, key: str | list[str], rows: int) -> DataFrame:
     """``df`` rows whose ``key`` is in ``ids`` (``rows`` distinct keys): broadcast while the list is small, shuffled beyond."""
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids.hint("shuffle_hash"), key, "left_semi")
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of about SLICE_BYTES, on the JVM's side too, unless the session has a size of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":  # Spark's default
+        conf.set(name, SLICE_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows of about SLICE_BYTES, so that a worker never holds a whole batch as Python objects."""
+    """Batches cut into runs of rows of about SLICE_BYTES, so that a worker never holds a whole batch as Python objects.
+
+    When a task's batches end, memory that its worker no longer uses goes back to the system: workers live on, and would
+    otherwise keep the most that any stage took.
+    """
     for batch in batches:
         rows = max(1, int(batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
