@@ -3,7 +3,10 @@
 A text is cut into sentences, and a sentence of more than PIECE words into pieces at places that the words around them
 choose (winnowing), so that a passage is cut alike wherever it stands. From every piece a span of several consecutive pieces
 runs forward, and another backward, just long enough to hold MIN_WORDS words; each is hashed. A hash found more than once
-keeps its first place (by id, then position); pieces covered by any other place are removed.
+keeps its first place (by id, text, position); pieces covered by any other place are removed.
+
+Of the places of a hash that one task finds, only the first can be the first of all; the others are repeats for sure, and do not
+travel under the hash. So a passage of any number of copies brings a few rows from each task to the task of its hash.
 """
 
 from __future__ import annotations
@@ -12,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, mix64, slices, text_blocks
+from .common import _powers, map_arrow, mix64, slices, text_blocks, unused
 
 #: Sentences (or pieces of them) and words that a span holds at least.
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: Words that a piece of a sentence holds at most. A repeated passage of MIN_WORDS + 3 * PIECE words or more holds a span
 #: wherever it begins and ends, and at most PIECE words at either of its ends escape. A power of two.
 PIECE = 8
+#: Spans that a task holds before it hands them on.
+HELD_SPANS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, dtype=bool)
@@ -174,28 +179,75 @@ def spans(parts: list[tuple[int, int, str, int]], min_sentences: int = MIN_SENTE
     return list(zip(first.tolist(), last.tolist(), strict=True))
 
 
+#: A place is one long, ordered by text and position: 32 bits of the text's key, 25 of the first piece's number, 7 of the pieces after it.
+FIRST_BITS, MORE_BITS = 25, 7
+
+
+def _combine(doc: np.ndarray, place: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to hand on, and which of them are repeats for sure: all but the first of a hash. A place met twice counts once."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    many = np.zeros(len(h), dtype=bool)
+    many[order[1:][same]] = many[order[:-1][same]] = True
+    kept, sure = ~many, np.zeros(len(h), dtype=bool)
+    rows = np.flatnonzero(many)
+    rows = rows[np.lexsort([x[rows] for x in (place, doc, g, h)])]
+    if len(rows):
+        new, other = np.ones(len(rows), dtype=bool), np.ones(len(rows), dtype=bool)
+        new[1:] = (h[rows][1:] != h[rows][:-1]) | (g[rows][1:] != g[rows][:-1])
+        other[1:] = (doc[rows][1:] != doc[rows][:-1]) | (place[rows][1:] != place[rows][:-1])
+        kept[rows] = new | other
+        sure[rows] = ~new
+    kept = np.flatnonzero(kept)
+    return kept, sure[kept]
+
+
 def _span_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+    if not max(min_sentences, min_words) < 1 << MORE_BITS:
+        raise ValueError(f"spans of up to {(1 << MORE_BITS) - 1} sentences or words")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def hand_on() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            kept, sure = _combine(*columns)
+            doc, place, h, g = (c[kept] for c in columns)
+            with np.errstate(over="ignore"):  # a sure repeat goes anywhere: it needs no company
+                away = mix64(place.view(np.uint64) + doc.view(np.uint64) * _ODD).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(np.where(sure, away, h)), pa.array(g, mask=sure)], names=["doc_id", "place", "h", "g"])
+
         for batch in slices(batches):
-            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            docs, keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in text_blocks(texts):
                 p = Pieces(texts[a:b])
+                if len(p.of) > 1 and np.diff(p.of).max() >= 1 << FIRST_BITS:
+                    raise ValueError(f"a text of {1 << FIRST_BITS} pieces or more")
                 first, last = _spans(p.first, p.of, min_sentences, min_words)
                 text = np.searchsorted(p.of, first, side="right") - 1
-                h, g = p.hashes(first, last)
-                begin = p.of[text]
-                columns = [docs[a:b][text], h, g, (first - begin).astype(np.int32), (last - begin).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "h", "g", "first", "last"])
+                place = (keys[a:b][text].astype(np.int64) << 32) | ((first - p.of[text]) << MORE_BITS) | (last - first)
+                held.append([docs[a:b][text], place, *p.hashes(first, last)])
+                if sum(len(c[0]) for c in held) >= HELD_SPANS:
+                    yield hand_on()
+        if held:
+            yield hand_on()
+
+    return map_arrow(docs, run, "doc_id long, place long, h long, g int")
+
 
-    return docs.mapInArrow(run, "doc_id long, h long, g int, first int, last int")
+def _text_key(text: Column) -> Column:
+    """32 bits that tell the texts of one id apart."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, first, last`` (numbers of pieces) of every repeated span's places but the first."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = Window.partitionBy("h", "g").orderBy("doc_id", "first", "last")
-    # rows repeating an id stand at the same place, which rank counts once
-    return _span_rows(rows, min_sentences, min_words).withColumn("n", F.rank().over(places)).where("n > 1").select("doc_id", "first", "last")
+    """``doc_id, place`` of every repeated span's places but the first."""
+    text = F.col("text").cast("string")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _text_key(text).alias("key"))
+    places = Window.partitionBy("h", "g").orderBy("doc_id", "place")
+    # rows repeating an id and its text stand at the same place, which rank counts once; g is null in repeats for sure
+    return _span_rows(rows, min_sentences, min_words).withColumn("n", F.rank().over(places)).where("n > 1 or g is null").select("doc_id", "place")
 
 
 def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -203,15 +255,17 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
 
     Adds ``n_sentences`` (pieces), ``n_removed`` (pieces taken out) and ``removed_words``. Null texts stay null with zeros; texts of
     one piece cannot hold a span; a text can become empty. Rows with a null id take no part and stay as they are. Rows
-    repeating an id are one document: only a repeat at another position is removed, in all of them alike. Column names
-    of ``docs`` that clash with the added ones are replaced. An empty table gives an empty result.
+    repeating an id and its text are one document: only a repeat at another position is removed, in all of them alike. Rows
+    of one id with different texts are documents of their own. Columns of ``docs`` that clash with the added ones are
+    replaced, others may have any names. An empty table gives an empty result. A text of 2**25 pieces (over 600 MB) is refused.
     """
     added = ["n_sentences", "n_removed", "removed_words"]
     docs = docs.drop(*added)
-    ranges = repeated_spans(docs, min_sentences, min_words).groupBy("doc_id").agg(F.collect_set((F.col("first").cast("long") * (1 << 31)) + F.col("last")).alias("_ranges"))
-    ranges = ranges.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(ranges, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
     names = docs.columns
+    doc, key, covers = (unused(names, x) for x in ("doc", "key", "covers"))
+    ranges = repeated_spans(docs, min_sentences, min_words).groupBy(F.col("doc_id").alias(doc), F.shiftright("place", 32).cast("int").alias(key)).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias(covers))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (_text_key(F.col("text").cast("string")) == F.col(key))
+    joined = docs.join(ranges, same, "left").drop(doc, key)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +280,11 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
                     if covers[i].is_valid:
                         own = slice(*p.of[i - a : i - a + 2])
                         ranges = covers[i].values.to_numpy()
+                        first = ranges >> MORE_BITS
                         depth = np.zeros(own.stop - own.start + 1, dtype=np.int64)
-                        end = len(depth) - 1  # a repeated id's other text may be longer
-                        np.add.at(depth, np.minimum(ranges >> 31, end), 1)
-                        np.add.at(depth, np.minimum((ranges & 0x7FFFFFFF) + 1, end), -1)
+                        np.add.at(depth, first, 1)
+                        np.add.at(depth, first + (ranges & ((1 << MORE_BITS) - 1)) + 1, -1)
                         drop = np.cumsum(depth)[:-1] > 0
-                        if not drop.any():
-                            continue
                         stop = p.stop[own].tolist()
                         gone[-1], words[-1] = int(drop.sum()), int(np.diff(p.first[own.start : own.stop + 1])[drop].sum())
                         texts[i] = b"".join(p.raw[i - a][x:y] for x, y, d in zip([0, *stop[:-1]], stop, drop.tolist(), strict=True) if not d).decode("utf-8", "surrogatepass")
@@ -241,4 +293,4 @@ def remove_repeats(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *(T.StructField(name, T.LongType()) for name in added)])
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
