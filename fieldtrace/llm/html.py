@@ -6,10 +6,11 @@ optional; neighbours with the same element become a repeated group; text that di
 the same stays a constant. Aligning is associative enough to run first inside the tasks that read the pages, then over the
 partial wrappers of a host, so a host of any size costs a task only as many rows as there are partial wrappers.
 
-The wrapper then tells main text from the rest: blocks in navigation, header, footer, aside, form and similar elements or
-classes go; in a host whose pages have an article (or main) element only its blocks stay; constants of a host whose other
-article slots vary are template text and go. So does text, at any place of the wrapper and also in optional and repeated
-groups, that many of the host's pages of different content share (TEMPLATE_SHARE).
+The wrapper then tells main text from the rest. Constants of the wrapper, and text that many of the host's pages of different
+content share at one place (TEMPLATE_SHARE; also in optional and repeated groups), are template text and go. On a page without an
+article (or main) element the main region is where the text in the wrapper's slots is: from the root down, the block that holds
+most of the varying text, as far as a repeated group or a place where no block holds most; headings on the way stay. In a page
+with such an element only its blocks stay. Blocks in navigation, header, footer, aside, form and similar elements or classes go.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, write_shared
+from .common import map_arrow, slices, write_shared
 
 #: Depth of the tree; bounds recursion. Blocks opened below it become flat children of the deepest block, cut where another comes
 #: between, and marked where a block around them holds no main text or is an article.
@@ -42,6 +44,10 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = (0.2, 0.5)
 #: Longest texts that tell pages of different content apart; copies of a page count once.
 TELLING = 3
+#: Cells of the table that aligns two lists of children; longer ones are aligned by halves.
+LCS_CELLS = 1 << 20
+#: Share of a block's varying text that one of its children must hold to be the main region's way down.
+REGION_SHARE = 0.5
 #: Bytes of wrappers that are broadcast; beyond it pages and wrappers are joined by host and salt.
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
@@ -62,6 +68,10 @@ _WORDS = frozenset(
 )
 #: Parts of a class word that only say where or what kind of block one of _WORDS names: site-header, but not post-header or has-sidebar.
 _PLAIN = frozenset("site global top bottom left right primary secondary list links link bar box block section area container wrapper wrap inner item items form".split())
+#: Elements of headings, of running text, and of lists and tables.
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = frozenset("p pre blockquote".split()) | _HEADING
+_LISTED = frozenset("ul ol li dl dt dd table tbody tr td th".split())
 #: Elements to which the words never apply.
 _FRAME = frozenset("html body article main".split())
 
@@ -161,83 +171,141 @@ def _flat_sym(sym: str, stack: list[Node]) -> tuple[str, bool]:
 
 
 # A wrapper node is [sym, mode, pages, text, kids]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
-# constant or None for a slot.
+# constant or None for a slot. A page's own tree is a wrapper without optional or repeated parts: these come from mismatches.
 def _wrap(node: Node) -> list:
-    return [node.sym, "1", 1, node.text if node.sym == "#" else None, _fold([_wrap(k) for k in node.kids])]
-
-
-def _fold(kids: list[list]) -> list[list]:
-    """Neighbours with the same element become one repeated group; so do neighbours that alternate between two elements."""
-    out: list[list] = []
-    for k in kids:
-        if out and out[-1][0] == k[0]:
-            out[-1] = _merge(out[-1], k, repeat=True)
-        elif len(out) > 2 and out[-2][0] == k[0] and out[-3][0] == out[-1][0] and k[0] != "#":
-            out[-2] = _merge(out[-2], k, repeat=True)
-            out[-3] = _merge(out[-3], out.pop(), repeat=True)
+    return [node.sym, "1", 1, node.text if node.sym == "#" else None, [_wrap(k) for k in node.kids]]
+
+
+def _kind(w: list) -> str:
+    """What children are aligned by: the element, and whether it holds text alone."""
+    return w[0] if w[0] == "#" or any(k[0] != "#" for k in w[4]) else f"{w[0]} #"
+
+
+def _alike(a: list, b: list) -> bool:
+    """Whether neighbours can be two turns of a repeated group: same kind, and mostly the same elements inside."""
+    if _kind(a) != _kind(b):
+        return False
+    x, y = {k[0] for k in a[4]}, {k[0] for k in b[4]}
+    return not (x or y) or 2 * len(x & y) >= len(x | y)
+
+
+def _gather(kids: list[list], groups: list[list]) -> list[tuple[list, list[int]]]:
+    """Children with their numbers, runs of neighbours that are like one of the ``groups`` as one."""
+    if not groups:
+        return [(k, [i]) for i, k in enumerate(kids)]
+    out: list[tuple[list, list[int]]] = []
+    last: list | None = None
+    for i, k in enumerate(kids):
+        group = next((g for g in groups if _alike(g, k)), None)
+        if out and group is not None and group is last:
+            out[-1] = (_turn(out[-1][0], k), [*out[-1][1], i])
         else:
-            out.append(k)
+            out.append((k, [i]))
+        last = group
     return out
 
 
+def _turn(a: list, b: list) -> list:
+    """Two neighbours as turns of one repeated group."""
+    return [a[0], _join(_join("1" if a[1] == "?" else a[1], "1" if b[1] == "?" else b[1]), "+"), max(a[2], b[2]), a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+
+
 def _join(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}[a in "?*" or b in "?*", a in "+*" or b in "+*"]
 
 
-def _merge(a: list, b: list, repeat: bool = False) -> list:
+def _merge(a: list, b: list) -> list:
     """Two wrappers of the same element as one."""
-    mode = _join(a[1], b[1])
-    if repeat:
-        mode = _join(mode, "+")
-    return [a[0], mode, a[2] if repeat else a[2] + b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+    return [a[0], _join(a[1], b[1]), a[2] + b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+
+
+def _rows_of(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """Lengths of the longest common subsequence of the first i of ``x`` and the first j of ``y``, for i = 0, 1, ..."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    yield row
+    for s in x:
+        new = row.copy()
+        np.maximum(new[1:], row[:-1] + (y == s), out=new[1:])
+        row = np.maximum.accumulate(new)
+        yield row
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places; of long sequences by halves, so the table stays small."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) > 1 and len(x) * len(y) > LCS_CELLS:
+        half = len(x) // 2
+        for front in _rows_of(x[:half], y):
+            pass
+        for behind in _rows_of(x[half:][::-1], y[::-1]):
+            pass
+        k = int(np.argmax(front + behind[::-1]))
+        return _common(x[:half], y[:k]) + [(half + i, k + j) for i, j in _common(x[half:], y[k:])]
+    rows, out = list(_rows_of(x, y)), []
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def _pairs(a: list[list], b: list[list]) -> list[tuple[int, int]]:
-    """Longest common subsequence by element, after equal ends."""
+def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, after equal ends."""
     lo, ha, hb = 0, len(a), len(b)
-    while lo < ha and lo < hb and a[lo][0] == b[lo][0]:
+    while lo < ha and lo < hb and a[lo] == b[lo]:
         lo += 1
-    while ha > lo and hb > lo and a[ha - 1][0] == b[hb - 1][0]:
+    while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
         ha, hb = ha - 1, hb - 1
-    n, m = ha - lo, hb - lo
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[lo + i][0] == b[lo + j][0] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    middle = []
-    while i < n and j < m:
-        if a[lo + i][0] == b[lo + j][0]:
-            middle.append((lo + i, lo + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return [(k, k) for k in range(lo)] + middle + [(ha + k, hb + k) for k in range(len(a) - ha)]
+    ends = [(k, k) for k in range(lo)], [(ha + k, hb + k) for k in range(len(a) - ha)]
+    if lo == ha or lo == hb:
+        return ends[0] + ends[1]
+    names = {s: i for i, s in enumerate(sorted({*a[lo:ha], *b[lo:hb]}))}
+    x, y = (np.array([names[k] for k in part], dtype=np.int32) for part in (a[lo:ha], b[lo:hb]))
+    return ends[0] + [(lo + i, lo + j) for i, j in _common(x, y)] + ends[1]
+
+
+def _matched(a: list[list], b: list[list]) -> tuple[list[tuple[list, list[int]]], list[tuple[list, list[int]]], list[tuple[int, int]]]:
+    """Children of both sides, those that repeated groups of the other side take up gathered, and which of them agree."""
+    x = _gather(a, [k for k in b if k[1] in "+*"])
+    y = _gather(b, [k for k in a if k[1] in "+*"])
+    return x, y, _pairs([_kind(k) for k, _ in x], [_kind(k) for k, _ in y])
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
-    """Children of two wrappers: agreeing ones merge, others become optional."""
-    out, i, j = [], 0, 0
-    optional = lambda k: [k[0], _join(k[1], "?"), *k[2:]]
-    for x, y in [*_pairs(a, b), (len(a), len(b))]:
-        out += map(optional, a[i:x])
-        out += map(optional, b[j:y])
-        if x < len(a):
-            out.append(_merge(a[x], b[y]))
-        i, j = x + 1, y + 1
+    """Children of two wrappers: agreeing ones merge; one that only one side has becomes another turn of its neighbour if they are alike, or optional."""
+    x, y, pairs = _matched(a, b)
+    out: list[tuple[list, bool]] = []  # child, whether only one side has it
+    i = j = 0
+    for p, q in [*pairs, (len(x), len(y))]:
+        out += [(k, True) for k, _ in x[i:p]] + [(k, True) for k, _ in y[j:q]]
+        if p < len(x):
+            out.append((_merge(x[p][0], y[q][0]), False))
+        i, j = p + 1, q + 1
     return _refold(out)
 
 
-def _refold(kids: list[list]) -> list[list]:
-    out: list[list] = []
-    for k in kids:
-        if out and out[-1][0] == k[0]:
-            out[-1] = [k[0], _join(_join(out[-1][1], k[1]), "+"), max(out[-1][2], k[2]), out[-1][3] if out[-1][3] == k[3] else None, align(out[-1][4], k[4])]
+def _refold(kids: list[tuple[list, bool]]) -> list[list]:
+    out: list[tuple[list, bool]] = []
+    for k, odd in kids:
+        if out and (odd or out[-1][1]) and _alike(out[-1][0], k):
+            other, was = out[-1]
+            made = _turn(other, k)
+            both = odd and was
+            out[-1] = ([made[0], _join(made[1], "?") if both else made[1], *made[2:]], both)
+        elif odd and len(out) > 1 and _alike(out[-2][0], k) and not _alike(out[-1][0], k) and out[-1][1] and len(out) > 2 and _alike(out[-3][0], out[-1][0]):
+            # elements that alternate, as terms and definitions do
+            last = out.pop()
+            out[-1] = (_turn(out[-1][0], k), False)
+            out[-2] = (_turn(out[-2][0], last[0]), False)
         else:
-            out.append(k)
-    return out
+            out.append((k, odd))
+    return [[k[0], _join(k[1], "?"), *k[2:]] if odd else k for k, odd in out]
 
 
 def infer(pages: list[str | None]) -> list:
@@ -317,37 +385,69 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
     hidden = not only_article and _has_article(own, True)  # all articles are in blocks that the words tell outside: such a block stays
     only_article = only_article or hidden
     template = wrapper[2] >= TEMPLATE_PAGES and _varies(wrapper, False)
-    out: list[str] = []
+    places: dict[int, list | None] = {}  # wrapper node of each block and leaf
+    mass: dict[int, int] = {}  # characters of varying text, without links, in each block
 
-    def walk(node: Node, w: list | None, inside: bool, place: str) -> None:
-        inside = inside or _is_article(node.sym)
-        where = {} if w is None else _places(node.kids, w[4])
+    def place_all(node: Node, mine: list, w: list | None, place: str) -> int:
+        where, total = {} if w is None else _places(mine[4], w[4]), 0
         for i, k in enumerate(node.kids):
-            known = where.get(i)
+            places[id(k)] = where.get(i)
+            if k.sym != "#":
+                below = place_all(k, mine[4][i], where.get(i), f"{place}/{k.sym}")
+                total += 0 if _outside(k.sym, False) else below
+            elif not k.linked and (where.get(i) is None or where[i][3] is None) and _key(place, k.text) not in shared:
+                total += len(k.text)
+        mass[id(node)] = total
+        return total
+
+    place_all(root, own, wrapper, "")
+    region, heads = (None, set()) if only_article or wrapper[2] < 2 else _region(root, places, mass)
+    out: list[str] = []
+
+    def walk(node: Node, inside: bool, within: bool, place: str) -> None:
+        inside, within = inside or _is_article(node.sym), within or node is region or id(node) in heads
+        listed = node.sym.partition(".")[0] in _LISTED
+        for k in node.kids:
+            known = places[id(k)]
             if k.sym == "#":
-                constant = template and known is not None and known[3] is not None and known[1] in "1+" and inside
-                linked = k.linked and not inside
-                if (inside or not only_article) and not constant and not linked and not (shared and _key(place, k.text) in shared):
+                constant = template and known is not None and known[3] is not None and known[1] in "1+" and (inside and node.sym.partition(".")[0] not in _HEADING)
+                linked = k.linked and not inside and (region is None or listed)
+                wanted = inside or (within if region is not None else not only_article)
+                if wanted and not constant and not linked and not (_key(place, k.text) in shared and not (inside and node.sym.partition(".")[0] in _HEADING)):
                     out.append(k.text)
             elif not _outside(k.sym, inside) or hidden and not inside and _has_article(_wrap(k), True):
-                walk(k, known, inside, f"{place}/{k.sym}")
+                walk(k, inside, within, f"{place}/{k.sym}")
 
-    walk(root, wrapper, False, "")
+    walk(root, False, False, "")
     return "\n\n".join(out)
 
 
-def _places(kids: list[Node], wrapped: list[list]) -> dict[int, list]:
-    """Wrapper node of each child: children go to the next wrapper node of their element, repeats to the same one."""
-    out, at = {}, 0
-    for i, k in enumerate(kids):
-        for j in range(at, len(wrapped)):
-            if wrapped[j][0] == k.sym:
-                out[i], at = wrapped[j], j
+def _region(root: Node, places: dict[int, list | None], mass: dict[int, int]) -> tuple[Node | None, set[int]]:
+    """Block that holds the main text of a page without an article, and the headings before it on the way down."""
+    if not mass[id(root)]:
+        return None, set()
+    node, heads = root, set()
+    while True:
+        best = max((k for k in node.kids if id(k) in mass), key=lambda k: mass[id(k)], default=None)
+        known = None if best is None else places[id(best)]
+        if best is None or mass[id(best)] <= REGION_SHARE * mass[id(node)] or known is None or known[1] in "+*" or best.sym.partition(".")[0] in _TEXT:
+            return node, heads
+        for k in node.kids:
+            if k is best:
                 break
-        else:
-            again = next((j for j in range(len(wrapped)) if wrapped[j][0] == k.sym), None)
-            if again is not None:
-                out[i], at = wrapped[again], again
+            if k.sym.partition(".")[0] in _HEADING:
+                heads.add(id(k))
+        node = best
+
+
+def _places(kids: list[list], wrapped: list[list]) -> dict[int, list]:
+    """Wrapper node of each child: aligned as in inference; what is left over goes to a group that it is like."""
+    x, y, pairs = _matched(kids, wrapped)
+    out = {i: y[q][0] for p, q in pairs for i in x[p][1]}
+    groups = [k for k in wrapped if k[1] in "+*"]
+    for i, k in enumerate(kids):
+        if i not in out and (group := next((g for g in groups if _alike(g, k)), None)) is not None:
+            out[i] = group
     return out
 
 
@@ -401,7 +501,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             now = _merge(now, json.loads(p))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(now)]})
 
-    part = pages.select("url", F.col("html").cast("string").alias("html")).mapInArrow(local, "host string, salt int, wrapper string, leaf long, inside boolean, content long")
+    part = map_arrow(pages.select("url", F.col("html").cast("string").alias("html")), local, "host string, salt int, wrapper string, leaf long, inside boolean, content long")
     part = write_shared(part, "host-parts")
     once = part.where("wrapper is not null").groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
     whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string").withColumn("hk", F.xxhash64("host"))
@@ -427,7 +527,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     wrappers = write_shared(host_wrappers(pages), "host-wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 64).alias("n")).first()["n"] or 0
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64).alias("n")).first()["n"] or 0
 
     def rows(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -451,7 +551,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     texts.append(extract(page, *read[h]))
                 yield rows(batch.column(0).to_pylist(), urls, texts)
 
-        return pages.mapInArrow(apply, schema)
+        return map_arrow(pages, apply, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, tuple] | None = None
@@ -463,7 +563,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, *last[1]))
             yield rows(batch.column(0).to_pylist(), urls, texts)
 
-    host = F.lower(F.coalesce(F.udf(host_of, "string")("url"), F.lit("")))
+    host = F.udf(host_of, "string", useArrow=True)("url")
     left = pages.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     right = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, ["host", "salt"]).select("page_id", "url", "html", "wrapper").mapInArrow(joined, schema)
+    return map_arrow(left.join(right, ["host", "salt"]).select("page_id", "url", "html", "wrapper"), joined, schema)
