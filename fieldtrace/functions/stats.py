@@ -56,3 +56,12 @@ def weighted_median(df: DataFrame, keys: list[str], v: str, weight: str, out: st
     run = F.sum("_w").over(Window.partitionBy(keys).orderBy(v))
     total = F.sum("_w").over(Window.partitionBy(keys))
     return rows.withColumn("_ok", run >= 0.5 * total).where("_ok").groupBy(*keys).agg(F.min(v).alias(out))
+
+
+def robust_or_plain_z(df: DataFrame, keys: list[str], v: str, out: str = "z", least: float = 1e-9) -> DataFrame:
+    """(v - median) / (1.4826 MAD) without a clip; where that is below ``least`` the z-score by mean and deviation, and 0 for a flat group."""
+    w = Window.partitionBy(keys)
+    rows = with_mad(df, keys, v, "_med", "_mad").withColumn("_sd", F.stddev_pop(c(v)).over(w)).withColumn("_mu", F.avg(c(v)).over(w))
+    scale = F.col("_mad") * MAD_SCALE
+    z = F.when(scale >= least, (c(v) - F.col("_med")) / scale).when(F.col("_sd") >= least, (c(v) - F.col("_mu")) / F.col("_sd")).otherwise(0.0)
+    return rows.withColumn(out, z).drop("_med", "_mad", "_sd", "_mu")

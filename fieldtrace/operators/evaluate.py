@@ -109,3 +109,12 @@ def topk_hits(df: DataFrame, key: str, score: str, position: str, truth: str, to
         aggs.append(first.cast("long").alias(f"rank_{t:g}"))
         aggs += [F.coalesce(first <= k, F.lit(False)).cast("int").alias(f"top{k}_{t:g}") for k in ks]
     return ranked.groupBy(key).agg(*aggs)
+
+
+def progress_closest(totals: DataFrame, axes: DataFrame, key: str) -> DataFrame:
+    """The axis candidate of each key where its compatibility is strictly smaller, else the total candidate. -> key, source, method, compat."""
+    t = totals.select(key, F.col("method").alias("_tm"), F.col("compat").alias("_tc"))
+    a = axes.select(key, F.col("method").alias("_am"), F.col("compat").alias("_ac"))
+    axis = F.coalesce(F.col("_ac") < F.col("_tc"), F.lit(False))
+    pick = lambda x, y: F.when(axis, F.col(x)).otherwise(F.col(y))
+    return t.join(a, key, "left").select(key, F.when(axis, "axis").otherwise("total").alias("source"), pick("_am", "_tm").alias("method"), pick("_ac", "_tc").alias("compat"))

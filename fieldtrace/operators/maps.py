@@ -55,3 +55,28 @@ def soft_weight(error: Column, score: Column) -> Column:
 
 def hard_gate(error: Column, score: Column, max_error: float = 2.0, min_score: float = 0.60) -> Column:
     return (error <= max_error) & (score >= min_score)
+
+
+def full_and_common_grid(grid: DataFrame, key: str, cell: str, step: float, most: int) -> DataFrame:
+    """Points of ``step`` from 0 to the track's end (at most ``most`` metres) -> half, x, common: inside the median pass's range."""
+    spans = grid.groupBy(key).agg(F.min(cell).alias("lo"), F.max(cell).alias("hi"))
+    ends = spans.agg(F.max("hi").alias("top"), stats.median("lo").alias("lo"), stats.median("hi").alias("hi"))
+    points = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), (F.least(F.lit(most), F.col("top")) / step).cast("long"))).alias("half"))
+    return points.select("half", (F.col("half") * step).alias("x"), (F.col("half") * step).between(F.col("lo"), F.col("hi")).alias("common"))
+
+
+def wide_map(grid: DataFrame, passes: list[int], key: str = "pass", cell: str = "cell", value: str = "v") -> DataFrame:
+    """Per cell the statistics of all passes and a column for each of ``passes``, for export."""
+    picked = [F.max(F.when(F.col(key) == p, F.col(value))).alias(f"{key}_{p}") for p in passes]
+    return grid.groupBy(cell).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), stats.median(value).alias("median"), *picked)
+
+
+def long_map(wide: DataFrame, cell: str, prefix: str) -> DataFrame:
+    """Columns of a wide map that begin with ``prefix`` as rows: cell, channel, v."""
+    return wide.unpivot([cell], [n for n in wide.columns if n.startswith(prefix)], "channel", "v")
+
+
+def quality_references(grid: DataFrame, quality: DataFrame, error: str, score: str, key: str = "pass", cell: str = "cell", value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """(cell, hard): median of the passes that the gate accepts; (cell, soft): median weighted by quality. ``quality`` has one row for each pass."""
+    rows = grid.join(quality.select(key, hard_gate(F.col(error), F.col(score)).alias("_ok"), soft_weight(F.col(error), F.col(score)).alias("_w")), key)
+    return rows.where("_ok").groupBy(cell).agg(stats.median(value).alias("hard")), stats.weighted_median(rows, [cell], value, "_w", "soft")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from ..functions import windows as windows_
 from ..functions.scalars import c
 
 
@@ -66,3 +68,21 @@ def shift_msd(query: DataFrame, reference: DataFrame, key: str, cell: str, q: st
     scored = pairs.withColumn("_d", (z("_q") - z("_v")) ** 2).groupBy(key, "offset").agg(F.count("*").alias("n"), F.avg("_d").alias("msd")).where(F.col("n") >= least)
     best = scored.where("msd is not null").groupBy(key).agg(F.min(F.struct("msd", "offset")).alias("m"))
     return best.select(key, F.col("m.offset").alias("offset"), F.col("m.msd").alias("msd"))
+
+
+def gated_correlations(df: DataFrame, key: str, a: str, b: str, least: int, share: float) -> DataFrame:
+    """Per key the pairs with both values, the correlation given max(``least``, ``share``) of them, and that of the robust z-scores given ``share``."""
+    w = Window.partitionBy(key)
+    rows = df.withColumn("_k", F.count("*").over(w)).where(c(a).isNotNull() & c(b).isNotNull())
+    rows = stats.robust_z(stats.robust_z(rows, [key], a, "_za"), [key], b, "_zb")
+    n, k = F.count("*"), F.first("_k")
+    return rows.groupBy(key).agg(n.alias("n"), F.when(n >= F.greatest(F.lit(float(least)), share * k), F.corr(a, b)).alias("ncc"), F.when(n >= share * k, F.corr("_za", "_zb")).alias("robust"))
+
+
+def cross_date(first: DataFrame, second: DataFrame, keys: list[str], cell: str, v: str, step: float) -> DataFrame:
+    """Two days' maps joined on the cell -> keys, n, corr, derivative_corr (of the gradients), rms_unbiased."""
+    o = Window.partitionBy(keys).orderBy(cell)
+    side = lambda df, x: df.select(*keys, cell, c(v).alias(f"_{x}"), windows_.gradient(v, c(cell) * step, o).alias(f"_g{x}"))
+    rows = side(first, "a").join(side(second, "b"), [*keys, cell])
+    rows = rows.withColumn("_u", F.col("_a") - F.col("_b") - F.percentile(F.col("_a") - F.col("_b"), F.lit(0.5)).over(Window.partitionBy(keys)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr"), F.corr("_ga", "_gb").alias("derivative_corr"), F.sqrt(F.avg(F.col("_u") ** 2)).alias("rms_unbiased"))
