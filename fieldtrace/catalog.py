@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import matching, results, signal, tracks  # noqa: F401  (modules register their queries)
+from .plans import matching, results, signal, trackers, tracks  # noqa: F401  (modules register their queries)
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "flagship"

@@ -27,6 +27,38 @@ def normalise(ll: np.ndarray) -> np.ndarray:
     return out
 
 
+def reach_of(vmax: float, dt: float, cell: float) -> int:
+    """Cells that a move may take: the bound rounded up, one at least."""
+    return max(1, int(np.ceil(vmax * dt / cell - 1e-9)))
+
+
+def percentile_gate(ll: np.ndarray, gap: int, least: float, offset: float, span: float) -> np.ndarray:
+    """Rows scaled by how far their best stands above the value ``gap`` ranks below it."""
+    ranked = np.sort(ll, axis=1)
+    margin = ranked[:, -1] - ranked[:, max(0, ll.shape[1] - 1 - gap)]
+    return ll * np.clip((margin - offset) / span, least, 1.0)[:, None]
+
+
+def step_viterbi(ll: np.ndarray, expected: int, sigma: float, jump: int) -> tuple[int, float]:
+    """Window placed by steps of about ``expected`` states with a Gaussian prior, at most ``jump`` off. -> first state, score per sample."""
+    times, states = ll.shape
+    moves = np.arange(expected - jump, expected + jump + 1)
+    dp, back = ll[0].astype(float), np.zeros((times, states), dtype=np.int32)
+    before = np.arange(states)[None, :] - moves[::-1, None]  # ascending predecessor
+    inside = (before >= 0) & (before < states)
+    prior = -0.5 * ((moves[::-1] - expected) / sigma) ** 2
+    for t in range(1, times):
+        total = np.where(inside, dp[np.clip(before, 0, states - 1)], -np.inf) + prior[:, None]
+        pick = total.argmax(axis=0)
+        back[t] = before[pick, np.arange(states)]
+        dp = total[pick, np.arange(states)] + ll[t]
+    state = int(dp.argmax())
+    score = float(dp[state] / times)
+    for t in range(times - 1, 0, -1):
+        state = int(back[t, state])
+    return state, score
+
+
 def uniqueness_gate(ll: np.ndarray, dist: np.ndarray, exclude: float, least: float, offset: float, span: float) -> np.ndarray:
     """Rows scaled by how far their best stands above the best at ``exclude`` or further."""
     best = ll.argmax(axis=1)
@@ -53,7 +85,7 @@ def viterbi(
     back = np.full((times, states), -1, dtype=np.int32)
     fallback = False
     for t in range(1, times):
-        reach = max(1, int(np.floor(vmax * dt[t] / cell + 1e-9)))
+        reach = reach_of(vmax, dt[t], cell)
         moves = np.arange(0 if direction > 0 else -reach, (0 if direction < 0 else reach) + 1)  # state minus predecessor
         penalty = np.zeros(len(moves))
         v = moves * cell / max(dt[t], 1e-6)
@@ -106,16 +138,20 @@ def _rewind(pointers: list[np.ndarray], state: int) -> int:
     return state
 
 
-def switching_viterbi(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, switch: float, opposite_start: float = 0.0, edge: float = 0.0, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Path over (direction, position) with a penalty for turning and for dwelling at the edges. -> positions, directions."""
+def switching_viterbi(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, switch: float, opposite_start: float = 0.0, edge: float = 0.0, first: int = 1, edge_m: float = 5.0, smooth: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Path over (direction, position) with penalties for turning, for speed, and for dwelling within ``edge_m`` of an end. -> positions, directions.
+
+    The predecessor is chosen by score and turning; the other penalties are charged afterwards.
+    """
     times, states = ll.shape
     cell = float(np.median(np.diff(dist)))
     ways = (1, -1)
     dp = np.stack([ll[0] - (0.0 if w == first else opposite_start) for w in ways])
     back = np.zeros((times, 2, states, 2), dtype=np.int32)
     rows = np.arange(states)
+    at_edge = (dist <= dist[0] + edge_m) | (dist >= dist[-1] - edge_m)
     for t in range(1, times):
-        reach = max(1, int(np.floor(vmax * dt[t] / cell + 1e-9)))
+        reach = reach_of(vmax, dt[t], cell)
         new = np.empty_like(dp)
         for d, w in enumerate(ways):
             before = rows[None, :] - w * np.arange(reach + 1)[:, None]
@@ -124,10 +160,10 @@ def switching_viterbi(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: fl
             best = [o.argmax(axis=0) for o in options]
             value = np.stack([o[b, rows] for o, b in zip(options, best, strict=True)])
             e = value.argmax(axis=0)
-            new[d] = value[e, rows] + ll[t]
-            new[d, [0, -1]] -= edge
             back[t, d, :, 0] = e
             back[t, d, :, 1] = np.where(e == 0, before[best[0], rows], before[best[1], rows])
+            moved = np.abs(rows - back[t, d, :, 1]) * cell
+            new[d] = value[e, rows] + ll[t] - smooth * (moved / max(dt[t], 1e-6)) ** 2 - np.where(at_edge & (moved < 0.25), edge, 0.0)
         dp = new
     d, s = np.unravel_index(int(dp.argmax()), dp.shape)
     path, way = np.empty(times, dtype=np.int64), np.empty(times, dtype=np.int64)
@@ -173,6 +209,30 @@ def delayed_hypotheses(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: f
     return out
 
 
+def hypothesis_score(h: dict, mode: str, times: int) -> float:
+    """Score of a hypothesis by one of the modes."""
+    per_sample = h["score"] / times
+    return {"sum": h["score"], "per_sample": per_sample, "median": h["median"], "trim20": h["trim20"], "trim35": h["trim35"], "p10": h["p10"], "hybrid": 0.35 * per_sample + 0.65 * h["trim20"]}[mode]
+
+
+def piecewise_path(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, turn: int, direction: int = 1, sigma: float = 20.0, **kw) -> np.ndarray:
+    """Path in one direction up to row ``turn`` and in the other from there, started by a prior around the first part's end."""
+    if turn <= 0 or turn >= len(ll):
+        return viterbi(ll, dist, dt, vmax, direction=direction if turn > 0 else -direction, **kw)["path"]
+    head = viterbi(ll[:turn], dist, dt[:turn], vmax, direction=direction, **kw)["path"]
+    kw["start"] = -0.5 * ((dist - dist[head[-1]]) / sigma) ** 2
+    return np.concatenate([head, viterbi(ll[turn:], dist, dt[turn:], vmax, direction=-direction, **kw)["path"]])
+
+
+def suffix_path(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, turn: int, step: np.ndarray, step_sigma: float, step_weight: float, sigma: float = 20.0, **kw) -> np.ndarray:
+    """Bounded path up to row ``turn``; from there signed steps hold, started by a prior around the first part's end."""
+    if turn <= 0 or turn >= len(ll):
+        return viterbi(ll, dist, dt, vmax, **kw)["path"]
+    head = viterbi(ll[:turn], dist, dt[:turn], vmax, **kw)["path"]
+    tail = viterbi(ll[turn:], dist, dt[turn:], vmax, **(kw | {"direction": 0, "start": -0.5 * ((dist - dist[head[-1]]) / sigma) ** 2, "step": step[turn:], "step_sigma": step_sigma, "step_weight": step_weight}))
+    return np.concatenate([head, tail["path"]])
+
+
 def particle_filter(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, particles: int = 2500, seed: int = 0, jitter: float = 0.5) -> np.ndarray:
     """Weighted mean position at each time; systematic resampling below half the effective size. Seeded by the caller, so runs repeat."""
     rng = np.random.default_rng(seed)
@@ -263,58 +323,134 @@ def affine_score(q: np.ndarray, r: np.ndarray, ridge: float = 1e-2) -> float:
     return -float(np.sqrt(np.mean((x @ beta - r) ** 2)))
 
 
-def iccp(q_pos: np.ndarray, q: np.ndarray, r_pos: np.ndarray, ref: np.ndarray, offset: float, gate: float = 8.0, rounds: int = 10, trim: float = 2.5) -> float:
-    """Refine an offset: nearest feature within the gate, trimmed mean of the moves, until it settles; then a 0.1 m polish by squared difference."""
+def iccp(
+    q_pos: np.ndarray, q: np.ndarray, r_pos: np.ndarray, ref: np.ndarray, offset: float, gate: float = 8.0, rounds: int = 10, trim: float = 2.5,
+    settle: float = 0.05, polish: float = 2.0, least: int = 30, matched: int = 10,
+) -> float:
+    """Refine an offset by nearest features. ``q`` and ``ref`` hold one feature, or a column for each.
+
+    Each sample takes the reference point within ``gate`` whose features, scaled by their spread there, are nearest. The offset
+    becomes the mean of the samples' offsets within ``trim`` robust deviations of the median, until it moves less than
+    ``settle``; then the least squared difference within ``polish`` in steps of 0.1 decides. With fewer than ``least`` usable
+    samples on a side the offset stays.
+    """
+    q, ref = q.reshape(len(q), -1), ref.reshape(len(ref), -1)
+    own, other = np.isfinite(q).all(axis=1), np.isfinite(ref).all(axis=1)
+    if own.sum() < least or other.sum() < least:
+        return float(offset)
+    q_pos, q, r_pos, ref = q_pos[own], q[own], r_pos[other], ref[other]
     for _ in range(rounds):
-        at = q_pos + offset
-        near = np.abs(at[:, None] - r_pos[None, :]) <= gate
-        gap = np.where(near, np.abs(q[:, None] - ref[None, :]), np.inf)
-        best = gap.argmin(axis=1)
-        move = (r_pos[best] - at)[np.isfinite(gap.min(axis=1))]
-        if len(move) < 3:
+        shifts = []
+        for x, f in zip(q_pos, q, strict=True):
+            near = np.flatnonzero(np.abs(r_pos - x - offset) <= gate)
+            if len(near) >= 2:
+                scale = ref[near].std(axis=0)
+                gap = (((ref[near] - f) / np.where(scale < 1e-6, 1.0, scale)) ** 2).sum(axis=1)
+                shifts.append(r_pos[near[gap.argmin()]] - x)
+        if len(shifts) < matched:
             break
-        sd = move.std()
-        kept = move[np.abs(move - np.median(move)) <= trim * sd] if sd > 0 else move
-        offset += float(kept.mean())
-        if abs(kept.mean()) < 1e-3:
+        shifts = np.array(shifts)
+        off = np.abs(shifts - np.median(shifts))
+        spread = 1.4826 * np.median(off)
+        if spread < 1e-6:
+            spread = shifts.std() if shifts.std() > 1e-6 else 1.0
+        before, offset = offset, float(shifts[off <= trim * spread].mean())
+        if abs(offset - before) < settle:
             break
-    tries = offset + np.arange(-10, 11) * 0.1
-    score = [np.mean((np.interp(q_pos + o, r_pos, ref) - q) ** 2) for o in tries]
-    return float(tries[int(np.argmin(score))])
+    tries = offset + np.arange(-round(polish * 10), round(polish * 10) + 1) * 0.1
+    return float(tries[int(np.argmin([shift_cost(q_pos + o, q, r_pos, ref) for o in tries]))])
+
+
+def shift_cost(at: np.ndarray, q: np.ndarray, r_pos: np.ndarray, ref: np.ndarray, least: int = 3) -> float:
+    """Mean squared difference of the standardised features where they overlap."""
+    inside = (at >= r_pos[0]) & (at <= r_pos[-1])
+    if inside.sum() < least:
+        return np.inf
+    z = lambda x: (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    laid = np.stack([np.interp(at[inside], r_pos, column) for column in ref.T], axis=1)
+    return float(np.mean((z(q[inside]) - z(laid)) ** 2))
 
 
 def pose_graph(odometry: np.ndarray, loops: list[tuple[int, int, float]], odom_sigma: float, loop_sigma: float, robust: bool = True, rounds: int = 6, huber: float = 1.5) -> np.ndarray:
-    """Least-squares positions of a chain with loop measurements x[j] - x[i] = z; Huber weights are renewed each round. The first node stays."""
-    n = len(odometry)
-    x, weight = odometry.copy(), np.ones(len(loops))
-    chain = np.diff(odometry)
+    """Least-squares positions of a chain with loop measurements x[j] - x[i] = z; Huber weights are renewed each round. The first node stays.
+
+    The normal matrix is a tridiagonal one and two entries for each loop; it is only ever multiplied, by conjugate gradients, so
+    memory grows with nodes and loops.
+    """
+    x = odometry.astype(float).copy()
+    n, chain = len(x), np.diff(odometry) if len(odometry) > 1 else np.empty(0)
+    i, j, z = (np.array([e[k] for e in loops]) for k in range(3)) if loops else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    weight, w_chain = np.ones(len(z)), 1 / odom_sigma**2
     for _ in range(rounds if robust else 1):
-        a, b = np.zeros((n, n)), np.zeros(n)
-        edges = [(k, k + 1, chain[k], 1 / odom_sigma**2) for k in range(n - 1)] + [(i, j, z, w / loop_sigma**2) for (i, j, z), w in zip(loops, weight, strict=True)]
-        for i, j, z, w in edges:
-            a[i, i] += w
-            a[j, j] += w
-            a[i, j] -= w
-            a[j, i] -= w
-            b[i] -= w * z
-            b[j] += w * z
-        a[0, 0] += 1e9
-        b[0] += 1e9 * odometry[0]
-        x = np.linalg.solve(a, b)
-        res = np.array([abs(x[j] - x[i] - z) / loop_sigma for i, j, z in loops])
-        weight = np.where(res <= huber, 1.0, huber / np.maximum(res, 1e-12)) if len(loops) else weight
+        w = weight / loop_sigma**2
+
+        def times(v: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            out = np.zeros(n)
+            d = w_chain * np.diff(v)
+            out[1:] += d
+            out[:-1] -= d
+            e = w * (v[j] - v[i])
+            np.add.at(out, j, e)
+            np.add.at(out, i, -e)
+            out[0] = 0.0  # the first node stays
+            return out
+
+        goal = np.zeros(n)
+        goal[1:] += w_chain * chain
+        goal[:-1] -= w_chain * chain
+        np.add.at(goal, j, w * z)
+        np.add.at(goal, i, -w * z)
+        goal[0] = 0.0
+        diagonal = np.full(n, 2 * w_chain)
+        diagonal[-1] = w_chain
+        np.add.at(diagonal, i, w)
+        np.add.at(diagonal, j, w)
+        x = _conjugate_gradients(times, goal, x, diagonal, 20 * n + 100)
+        res = np.abs(x[j] - x[i] - z) / loop_sigma
+        weight = np.where(res <= huber, 1.0, huber / np.maximum(res, 1e-12))
     return x
 
 
+def _conjugate_gradients(times, goal: np.ndarray, x: np.ndarray, diagonal: np.ndarray, most: int, tolerance: float = 1e-12) -> np.ndarray:
+    r = goal - times(x)
+    r[0] = 0.0
+    p = r / diagonal
+    rho = r @ p
+    limit = tolerance * max(float(np.abs(goal).max(initial=0.0)), 1e-30)
+    for _ in range(most):
+        if np.abs(r).max(initial=0.0) <= limit:
+            break
+        ap = times(p)
+        step = rho / (p @ ap)
+        x = x + step * p
+        r = r - step * ap
+        y = r / diagonal
+        rho, old = r @ y, rho
+        p = y + rho / old * p
+    return x
+
+
+def sequence_likelihood(values: np.ndarray, travelled: np.ndarray, seconds: np.ndarray, ref: np.ndarray, dist: np.ndarray, direction: int, window_s: float, least: int = 8) -> np.ndarray:
+    """(times, states): the scores of the window of ``window_s`` that ends at each time, brought to a likelihood; early times are flat."""
+    out = np.full((len(values), len(dist)), np.nan)
+    for t in range(len(values)):
+        first = int(np.searchsorted(seconds, seconds[t] - window_s))
+        if t - first + 1 >= least:
+            out[t] = sequence_scores(values[first : t + 1], travelled[first : t + 1], ref, dist, direction, least)
+    return normalise(out)
+
+
 def sequence_scores(values: np.ndarray, travelled: np.ndarray, ref: np.ndarray, dist: np.ndarray, direction: int, least: int = 8) -> np.ndarray:
     """Correlation of a trailing window with the reference laid out behind every end state: newest sample at the state, older ones back along the way travelled."""
-    out = np.full(len(dist), np.nan)
     behind = travelled[-1] - travelled
-    for s, end in enumerate(dist):
-        at = end - direction * behind
-        ok = (at >= dist[0]) & (at <= dist[-1]) & np.isfinite(values)
-        if ok.sum() >= least:
-            a, b = values[ok], np.interp(at[ok], dist, ref)
-            if a.std() > 1e-6 and b.std() > 1e-6:
-                out[s] = np.mean((a - a.mean()) / a.std() * (b - b.mean()) / b.std())
-    return out
+    at = dist[:, None] - direction * behind[None, :]  # (states, samples)
+    ok = (at >= dist[0]) & (at <= dist[-1]) & np.isfinite(values)[None, :]
+    n = ok.sum(axis=1)
+    a = np.where(ok, np.nan_to_num(values)[None, :], 0.0)
+    b = np.where(ok, np.interp(at, dist, ref), 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        da, db = np.where(ok, a - a.sum(axis=1, keepdims=True) / n[:, None], 0.0), np.where(ok, b - b.sum(axis=1, keepdims=True) / n[:, None], 0.0)
+        va, vb = (da * da).sum(axis=1), (db * db).sum(axis=1)
+        out = (da * db).sum(axis=1) / np.sqrt(va * vb)
+        flat = (np.sqrt(va / n) <= 1e-6) | (np.sqrt(vb / n) <= 1e-6)
+    return np.where((n >= least) & ~flat, out, np.nan)

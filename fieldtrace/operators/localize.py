@@ -31,32 +31,56 @@ def with_configs(passes: DataFrame, configs: dict[str, dict]) -> DataFrame:
 
 
 def track(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[str, dict], period: float = 1.0) -> DataFrame:
-    """Viterbi tracks (pass, idx, obs, truth and optionally speed) under each configuration.
+    """Tracks of passes (pass, idx, obs, truth; speed, vel and travelled where a configuration uses them) under each configuration.
 
-    A configuration has sigma, robust, gate (exclude, least, offset, span) or none, lag (None: whole path), and the keyword
-    arguments of the kernel.
+    A configuration has: sigma, robust; a gate, gate (exclude, least, offset, span) or rank_gate (gap, least, offset, span); what
+    is added to the likelihood of single samples, sequence (window_s, weight, point_weight); a start prior, start (centre, sigma),
+    with centre 'truth' for an upper bound; how states move: lag (None: whole path), step_scale (signed steps from vel),
+    pieces (the row at which the direction turns) or suffix (the row from which signed steps hold); method ('particle',
+    'hypotheses', 'switching'; default Viterbi); and the keyword arguments of the kernel.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
         cfg = dict(configs[pdf["config"].iloc[0]])
-        ll = kernels.log_likelihood(pdf["obs"].to_numpy(dtype=float), ref, cfg.pop("sigma", 1.2), cfg.pop("robust", True))
+        column = lambda name: pdf[name].to_numpy(dtype=float)
+        obs, sequence = column("obs"), cfg.pop("sequence", None)
+        ll = kernels.log_likelihood(obs, ref, cfg.pop("sigma", 1.2), cfg.pop("robust", True))
         if gate := cfg.pop("gate", None):
             ll = kernels.uniqueness_gate(ll, dist, *gate)
+        if gate := cfg.pop("rank_gate", None):
+            ll = kernels.percentile_gate(ll, *gate)
+        if sequence:
+            window_s, weight, point_weight = sequence
+            way = cfg.get("direction") or 1
+            ll = kernels.normalise(point_weight * ll + weight * kernels.sequence_likelihood(obs, column("travelled"), column("idx") * period, ref, dist, way, window_s))
         dt = np.full(len(ll), period)
         lag, vmax, method = cfg.pop("lag", None), cfg.pop("vmax", 1.4), cfg.pop("method", "viterbi")
+        if start := cfg.pop("start", None):
+            centre = column("truth")[0] if start[0] == "truth" else start[0]
+            cfg["start"] = -0.5 * ((dist - centre) / start[1]) ** 2
+        pieces, suffix, step_scale, mode = cfg.pop("pieces", None), cfg.pop("suffix", None), cfg.pop("step_scale", None), cfg.pop("select", None)
+        if step_scale is not None:
+            cfg["step"] = column("vel") * step_scale * dt
         score, margin, fallback = np.nan, np.nan, False
         if method == "particle":
             pred = kernels.particle_filter(ll, dist, dt, vmax, seed=int(pdf["pass"].iloc[0]) & 0x7FFFFFFF, **cfg)
         elif method == "hypotheses":
-            best = max(kernels.delayed_hypotheses(ll, dist, dt, vmax, **cfg), key=lambda h: h["score"])
+            found = kernels.delayed_hypotheses(ll, dist, dt, vmax, **cfg)
+            best = max(found, key=lambda h: kernels.hypothesis_score(h, mode or "sum", len(ll)))
             pred, score = dist[best["path"]], best["score"]
         elif method == "switching":
             pred = dist[kernels.switching_viterbi(ll, dist, dt, vmax, **cfg)[0]]
+        elif pieces is not None:
+            pred = dist[kernels.piecewise_path(ll, dist, dt, vmax, min(pieces, len(ll)), **cfg)]
+        elif suffix is not None:
+            pred = dist[kernels.suffix_path(ll, dist, dt, vmax, min(suffix, len(ll)), **cfg)]
         elif lag is not None:
             pred = dist[kernels.fixed_lag(ll, dist, dt, vmax, lag, **cfg)]
         else:
-            speed = pdf["speed"].to_numpy(dtype=float) if "speed" in pdf else None
+            speed = column("speed") if "speed" in pdf else None
+            if speed is not None and (scale := cfg.pop("speed_scale", None)):
+                speed = speed * scale
             got = kernels.viterbi(ll, dist, dt, vmax, speed=speed, **cfg)
             pred, score, margin, fallback = dist[got["path"]], got["score"], got["margin"], got["fallback"]
         return pd.DataFrame({"pass": pdf["pass"], "config": pdf["config"], "idx": pdf["idx"], "pred": pred, "truth": pdf["truth"], "score": score, "margin": margin, "fallback": fallback})
@@ -64,6 +88,36 @@ def track(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[st
     return with_configs(passes, configs).groupBy("pass", "config").applyInPandas(run, TRACK)
 
 
+def place_windows(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, sigma: float = 0.8, step_sigma: float = 2.0, jump: int = 6) -> DataFrame:
+    """Query windows (pass, start, w) on the map by a Viterbi of Gaussian steps: pred of the first sample, and score per sample."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for p, s, w in zip(pdf["pass"], pdf["start"], pdf["w"], strict=True):
+                w = np.asarray(w, dtype=float)
+                state, score = kernels.step_viterbi(-0.5 * ((w[:, None] - ref[None, :]) / sigma) ** 2, 1, step_sigma, jump)
+                out.append((p, s, dist[state], score))
+            yield pd.DataFrame(out, columns=["pass", "start", "pred", "score"])
+
+    return queries.select("pass", "start", "w").mapInPandas(run, "pass long, start long, pred double, score double")
+
+
+def hypotheses(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, warmup: int, vmax: float = 1.4, period: float = 1.0, **kw) -> DataFrame:
+    """Every delayed hypothesis of each pass as a row: pass, place, score, per_sample, median, p10, trim20, trim35, median_abs (error)."""
+    names = ["score", "per_sample", "median", "p10", "trim20", "trim35"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable")
+        ll = kernels.log_likelihood(pdf["obs"].to_numpy(dtype=float), ref, 1.2)
+        found = kernels.delayed_hypotheses(ll, dist, np.full(len(ll), period), vmax, warmup, **kw)
+        truth = pdf["truth"].to_numpy(dtype=float)
+        rows = [{"pass": pdf["pass"].iloc[0], "place": k, "per_sample": h["score"] / len(ll), "median_abs": float(np.median(np.abs(dist[h["path"]] - truth))), **{n: h[n] for n in names if n in h}} for k, h in enumerate(found)]
+        return pd.DataFrame(rows)[["pass", "place", *names, "median_abs"]]
+
+    return passes.groupBy("pass").applyInPandas(run, "pass long, place long, " + ", ".join(f"{n} double" for n in [*names, "median_abs"]))
+
+
 def warp(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, band: float) -> DataFrame:
     """Each pass (pass, cell, v) onto the reference: cost, and the mapped coordinate of each cell (null: infeasible)."""
 
@@ -112,18 +166,57 @@ def dtw_search(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, stride: in
     return queries.select("pass", "start", "w").mapInPandas(run, "pass long, start long, pred double, distance double")
 
 
-def refine_offset(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, starts: dict[int, float] | None = None) -> DataFrame:
-    """Closest-point refinement of each pass's offset (0 where none is given)."""
+def refine_offset(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, starts: dict[int, float] | None = None, coarse: int = 0, gate: float = 8.0) -> DataFrame:
+    """Closest-point refinement of each pass's offset, from the one given, or from the best of -coarse..coarse cells by squared difference."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell", kind="stable")
-        p = int(pdf["pass"].iloc[0])
-        got = kernels.iccp(pdf["cell"].to_numpy(dtype=float), pdf["v"].to_numpy(dtype=float), dist, ref, (starts or {}).get(p, 0.0))
-        return pd.DataFrame({"pass": [p], "offset": [got]})
+        p, at, v = int(pdf["pass"].iloc[0]), pdf["cell"].to_numpy(dtype=float), pdf["v"].to_numpy(dtype=float)
+        first = (starts or {}).get(p, 0.0)
+        if coarse:
+            first = float(min(range(-coarse, coarse + 1), key=lambda o: (kernels.shift_cost(at + o, v[:, None], dist, ref[:, None], 30), o)))
+        return pd.DataFrame({"pass": [p], "offset": [kernels.iccp(at, v, dist, ref, first, gate)]})
 
     return passes.groupBy("pass").applyInPandas(run, "pass long, offset double")
 
 
+def track_on_own(passes: DataFrame, configs: dict[str, dict]) -> DataFrame:
+    """Bounded paths of passes on maps of their own (ref array, one value for each cell from 0), under each configuration."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx", kind="stable")
+        cfg, ref = dict(configs[pdf["config"].iloc[0]]), np.asarray(pdf["ref"].iloc[0], dtype=float)
+        dist = np.arange(len(ref), dtype=float)
+        ll = kernels.log_likelihood(pdf["obs"].to_numpy(dtype=float), ref, cfg.pop("sigma", 1.2), cfg.pop("robust", True))
+        if gate := cfg.pop("rank_gate", None):
+            ll = kernels.percentile_gate(ll, *gate)
+        got = kernels.viterbi(ll, dist, np.ones(len(ll)), cfg.pop("vmax", 1.4), **cfg)
+        return pd.DataFrame({"pass": pdf["pass"], "config": pdf["config"], "idx": pdf["idx"], "pred": dist[got["path"]], "truth": pdf["truth"], "score": got["score"], "margin": got["margin"], "fallback": got["fallback"]})
+
+    return with_configs(passes, configs).groupBy("pass", "config").applyInPandas(run, TRACK)
+
+
+def warp_table(rows: DataFrame, band: float) -> DataFrame:
+    """(pass, c, q, ref arrays) -> correlation with the map as the pass lies, after a free and a banded warp, and the band's affine fit."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for p, c, q, ref in zip(pdf["pass"], pdf["c"], pdf["q"], pdf["ref"], strict=True):
+                c, q, ref = (np.asarray(x, dtype=float) for x in (c, q, ref))
+                dist = np.arange(len(ref), dtype=float)
+                corr = lambda x, y: float(np.corrcoef(x, y)[0, 1]) if len(x) > 2 and x.std() > 0 and y.std() > 0 else None
+                inside = (c >= 0) & (c < len(ref))
+                _, free = kernels.warp_path((q[:, None] - ref[None, :]) ** 2)
+                _, near = kernels.banded_warp(c, q, dist, ref, band)
+                ok = near >= 0
+                scale, offset = np.polyfit(c[ok], dist[near[ok]], 1) if ok.sum() > 1 else (None, None)
+                out.append((p, len(q), corr(q[inside], ref[c[inside].astype(int)]), corr(q, ref[free]) if (free >= 0).all() else None, corr(q[ok], ref[near[ok]]), scale, offset))
+            yield pd.DataFrame(out, columns=["pass", "n", "identity", "free", "banded", "scale", "offset"])
+
+    return rows.select("pass", "c", "q", "ref").mapInPandas(run, "pass long, n long, identity double, free double, banded double, scale double, offset double")
+
+
 def affine_search(queries: DataFrame, dist: np.ndarray, features: np.ndarray, n: int, stride: int = 5) -> DataFrame:
     """Per query (pass, start, w: flattened n x k features): the start whose reference features an affine map of the query fits best."""
     k = features.shape[1]
