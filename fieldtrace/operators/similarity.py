@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import arrays, stats
 from ..functions import windows as windows_
 from ..functions.scalars import c
+from . import matching
 
 
 def pair_metrics(a: Column | str, b: Column | str, least: int = 3) -> list[Column]:
@@ -24,14 +25,15 @@ def unbiased(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def best_lag(a: DataFrame, b: DataFrame, keys: list[str], cell: str, va: str, vb: str, most: int, least: int) -> DataFrame:
-    """Lag in cells (b at cell + lag) of the greatest correlation over -most..most; the first of equal ones.
+    """Lag in cells (the map ``b`` at cell + lag) of each pass's greatest correlation over -most..most; the first of equal ones.
 
-    Each cell of one side is listed under every lag, then joined on the shifted cell: the list is as long as the lags.
+    The map is one track's cells, one checked row beside every pass, whose own cells are an array: all lags are scored in a row.
     """
-    shifted = b.select(*keys, F.col(vb).alias("_vb"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), c(cell).alias("_c"))
-    shifted = shifted.select(*keys, "lag", (F.col("_c") - F.col("lag")).alias(cell), "_vb")
-    scored = a.select(*keys, cell, F.col(va).alias("_va")).join(shifted, [*keys, cell]).groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.corr("_va", "_vb").alias("corr")).where(F.col("n") >= least)
-    best = scored.where("corr is not null and not isnan(corr)").groupBy(*keys).agg(F.max(F.struct("corr", (-F.col("lag")).alias("k"))).alias("m"))
+    ref = matching.one_row(b.where(c(vb).isNotNull()), "_r", cell, vb).select(F.map_from_entries("_r").alias("_ref"))
+    rows = matching.beside(matching.pass_arrays(a, keys, cell, va), ref)
+    laid = lambda lag: F.transform("c", lambda x: F.try_element_at("_ref", x + lag))
+    scores = F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.struct(arrays.correlation(F.col("q"), laid(lag), least).alias("corr"), (-lag).alias("k")))
+    best = rows.select(*keys, F.array_max(F.filter(scores, lambda s: s["corr"].isNotNull())).alias("m")).where("m is not null")
     return best.select(*keys, (-F.col("m.k")).alias("lag"), F.col("m.corr").alias("corr"))
 
 
@@ -45,18 +47,15 @@ def windows(df: DataFrame, keys: list[str], cell: str, value: str, n: int) -> Da
     return rows.where("_sd >= 1e-9").select(*keys, "start", F.transform("w", lambda x: (x - F.col("_m")) / F.col("_sd")).alias("w"))
 
 
-def window_match(query: DataFrame, reference: DataFrame, keys: list[str], n: int, zone: int) -> DataFrame:
-    """Normalised cross-correlation of query windows with every reference window: best start (first of equal ones), score, runner-up at ``zone`` or further.
+def window_match(query: DataFrame, reference: DataFrame, keys: list[str], n: int, zone: int, stride: int = 1) -> DataFrame:
+    """Normalised cross-correlation of every ``stride``-th query window with every reference window: best start (first of equal ones), score, runner-up at ``zone`` or further.
 
-    The reference is one map, a bounded table of windows; it is joined as such, and query windows stream past it.
+    The reference's windows are one checked row beside every query window.
     """
-    dot = F.aggregate(F.zip_with("w", "_w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / n
-    ref = reference.select(F.col("start").alias("_s"), F.col("w").alias("_w"))
-    scored = query.join(ref, F.lit(True)).select(*keys, "start", "_s", dot.alias("score"))
-    listed = scored.groupBy(*keys, "start").agg(F.max(F.struct("score", (-F.col("_s")).alias("k"))).alias("m"), F.collect_list(F.struct("_s", "score")).alias("all"))
-    best = -F.col("m.k")
-    second = F.array_max(F.transform(F.filter("all", lambda x: F.abs(x["_s"] - best) >= zone), lambda x: x["score"]))
-    return listed.select(*keys, "start", best.alias("pred"), F.col("m.score").alias("best"), second.alias("second"))
+    ref = matching.one_row(reference, "_ref", c("start").alias("s"), "w")
+    rows = matching.beside(query.where(F.col("start") % stride == 0), ref)
+    dot = lambda t: arrays.total(F.zip_with("w", t["w"], lambda x, y: x * y)) / n
+    return matching.best_of(rows.select(*keys, "start", F.transform("_ref", lambda t: F.struct(t["s"].alias("s"), dot(t).alias("score"))).alias("scores")), [*keys, "start"], zone)
 
 
 def shift_msd(query: DataFrame, reference: DataFrame, key: str, cell: str, q: str, v: str, offsets: list[int], least: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.scalars import det_round, gaussian_log, gps_week_time, log_likelihood, strip_crc, to_lat_lon, to_local_xy
 from ..functions.windows import by_pass
-from ..operators import evaluate, geometry, joins, learn, localize, maps, resample, similarity
+from ..operators import evaluate, geometry, joins, learn, localize, maps, matching, resample, similarity
 from ..sources import logs
 from ..streaming import online
 from .registry import GRID, SERIES, grid, query, r, series, table
@@ -319,7 +319,7 @@ def c4_c18_c25_e21_pair_metrics(spark, sf):
 def c5_best_lag(spark, sf):
     g = grid(spark, sf)
     ref = g.groupBy("cell").agg(F.avg("v").alias("rv"))
-    out = similarity.best_lag(g.select("pass", "cell", "v"), g.select("pass").distinct().crossJoin(ref), ["pass"], "cell", "v", "rv", 12, 20)  # a map of 48 cells for each pass
+    out = similarity.best_lag(g.select("pass", "cell", "v"), ref, ["pass"], "cell", "v", "rv", 12, 20)
     return out.select("pass", F.col("lag").cast("long").alias("lag"), det_round("corr", 5).alias("corr"))
 
 
@@ -340,7 +340,7 @@ def _windows(spark, sf):
   SELECT b.pass, b.start, pred, {r('best', 5)} AS best, {r('max(c) FILTER (WHERE abs(rs - pred) >= 10)', 5)} AS second FROM b JOIN sc USING (pass, start) GROUP BY ALL""")
 def c7_c8_window_ncc(spark, sf):
     q, ref = _windows(spark, sf)
-    out = similarity.window_match(q.where("start % 5 = 0"), ref, ["pass"], 16, 10)
+    out = similarity.window_match(q, ref, ["pass"], 16, 10, stride=5)
     return out.select("pass", "start", "pred", det_round("best", 5).alias("best"), det_round("second", 5).alias("second"))
 
 
@@ -359,7 +359,7 @@ def c14_c15_dtw_search(spark, sf):
     q, _ = _windows(spark, sf)
     dist, ref = localize.check_reference(_reference(spark, sf), "cell", "v")
     z = (ref - ref.mean()) / ref.std()
-    return localize.dtw_search(q.where("start % 10 = 0"), dist, z, stride=2)
+    return localize.dtw_search(q, dist, z, stride=2)
 
 
 @query()
@@ -378,7 +378,7 @@ def c24_iccp(spark, sf):
 def c26_c27_affine_search(spark, sf):
     q, _ = _windows(spark, sf)
     dist, ref = localize.check_reference(_reference(spark, sf), "cell", "v")
-    return localize.affine_search(q.where("start % 10 = 0"), dist, ref[:, None], 16, stride=4)
+    return localize.affine_search(q, dist, ref[:, None], 16, stride=4)
 
 
 # ---- localisation
@@ -386,22 +386,24 @@ def c26_c27_affine_search(spark, sf):
   n AS (SELECT *, ll - max(ll) OVER (PARTITION BY pass, idx) AS nl FROM l) SELECT pass, idx, cell, {r('nl', 5)} AS ll FROM n""")
 def v1_log_likelihood(spark, sf):
     """Observations of every pass against every state of the map."""
-    ref = grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("rv"))  # states of one map
-    rows = series(spark, sf).select("pass", "idx", "v").crossJoin(ref)
-    ll = rows.withColumn("ll", log_likelihood("v", "rv", 30.0, True))
-    return ll.select("pass", "idx", "cell", det_round(F.col("ll") - F.max("ll").over(Window.partitionBy("pass", "idx")), 5).alias("ll"))
+    rows = _likelihoods(spark, sf, True).withColumn("_top", F.array_max(F.transform("ll", lambda t: t["score"])))
+    out = rows.select("pass", "idx", "_top", F.explode("ll").alias("t"))
+    return out.select("pass", "idx", F.col("t.s").alias("cell"), det_round(F.col("t.score") - F.col("_top"), 5).alias("ll"))
+
+
+def _likelihoods(spark, sf, robust):
+    """Rows of all passes with ``ll``: (s, score) of every state; the map is one checked row that is broadcast."""
+    ref = matching.one_row(grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("rv")), "_ref", "cell", "rv")
+    score = F.transform("_ref", lambda t: F.struct(t["cell"].alias("s"), log_likelihood("v", t["rv"], 30.0, robust).alias("score")))
+    return matching.beside(series(spark, sf).select("pass", "idx", "v"), ref).select("pass", "idx", score.alias("ll"))
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, l AS (SELECT s.pass, s.idx, rf.cell, -0.5 * ((s.v - rv) / 30) ** 2 AS ll FROM s, rf), b AS (SELECT pass, idx, arg_min(cell, (-floor(ll * 1e9 + 0.5), cell)) AS best, max(ll) AS top FROM l GROUP BY ALL)
   SELECT b.pass, b.idx, best, {r('least(greatest((any_value(top) - max(ll) FILTER (WHERE abs(cell - best) > 5) - 0.02) / 0.24, 0.3), 1)', 5)} AS scale FROM b JOIN l USING (pass, idx) GROUP BY ALL""")
 def v2_uniqueness_gate(spark, sf):
-    ref = grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("rv"))
-    ll = series(spark, sf).select("pass", "idx", "v").crossJoin(ref).withColumn("ll", log_likelihood("v", "rv", 30.0, False))
-    ll = ll.withColumn("key", F.struct("pass", "idx"))
-    best = ll.groupBy("pass", "idx").agg(F.max(F.struct("ll", (-F.col("cell")).alias("k"))).alias("m"))
-    far = ll.join(best, ["pass", "idx"]).where(F.abs(F.col("cell") + F.col("m.k")) > 5).groupBy("pass", "idx").agg(F.max("ll").alias("rival"), (-F.first("m.k")).alias("best"), F.first("m.ll").alias("top"))
-    scale = F.least(F.greatest((F.col("top") - F.col("rival") - 0.02) / 0.24, F.lit(0.3)), F.lit(1.0))
-    return far.select("pass", "idx", "best", det_round(scale, 5).alias("scale"))
+    rows = matching.best_of(_likelihoods(spark, sf, False), ["pass", "idx"], 6, "ll")  # cells more than 5 away
+    scale = F.least(F.greatest((F.col("best") - F.col("second") - 0.02) / 0.24, F.lit(0.3)), F.lit(1.0))
+    return rows.where("second is not null").select("pass", "idx", F.col("pred").alias("best"), det_round(scale, 5).alias("scale"))
 
 
 @query(f"WITH {RES} SELECT id, {r('-0.5 * ((err - 3) / 8) ** 2')} AS prior, {r('-0.5 * (err / 1.2) ** 2')} AS gauss, {r('-2 * ln(1 + (err / 1.2) ** 2 / 3)')} AS student FROM res")
@@ -436,8 +438,9 @@ def v25_weak_mileage(spark, sf):
     """Scale and start hypotheses scored over the last twelve samples."""
     d = series(spark, sf).select("pass", "idx", "v")
     hyp = d.withColumn("scale", F.explode(F.array(*[F.lit(x) for x in WEAK]))).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(47), F.lit(4)))).withColumn("cell", F.col("start") + F.floor(F.col("idx") * F.col("scale")))
-    ref = grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("rv"))
-    ll = hyp.join(ref, "cell").withColumn("ll", log_likelihood("v", "rv", 30.0, False))
+    ref = matching.one_row(grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("rv")), "_ref", "cell", "rv")
+    lookup = ref.select(F.map_from_entries("_ref").alias("_ref"))  # the map's cells, one checked row
+    ll = matching.beside(hyp, lookup).withColumn("rv", F.try_element_at("_ref", F.col("cell"))).where("rv is not null").withColumn("ll", log_likelihood("v", "rv", 30.0, False)).drop("_ref")
     frame = Window.partitionBy("pass", "scale", "start").orderBy("idx").rangeBetween(-11, 0)
     score = F.sum("ll").over(frame) - 40 * (1 - F.count("*").over(frame) / 12)
     return ll.select("pass", "idx", score.alias("score")).groupBy("pass", "idx").agg(det_round(F.max("score"), 4).alias("score"))
