@@ -111,12 +111,12 @@ def s14_s15_s16_segment_table(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("pass")).agg(F.min_by("event_id", "ts").alias("first_id"), F.count("*").alias("rows"), us(F.min("ts")).alias("start_us"), us(F.max("ts")).alias("end_us")).orderBy("start_us")
 
 
-@query()
+@query("SELECT NULL::TIMESTAMP AS time, NULL::DOUBLE AS horiz_speed_mps WHERE false")
 def s17_optional_source(spark, sf):
     return logs.optional_parquet(spark, f"{sf}/no_such_speed_table.parquet", "time timestamp_ntz, horiz_speed_mps double")
 
 
-@query()
+@query(f"""WITH {RES}, k AS (SELECT method, tag, count(*) AS n, {r('median(abs(err))', 4)} AS med FROM res GROUP BY ALL) SELECT method, to_json({{'records': list_sort(list({{'method': method, 'tag': tag, 'n': n, 'med': med}}))}})::VARCHAR AS json FROM k GROUP BY method""")
 def k2_json_summary(spark, sf):
     summary = res(spark, sf).groupBy("method", "tag").agg(F.count("*").alias("n"), det_round(stats.median(F.abs("err")), 4).alias("med"))
     return logs.records_json(summary, ["method"])
@@ -158,7 +158,17 @@ def p8_range_filter(spark, sf):
     return series(spark, sf).where(F.col("v").between(-5, 120)).orderBy("pass", "ts").select("pass", "idx", "v")
 
 
-@query()
+P4 = "OVER (PARTITION BY pass ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+
+
+@query(f"""WITH RECURSIVE {SERIES}, p AS (SELECT pass, idx, t, sum(CASE WHEN idx % 60 < 35 THEN v ELSE -v END) OVER (PARTITION BY pass ORDER BY idx) AS s FROM s), a AS (SELECT *, quantile_cont(s, 0.5) {P4.format(h=15)} AS sm FROM p),
+  b AS (SELECT *, coalesce(sm - lag(sm) OVER (PARTITION BY pass ORDER BY idx), 0) AS d0 FROM a), c AS (SELECT *, nullif(sign(quantile_cont(d0, 0.5) {P4.format(h=7)}), 0) AS sg FROM b),
+  d AS (SELECT *, coalesce(last_value(sg IGNORE NULLS) OVER (PARTITION BY pass ORDER BY idx), first_value(sg IGNORE NULLS) OVER (PARTITION BY pass ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS w FROM c),
+  ch AS (SELECT pass, idx FROM (SELECT pass, idx, w, lag(w) OVER (PARTITION BY pass ORDER BY idx) AS w0 FROM d) WHERE w <> w0),
+  cu(pass, cut) AS (SELECT DISTINCT pass, 0::BIGINT FROM s UNION ALL SELECT cu.pass, min(ch.idx) FROM cu JOIN ch ON ch.pass = cu.pass AND ch.idx >= cu.cut + 15 GROUP BY cu.pass, cu.cut),
+  st AS (SELECT pass, cut AS start, lead(cut) OVER (PARTITION BY pass ORDER BY cut) AS stop FROM cu), k AS (SELECT st.pass, st.start, max(idx) + 1 AS stop, CASE WHEN arg_max(s, idx) >= arg_min(s, idx) THEN 1 ELSE -1 END AS direction
+    FROM st JOIN p ON p.pass = st.pass AND p.idx >= st.start AND p.idx < coalesce(st.stop, 1000000000) GROUP BY st.pass, st.start HAVING count(*) >= 10 AND max(s) - min(s) >= 80 AND max(t) - min(t) >= 20)
+  SELECT pass, row_number() OVER (PARTITION BY pass ORDER BY start) - 1 AS part, start, stop, direction FROM k""")
 def p4_direction_segments(spark, sf):
     rows = series(spark, sf).withColumn("s", F.sum(F.when(F.col("idx") % 60 < 35, F.col("v")).otherwise(-F.col("v"))).over(by_pass("pass", "idx")))
     return geometry.split_by_direction(rows, "pass", "t", "s", spacing=15, least_rows=10)
