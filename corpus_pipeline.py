@@ -2,6 +2,10 @@
 
 Each stage reads what the stage before wrote. ``run`` writes the stages' results as Parquet in the session's shared folder;
 ``STAGES`` can also be driven from outside.
+
+Every stage takes nulls in any column: a null text counts as empty where it is scored or packed, stays null where rows are kept, and
+links to nothing; rows with a null id are kept by all stages. Rows that repeat stay together or go together. Columns may have any
+names and all are kept, but for the last stage, which returns pieces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from pyspark.sql import functions as F
 from fieldtrace.llm import ngram_join, packing, quality, substring, toxicity
 from fieldtrace.llm.common import read_table, write_shared
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that the packing stage's encoder keeps.
+CACHE_WORDS = 300_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +42,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences with their token ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of sequences with their token ids. A smaller word cache than the operator's: workers hold memory of earlier stages too."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [
