@@ -9,10 +9,12 @@ at least ``threshold``. The join is exact and goes through four steps:
 2. *Adaptive prefix.* For the texts that are left, copies collapse to one class. Each class orders its prefix from the
    rarest shingle to the most frequent and picks k, the matches to require: the longer the prefix (k more shingles), the
    more matches. The choice minimises an estimated cost: postings read, plus the candidates that postings / k allows.
-3. *Candidates.* Classes meet under the smallest class of a shingle's list. A large meeting is split into bands of set
-   size, of which only equal and neighbouring ones can link, and bands into parts by a hash; parts meet in pairs, so no
-   task holds more than about two parts. Inside a task, pairs of compatible size
-   with k shared prefix shingles are verified on whole sets, and a spanning forest of the links leaves the task.
+3. *Candidates.* Classes meet under the smallest class of a shingle's list. A meeting of at most PART classes is one group. Of a
+   larger one, every class first meets only the smallest, in parts; those that link to it are in one component already,
+   so pairs among them are not looked at again. The rest is split into bands of set size, of which only equal and
+   neighbouring ones can link, and into parts by a hash; parts meet in pairs, so no task holds more than about two. Inside a
+   task, pairs of compatible size with k shared prefix shingles are verified on whole sets, and a spanning forest of the
+   links leaves the task.
 4. *Components* of these links, joined back through the classes to every text.
 """
 
@@ -23,12 +25,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_by_id, shingle_sets, slices, write_shared
+from .common import attach, cut, keep_by_id, map_arrow, shingle_sets, slices, unused, write_shared
 from .components import connected_components
 
 #: Share of a set that the base prefix adds to the shortest valid one; each shingle added is one more match required.
@@ -53,6 +54,10 @@ def base_prefix(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return np.minimum(n, n - min_overlap(n, percent) + matches_required(n))
 
 
+def digest_of(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, digest of the set, and its base prefix (ascending hashes)."""
 
@@ -61,7 +66,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             n, digest, prefix = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(digest_of(s.tobytes()))
                 prefix.append(s[: int(base_prefix(len(s), percent))].view(np.int64).copy())  # not a view, which would hold the whole set
             ends = np.zeros(len(n) + 1, dtype=np.int32)
             np.cumsum([len(p) for p in prefix], out=ends[1:])
@@ -71,7 +76,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "digest", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>")
+    return map_arrow(docs, run, "doc_id long, n long, digest binary, prefix array<long>")
 
 
 def _adapt(rows: DataFrame, percent: int) -> DataFrame:
@@ -97,35 +102,77 @@ def _adapt(rows: DataFrame, percent: int) -> DataFrame:
                 names=["doc_id", "n", "k", "probe"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n long, k int, probe array<long>")
+    return map_arrow(rows, run, "doc_id long, n long, k int, probe array<long>")
+
+
+def _first_seats(meets: DataFrame, large: DataFrame, rows: int) -> DataFrame:
+    """(z, doc_id, n) -> (z, i, side, doc_id): a small meeting is one group; in a large one each part meets the smallest class alone."""
+    seat = lambda i, side: F.struct(i.cast("int").alias("i"), F.lit(side).alias("side"))
+    head = F.transform(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1), lambda i: seat(i, 0))
+    seats = F.when(F.col("p").isNull(), F.array(seat(F.lit(0), 0))).when(F.col("doc_id") == F.col("z"), head).otherwise(
+        F.array(seat(F.pmod(F.xxhash64("doc_id"), F.col("p").cast("long")), 1))
+    )
+    return attach(meets, large, "z", rows, "doc_id").select("z", "doc_id", F.explode(seats).alias("s")).select("z", "doc_id", "s.*")
+
 
+#: Parts of one band and kind that a cell's number has room for.
+_PARTS = 1 << 30
 
-def _seats(meets: DataFrame, percent: int, part: int = PART) -> DataFrame:
-    """(z, doc_id, n) -> (z, band, i, other, j, side, doc_id): part i of a band meets part j of the same or the next band."""
-    width = math.log(100 / percent)
-    total = meets.groupBy("z").agg(F.count("*").alias("m"))
+
+def _rest_seats(meets: DataFrame, percent: float, part: int) -> DataFrame:
+    """(z, doc_id, n, hooked) -> (z, a, b, side, doc_id): cells a and b meet.
+
+    A cell is a part of the classes of one band of set size that are, or are not, linked to the smallest class. Cells of
+    linked classes do not meet each other.
+    """
     # linked sets differ in size by at most the threshold, so by one band at most (a hair wider for rounding)
-    rows = meets.join(total, "z").withColumn("band", F.when(F.col("m") > part, F.floor(F.log("n") / (width * (1 + 1e-9)))).otherwise(0).cast("int"))
-    parts = rows.groupBy("z", "band").agg(F.ceil(F.count("*") / part).cast("int").alias("p"))
-    parts = parts.groupBy("z").agg(F.map_from_entries(F.collect_list(F.struct("band", "p"))).alias("parts"))
-    at = lambda d: F.coalesce(F.try_element_at("parts", F.col("band") + d), F.lit(0))
-    rows = rows.join(parts, "z").withColumn("part", F.pmod(F.xxhash64("doc_id"), at(0).cast("long")).cast("int"))
-    own, band = F.col("part"), F.col("band")
-    seat = lambda b, i, o, j, side: F.struct(b.alias("band"), i.alias("i"), o.alias("other"), j.alias("j"), side.cast("int").alias("side"))
-    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
-    same = F.transform(upto(at(0)), lambda x: seat(band, F.least(own, x), band, F.greatest(own, x), own > x))
-    above = F.transform(upto(at(1)), lambda x: seat(band, own, band + 1, x, F.lit(0)))
-    below = F.transform(upto(at(-1)), lambda x: seat(band - 1, x, band, own, F.lit(1)))
-    return rows.select("z", "doc_id", F.explode(F.concat(same, above, below)).alias("s")).select("z", "doc_id", "s.*")
-
-
-def _full_sets(docs: DataFrame, words: int) -> DataFrame:
+    width = math.log(100 / percent) * (1 + 1e-9)
+    rows = meets.withColumn("group", 2 * F.floor(F.log("n") / width).cast("long") + F.col("hooked").cast("long"))
+    sizes = cut(rows.groupBy("z", "group").agg(F.ceil(F.count("*") / part).cast("long").alias("p")))
+    parts = sizes.groupBy("z").agg(F.map_from_entries(F.collect_list(F.struct("group", "p"))).alias("parts"))  # as many entries as bands
+    rows = attach(rows, parts, "z", sizes.count(), "doc_id")
+    cells = lambda g: F.transform(F.sequence(F.lit(0).cast("long"), F.try_element_at("parts", g) - 1), lambda x: g * _PARTS + x)
+    own = F.col("group") * _PARTS + F.pmod(F.xxhash64("doc_id"), F.try_element_at("parts", F.col("group")))
+    near = F.filter(F.map_keys("parts"), lambda g: (F.abs(F.shiftright(g, 1) - F.shiftright(F.col("group"), 1)) <= 1) & ((F.bitwise_not(g) % 2 != 0) | ~F.col("hooked")))
+    rows = rows.withColumn("own", own).select("z", "doc_id", "own", F.explode(F.flatten(F.transform(near, cells))).alias("other"))
+    return rows.select("z", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
+
+
+def meeting_links(meets: DataFrame, members: DataFrame, percent: float, part: int = PART) -> DataFrame:
+    """(z, doc_id, n), z the smallest class of each meeting, and (doc_id, n, k, probe, shingles) -> (u, v) that join all linked members."""
+
+    def verify(group: pa.Table) -> pa.Table:
+        numbers = lambda name: group.column(name).to_numpy()
+        probes = [x.values.to_numpy(zero_copy_only=False) for x in group.column("probe")]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("shingles")]
+        edges = verify_block(group.column("doc_id").to_pylist(), numbers("side"), numbers("n"), numbers("k"), probes, sets, percent)
+        u, v = ([e[k] for e in edges] for k in range(2))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "z": pa.array([group.column("z")[0].as_py()] * len(edges), pa.int64())})
+
+    def links(seats: DataFrame, *keys: str) -> DataFrame:
+        return seats.join(members, "doc_id").groupBy("z", *keys).applyInArrow(verify, "u long, v long, z long")
+
+    large = cut(meets.groupBy("z").agg(F.count("*").alias("m")).where(F.col("m") > part).select("z", F.ceil(F.col("m") / part).cast("int").alias("p")))
+    rows = large.count()
+    first = write_shared(links(_first_seats(meets, large, rows), "i"), "first-links")
+    if not rows:
+        return first.select("u", "v")
+    inside = attach(meets, large, "z", rows, "doc_id").where("p is not null").drop("p")
+    linked = first.where("v = z").select("z", F.col("u").alias("doc_id"), F.lit(True).alias("hooked")).distinct()
+    marked = cut(inside.join(linked, ["z", "doc_id"], "left").withColumn("hooked", F.coalesce("hooked", F.col("doc_id") == F.col("z"))))
+    open_ = marked.where("not hooked").select("z").distinct()  # meetings whose every class hangs on the smallest are done
+    rest = marked.join(open_, "z", "left_semi")
+    return first.select("u", "v").unionByName(links(_rest_seats(rest, percent, part), "a", "b").select("u", "v"))
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest of the set (as in the base prefixes), and the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), words, lower=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return map_arrow(docs, run, "doc_id long, digest binary, shingles binary")
 
 
 def forest(ids: list[int], links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,44 +194,53 @@ def forest(ids: list[int], links: Iterator[tuple[int, int]]) -> list[tuple[int,
     return [(ids[i], ids[find(i)]) for i in range(len(ids)) if find(i) != i]
 
 
-def verify_block(ids: list[int], side: np.ndarray, n: np.ndarray, k: np.ndarray, probes: list[np.ndarray], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _shared(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
+    """Matrix of how many tokens each of ``left`` shares with each of ``right`` (with each of ``left`` where that is None)."""
+    rows = left if right is None else np.concatenate([left, right])
+    flat = np.concatenate([tokens[i] for i in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(tokens[i]) for i in rows])
+    order = np.argsort(flat, kind="stable")  # owners ascend within a token
+    flat, owner = flat[order], owner[order]
+    cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+    out = np.zeros((len(left), len(left) if right is None else len(right)), dtype=np.int32)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a > 1:
+            o = owner[a:b]
+            if right is None:
+                out[np.ix_(o, o)] += 1
+            else:
+                s = int(np.searchsorted(o, len(left)))
+                if 0 < s < b - a:
+                    out[np.ix_(o[:s], o[s:] - len(left))] += 1
+    return out
+
+
+def verify_block(ids: list[int], side: np.ndarray, n: np.ndarray, k: np.ndarray, probes: list[np.ndarray], sets: list[np.ndarray], percent: float) -> list[tuple[int, int]]:
     """Links among the classes of a meeting, as star edges.
 
     ``side`` is 0 or 1; with both present only pairs across the sides are looked at. A pair qualifies with
     compatible sizes and min(k) shared probe shingles, then by its exact overlap.
     """
-    m = len(ids)
-    two = bool(side.any() and not side.all())
-    tokens = np.concatenate(probes)
-    owner = np.repeat(np.arange(m), [len(p) for p in probes])
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-    shared = np.zeros((m, m), dtype=np.int32)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > 1:
-            o = owner[a:b]
-            shared[np.ix_(o, o)] += 1
-    fits = (shared >= np.minimum(k[:, None], k[None, :])) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-    if two:
-        fits &= side[:, None] != side[None, :]
-    fits = np.triu(fits, 1)
-    need = np.flatnonzero(fits.any(0) | fits.any(1))
-    if not len(need):
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        left, right = np.arange(len(ids)), None
+    other = left if right is None else right
+    shared = _shared(probes, left, right)
+    small, big = np.minimum(n[left][:, None], n[other][None, :]), np.maximum(n[left][:, None], n[other][None, :])
+    fits = (shared >= np.minimum(k[left][:, None], k[other][None, :])) & (100 * small >= percent * big)
+    if right is None:
+        fits = np.triu(fits, 1)
+        left = other = left[fits.any(0) | fits.any(1)]
+        fits = fits[np.ix_(left, left)]
+    else:
+        a, b = fits.any(1), fits.any(0)
+        left, other, fits = left[a], other[b], fits[np.ix_(a, b)]
+    if not len(left):
         return []
-    flat, at = np.concatenate([sets[i] for i in need]), np.repeat(np.arange(len(need)), [len(sets[i]) for i in need])
-    order = np.argsort(flat, kind="stable")
-    flat, at = flat[order], at[order]
-    cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
-    common = np.zeros((len(need), len(need)), dtype=np.int32)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > 1:
-            o = at[a:b]
-            common[np.ix_(o, o)] += 1
-    size = n[need]
-    linked = np.triu(fits[np.ix_(need, need)] & (100 * common >= percent * (size[:, None] + size[None, :] - common)), 1)
+    common = _shared(sets, left, None if right is None else other)
+    linked = fits & (100 * common >= percent * (n[left][:, None] + n[other][None, :] - common))
     a, b = np.nonzero(linked)
-    return forest([ids[i] for i in need], zip(a.tolist(), b.tolist(), strict=True))
+    return forest(ids, zip(left[a].tolist(), other[b].tolist(), strict=True))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,8 +248,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. ``percent`` is the threshold in hundredths. Null and wordless
     texts have the empty set and link to nothing; texts with fewer words than ``words`` have one shingle; equal sets always
-    link. A null id keeps its row, with a null component, and takes no part. Repeated rows of an id are kept; other
-    columns are ignored whatever they are named. An empty table gives an empty result.
+    link. A null id keeps its row, with a null component, and takes no part. Repeated rows of an id are kept; of an id with
+    several texts, that with the least digest takes part, the others only find texts equal to theirs. Other columns are
+    ignored whatever they are named. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = write_shared(_sets(base, words, percent), "ngram-sets")
@@ -204,11 +261,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("df")
     )
     alone = seen.where("lo = hi and df = 1").groupBy(F.col("lo").alias("doc_id")).agg(F.count("*").alias("alone"))
+    # of an id with several texts one takes part, that of the least digest
+    nodes = sets.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("digest", "n", prefix.alias("p"))).alias("t")).select("doc_id", "t.*")
     smallest = F.expr(f"-((-n * {percent}) div 100) + if(pmod(n * {percent}, 100) = 0, 0, 1)")  # least size of a partner
     required = F.expr("1 + (s * {}) div 1000".format(int(EXTRA * 1000)))
     able = (
-        sets.where("doc_id is not null and n > 0")
-        .select("doc_id", "n", "digest", prefix.alias("p"), smallest.alias("s"))
+        nodes.withColumn("s", smallest)
         .join(alone, "doc_id", "left")
         .where(F.col("p") - F.coalesce("alone", F.lit(0)) >= required)
     )
@@ -217,33 +275,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rows = able.count()
 
     # 2. rarest-first prefixes of the classes
-    own = keep_by_id(sets.where("doc_id is not null"), able.select("doc_id"), "doc_id", rows).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+    own = keep_by_id(sets, able.select("doc_id", "digest"), ["doc_id", "digest"], rows).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
     posted = write_shared(own.select("doc_id", "n", prefix.alias("p"), F.explode("prefix").alias("h")), "ngram-posted")
     df = posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     known = posted.join(df, "h").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list(F.struct("df", "h")).alias("t"))
     probed = cut(_adapt(known.select("doc_id", "n", "p", F.col("t.df").alias("df"), F.col("t.h").alias("h")), percent))
 
     # 3. classes meet under the smallest class of a shingle's list
-    lists = probed.select("doc_id", F.explode("probe").alias("h"))
+    lists = probed.select("doc_id", "n", F.explode("probe").alias("h"))
     heads = lists.groupBy("h").agg(F.min("doc_id").alias("z"), F.max("doc_id").alias("last")).where("z < last").select("h", "z")
-    meets = cut(lists.join(heads, "h").select("z", "doc_id").distinct())
-    placed = _seats(meets.join(probed.select("doc_id", "n"), "doc_id"), percent)
+    meets = cut(lists.join(heads, "h").select("z", "doc_id", "n").distinct())
     busy = cut(meets.select("doc_id").distinct())
-    whole = _full_sets(keep_by_id(base, busy, "doc_id", busy.count()), words).dropDuplicates(["doc_id"])
-    blocks = placed.join(probed, "doc_id").join(whole, "doc_id")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = verify_block(
-            pdf["doc_id"].tolist(), pdf["side"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64), pdf["k"].to_numpy(dtype=np.int64),
-            [np.asarray(p, dtype=np.int64) for p in pdf["probe"]], [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]], percent,
-        )
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
-
-    edges = blocks.groupBy("z", "band", "i", "other", "j").applyInPandas(verify, "u long, v long")
+    whole = full_sets(keep_by_id(base, busy, "doc_id", busy.count()), words)
+    members = probed.join(able.select("doc_id", "digest"), "doc_id").join(whole, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).drop("digest")
+    edges = meeting_links(meets, write_shared(members, "ngram-members"), percent)
 
     # 4. components of the classes, then of every text
     parts = connected_components(edges)
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return sets.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
@@ -251,9 +300,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose id names its component (one text of each group stays; rows with a null id all stay)."""
-    named = jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(named, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Rows of ``docs``, all columns kept, whose id names its component: one text of each group stays.
+
+    Rows with a null id, null texts and wordless ones all stay; rows that repeat a staying id stay together. Columns may have any
+    names. An empty table gives an empty result.
+    """
+    gone = unused(docs.columns, "gone")
+    named = jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(named, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def oracle(words: int, percent: int) -> str:
