@@ -1,6 +1,6 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (content digest, tokenizer digest, count) that grows by appending. A run joins the
+The cache is a Parquet table of (content digest, count), partitioned by tokenizer digest, that grows by appending. A run joins the
 digests of its texts to the stored counts, encodes one text for each digest that is missing, appends the new counts, and
 joins again. The tokenizer digest is that of the vocabulary file's bytes, so a new version never meets old counts.
 """
@@ -15,11 +15,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import BROADCAST_ROWS, map_arrow, slices, write_shared
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Characters handed to the library in one call.
 CALL_CHARS = 1 << 20
+#: Copies from which on a text's count is broadcast to its rows; more where such texts would pass BROADCAST_ROWS.
+HOT_COPIES = 1000
 _LOADED: dict[str, object] = {}
 
 
@@ -81,7 +83,7 @@ def _encode(rows: DataFrame, path: str) -> DataFrame:
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
-    return rows.mapInArrow(run, "digest binary, n_tokens long")
+    return map_arrow(rows, run, "digest binary, n_tokens long")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 4096) -> DataFrame:
@@ -89,17 +91,26 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
     Content is normalised by taking null as the empty text; nothing else is changed, as any other change could alter a
     count. Null ids and repeated rows are kept. Other columns are ignored. An empty table gives an empty result and
-    leaves the cache as it is.
+    adds no row to the cache.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     content = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
     texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     digests = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", "key")
+    distinct = write_shared(digests.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n")), "distinct-texts")
     # one row stands for each missing digest; texts move once, to meet that short list
-    missing = digests.groupBy("digest").agg(F.min("key").alias("key")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
+    missing = distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti").select("key", "digest")
     chosen = texts.select("key", "digest", "text").join(missing.hint("shuffle_hash"), ["key", "digest"], "left_semi").select("digest", "text")
     fresh = _encode(chosen, tokenizer_path).select("digest", F.lit(version).alias("tokenizer"), "n_tokens")
-    fresh.write.mode("append").parquet(cache_path)
+    fresh.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = read_cache(spark, cache_path, version)
-    return digests.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # texts of many copies are few, however large the table: their counts are broadcast, the other rows shuffled
+    rows = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = distinct.where(F.col("n") > max(HOT_COPIES, rows // BROADCAST_ROWS)).select("digest")
+    if hot.isEmpty():
+        named = digests.join(counts, "digest")
+    else:
+        warm = digests.join(F.broadcast(counts.join(F.broadcast(hot), "digest", "left_semi")), "digest")
+        named = warm.unionByName(digests.join(F.broadcast(hot), "digest", "left_anti").join(counts, "digest"))
+    return named.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
