@@ -21,7 +21,7 @@ def disagreement(df: DataFrame, columns: list[str]) -> DataFrame:
 def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str, features: list[str], trees: int = 300, depth: int = 5, leaf: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
     """Probability of each row from a balanced forest trained on the other segments, and the area under the curve.
 
-    ``segments`` lists the folds (a handful of named segments); a fold without both classes in training is left out.
+    ``segments`` lists the folds (a handful of named segments); a fold without both classes in training is left out; with no fold left every probability is null.
     """
     ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0.0, features))
     parts = []
@@ -33,6 +33,8 @@ def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str
         weight = F.when(F.col(label) == 1, n["n"] / (2.0 * n["p"])).otherwise(n["n"] / (2.0 * (n["n"] - n["p"])))
         model = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(train.withColumn("_w", weight))
         parts.append(model.transform(ready.where(F.col(segment) == held)).withColumn("prob", vector_to_array("probability")[1]))
+    if not parts:
+        return df.withColumn("prob", F.lit(None).cast("double")), float("nan")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

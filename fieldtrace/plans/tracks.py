@@ -153,9 +153,9 @@ def p3_track_axis(spark, sf):
     return axis.select(det_round("ux").alias("ux"), det_round("uy").alias("uy"), det_round("s0", 3).alias("s0"), det_round("length", 3).alias("length"))
 
 
-@query(f"WITH {SERIES} SELECT pass, idx, v FROM s WHERE v BETWEEN -5 AND 120 ORDER BY pass, ts")
+@query(f"WITH {SERIES} SELECT pass, idx, v FROM s WHERE v BETWEEN -5 AND 120")
 def p8_range_filter(spark, sf):
-    return series(spark, sf).where(F.col("v").between(-5, 120)).orderBy("pass", "ts").select("pass", "idx", "v")
+    return series(spark, sf).where(F.col("v").between(-5, 120)).select("pass", "idx", "v")
 
 
 P4 = "OVER (PARTITION BY pass ORDER BY idx ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"

@@ -20,17 +20,19 @@ MAG_COLUMNS = ("time_text", "mag_x", "mag_y", "mag_z", "pitch", "roll", "yaw")
 
 def parse_gpgga(lines: DataFrame, day, leap_seconds: int = 0, *keep: str) -> DataFrame:
     """Position sentences: time, lat, lon, fix_quality, satellites, hdop, alt_m. Blank quality and satellites are 0, blank hdop and altitude null."""
-    f = F.split("value", ",")
-    rows = lines.where(F.col("value").startswith(GPGGA_PREFIX)).withColumn("f", f).where(F.size("f") >= GPGGA_FIELDS)
-    at = lambda i: F.trim(F.get("f", F.lit(i)))
+    fields = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    rows = lines.where(F.col("value").startswith(GPGGA_PREFIX)).withColumn("f", fields).where(F.size("f") >= GPGGA_FIELDS)
+    at = lambda i: F.get("f", F.lit(i))
     or_zero = lambda x: F.when(x == "", F.lit(0)).otherwise(x.try_cast("int"))
-    blank_ok = lambda x: F.when(x == "", F.lit(None).cast("double")).otherwise(x.try_cast("double"))
-    readable = lambda x: (x == "") | x.try_cast("double").isNotNull()
-    out = rows.where(readable(at(8)) & readable(at(9))).select(
-        *keep, nmea_time(day, at(1), leap_seconds).alias("time"), nmea_degrees(at(2), at(3)).alias("lat"), nmea_degrees(at(4), at(5)).alias("lon"),
-        or_zero(at(6)).alias("fix_quality"), or_zero(at(7)).alias("satellites"), blank_ok(at(8)).alias("hdop"), blank_ok(at(9)).alias("alt_m"),
+    number = lambda x: F.struct(x.try_cast("double").alias("v"), (x == "").alias("blank"))
+    fix = F.struct(
+        nmea_time(day, at(1), leap_seconds).alias("time"), nmea_degrees(at(2), at(3)).alias("lat"), nmea_degrees(at(4), at(5)).alias("lon"),
+        or_zero(at(6)).alias("fix_quality"), or_zero(at(7)).alias("satellites"), number(at(8)).alias("hdop"), number(at(9)).alias("alt_m"),
     )
-    return out.where("time is not null and lat is not null and lon is not null and fix_quality is not null and satellites is not null")
+    # one fix a line, made before it is looked at: a filter on columns would be pushed below and parse again
+    out = rows.select(*keep, F.explode(F.array(fix)).alias("x"))
+    out = out.where(" and ".join(f"x.{n} is not null" for n in ("time", "lat", "lon", "fix_quality", "satellites")) + " and " + " and ".join(f"(x.{n}.blank or x.{n}.v is not null)" for n in ("hdop", "alt_m")))
+    return out.select(*keep, "x.time", "x.lat", "x.lon", "x.fix_quality", "x.satellites", F.col("x.hdop.v").alias("hdop"), F.col("x.alt_m.v").alias("alt_m"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -76,16 +78,17 @@ def read_lines(spark: SparkSession, *paths: str, pattern: str | None = None) ->
 
 
 def read_magnetometer(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of all magnetometer tables under the paths, in no order: windows and joins sort what they need."""
     schema = ", ".join(f"{c} string" for c in MAG_COLUMNS)
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.dat").schema(schema).option("header", "true").csv(list(paths))
-    return parse_magnetometer(raw.withColumn("file", F.col("_metadata.file_name")), "file").orderBy("time")
+    return parse_magnetometer(raw.withColumn("file", F.col("_metadata.file_name")), "file")
 
 
 def discover(files: DataFrame) -> DataFrame:
-    """(path, size) -> one path per (name, size), the shallowest, for non-empty GPGGA text files; sorted by name."""
+    """(path, size) -> one path per (name, size), the shallowest, for non-empty GPGGA text files, in no order."""
     named = files.where((F.col("size") > 0) & F.col("path").rlike(r"GPGGA[^/]*\.(ascii|txt)$"))
     named = named.withColumn("name", F.substring_index("path", "/", -1)).withColumn("depth", F.size(F.split("path", "/")))
-    return keep_first(named, ["name", "size"], ["depth", "path"]).drop("depth").orderBy("name")
+    return keep_first(named, ["name", "size"], ["depth", "path"]).drop("depth")
 
 
 def inventory(lines: DataFrame) -> DataFrame:
