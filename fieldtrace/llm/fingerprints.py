@@ -10,16 +10,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from .common import cut, keep_by_id, mix64, shingle_hashes, shingle_sets, slices, write_shared
+from .common import cut, keep_by_id, map_arrow, mix64, shingle_hashes, shingle_sets, slices, write_shared
 from .components import connected_components
 
 PERMUTATIONS = 128
+#: Bytes of text that one range of ids holds on average at most.
+SLOT_BYTES = 64 << 20
 #: Shingles hashed by one vectorised step; keeps its arrays in a core's cache.
 STEP = 8192
 
@@ -84,22 +85,22 @@ def _bounds(ids: DataFrame, parts: int) -> list[int]:
     return sorted({int(p) for p in points})
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def slots_for(docs: DataFrame) -> int:
+    """Ranges of ids to cut the texts into: as many as the session's shuffle partitions, and more where these would pass SLOT_BYTES."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    return max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SLOT_BYTES))
+
+
+def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(slot, doc_id, text, head) rows to be read slot by slot in id order; ``head`` marks the row that follows the slot's last.
 
     Slots are ranges of ids. The first row of each range goes to its own slot and, as head, to the slot before (that of
     the first range to the last slot). Order: id, then text; null ids first, null texts as empty.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = _bounds(docs.select("doc_id").where("doc_id is not null"), parts)
-    slot = F.lit(0)
-    for i, c in enumerate(cuts):
-        slot = F.when(F.col("doc_id") >= c, i + 1).otherwise(slot)
-    if cuts:
-        table = F.array(*[F.lit(c).cast("long") for c in cuts])
-        slot = F.coalesce(F.size(F.filter(table, lambda c: c <= F.col("doc_id"))), F.lit(0))
+    table = F.array(*[F.lit(c).cast("long") for c in cuts])
+    slot = F.coalesce(F.size(F.filter(table, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
     placed = docs.withColumn("slot", slot)
     # a head is the least (id, text) of its slot: found by id first, ties by text within the id
     heads = placed.groupBy("slot").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("low")).orderBy("slot").collect()
@@ -123,9 +124,8 @@ def fingerprint_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     count as empty; null ids come first. Texts without words have the empty set's fingerprint, whose likeness to itself
     is 1. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = with_next(docs)
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "slot").sortWithinPartitions("slot", "head", F.col("doc_id").asc_nulls_first(), "text")
+    parts = slots_for(docs)
+    rows = with_next(docs, parts).repartitionById(parts, "slot").sortWithinPartitions("slot", "head", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the slot, id, text and signature that wait for their next row
@@ -147,15 +147,15 @@ def fingerprint_documents(docs: DataFrame, words: int = 5) -> DataFrame:
                 if out:
                     yield _finish(out, words)
 
-    return rows.select("slot", "doc_id", "text", "head").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return map_arrow(
+        rows.select("slot", "doc_id", "text", "head"), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
 
 def _finish(rows: list[tuple], words: int) -> pa.RecordBatch:
     ids, texts, signs, following, next_signs = zip(*rows, strict=True)
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
-    own, nxt, new = np.stack(signs), np.stack(next_signs), text_signatures(changed, words)
+    own, nxt, new = (s & np.uint32(0xFFFF) for s in (np.stack(signs), np.stack(next_signs), text_signatures(changed, words)))  # what fingerprints show
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
@@ -175,7 +175,6 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     """
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, percent = PERMUTATIONS // bands, round(threshold * 100, 9)
-    mark = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -188,34 +187,22 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
                 keys = mix64(keys + np.arange(bands, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([mark(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), pa.array([ngram_join.digest_of(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([k.view(np.int64).tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "digest", "n", "bands"],
             )
 
-    keyed = write_shared(base.mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>"), "minhash-bands").where("n > 0")
+    keyed = write_shared(map_arrow(base, run, "doc_id long, digest binary, n long, bands array<long>"), "minhash-bands").where("n > 0")
     classes = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     lists = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("band"))
     heads = lists.groupBy("band").agg(F.min("doc_id").alias("z"), F.max("doc_id").alias("last")).where("z < last").select("band", "z")
     meets = cut(lists.join(heads, "band").select("z", "doc_id", "n").distinct())
     busy = cut(meets.select("doc_id").distinct())
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = list(shingle_sets(batch.column(1).to_pylist(), words, lower=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "s"])
-
-    sets = keep_by_id(base, busy, "doc_id", busy.count()).mapInArrow(whole, "doc_id long, digest binary, s binary").dropDuplicates(["doc_id", "digest"])
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(x, dtype=np.uint64) for x in pdf["s"]]
-        ones = np.ones(len(own), dtype=np.int64)  # all pairs of a meeting are candidates
-        edges = ngram_join.verify_block(pdf["doc_id"].tolist(), pdf["side"].to_numpy(), np.array([len(x) for x in own], dtype=np.int64), ones, list(ones[:, None]), own, percent)
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
-
-    blocks = ngram_join._seats(meets, min(percent, 99.99)).join(sets.where(F.length("s") > 0), "doc_id")  # equal sets alone link at 100
-    links = blocks.groupBy("z", "band", "i", "other", "j").applyInPandas(verify, "u long, v long")
+    # every pair of a bucket is a candidate: one probe that all share
+    members = ngram_join.full_sets(keep_by_id(base, busy, "doc_id", busy.count()), words).join(classes.select(F.col("rep").alias("doc_id"), "digest", "n"), ["doc_id", "digest"])
+    members = members.dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", F.lit(1).alias("k"), F.array(F.lit(0).cast("long")).alias("probe"), "shingles")
+    links = ngram_join.meeting_links(meets, write_shared(members, "minhash-members"), min(percent, 99.99))
     copies = keyed.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     parts = connected_components(links.unionByName(copies))
     every = base.select("doc_id").distinct()

@@ -54,9 +54,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def token_counts_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through a cache that holds another tokenizer's counts of all texts and this one's of those in English."""
+    docs, path, cache = read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-counts")
+    token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
+    token_counts.count_tokens(docs.where("lang = 'en'"), path, cache)
+    return token_counts.count_tokens(docs, path, cache)
+
+
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature bands joined, Jaccard verified: the class of every text of fingerprints alike."""
+    return fingerprints.near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_bpe_round_trip,
     op6_quality_rules, op7_token_counts, op8_fingerprints, op9_substring_dedup, op10_toxicity,
+    token_counts_from_cache, near_duplicate_classes,
 )}
 
 ORACLE_SQL: dict[str, str] = {
