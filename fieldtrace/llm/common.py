@@ -51,9 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fieldtrace-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a table that is written once and read again."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, for a table that is written once and read again."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_shared(spark: SparkSession) -> bool:
+    """Delete all tables that this application's operators wrote to the shared folder, once no result of theirs is read any more.
+
+    Results are lazy, so operators cannot do it themselves. Checkpoints go by ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ def test_word_cache_gives_the_library_ids(docs):
     lib = Tokenizer.from_file(path)
     texts = _fuzz() + [r.text for r in docs.collect()]
     for cache in (50, 10**6):  # a cache that overflows, and one that does not
-        got = WordEncoder(path, cache).encode_batch(texts, step=40)
+        encoder = WordEncoder(path, cache)
+        got = [x for i in range(0, len(texts), 40) for x in encoder.encode_batch(texts[i : i + 40])]
         for text, raw, want in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(raw, dtype="<u4").tolist() == want.ids, text[:80]
 
@@ -198,7 +199,7 @@ def test_jaccard_components_are_exact(spark, monkeypatch):
             if sets[i] and 100 * o >= 85 * (len(sets[i]) + len(sets[j]) - o) and find(i) != find(j):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     for part in (512, 4):  # one part for each meeting, and many bands and parts
-        monkeypatch.setattr(ngram_join._seats, "__defaults__", (part,))
+        monkeypatch.setattr(ngram_join.meeting_links, "__defaults__", (part,))
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), 4, 85).collect()}
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
@@ -268,7 +269,7 @@ def test_near_duplicate_classes_at_the_threshold(spark, monkeypatch):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     want = {i: find(i) for i in sets}
     for part in (512, 16):
-        monkeypatch.setattr(ngram_join._seats, "__defaults__", (part,))
+        monkeypatch.setattr(ngram_join.meeting_links, "__defaults__", (part,))
         got = {r.doc_id: r.class_id for r in fingerprints.near_duplicate_classes(spark.createDataFrame(rows, DOCS)).collect()}
         assert got == want, (len(set(got.values())), len(set(want.values())))
 
@@ -477,6 +478,8 @@ def test_pages_nested_below_the_depth_of_the_tree():
 
 def test_wrapper_is_a_union_free_expression():
     w = html.infer(["<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><ul><li>k</li></ul><p>z</p></div>"])
+    assert html.to_regex(w) == "<page><div><h1>A</h1>(<p>x</p>)?(<ul><li>k</li></ul>)?<p>#text</p></div></page>"
+    w = html.infer(["<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><p>x</p><p>z</p><p>u</p></div>", "<div><h1>A</h1><ul><li>k</li></ul><p>v</p></div>"])
     assert html.to_regex(w) == "<page><div><h1>A</h1>(<ul><li>k</li></ul>)?(<p>#text</p>)+</div></page>"
 
 
