@@ -163,6 +163,15 @@ def e29_window_baselines(spark, sf):
     return rows.groupBy("method").agg(F.count("*").alias("windows"), det_round(stats.median("e"), 4).alias("median_abs"), det_round(stats.share(F.col("e") <= 2), 4).alias("hits"))
 
 
+@query()
+def e36_selected_paths(spark, sf):
+    """The full paths of each pass's candidate of the greatest score per sample."""
+    dist, ref, scale = _map(spark, sf)
+    paths = localize.track(_passes(spark, sf, scale), dist, ref / scale, sweeps.endpoint(0.0))
+    best = paths.groupBy("pass").agg(F.max_by("config", F.struct("score", "config")).alias("config"))
+    return paths.join(best, ["pass", "config"]).select("pass", "config", "idx", "pred", "truth")
+
+
 @query()
 def e20_left_out_warps(spark, sf):
     """Each pass against the map of all others: as it lies, warped freely, and warped in a band."""

@@ -86,14 +86,40 @@ def s5_magnetometer_scan(spark, sf):
 @query(f"""WITH x AS (SELECT event_id, 2313 + event_id % 5 AS week, (event_id * 37 % 604800) + (event_id % 8) / 8.0 AS sow, (event_id % 30) / 10.0 AS vn, (event_id % 7) / 10.0 AS ve FROM events)
   SELECT event_id, epoch_us(TIMESTAMP '1980-01-06') + week * 604800000000 + (sow * 1000000)::BIGINT + 28782000000 AS us, {r('sqrt(vn * vn + ve * ve)')} AS horiz_speed FROM x WHERE event_id % 10 > 0""")
 def s8_s10_s11_inspvax_scan(spark, sf):
+    got = logs.parse_inspvax(_inspvax_lines(spark, sf), "event_id")
+    return got.select("event_id", F.unix_micros(F.col("time").cast("timestamp")).alias("us"), det_round("horiz_speed_mps").alias("horiz_speed"))
+
+
+def _inspvax_lines(spark, sf):
     e, i = table(spark, sf, "events"), F.col("event_id")
     sow = (i * 37 % 604800).cast("string")
     frac = F.element_at(F.array(*[F.lit(x) for x in ("0", "125", "25", "375", "5", "625", "75", "875")]), (i % 8 + 1).cast("int"))
     head = F.concat(F.lit("#INSPVAXA,COM1,0,55.0,FINESTEERING,"), (2313 + i % 5).cast("string"), F.lit(","), sow, F.lit("."), frac, F.lit(",0"))
     body = F.concat_ws(",", F.lit("INS_GOOD"), F.lit("RTK"), F.lit("30.5"), F.lit("114.3"), F.lit("20"), F.lit("0"), ((i % 30) / 10).cast("string"), ((i % 7) / 10).cast("string"), *[F.lit("0.5")] * 14)
     short = F.when(i % 10 == 0, F.substring_index(body, ",", 9)).otherwise(body)
-    got = logs.parse_inspvax(e.select("event_id", F.concat(head, F.lit(";"), short, F.lit("*1a2b3c")).alias("value")), "event_id")
-    return got.select("event_id", F.unix_micros(F.col("time").cast("timestamp")).alias("us"), det_round("horiz_speed_mps").alias("horiz_speed"))
+    return e.select("event_id", F.concat(head, F.lit(";"), short, F.lit("*1a2b3c")).alias("value"))
+
+
+@query("""WITH x AS (SELECT event_id, event_id % 3 AS k, 2313 + event_id % 5 AS week, (event_id * 37 % 604800) + (event_id % 8) / 8.0 AS sow FROM events WHERE event_id % 10 > 0 AND event_id % 3 <> 1),
+  u AS (SELECT k, event_id, epoch_us(TIMESTAMP '1980-01-06') + week * 604800000000 + (sow * 1000000)::BIGINT + 28782000000 AS us FROM x) SELECT 'unit_' || arg_min(k, (k, event_id)) || '.ascii' AS name, arg_min(event_id, (k, event_id)) AS event_id, us FROM u GROUP BY us""")
+def s9_inspvax_union(spark, sf):
+    """Files of one survey, told by a part of their paths."""
+    k = F.col("event_id") % 3
+    path = F.concat(F.when(k == 1, "/data/other/unit_").otherwise("/data/survey/unit_"), k.cast("string"), F.lit(".ascii"))
+    got = logs.union_inspvax(_inspvax_lines(spark, sf).withColumn("file", path), "file", "survey", "event_id")
+    return got.select("name", "event_id", F.unix_micros(F.col("time").cast("timestamp")).alias("us"))
+
+
+@query("""WITH m AS (SELECT event_id, 'unit_' || (event_id % 3) || '.dat' AS file, strftime(ts, '%Y%m%d%H%M%S') || lpad((event_id % 1000)::VARCHAR, 3, '0') AS tt FROM events)
+  SELECT file, count(*) AS rows, min(epoch_us(strptime(substr(tt, 1, 14), '%Y%m%d%H%M%S')) + substr(tt, 15, 3)::INT * 1000) AS first_us FROM m GROUP BY file""")
+def s7_magnetometer_union(spark, sf):
+    """Tables of several units as one."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    stamp = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lpad((i % 1000).cast("string"), 3, "0"))
+    raw = e.select(F.concat(F.lit("unit_"), (i % 3).cast("string"), F.lit(".dat")).alias("file"), stamp.alias("time_text"), *[F.lit("1").alias(n) for n in logs.MAG_COLUMNS[1:]])
+    parts = [logs.parse_magnetometer(raw.where(F.col("file") == f"unit_{k}.dat"), "file") for k in range(3)]
+    got = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return got.groupBy("file").agg(F.count("*").alias("rows"), F.min(F.unix_micros(F.col("time").cast("timestamp"))).alias("first_us"))
 
 
 @query(f"""WITH {LINES}, l2 AS (SELECT event_id, event_id % 6 AS k, line FROM li) SELECT 'log_' || k::VARCHAR || '_' || CASE k % 3 WHEN 0 THEN 'gpgga' WHEN 1 THEN 'UNKNOWN' ELSE 'Rawimu' END || '.ascii' AS file,
@@ -317,11 +343,11 @@ REFM = "rf AS (SELECT cell, avg(v) AS rv FROM m GROUP BY cell)"
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, d AS (SELECT pass, v, rv, v - rv AS d FROM m JOIN rf USING (cell)), u AS (SELECT *, d - median(d) OVER (PARTITION BY pass) AS u FROM d)
-  SELECT pass, count(*) AS n, {r('corr(v, rv)', 5)} AS corr, {r('sqrt(avg(d * d))', 5)} AS rms, {r('median(d)', 5)} AS bias, {r('sqrt(avg(u * u))', 5)} AS rms_unbiased, {r('avg(abs(u))', 5)} AS mae_unbiased FROM u GROUP BY pass""")
+  SELECT pass, count(*) AS n, {r('corr(v, rv)', 4)} AS corr, {r('sqrt(avg(d * d))', 4)} AS rms, {r('median(d)', 4)} AS bias, {r('sqrt(avg(u * u))', 4)} AS rms_unbiased, {r('avg(abs(u))', 4)} AS mae_unbiased FROM u GROUP BY pass""")
 def c4_c18_c25_e21_pair_metrics(spark, sf):
     g = grid(spark, sf)
     both = g.join(g.groupBy("cell").agg(F.avg("v").alias("rv")), "cell")
-    return rounded(similarity.unbiased(both, ["pass"], "v", "rv"), ["pass", "n"], "corr", "rms", "bias", "rms_unbiased", "mae_unbiased")
+    return rounded(similarity.unbiased(both, ["pass"], "v", "rv"), ["pass", "n"], "corr", "rms", "bias", "rms_unbiased", "mae_unbiased", digits=4)
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, l AS (SELECT unnest(range(-12, 13)) AS lag), k AS (SELECT m.pass, lag, count(*) AS n, corr(m.v, rv) AS c FROM m, l, rf WHERE rf.cell = m.cell + lag GROUP BY ALL HAVING count(*) >= 20)

@@ -59,6 +59,12 @@ def parse_inspvax(lines: DataFrame, *keep: str) -> DataFrame:
     return out.where("time is not null and v_north is not null and v_east is not null").withColumn("horiz_speed_mps", F.hypot("v_north", "v_east"))
 
 
+def union_inspvax(lines: DataFrame, file: str, tag: str, *keep: str) -> DataFrame:
+    """Inertial solutions of all files whose path has ``tag`` as a part, with the file's name; a time that several files hold counts once (the first by name)."""
+    inside = lines.where(F.array_contains(F.split(file, "/"), tag)).withColumn("name", F.substring_index(file, "/", -1))
+    return keep_first(parse_inspvax(inside, "name", *keep), ["time"], ["name", *keep])
+
+
 def parse_magnetometer(rows: DataFrame, *keep: str) -> DataFrame:
     """Magnetometer rows (MAG_COLUMNS as text): time from 17 digits yyyymmddHHMMSSmmm, numbers, total field; rows without time or a component drop out."""
     digits = F.lpad(F.regexp_replace(F.trim("time_text"), r"\.0$", ""), 17, "0")
