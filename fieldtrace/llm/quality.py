@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of whole texts are computed in numpy. The trees are grown level by level from gradient histograms over
+Statistics of whole texts are computed by numpy, one text at a time. The trees are grown level by level from gradient histograms over
 quantile bins, then flattened into arrays (feature, threshold, leaf value, in heap order) that numpy walks for all rows at
 once.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, text_blocks, word_hashes
+from .common import map_arrow, mix64, slices, text_blocks, word_hashes
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "long_word", "upper", "digit", "punct", "symbol", "space", "high_byte", "exclaim", "bar",
@@ -157,15 +157,16 @@ def _statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = text_statistics(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    return docs.select("y", F.col("text").cast("string").alias("text")).mapInArrow(run, "y int, x array<double>")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text"), "y"), run, "doc_id long, y int, x array<double>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **params) -> FlatTrees:
-    """Trees fitted on at most ``rows`` labelled texts; only their statistics reach the driver."""
+    """Trees fitted on at most ``rows`` labelled texts, one for each id (the least statistics where its rows differ); only the statistics reach the driver."""
     ids = training_ids(labels, "quality", rows)  # at most ``rows`` rows: small enough to broadcast whatever the tables' size
-    got = _statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")).toArrow()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    got = _statistics(named).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     order = np.lexsort((*x.T, y))  # the order in which tasks end must not matter
@@ -187,11 +188,15 @@ def score_quality(docs: DataFrame, model: FlatTrees) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose text scores at least 0.5."""
+    """Rows of ``docs``, with all their columns, whose text scores at least 0.5.
+
+    Null texts count as empty. Null ids and repeated rows are judged row by row; columns may have any names. An empty table gives
+    an empty result; without labels the score is 0.5 and every row stays.
+    """
     model = fit_quality(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.scores(text_statistics(batch.column(batch.schema.get_field_index("text")).to_pylist()))
             yield batch.filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
