@@ -3,7 +3,8 @@
 P(grade > k) = sigmoid(w.x - cut[k]): one weight vector serves all ordered cuts, and the expected severity is the sum of
 these probabilities. Features are counts of words and of word beginnings, hashed; the ones kept are those whose presence
 differs most between labelled toxic and other texts. Labels are 0 or 1, so grades of toxic texts come from how many telling
-words they hold: thirds of that number are grades 1 to 3, other texts are grade 0. Copies and near copies among the labelled
+words they hold: thirds of that number are grades 1 to 3, other texts are grade 0. So severity measures how much telling
+vocabulary a text holds; it is no judgement that annotators made. Copies and near copies among the labelled
 texts (equal least shingle hash and label) count once, or their ordinary words would pass for telling ones.
 """
 
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, slices
+from .common import map_arrow, shingle_hashes, slices, write_shared
 from .quality import training_ids
 
-#: Labelled rows used for fitting at most, and hashed features kept at most.
+#: Labelled rows used for fitting at most, and hashed features kept at most (README).
 TRAIN_ROWS, KEPT = 20_000, 512
 SPACE = 1 << 22
 GRADES = 3
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 100_000
 _STRIP = " \t\r\n\v\f.,;:!?\"'()[]{}<>|*#$%&-_/\\«»„“”"
 
 
@@ -120,13 +121,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
             least = [int(s.min().view(np.int64)) if len(s) else 0 for s in shingle_hashes(batch.column(2).to_pylist(), 3, lower=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "y", "text", "least"])
 
-    keyed = named.select("doc_id", "y", "text").mapInArrow(key, "doc_id long, y int, text string, least long")
+    keyed = map_arrow(named.select("doc_id", "y", "text"), key, "doc_id long, y int, text string, least long")
     return keyed.groupBy("least", "y").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("y", "text")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kept: int = KEPT) -> OrdinalModel:
     """Model from at most ``rows`` labelled texts. No toxic label: a model that gives every text a severity near 0."""
-    sample = _labelled(docs, labels, rows)
+    sample = write_shared(_labelled(docs, labels, rows), "toxicity-sample")  # read three times
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Featurizer(), (Counter(), Counter())
@@ -141,7 +142,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kep
             names=["f", "other", "toxic"],
         )
 
-    table = sample.mapInArrow(presence, "f long, other long, toxic long").groupBy("f").agg(F.sum("other").alias("a"), F.sum("toxic").alias("b"))
+    table = map_arrow(sample, presence, "f long, other long, toxic long").groupBy("f").agg(F.sum("other").alias("a"), F.sum("toxic").alias("b"))
     total = table.where("f = -1").first()
     n0, n1 = (total["a"], total["b"]) if total else (0, 0)
     empty = OrdinalModel(np.empty(0, np.int64), np.zeros(0), np.array([8.0, 9.0, 10.0]))
@@ -165,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kep
                 names=["y", "f", "n", "size"],
             )
 
-    got = sorted(sample.mapInArrow(sparse, "y int, f array<int>, n array<int>, size int").toArrow().to_pylist(), key=lambda r: (r["y"], r["size"], sorted(zip(r["f"], r["n"], strict=True))))
+    got = sorted(map_arrow(sample, sparse, "y int, f array<int>, n array<int>, size int").toArrow().to_pylist(), key=lambda r: (r["y"], r["size"], sorted(zip(r["f"], r["n"], strict=True))))
     y = np.array([r["y"] for r in got])
     hits = np.array([sum(n for f, n in zip(r["f"], r["n"], strict=True) if f in telling) for r in got])
     limits = np.quantile(hits[y == 1], [1 / 3, 2 / 3])
@@ -190,11 +191,15 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             p = model.probabilities([make.counts(t)[0] for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5).astype(np.int32))], names=["doc_id", "severity", "p_toxic", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, toxic int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, severity double, p_toxic double, toxic int")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, with all their columns, that are not scored toxic."""
+    """Rows of ``docs``, with all their columns, that are not scored toxic.
+
+    Null texts count as empty and stay. Null ids and repeated rows are judged row by row; columns may have any names. An empty
+    table gives an empty result; without a toxic label every row stays.
+    """
     model = fit_toxicity(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +208,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = model.probabilities([make.counts(t)[0] for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             yield batch.filter(pa.array(p[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
