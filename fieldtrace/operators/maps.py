@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import stats, windows
 
 
+#: Cells that one track's map may have where it is smoothed along them, which takes the whole map in order.
+MAX_CELLS = 4_000_000
+
+
+def bounded(cells: DataFrame) -> DataFrame:
+    """The cells of one map; an error beyond MAX_CELLS."""
+    rows = cells.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return rows.where(F.when(F.col("_n") <= MAX_CELLS, True).otherwise(F.raise_error(F.lit("the map is too large; split the track")).cast("boolean"))).drop("_n")
+
+
 def fused_map(grid: DataFrame, cell: str = "cell", value: str = "v", smooth_points: int = 11) -> DataFrame:
     """Per cell: count, median, mean, sample deviation and MAD across passes, and the median smoothed along the cells."""
     rows = stats.with_mad(grid.where(F.col(value).isNotNull()), [cell], value)
     out = rows.groupBy(cell).agg(
         F.count("*").alias("n"), F.first("med").alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.first("mad").alias("mad")
     )
-    # the map has one row per cell of the track, so one ordered window over it is bounded by the track's length
-    return out.withColumn("smooth", windows.rolling_median("median", Window.partitionBy(F.lit(0)).orderBy(cell), smooth_points))
+    return bounded(out).withColumn("smooth", windows.rolling_median("median", Window.partitionBy(F.lit(0)).orderBy(cell), smooth_points))
 
 
 def bin_counts(df: DataFrame, keys: list[str], coordinate: str, per_metre: int, low: int, high: int) -> DataFrame:
@@ -36,7 +45,7 @@ def reference(grid: DataFrame, weight: str | None = None, cell: str = "cell", va
     made = stack(grid, "median", cell, value) if weight is None else stats.weighted_median(grid, [cell], value, weight, value)
     cells = grid.select(cell).distinct().join(made, cell, "left")
     w = Window.partitionBy(F.lit(0)).orderBy(cell)
-    filled = cells.withColumn(value, windows.linear_fill(value, w, cell))
+    filled = bounded(cells).withColumn(value, windows.linear_fill(value, w, cell))
     return filled.withColumn(value, windows.rolling_median(value, w, smooth_points, min_periods=1))
 
 
