@@ -44,6 +44,8 @@ TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = (0.2, 0.5)
 #: Longest texts that tell pages of different content apart; copies of a page count once.
 TELLING = 3
+#: Characters of a constant that a wrapper keeps.
+CONSTANT_CHARS = 40
 #: Cells of the table that aligns two lists of children; longer ones are aligned by halves.
 LCS_CELLS = 1 << 20
 #: Share of a block's varying text that one of its children must hold to be the main region's way down.
@@ -173,7 +175,12 @@ def _flat_sym(sym: str, stack: list[Node]) -> tuple[str, bool]:
 # A wrapper node is [sym, mode, pages, text, kids]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
 # constant or None for a slot. A page's own tree is a wrapper without optional or repeated parts: these come from mismatches.
 def _wrap(node: Node) -> list:
-    return [node.sym, "1", 1, node.text if node.sym == "#" else None, [_wrap(k) for k in node.kids]]
+    return [node.sym, "1", 1, _constant(node.text) if node.sym == "#" else None, [_wrap(k) for k in node.kids]]
+
+
+def _constant(text: str) -> str:
+    """A text as a wrapper keeps it: long ones as their beginning and a digest, so a wrapper grows with the elements, not with the texts."""
+    return text if len(text) <= CONSTANT_CHARS else f"{text[:CONSTANT_CHARS]}...{_key(text):016x}"
 
 
 def _kind(w: list) -> str:
@@ -459,7 +466,7 @@ def host_of(url: str | None) -> str:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` over all pages: JSON of the host's wrapper and of the keys of its template text."""
+    """``host, wrapper`` of every host of two pages or more: JSON of its wrapper and of the keys of its template text."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -494,17 +501,17 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         yield hand_on()
         yield hand_leaves()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:  # parts in the order of their text, so of any arrival
         parts = sorted(pdf["wrapper"])
         now = json.loads(parts[0])
         for p in parts[1:]:
             now = _merge(now, json.loads(p))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(now)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(now)], "pages": [now[2]]})
 
     part = map_arrow(pages.select("url", F.col("html").cast("string").alias("html")), local, "host string, salt int, wrapper string, leaf long, inside boolean, content long")
     part = write_shared(part, "host-parts")
-    once = part.where("wrapper is not null").groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string")
-    whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string").withColumn("hk", F.xxhash64("host"))
+    once = part.where("wrapper is not null").groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string, pages long")
+    whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string, pages long").where("pages > 1").withColumn("hk", F.xxhash64("host"))
     seen = part.where("leaf is not null").select(F.xxhash64("host").alias("hk"), "leaf", "inside", "content").distinct().groupBy("hk", "leaf", "inside").agg(F.count("*").alias("n"))
     often = seen.where(F.col("n") >= TEMPLATE_PAGES)  # a host of fewer pages has no template text
     total = often.where("leaf = 0").select("hk", F.col("n").alias("total"))
@@ -514,7 +521,10 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     return whole.join(shared, "hk", "left").select("host", F.concat(F.lit("["), "wrapper", F.lit(",["), keys, F.lit("]]")).alias("wrapper"))
 
 
-def _read(raw: str) -> tuple[list, frozenset[int]]:
+def _read(raw: str | None) -> tuple[list, frozenset[int]]:
+    """Wrapper and template text of a host; none: those of a single page, which tell nothing."""
+    if raw is None:
+        return _wrap(Node("page")), frozenset()
     wrapper, shared = json.loads(raw)
     return wrapper, frozenset(shared)
 
@@ -547,14 +557,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     if h not in read:
                         if len(read) >= HELD_HOSTS:
                             read.clear()
-                        read[h] = _read(table.value[h])
+                        read[h] = _read(table.value.get(h))
                     texts.append(extract(page, *read[h]))
                 yield rows(batch.column(0).to_pylist(), urls, texts)
 
         return map_arrow(pages, apply, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, tuple] | None = None
+        last: tuple[str | None, tuple] | None = None
         for batch in slices(batches):
             urls, texts = batch.column(1).to_pylist(), []
             for page, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -566,4 +576,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.udf(host_of, "string", useArrow=True)("url")
     left = pages.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     right = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return map_arrow(left.join(right, ["host", "salt"]).select("page_id", "url", "html", "wrapper"), joined, schema)
+    return map_arrow(left.join(right, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper"), joined, schema)
