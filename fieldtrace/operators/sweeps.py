@@ -75,9 +75,15 @@ def speed_scales(scales: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5)) -> dic
     return {f"{s:g}": _base(mode="exact", speed_weight=1.0, speed_scale=s) for s in scales}
 
 
-def hypotheses() -> dict[str, dict]:
-    modes = ("sum", "per_sample", "median", "trim20", "trim35", "p10", "hybrid")
-    return {f"warmup_{w}_{m}": {"method": "hypotheses", "vmax": 1.4, "warmup": w, "separation": 8.0, "select": m} for w in (20, 40) for m in modes}
+#: How a hypothesis is scored, by name; columns as localize.hypotheses has them.
+SCORE_MODES = {"sum": "score", "per_sample": "per_sample", "median": "median", "trim20": "trim20", "trim35": "trim35", "p10": "p10", "hybrid": "0.35 * per_sample + 0.65 * trim20"}
+
+
+def choose_hypotheses(found: DataFrame, key: str = "pass") -> DataFrame:
+    """Under each score mode the hypothesis of each key with the greatest score, the first of equal ones: key, mode, place, median_abs."""
+    picks = [F.struct(F.lit(name).alias("mode"), F.max_by(F.struct("place", "median_abs"), F.struct(F.expr(rule).alias("s"), (-F.col("place")).alias("p"))).alias("h")) for name, rule in SCORE_MODES.items()]
+    rows = found.groupBy(key).agg(F.array(*picks).alias("_p")).select(key, F.explode("_p").alias("t"))
+    return rows.select(key, "t.mode", "t.h.place", "t.h.median_abs")
 
 
 def per_pass(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[str, dict]) -> DataFrame:

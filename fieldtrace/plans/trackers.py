@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, stats
 from ..functions.scalars import det_round, log_likelihood
-from ..operators import evaluate, features, kernels, localize, maps, matching, slam, sweeps
+from ..operators import features, localize, maps, matching, slam, sweeps
 from .matching import RFM, _laid, _reference, _sets
 from .registry import GRID, SERIES, grid, query, r, series
 from .results import RES, res, rounded
@@ -73,7 +73,14 @@ def v20_v21_v23_v24_motion_sweep(spark, sf):
 
 @query()
 def v15_v17_hypothesis_sweep(spark, sf):
-    return _sweep(spark, sf, sweeps.hypotheses())
+    """Hypotheses held over two warm-ups, chosen by each score mode."""
+    dist, ref, scale = _map(spark, sf)
+    out = None
+    for warmup in (20, 40):
+        found = localize.hypotheses(_passes(spark, sf, scale), dist, ref / scale, warmup, separation=8.0)
+        got = sweeps.choose_hypotheses(found).withColumn("warmup", F.lit(warmup))
+        out = got if out is None else out.unionByName(got)
+    return out.groupBy("warmup", "mode").agg(F.count("*").alias("passes"), det_round(stats.median("median_abs"), 4).alias("median"), det_round(F.avg("median_abs"), 4).alias("mean"))
 
 
 @query()

@@ -165,3 +165,12 @@ def test_windowed_stream_drops_late_rows(spark, tmp_path):
     assert q.awaitTermination(90)
     got = {r.start.hour: (r.n, r["mean"]) for r in spark.table("hourly").collect()}
     assert got[1] == (1, 1.0) and got[9] == (1, 2.0)
+
+
+def test_hypotheses_are_chosen_by_each_mode(spark):
+    from fieldtrace.operators import sweeps
+
+    rows = [(1, 0, 9.0, 0.9, 0.1, 0.1, 0.5, 0.6, 3.0), (1, 1, 8.0, 0.8, 0.7, 0.0, 0.9, 0.9, 5.0), (1, 2, 9.0, 0.9, 0.7, 0.0, 0.1, 0.1, 7.0)]
+    df = spark.createDataFrame(rows, "pass long, place long, score double, per_sample double, median double, p10 double, trim20 double, trim35 double, median_abs double")
+    got = {r["mode"]: (r.place, r.median_abs) for r in sweeps.choose_hypotheses(df).collect()}
+    assert got == {"sum": (0, 3.0), "per_sample": (0, 3.0), "median": (1, 5.0), "p10": (0, 3.0), "trim20": (1, 5.0), "trim35": (1, 5.0), "hybrid": (1, 5.0)}
