@@ -15,6 +15,7 @@ with such an element only its blocks stay. Blocks in navigation, header, footer,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as html_lib
 import json
@@ -79,10 +80,11 @@ _FRAME = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("kids", "linked", "sym", "text")
+    __slots__ = ("kids", "linked", "name", "sym", "text")
 
     def __init__(self, sym: str, text: str = "", linked: bool = False) -> None:
         self.sym, self.text, self.linked = sym, text, linked
+        self.name = sym.partition(".")[0]
         self.kids: list[Node] = []
 
 
@@ -133,7 +135,7 @@ def parse(page: str | None) -> Node:
         elif name == "a":
             in_link = max(0, in_link + (-1 if closing else 1))
         elif name in _BLOCK:
-            names = [n.sym.partition(".")[0] for n in stack]
+            names = [n.name for n in stack]
             if closing:
                 if name in names:
                     close(len(names) - 1 - names[::-1].index(name))
@@ -151,7 +153,7 @@ def parse(page: str | None) -> Node:
                     if names and names[-1] == other:
                         close(len(stack) - 1)
                         break
-                words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower()
+                words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower() if m[3] else ""
                 tokens = {"-".join(re.findall("[a-z]+", w)) for w in words.split()} - {""} if name not in _FRAME else ()
                 node = Node(f"{name}.{'.'.join(sorted(tokens))}" if tokens else name)
                 if len(stack) < MAX_DEPTH:
@@ -172,10 +174,13 @@ def _flat_sym(sym: str, stack: list[Node]) -> tuple[str, bool]:
     return ("article" if any(_is_article(n.sym) for n in stack[MAX_DEPTH:]) else sym), False
 
 
-# A wrapper node is [sym, mode, pages, text, kids]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
+# A wrapper node is [sym, mode, pages, text, kids, kind]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
 # constant or None for a slot. A page's own tree is a wrapper without optional or repeated parts: these come from mismatches.
 def _wrap(node: Node) -> list:
-    return [node.sym, "1", 1, _constant(node.text) if node.sym == "#" else None, [_wrap(k) for k in node.kids]]
+    if node.sym == "#":
+        return ["#", "1", 1, _constant(node.text), [], "#"]
+    kids = [_wrap(k) for k in node.kids]
+    return [node.sym, "1", 1, None, kids, _kind(node.sym, kids)]
 
 
 def _constant(text: str) -> str:
@@ -183,14 +188,14 @@ def _constant(text: str) -> str:
     return text if len(text) <= CONSTANT_CHARS else f"{text[:CONSTANT_CHARS]}...{_key(text):016x}"
 
 
-def _kind(w: list) -> str:
-    """What children are aligned by: the element, and whether it holds text alone."""
-    return w[0] if w[0] == "#" or any(k[0] != "#" for k in w[4]) else f"{w[0]} #"
+def _kind(sym: str, kids: list[list]) -> str:
+    """What children are aligned by: the element, and whether it holds text alone. Merging changes no node's kind."""
+    return sym if any(k[0] != "#" for k in kids) else f"{sym} #"
 
 
 def _alike(a: list, b: list) -> bool:
     """Whether neighbours can be two turns of a repeated group: same kind, and mostly the same elements inside."""
-    if _kind(a) != _kind(b):
+    if a[5] != b[5]:
         return False
     x, y = {k[0] for k in a[4]}, {k[0] for k in b[4]}
     return not (x or y) or 2 * len(x & y) >= len(x | y)
@@ -214,16 +219,18 @@ def _gather(kids: list[list], groups: list[list]) -> list[tuple[list, list[int]]
 
 def _turn(a: list, b: list) -> list:
     """Two neighbours as turns of one repeated group."""
-    return [a[0], _join(_join("1" if a[1] == "?" else a[1], "1" if b[1] == "?" else b[1]), "+"), max(a[2], b[2]), a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+    return [a[0], _join(_join("1" if a[1] == "?" else a[1], "1" if b[1] == "?" else b[1]), "+"), max(a[2], b[2]), a[3] if a[3] == b[3] else None, align(a[4], b[4]), a[5]]
 
 
 def _join(a: str, b: str) -> str:
+    if a == b:
+        return a
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}[a in "?*" or b in "?*", a in "+*" or b in "+*"]
 
 
 def _merge(a: list, b: list) -> list:
     """Two wrappers of the same element as one."""
-    return [a[0], _join(a[1], b[1]), a[2] + b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4])]
+    return [a[0], _join(a[1], b[1]), a[2] + b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4]), a[5]]
 
 
 def _rows_of(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
@@ -281,11 +288,18 @@ def _matched(a: list[list], b: list[list]) -> tuple[list[tuple[list, list[int]]]
     """Children of both sides, those that repeated groups of the other side take up gathered, and which of them agree."""
     x = _gather(a, [k for k in b if k[1] in "+*"])
     y = _gather(b, [k for k in a if k[1] in "+*"])
-    return x, y, _pairs([_kind(k) for k, _ in x], [_kind(k) for k, _ in y])
+    return x, y, _pairs([k[5] for k, _ in x], [k[5] for k, _ in y])
+
+
+def _same(a: list[list], b: list[list]) -> bool:
+    """Whether children agree one by one, and no group of the one could take up more of the other."""
+    return len(a) == len(b) and all(x[5] == y[5] and x[1] not in "+*" and y[1] not in "+*" for x, y in zip(a, b, strict=True))
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
     """Children of two wrappers: agreeing ones merge; one that only one side has becomes another turn of its neighbour if they are alike, or optional."""
+    if _same(a, b):
+        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
     x, y, pairs = _matched(a, b)
     out: list[tuple[list, bool]] = []  # child, whether only one side has it
     i = j = 0
@@ -332,6 +346,7 @@ def to_regex(w: list) -> str:
     return body if w[1] == "1" else f"({body}){w[1]}"
 
 
+@functools.lru_cache(1 << 14)
 def _outside(sym: str, in_article: bool) -> bool:
     name, _, words = sym.partition(".")
     if name in _OUTSIDE:
@@ -345,6 +360,7 @@ def _names_outside(token: str) -> bool:
     return any(x in _WORDS for x in parts) and all(x in _WORDS or x in _PLAIN for x in parts)
 
 
+@functools.lru_cache(1 << 14)
 def _is_article(sym: str) -> bool:
     name, _, words = sym.partition(".")
     return name in ("article", "main") or "main" in words.split(".")
@@ -394,15 +410,18 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
     template = wrapper[2] >= TEMPLATE_PAGES and _varies(wrapper, False)
     places: dict[int, list | None] = {}  # wrapper node of each block and leaf
     mass: dict[int, int] = {}  # characters of varying text, without links, in each block
+    common: set[int] = set()  # leaves of the host's template text
 
     def place_all(node: Node, mine: list, w: list | None, place: str) -> int:
         where, total = {} if w is None else _places(mine[4], w[4]), 0
         for i, k in enumerate(node.kids):
-            places[id(k)] = where.get(i)
+            known = places[id(k)] = where.get(i)
             if k.sym != "#":
-                below = place_all(k, mine[4][i], where.get(i), f"{place}/{k.sym}")
+                below = place_all(k, mine[4][i], known, f"{place}/{k.sym}" if shared else "")
                 total += 0 if _outside(k.sym, False) else below
-            elif not k.linked and (where.get(i) is None or where[i][3] is None) and _key(place, k.text) not in shared:
+            elif shared and _key(place, k.text) in shared:
+                common.add(id(k))
+            elif not k.linked and (known is None or known[3] is None):
                 total += len(k.text)
         mass[id(node)] = total
         return total
@@ -411,21 +430,21 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
     region, heads = (None, set()) if only_article or wrapper[2] < 2 else _region(root, places, mass)
     out: list[str] = []
 
-    def walk(node: Node, inside: bool, within: bool, place: str) -> None:
+    def walk(node: Node, inside: bool, within: bool) -> None:
         inside, within = inside or _is_article(node.sym), within or node is region or id(node) in heads
-        listed = node.sym.partition(".")[0] in _LISTED
+        listed, heading = node.name in _LISTED, node.name in _HEADING
         for k in node.kids:
             known = places[id(k)]
             if k.sym == "#":
-                constant = template and known is not None and known[3] is not None and known[1] in "1+" and (inside and node.sym.partition(".")[0] not in _HEADING)
+                constant = template and known is not None and known[3] is not None and known[1] in "1+" and inside
                 linked = k.linked and not inside and (region is None or listed)
                 wanted = inside or (within if region is not None else not only_article)
-                if wanted and not constant and not linked and not (_key(place, k.text) in shared and not (inside and node.sym.partition(".")[0] in _HEADING)):
+                if wanted and not linked and (not (constant or id(k) in common) or inside and heading):
                     out.append(k.text)
             elif not _outside(k.sym, inside) or hidden and not inside and _has_article(_wrap(k), True):
-                walk(k, inside, within, f"{place}/{k.sym}")
+                walk(k, inside, within)
 
-    walk(root, False, False, "")
+    walk(root, False, False)
     return "\n\n".join(out)
 
 
@@ -437,18 +456,20 @@ def _region(root: Node, places: dict[int, list | None], mass: dict[int, int]) ->
     while True:
         best = max((k for k in node.kids if id(k) in mass), key=lambda k: mass[id(k)], default=None)
         known = None if best is None else places[id(best)]
-        if best is None or mass[id(best)] <= REGION_SHARE * mass[id(node)] or known is None or known[1] in "+*" or best.sym.partition(".")[0] in _TEXT:
+        if best is None or mass[id(best)] <= REGION_SHARE * mass[id(node)] or known is None or known[1] in "+*" or best.name in _TEXT:
             return node, heads
         for k in node.kids:
             if k is best:
                 break
-            if k.sym.partition(".")[0] in _HEADING:
+            if k.name in _HEADING:
                 heads.add(id(k))
         node = best
 
 
 def _places(kids: list[list], wrapped: list[list]) -> dict[int, list]:
     """Wrapper node of each child: aligned as in inference; what is left over goes to a group that it is like."""
+    if _same(kids, wrapped):
+        return dict(enumerate(wrapped))
     x, y, pairs = _matched(kids, wrapped)
     out = {i: y[q][0] for p, q in pairs for i in x[p][1]}
     groups = [k for k in wrapped if k[1] in "+*"]
