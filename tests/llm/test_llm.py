@@ -376,7 +376,7 @@ def test_repeated_passage_goes_from_all_but_the_first(spark):
 
 def test_spans_are_minimal_runs():
     parts = [(0, 0, "", n) for n in (12, 12, 12, 5, 30, 1)]
-    assert substring.spans(parts) == [(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 5)]
+    assert substring.spans(parts, min_words=20) == [(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 5)]
     assert substring.spans([(0, 0, "", 90)]) == []
     text = "One two. Three 3.14 four!  Five\nsix\n\n" + "w " * 90
     assert "".join(text[a:b] for a, b, *_ in substring.sentences(text)) == text
