@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import _powers, map_arrow, mix64, slices, text_blocks, unused
 
 #: Sentences (or pieces of them) and words that a span holds at least.
-MIN_SENTENCES, MIN_WORDS = 2, 20
+MIN_SENTENCES, MIN_WORDS = 2, 26
 #: Words that a piece of a sentence holds at most. A repeated passage of MIN_WORDS + 3 * PIECE words or more holds a span
 #: wherever it begins and ends, and at most PIECE words at either of its ends escape. A power of two.
 PIECE = 8
