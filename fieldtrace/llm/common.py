@@ -168,8 +168,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and where each text's words begin (one more entry at the end).
+def word_hashes(texts: list[str | None], lower: bool = False, outside: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one more entry at the end). Words are runs of
+    bytes not marked in ``outside`` (which must mark the line end): ``[^\\x20\\x09-\\x0D]+`` unless another table is given.
 
     A word's hash is a polynomial of its bytes taken as a difference of prefix sums modulo 2**64, then mixed with its length.
     """
@@ -180,7 +181,7 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
         buf = _LOWER[buf]
     inside = np.empty(len(buf) + 1, dtype=bool)
     inside[0] = False
-    np.logical_not(_WHITE[buf], out=inside[1:])
+    np.logical_not(outside[buf], out=inside[1:])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     up, down = _powers(len(buf) + 1)

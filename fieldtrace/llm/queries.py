@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, ngram_join, packing, quality, rules, substring, token_counts, toxicity
+from . import bpe, clustering, decontaminate, fingerprints, html, ngram_join, packing, quality, rules, substring, token_counts, toxicity
 from .common import read_table, shared_path
 
 
@@ -54,6 +54,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def longest_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's longest verbatim match of at least ten words, and where it is."""
+    return decontaminate.longest_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def token_counts_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts through a cache that holds another tokenizer's counts of all texts and this one's of those in English."""
     docs, path, cache = read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-counts")
@@ -70,10 +83,13 @@ def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_bpe_round_trip,
     op6_quality_rules, op7_token_counts, op8_fingerprints, op9_substring_dedup, op10_toxicity,
-    token_counts_from_cache, near_duplicate_classes,
+    op11_decontamination, op12_centroid_clustering,
+    longest_benchmark_matches, token_counts_from_cache, near_duplicate_classes,
 )}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": ngram_join.oracle(words=4, percent=85),
     "op6_quality_rules": rules.oracle(),
+    "op11_decontamination": decontaminate.oracle(),
+    "op12_centroid_clustering": clustering.oracle(),
 }
