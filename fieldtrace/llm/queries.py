@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clustering, decontaminate, fingerprints, html, ngram_join, packing, quality, rules, substring, token_counts, toxicity
+from . import alignment, bpe, clustering, decontaminate, fingerprints, html, ngram_join, packing, quality, rules, substring, token_counts, toxicity
 from .common import read_table, shared_path
 
 
@@ -62,6 +62,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def longest_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item's longest verbatim match of at least ten words, and where it is."""
     return decontaminate.longest_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -83,7 +87,7 @@ def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_bpe_round_trip,
     op6_quality_rules, op7_token_counts, op8_fingerprints, op9_substring_dedup, op10_toxicity,
-    op11_decontamination, op12_centroid_clustering,
+    op11_decontamination, op12_centroid_clustering, op13_tokenizer_alignment,
     longest_benchmark_matches, token_counts_from_cache, near_duplicate_classes,
 )}
 
