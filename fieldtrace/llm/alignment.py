@@ -362,7 +362,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     blocks = write_shared(aligned_blocks(docs, path_a, path_b), "aligned")
     pairs = blocks.where(F.col("kind") == _PAIR).select("block", "at", "a", "b")
-    back = pairs.join(pair_counts(blocks), ["a", "b"]).select("block", "at", "n_links", "best")
+    back = pairs.join(pair_counts(blocks), ["a", "b"]).select(F.col("block").alias("of_block"), "at", "n_links", "best")
     rest = blocks.where(F.col("kind") != _PAIR).select("block", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "sizes")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -378,4 +378,4 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         made = {"n_best": pa.array(_per_text(of_chunk[0], codes)), "count_sum": pa.array(_per_text(of_chunk[1], codes))}
         return pa.table({n: made[n] if n in made else texts[n] for n in (f.split()[0] for f in _RESULT.split(", "))})
 
-    return rest.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, _RESULT)
+    return rest.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(run, _RESULT)
