@@ -268,14 +268,14 @@ class _Numbers(dict):
 class _Block:
     """Texts coded by chunk until a block is full."""
 
-    def __init__(self, encoder: PairEncoder) -> None:
-        self.encoder, self.ids, self.codes = encoder, [], []
+    def __init__(self, encoder: PairEncoder, block_chars: int) -> None:
+        self.encoder, self.block_chars, self.ids, self.codes = encoder, block_chars, [], []
         self.known = _Numbers()
         self.tokens = Tokens(0)
         self.chars = self.chunk_chars = 0
 
     def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.known) >= BLOCK_CHUNKS or self.chunk_chars >= BLOCK_CHUNK_CHARS
+        return self.chars >= self.block_chars or len(self.known) >= BLOCK_CHUNKS or self.chunk_chars >= BLOCK_CHUNK_CHARS
 
     def add(self, ids: list[int | None], texts: list[str | None]) -> None:
         number, split = self.known.__getitem__, self.encoder.chunk.findall
@@ -329,17 +329,17 @@ def _batch(rows: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[n], kinds[k]) if n in given else pa.nulls(rows, kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of three kinds for each block: its documents, the links of its chunks, its pairs with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PairEncoder.shared(path_a, path_b)
-        number, block = TaskContext.get().partitionId() << 32, _Block(encoder)
+        number, block = TaskContext.get().partitionId() << 32, _Block(encoder, block_chars)
         for batch in slices(batches):
             block.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             if block.full():
                 yield from block.rows(number)
-                number, block = number + 1, _Block(encoder)
+                number, block = number + 1, _Block(encoder, block_chars)
         if block.ids:
             yield from block.rows(number)
 
@@ -354,13 +354,13 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(most), "b").select("a", "b", "n_links", (F.col("n_links") == F.col("most")).alias("best"))
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``, one row for each input row.
 
     Texts that are null, empty, or not given back byte for byte by both tokenizers have no tokens: zeros and an empty digest.
     Null ids and repeated rows are kept. Other columns are ignored. An empty table gives an empty result.
     """
-    blocks = write_shared(aligned_blocks(docs, path_a, path_b), "aligned")
+    blocks = write_shared(aligned_blocks(docs, path_a, path_b, block_chars), "aligned")
     pairs = blocks.where(F.col("kind") == _PAIR).select("block", "at", "a", "b")
     back = pairs.join(pair_counts(blocks), ["a", "b"]).select(F.col("block").alias("of_block"), "at", "n_links", "best")
     rest = blocks.where(F.col("kind") != _PAIR).select("block", "kind", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "sizes")

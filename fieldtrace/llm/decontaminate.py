@@ -284,8 +284,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WINDOW, bl
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark; all columns stay, whatever their names."""
-    rows, (_, _, n_hit, _) = mark(docs, benchmark, words, block_bytes)
-    return rows.where(F.col(n_hit) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    plain = docs.toDF(*("text" if c == "text" else f"column_{i}" for i, c in enumerate(names)))  # a name may hold a dot
+    rows, (_, _, n_hit, _) = mark(plain, benchmark, words, block_bytes)
+    return rows.where(F.col(n_hit) == 0).select(*plain.columns).toDF(*names)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
