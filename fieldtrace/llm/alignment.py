@@ -2,10 +2,10 @@
 
 Texts are cut into chunks at places where both tokenizers are sure to end a token (before white space, see ``PairEncoder``), so a
 chunk's tokens are the same in every text. A task codes its texts by chunk, block by block, and tokenises each different chunk
-of a block once. DuckDB, one connection for a block, holds both tokenizers' tokens as interval tables on one line of bytes:
-ASOF joins find the overlaps, a window sum over common starts numbers the groups, a range join deals links to chunks, and a
-grouped sum weights them to the block's pair counts. Those partial counts are merged by Spark. The corpus-wide counts then
-come back to the block of each pair, where a document's sums are sums over its chunks.
+of a block once. DuckDB holds both tokenizers' tokens of an Arrow batch's new chunks as interval tables on one line of bytes: ASOF
+joins find the overlaps, a window sum over common starts numbers the groups, a range join deals links to chunks; at the end
+of a block a grouped sum gives its pair counts. Those partial counts are merged by Spark. The corpus-wide counts then come
+back to the block of each pair, where a document's sums are sums over its chunks.
 
 Blocks are the unit of all that is held in memory. A pair of tokens has one row in each block, however often it occurs, so
 frequent pairs are no hot keys. Nothing that grows with the corpus is collected or broadcast: the broadcast table of best counts
@@ -199,36 +199,37 @@ _LINKS = """CREATE TEMP TABLE links AS
   SELECT a.lo AS lo, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.lo >= b.lo
   UNION ALL SELECT b.lo AS lo, a.id AS a, b.id AS b FROM b ASOF JOIN a ON b.lo > a.lo WHERE a.hi > b.lo"""
 #: Links by chunk: chunks are ranges of the line, and ``lo`` lies in one of them.
-_DEALT = "CREATE TEMP TABLE dealt AS SELECT chunk, n, a, b FROM links ASOF JOIN chunks ON links.lo >= chunks.lo WHERE links.lo < chunks.hi"
-_PAIRS = "SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM dealt GROUP BY a, b ORDER BY a, b"
-#: Tokens in order with the running number of their group: a group begins where both tokenizers begin a token.
-_GROUPED = """SELECT id, lo, CAST(sum(CASE WHEN other IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g
-  FROM (SELECT {0}.id, {0}.lo, {1}.lo AS other FROM {0} LEFT JOIN {1} ON {0}.lo = {1}.lo) ORDER BY lo"""
+_DEALT = "SELECT chunk, a, b FROM links ASOF JOIN chunks ON links.lo >= chunks.lo WHERE links.lo < chunks.hi ORDER BY chunk"
+_PAIRS = "SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM rows GROUP BY pair ORDER BY pair"
+#: A group begins where both tokenizers begin a token; groups are numbered along the line.
+_GROUPS = "SELECT lo, sum(1) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT a.lo FROM a JOIN b ON a.lo = b.lo) ORDER BY lo"
+
+
+def _connect() -> duckdb.DuckDBPyConnection:
+    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
 
 
 class Alignment:
-    """Aligned chunks of a block: groups, links, pair counts."""
+    """Groups and links of chunks."""
 
-    def __init__(self, tokens: Tokens, uses: np.ndarray, encoder: PairEncoder) -> None:
+    def __init__(self, tokens: Tokens, encoder: PairEncoder) -> None:
         self.n_a, self.n_b, count = tokens.n_a, tokens.n_b, len(tokens.n_a)
         a, b = tokens.flat()
         at_a, at_b = _starts(encoder.length_a[a]), _starts(encoder.length_b[b])
         edge = at_a[_starts(self.n_a)]
-        with duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""}) as db:
+        with _connect() as db:
             db.register("a_rows", pa.table({"id": a, "lo": at_a[:-1], "hi": at_a[1:]}))
             db.register("b_rows", pa.table({"id": b, "lo": at_b[:-1], "hi": at_b[1:]}))
-            db.register("chunk_rows", pa.table({"chunk": np.arange(count), "lo": edge[:-1], "hi": edge[1:], "n": uses}))
+            db.register("chunk_rows", pa.table({"chunk": np.arange(count), "lo": edge[:-1], "hi": edge[1:]}).filter(pa.array(self.n_a > 0)))
             for name in ("a", "b", "chunk"):
                 db.execute(f"CREATE TEMP TABLE {'chunks' if name == 'chunk' else name} AS SELECT * FROM {name}_rows")
             db.execute(_LINKS)
-            db.execute(_DEALT)
-            self.pairs = _columns(db, _PAIRS, "a", "b", "n")
-            chunk, link_a, link_b = _columns(db, "SELECT chunk, a, b FROM dealt ORDER BY chunk", "chunk", "a", "b")
-            group_a, group_b = (_columns(db, _GROUPED.format(*x), "g")[0] for x in (("a", "b"), ("b", "a")))
+            chunk, link_a, link_b = _columns(db, _DEALT, "chunk", "a", "b")
+            begin, number = _columns(db, _GROUPS, "lo", "g")
+        group_a, group_b = (number[np.searchsorted(begin, at[:-1], "right") - 1] for at in (at_a, at_b))
         self.n_links = np.bincount(chunk, minlength=count)
-        key = (self.pairs[0] << 32) | self.pairs[1]
-        #: Of every link, in the order of chunks, its place among the pairs.
-        self.link = np.searchsorted(key, (link_a << 32) | link_b).astype("<i4")
+        #: The pair of every link, in the order of chunks.
+        self.link = (link_a << 32) | link_b
         # groups do not go over chunks' ends, so a chunk's are those up to its last token less those before
         self.n_groups = np.diff(np.concatenate([[0], group_a])[_starts(self.n_a)])
         self.groups = self._texts(a, b, group_a, group_b)
@@ -270,8 +271,8 @@ class _Block:
 
     def __init__(self, encoder: PairEncoder, block_chars: int) -> None:
         self.encoder, self.block_chars, self.ids, self.codes = encoder, block_chars, [], []
-        self.known = _Numbers()
-        self.tokens = Tokens(0)
+        self.known, self.odd = _Numbers(), np.empty(0, dtype=bool)
+        self.aligned: list[Alignment] = []
         self.chars = self.chunk_chars = 0
 
     def full(self) -> bool:
@@ -281,32 +282,40 @@ class _Block:
         number, split = self.known.__getitem__, self.encoder.chunk.findall
         coded = [np.array(list(map(number, split(" " + t))) if t else [], dtype=np.int32) for t in texts]
         fresh, self.known.fresh = self.known.fresh, []
-        self.tokens.extend(self.encoder.encode_chunks(fresh))
+        tokens = self.encoder.encode_chunks(fresh)
         self.chunk_chars += sum(map(len, fresh))
-        if self.tokens.odd.any():
+        self.odd = np.concatenate([self.odd, tokens.odd])
+        if self.odd.any():
             for i, t in enumerate(texts):
-                if self.tokens.odd[coded[i]].any():  # the text as one chunk of its own, or without tokens
+                if self.odd[coded[i]].any():  # the text as one chunk of its own, or without tokens
                     got, number = self.encoder.whole(t), len(self.known)
                     coded[i] = np.array([number] if got else [], dtype=np.int32)
                     if got:
                         self.known[number] = number
-                        self.tokens.append(*got)
+                        tokens.append(*got)
+                        self.odd = np.append(self.odd, False)
                         self.chunk_chars += len(t)
+        self.aligned.append(Alignment(tokens, self.encoder))
         self.ids += ids
         self.codes += coded
         self.chars += sum(map(len, filter(None, texts)))
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        uses = np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *self.codes]), minlength=len(self.known))
-        al = Alignment(self.tokens, uses, self.encoder)
+        n_a, n_b, n_groups, n_links, link = (np.concatenate([getattr(x, name) for x in self.aligned]) for name in ("n_a", "n_b", "n_groups", "n_links", "link"))
+        groups = [g for x in self.aligned for g in x.groups]
+        self.aligned = []
+        uses = np.bincount(np.concatenate(self.codes), minlength=len(self.known))
+        with _connect() as db:
+            db.register("rows", pa.table({"pair": link, "n": np.repeat(uses, n_links)}))
+            pair, count = _columns(db, _PAIRS, "pair", "n")
         n = len(self.ids)
-        sums = [_per_text(x, self.codes) for x in (al.n_a, al.n_b, al.n_groups, al.n_links)]
-        digests = [hashlib.sha256(b"".join([al.groups[c] for c in codes.tolist()])[:-1]).hexdigest() if len(codes) else "" for codes in self.codes]
+        sums = [_per_text(x, self.codes) for x in (n_a, n_b, n_groups, n_links)]
+        digests = [hashlib.sha256(b"".join([groups[c] for c in codes.tolist()])[:-1]).hexdigest() if len(codes) else "" for codes in self.codes]
         yield _batch(n, kind=[_DOC] * n, block=[number] * n, doc_id=self.ids, n_a=sums[0], n_b=sums[1], n_groups=sums[2], n_links=sums[3],
                      groups_sha256=digests, codes=[_planes(c) for c in self.codes])
-        yield _batch(1, kind=[_CHUNKS], block=[number], codes=[al.link.tobytes()], sizes=[al.n_links.astype("<i4").tobytes()])
-        a, b, count = al.pairs
-        yield _batch(len(a), kind=np.full(len(a), _PAIR), block=np.full(len(a), number), at=np.arange(len(a)), a=a, b=b, n=count)
+        place = np.searchsorted(pair, link).astype("<i4")  # of every link among the block's pairs
+        yield _batch(1, kind=[_CHUNKS], block=[number], codes=[place.tobytes()], sizes=[n_links.astype("<i4").tobytes()])
+        yield _batch(len(pair), kind=np.full(len(pair), _PAIR), block=np.full(len(pair), number), at=np.arange(len(pair)), a=pair >> 32, b=pair & 0xFFFFFFFF, n=count)
 
 
 def _planes(codes: np.ndarray) -> bytes:
