@@ -39,36 +39,45 @@ def high_pass(v: Column | str, w: WindowSpec, points: int, divisor: int = 4) ->
     return c(v) - rolling_median(v, w, points, divisor=divisor)
 
 
-def _neighbours(v: Column, x: Column, w: WindowSpec) -> tuple[Column, Column, Column, Column]:
+def around(key: str | list[str], order: str | list[str]) -> tuple[WindowSpec, WindowSpec]:
+    """Frames of the rows up to a row, and of those from it on. The second reads the order downwards, so that both only ever grow
+    and a row costs one step; a frame that ends with the pass is computed anew for each row."""
+    down = [c(o).desc() for o in ([order] if isinstance(order, str) else order)]
+    grown = (Window.unboundedPreceding, 0)
+    return by_pass(key, order).rowsBetween(*grown), Window.partitionBy(key).orderBy(*down).rowsBetween(*grown)
+
+
+def _neighbours(v: Column, x: Column, key: str | list[str], order: str | list[str]) -> tuple[Column, Column, Column, Column]:
     """Value and coordinate of the nearest value at or before, and at or after, a row."""
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = around(key, order)
     at = F.when(v.isNotNull(), x)
-    return F.last(v, True).over(back), F.last(at, True).over(back), F.first(v, True).over(ahead), F.first(at, True).over(ahead)
+    return F.last(v, True).over(back), F.last(at, True).over(back), F.last(v, True).over(ahead), F.last(at, True).over(ahead)
 
 
-def _between(v0: Column, x0: Column, v1: Column, x1: Column, x: Column) -> Column:
+def between(v0: Column, x0: Column, v1: Column, x1: Column, x: Column) -> Column:
+    """The line through two points, at ``x``."""
     return F.when(x1 == x0, v0).otherwise(v0 + (v1 - v0) * (x - x0) / (x1 - x0))
 
 
-def linear_fill(v: Column | str, w: WindowSpec, row: Column | str, limit: int | None = None) -> Column:
-    """Gaps filled by the line through their ends, by row number; outer gaps hold the nearest value.
+def linear_fill(v: Column | str, key: str | list[str], row: str, limit: int | None = None) -> Column:
+    """Gaps of a pass filled by the line through their ends, by row number; outer gaps hold the nearest value.
 
     With ``limit`` only rows at most that many from a value are filled, except the rows that limited filling from the left
     leaves open before the first value: those stay null beyond the limit too.
     """
     v, row = c(v), c(row)
-    v0, r0, v1, r1 = _neighbours(v, row, w)
-    filled = F.coalesce(v, _between(v0, r0, v1, r1, row), v0, v1)
+    v0, r0, v1, r1 = _neighbours(v, row, key, [row])
+    filled = F.coalesce(v, between(v0, r0, v1, r1, row), v0, v1)
     if limit is None:
         return filled
     near = F.least(F.coalesce(row - r0, F.lit(1 << 30)), F.coalesce(r1 - row, F.lit(1 << 30)))
     return F.when(near <= limit, filled)
 
 
-def forward_back_fill(v: Column | str, w: WindowSpec, empty: Column | float | None = None) -> Column:
+def forward_back_fill(v: Column | str, key: str | list[str], order: str, empty: Column | float | None = None) -> Column:
     v = c(v)
-    got = F.coalesce(v, F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(v, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back, ahead = around(key, order)
+    got = F.coalesce(v, F.last(v, True).over(back), F.last(v, True).over(ahead))
     return got if empty is None else F.coalesce(got, empty if isinstance(empty, Column) else F.lit(empty))
 
 
@@ -78,13 +87,12 @@ def asof_linear(df: DataFrame, key: str, coordinate: str, values: list[str], is_
     ``is_query`` marks query rows; their own values are ignored. Outside the source's range the end values hold (``clamp``) or
     null stands; a single source point gives null without ``clamp``. Returns the query rows.
     """
-    w = by_pass(key, [coordinate, is_query])
     x = c(coordinate).cast("double") if dict(df.dtypes)[coordinate] != "timestamp_ntz" else F.unix_micros(c(coordinate).cast("timestamp")).cast("double")
     out = df.withColumn("_x", x)
     for name in values:
         v = F.when(~c(is_query), c(name))
-        v0, x0, v1, x1 = _neighbours(v, F.col("_x"), w)
-        inside = F.when(x0.isNotNull() & x1.isNotNull(), _between(v0, x0, v1, x1, F.col("_x")))
+        v0, x0, v1, x1 = _neighbours(v, F.col("_x"), key, [coordinate, is_query])
+        inside = F.when(x0.isNotNull() & x1.isNotNull(), between(v0, x0, v1, x1, F.col("_x")))
         out = out.withColumn(f"_{name}", F.coalesce(inside, v0, v1) if clamp else inside)
     out = out.where(c(is_query))
     for name in values:

@@ -18,14 +18,14 @@ def enough(v: Column | str, share: float, w) -> Column:
 def vector_standardise(df: DataFrame, keys: list[str], row: str, v: str, out: str = "z", share: float = 0.75, least: float = 1e-6) -> DataFrame:
     """z-score of each group's filled values; a group with less than ``share`` of its values, or a flat one, is null throughout."""
     w = Window.partitionBy(keys)
-    rows = df.withColumn("_f", F.when(enough(v, share, w), windows.linear_fill(v, by_pass(keys, row), row)))
+    rows = df.withColumn("_f", F.when(enough(v, share, w), windows.linear_fill(v, keys, row)))
     return rows.withColumn(out, stats.z_score("_f", w, least)).drop("_f")
 
 
 def window_robust_z(df: DataFrame, keys: list[str], row: str, v: str, out: str = "z", share: float = 0.8) -> DataFrame:
     """Robust z of each group's filled values; with less than ``share`` of its values a group is null throughout."""
     w = Window.partitionBy(keys)
-    rows = df.withColumn("_f", F.when(enough(v, share, w), windows.linear_fill(v, by_pass(keys, row), row)))
+    rows = df.withColumn("_f", F.when(enough(v, share, w), windows.linear_fill(v, keys, row)))
     return stats.robust_z(rows, keys, "_f", out).drop("_f")
 
 
@@ -87,7 +87,7 @@ def feature_reference(features: DataFrame, bad: DataFrame | None = None, key: st
 def hmm_reference(reference: DataFrame, points: int = 5) -> DataFrame:
     """Reference features filled along the cells, smoothed by a median and robust-standardised. -> cell, f, v."""
     w = by_pass("f", "cell")
-    rows = reference.withColumn("_f", windows.linear_fill("v", w, "cell")).drop("v")
+    rows = reference.withColumn("_f", windows.linear_fill("v", "f", "cell")).drop("v")
     rows = rows.withColumn("_s", windows.rolling_median("_f", w, points, min_periods=1))
     return stats.robust_z(rows, ["f"], "_s", "v").select("cell", "f", "v")
 

@@ -45,7 +45,7 @@ def reference(grid: DataFrame, weight: str | None = None, cell: str = "cell", va
     made = stack(grid, "median", cell, value) if weight is None else stats.weighted_median(grid, [cell], value, weight, value)
     cells = grid.select(cell).distinct().join(made, cell, "left")
     w = Window.partitionBy(F.lit(0)).orderBy(cell)
-    filled = bounded(cells).withColumn(value, windows.linear_fill(value, w, cell))
+    filled = bounded(cells).withColumn(value, windows.linear_fill(value, F.lit(0), cell))
     return filled.withColumn(value, windows.rolling_median(value, w, smooth_points, min_periods=1))
 
 

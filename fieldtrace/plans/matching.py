@@ -109,7 +109,7 @@ BINS = """h AS (SELECT pass, epoch(time_bucket(INTERVAL 4 HOUR, ts))::BIGINT AS
 def w8_fixed_period_queries(spark, sf):
     """Four-hour medians, short gaps filled, at most 60 points of each pass, smoothed."""
     bins = resample.resample_median(series(spark, sf), ["pass"], "ts", ["v"], 4 * 3600)
-    rows = resample.number_rows(bins, "pass", ["bin_s"]).withColumn("v", windows.linear_fill("v", W(), "idx", limit=3))
+    rows = resample.number_rows(bins, "pass", ["bin_s"]).withColumn("v", windows.linear_fill("v", "pass", "idx", limit=3))
     rows = resample.number_rows(resample.thin(rows, ["pass"], "idx", 60).withColumnRenamed("idx", "cell"), "pass", ["cell"])
     return rows.select("pass", "cell", det_round(windows.rolling_median("v", W(), 7, divisor=3)).alias("v"))
 
@@ -497,7 +497,7 @@ def e11_progress_closest(spark, sf):
 def v28_query_bundle(spark, sf):
     """Passes resampled, filled, chosen, high-passed and standardised, as the trackers take them."""
     bins = resample.resample_median(series(spark, sf), ["pass"], "ts", ["v"], 4 * 3600)
-    rows = resample.number_rows(bins, "pass", ["bin_s"]).withColumn("v", windows.linear_fill("v", W(), "idx", limit=3))
+    rows = resample.number_rows(bins, "pass", ["bin_s"]).withColumn("v", windows.linear_fill("v", "pass", "idx", limit=3))
     rows = rows.withColumn("_n", F.count("v").over(Window.partitionBy("pass"))).where("_n >= 40").withColumn("hp", windows.high_pass("v", W(), 15))
     return stats.robust_z(rows, ["pass"], "hp").select("pass", "idx", det_round("z", 5).alias("z"))
 

@@ -9,6 +9,7 @@ from ..functions import stats, windows
 from ..functions.scalars import det_round
 from ..functions.windows import by_pass
 from ..operators import resample
+from ..operators import series as long_series
 from .registry import GRID, SERIES, grid, query, r, series, table
 
 P = "PARTITION BY pass ORDER BY idx"
@@ -18,6 +19,17 @@ def W():
     return by_pass("pass", "idx")
 
 
+def _medians(rows, v: str, points: int, least: int):
+    """Rolling medians of all passes, in blocks."""
+    out = long_series.rolling_median(rows.select("pass", "idx", v), ["pass"], "idx", {"m": (v, points, least)})
+    return out.select("pass", "idx", det_round("m").alias("m"))
+
+
+def _high_pass(rows, v: str, points: int):
+    out = long_series.rolling_median(rows.select("pass", "idx", v), ["pass"], "idx", {"m": (v, points, max(3, windows.odd_points(points) // 4))})
+    return out.select("pass", "idx", det_round(F.col(v) - F.col("m")).alias("h"))
+
+
 def _med(v: str, points: int, least: int) -> str:
     h = points // 2
     f = f"OVER ({P} ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
@@ -26,12 +38,12 @@ def _med(v: str, points: int, least: int) -> str:
 
 @query(f"WITH {SERIES} SELECT pass, idx, {r(_med('g', 9, 3))} AS m FROM s")
 def w1_rolling_median(spark, sf):
-    return series(spark, sf).select("pass", "idx", det_round(windows.rolling_median("g", W(), 9)).alias("m"))
+    return _medians(series(spark, sf), "g", 9, 3)
 
 
 @query(f"WITH {SERIES} SELECT pass, idx, {r(_med('g', 13, 4))} AS m FROM s")
 def w2_rolling_median_third(spark, sf):
-    return series(spark, sf).select("pass", "idx", det_round(windows.rolling_median("g", W(), 12, divisor=3)).alias("m"))
+    return _medians(series(spark, sf), "g", 12, 4)
 
 
 def _fill(v: str) -> str:
@@ -46,14 +58,14 @@ LERP = "CASE WHEN r1 = r0 THEN v0 ELSE coalesce(v0 + (v1 - v0) * (idx - r0) / (r
 
 @query(f"WITH {SERIES}, a AS (SELECT *, {_med('g', 5, 3)} AS md FROM s), b AS (SELECT *, {_fill('md')} FROM a) SELECT pass, idx, {r(LERP)} AS m FROM b")
 def w3_rolling_median_filled(spark, sf):
-    rows = series(spark, sf).withColumn("md", windows.rolling_median("g", W(), 5))
-    return rows.select("pass", "idx", det_round(windows.linear_fill("md", W(), "idx")).alias("m"))
+    rows = long_series.rolling_median(series(spark, sf).select("pass", "idx", "g"), ["pass"], "idx", {"md": ("g", 5, 3)})
+    return rows.select("pass", "idx", det_round(windows.linear_fill("md", "pass", "idx")).alias("m"))
 
 
 @query(f"WITH {SERIES} SELECT pass, idx, {r(_med('v', 11, 3))} AS m FROM s")
 def w4_rolling_median_span(spark, sf):
     """A span of 5 m at a 0.5 m step: 11 points."""
-    return series(spark, sf).select("pass", "idx", det_round(windows.rolling_median("v", W(), int(5 / 0.5))).alias("m"))
+    return _medians(series(spark, sf), "v", int(5 / 0.5), 3)
 
 
 @query(f"WITH {SERIES} SELECT pass, idx, {r(f'avg(g) OVER ({P} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS m FROM s")
@@ -63,14 +75,14 @@ def w5_moving_average(spark, sf):
 
 @query(f"WITH {SERIES}, b AS (SELECT *, {_fill('g')} FROM s) SELECT pass, idx, {r(LERP)} AS f FROM b")
 def f2_linear_fill(spark, sf):
-    return series(spark, sf).select("pass", "idx", det_round(windows.linear_fill("g", W(), "idx")).alias("f"))
+    return series(spark, sf).select("pass", "idx", det_round(windows.linear_fill("g", "pass", "idx")).alias("f"))
 
 
 @query(f"""WITH {SERIES.replace('event_id % 5 = 0 OR event_id % 7 IN (1, 2)', 'event_id % 5 > 0 AND event_id % 7 > 0')}, b AS (SELECT *, {_fill('g')} FROM s)
   SELECT pass, idx, CASE WHEN least(coalesce(idx - r0, 1000000), coalesce(r1 - idx, 1000000)) <= 3 THEN {r(LERP)} END AS f FROM b""")
 def f1_limited_fill(spark, sf):
     rows = series(spark, sf).withColumn("g", F.when((F.col("event_id") % 5 > 0) & (F.col("event_id") % 7 > 0), None).otherwise(F.col("v")))
-    return rows.select("pass", "idx", det_round(windows.linear_fill("g", W(), "idx", limit=3)).alias("f"))
+    return rows.select("pass", "idx", det_round(windows.linear_fill("g", "pass", "idx", limit=3)).alias("f"))
 
 
 @query(f"""WITH {SERIES}, d AS (SELECT pass, idx, nullif(sign(round(g) - 50), 0) AS sg FROM s)
@@ -78,7 +90,7 @@ def f1_limited_fill(spark, sf):
     first_value(sg IGNORE NULLS) OVER ({P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS d FROM d""")
 def f3_forward_back_fill(spark, sf):
     rows = series(spark, sf).select("pass", "idx", F.nullif(F.signum(F.round("g") - 50), F.lit(0.0)).cast("int").alias("sg"))
-    return rows.select("pass", "idx", windows.forward_back_fill("sg", W(), F.lit(0)).alias("d"))
+    return rows.select("pass", "idx", windows.forward_back_fill("sg", "pass", "idx", F.lit(0)).alias("d"))
 
 
 @query(f"""WITH {SERIES}, b AS (SELECT *, {_fill('g')} FROM s), f AS (SELECT pass, idx, {LERP} AS g FROM b), a AS (SELECT *, {_med('g', 5, 1)} AS x FROM f),
@@ -86,7 +98,7 @@ def f3_forward_back_fill(spark, sf):
   e AS (SELECT *, 1.4826 * median(abs(x - md)) OVER (PARTITION BY pass) AS sc FROM d)
   SELECT pass, idx, {r("coalesce(greatest(least((x - md) / CASE WHEN sc >= 1e-6 THEN sc WHEN sd >= 1e-6 THEN sd ELSE 1 END, 6), -6), 0)", 5)} AS z FROM e""")
 def w6_clean_smooth_z(spark, sf):
-    rows = series(spark, sf).withColumn("g", windows.linear_fill("g", W(), "idx"))
+    rows = series(spark, sf).withColumn("g", windows.linear_fill("g", "pass", "idx"))
     rows = rows.withColumn("x", windows.rolling_median("g", W(), 5, min_periods=1))
     return stats.robust_z(rows, ["pass"], "x").select("pass", "idx", det_round(F.coalesce("z", F.lit(0.0)), 5).alias("z"))
 
@@ -214,10 +226,44 @@ def j4_speed_interpolation(spark, sf):
     rows = series(spark, sf).where(F.col("event_type").isin("view", "purchase")).withColumn("q", F.col("event_type") == "view")
     rows = windows.asof_linear(rows, "pass", "t", ["v"], "q", False)
     rows = rows.withColumn("md", windows.rolling_median("v", W(), 5))
-    value = F.least(F.greatest(windows.linear_fill("md", W(), "idx") / 100, F.lit(0.0)), F.lit(1.6))
+    value = F.least(F.greatest(windows.linear_fill("md", "pass", "idx") / 100, F.lit(0.0)), F.lit(1.6))
     return rows.select("pass", "idx", det_round(value).alias("v"))
 
 
+# ---- all passes of a kind as one long series, in blocks of 512 rows
+LONG = "PARTITION BY event_type ORDER BY t, event_id"
+LONG_ROWS = 512
+
+
+def _long(spark, sf):
+    return series(spark, sf).select("event_type", "event_id", "g", "v", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+
+
+@query(f"""WITH {SERIES}, e AS (SELECT event_type, event_id, g, epoch_us(ts) AS t FROM s),
+  b AS (SELECT *, last_value(g IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN g IS NOT NULL THEN t END IGNORE NULLS) OVER p AS t0,
+    first_value(g IGNORE NULLS) OVER n AS v1, first_value(CASE WHEN g IS NOT NULL THEN t END IGNORE NULLS) OVER n AS t1
+    FROM e WINDOW p AS ({LONG} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS ({LONG} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  f AS (SELECT *, coalesce(g, CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, v0, v1) AS f FROM b)
+  SELECT event_type, event_id, {r('f')} AS linear, CASE WHEN least(coalesce(t - t0, t1 - t), coalesce(t1 - t, t - t0)) <= 3000000000 THEN {r('f')} END AS limited, coalesce(v0, v1) AS held FROM f""")
+def f1_f2_f3_long_series(spark, sf):
+    """Fills of series that many tasks share: linear, linear up to 50 minutes from a value, and forward then backward."""
+    fills = {"linear": ("g", "linear", None), "limited": ("g", "linear", 3e9), "held": ("g", "hold", None)}
+    rows = long_series.fill(_long(spark, sf), ["event_type"], "t", fills, ["event_id"], rows=LONG_ROWS)
+    return rows.select("event_type", "event_id", det_round("linear").alias("linear"), det_round("limited").alias("limited"), "held")
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, user_id % 3 AS track, epoch_us(ts) AS t, value AS v FROM events), q AS (SELECT * FROM e WHERE event_type = 'view'),
+  p AS (SELECT track, t, max(v) AS v FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+  a AS (SELECT q.event_id, q.track, q.t, p.v AS v0, p.t AS t0 FROM q ASOF LEFT JOIN p ON q.track = p.track AND q.t >= p.t),
+  b AS (SELECT a.*, p.v AS v1, p.t AS t1 FROM a ASOF LEFT JOIN p ON a.track = p.track AND a.t <= p.t)
+  SELECT event_id, track, {r('CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END')} AS v FROM b""")
+def j2_j3_long_series(spark, sf):
+    """The interpolating as-of join of three long tracks, in blocks."""
+    rows = table(spark, sf, "events").where(F.col("event_type").isin("view", "purchase"))
+    rows = rows.select("event_id", (F.col("user_id") % 3).alias("track"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v"), (F.col("event_type") == "view").alias("q"))
+    return long_series.asof_linear(rows, ["track"], "t", ["v"], "q", False, rows=LONG_ROWS).select("event_id", "track", det_round("v").alias("v"))
+
+
 # ---- normalisation
 Z = "PARTITION BY pass"
 
@@ -268,13 +314,13 @@ def n6_robust_z_reference(spark, sf):
 @query(f"WITH {SERIES} SELECT pass, idx, {r('v - (' + _med('v', 71, 17) + ')')} AS h FROM s")
 def n10_high_pass(spark, sf):
     """35 m at a 0.5 m step: 71 points."""
-    return series(spark, sf).select("pass", "idx", det_round(windows.high_pass("v", W(), int(35 / 0.5))).alias("h"))
+    return _high_pass(series(spark, sf), "v", int(35 / 0.5))
 
 
 @query(f"WITH {SERIES} SELECT pass, idx, {r('v - (' + _med('v', 15, 3) + ')')} AS h FROM s")
 def n12_high_pass_time(spark, sf):
     """60 s at a 4 s period: 15 points."""
-    return series(spark, sf).select("pass", "idx", det_round(windows.high_pass("v", W(), round(60 / 4))).alias("h"))
+    return _high_pass(series(spark, sf), "v", round(60 / 4))
 
 
 @query(f"""WITH {SERIES}, {GRID}, a AS (SELECT *, quantile_cont(v, 0.5) OVER (PARTITION BY pass ORDER BY cell ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS sm, count(v) OVER (PARTITION BY pass ORDER BY cell ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS k FROM m),
