@@ -265,16 +265,14 @@ def j7_j8_j9_grid_joins(spark, sf):
 @query(f"WITH {SERIES}, {GRID}, g AS (SELECT * FROM m) SELECT a.pass AS a, b.pass AS b, count(*) AS n, {r('corr(a.v, b.v)', 5)} AS corr FROM g a JOIN g b ON a.cell = b.cell AND a.pass < b.pass GROUP BY ALL HAVING count(*) >= 40")
 def j11_c2_pairwise_similarity(spark, sf):
     """Every unordered pair of passes."""
-    pairs = joins.pass_pairs(grid(spark, sf), "pass", "cell", "v")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), det_round(F.corr("va", "vb"), 5).alias("corr")).where("n >= 40")
+    pairs = joins.pair_moments(grid(spark, sf), "pass", "cell", "v").where("n >= 40")
+    return pairs.select("a", "b", "n", det_round(joins.correlation_of_moments(), 5).alias("corr"))
 
 
-@query(f"WITH {SERIES}, {GRID}, g AS (SELECT *, pass % 3 AS dir FROM m) SELECT a.dir, a.pass AS a, b.pass AS b, count(*) AS n, sum((a.v - b.v > 20)::INT)::BIGINT AS plus, sum((a.v - b.v < -20)::INT)::BIGINT AS minus FROM g a JOIN g b ON a.dir = b.dir AND a.cell = b.cell AND a.pass < b.pass WHERE a.cell BETWEEN 8 AND 40 GROUP BY ALL")
+@query(f"WITH {SERIES}, {GRID}, g AS (SELECT *, pass % 3 AS dir FROM m) SELECT a.dir, a.pass AS a, b.pass AS b, count(*) AS n, sum((a.v - b.v > 20)::INT)::BIGINT AS plus, sum((a.v - b.v < -20)::INT)::BIGINT AS minus FROM g a JOIN g b ON a.dir = b.dir AND a.cell = b.cell AND a.pass < b.pass GROUP BY ALL")
 def j12_j13_direction_pairs(spark, sf):
     g = grid(spark, sf).withColumn("dir", F.col("pass") % 3)
-    pairs = joins.pass_pairs(g, "pass", "cell", "v", ["dir"], F.col("cell").between(8, 40))
-    d = F.col("va") - F.col("vb")
-    return pairs.groupBy("dir", "a", "b").agg(F.count("*").alias("n"), F.count_if(d > 20).alias("plus"), F.count_if(d < -20).alias("minus"))
+    return joins.pair_moments(g, "pass", "cell", "v", ["dir"], beyond=20.0).select("dir", "a", "b", "n", "plus", "minus")
 
 
 @query(f"""WITH {SERIES}, {GRID}, a AS (SELECT cell, median(v) AS v FROM m WHERE pass % 2 = 0 GROUP BY cell), b AS (SELECT cell, median(v) AS v FROM m WHERE pass % 2 = 1 GROUP BY cell), k AS (SELECT corr(a.v, b.v) AS k, count(*) AS n FROM a JOIN b USING (cell))
@@ -343,11 +341,12 @@ REFM = "rf AS (SELECT cell, avg(v) AS rv FROM m GROUP BY cell)"
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, d AS (SELECT pass, v, rv, v - rv AS d FROM m JOIN rf USING (cell)), u AS (SELECT *, d - median(d) OVER (PARTITION BY pass) AS u FROM d)
-  SELECT pass, count(*) AS n, {r('corr(v, rv)', 4)} AS corr, {r('sqrt(avg(d * d))', 4)} AS rms, {r('median(d)', 4)} AS bias, {r('sqrt(avg(u * u))', 4)} AS rms_unbiased, {r('avg(abs(u))', 4)} AS mae_unbiased FROM u GROUP BY pass""")
+  SELECT pass, count(*) AS n, {r('corr(v, rv)', 6)} AS corr, {r('sqrt(avg(d * d))', 6)} AS rms, {r('median(d)', 6)} AS bias, {r('sqrt(avg(u * u))', 6)} AS rms_unbiased, {r('avg(abs(u))', 6)} AS mae_unbiased FROM u GROUP BY pass""")
 def c4_c18_c25_e21_pair_metrics(spark, sf):
+    """Six digits: the differences of means have five or six decimals, so at four or five a median often lies half-way."""
     g = grid(spark, sf)
     both = g.join(g.groupBy("cell").agg(F.avg("v").alias("rv")), "cell")
-    return rounded(similarity.unbiased(both, ["pass"], "v", "rv"), ["pass", "n"], "corr", "rms", "bias", "rms_unbiased", "mae_unbiased", digits=4)
+    return rounded(similarity.unbiased(both, ["pass"], "v", "rv"), ["pass", "n"], "corr", "rms", "bias", "rms_unbiased", "mae_unbiased", digits=6)
 
 
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, l AS (SELECT unnest(range(-12, 13)) AS lag), k AS (SELECT m.pass, lag, count(*) AS n, corr(m.v, rv) AS c FROM m, l, rf WHERE rf.cell = m.cell + lag GROUP BY ALL HAVING count(*) >= 20)
