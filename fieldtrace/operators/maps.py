@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, windows
+from . import matching
 
 
 #: Cells that one track's map may have where it is smoothed along them, which takes the whole map in order.
@@ -13,9 +14,8 @@ MAX_CELLS = 4_000_000
 
 
 def bounded(cells: DataFrame) -> DataFrame:
-    """The cells of one map; an error beyond MAX_CELLS."""
-    rows = cells.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return rows.where(F.when(F.col("_n") <= MAX_CELLS, True).otherwise(F.raise_error(F.lit("the map is too large; split the track")).cast("boolean"))).drop("_n")
+    """The cells of one map; an error beyond MAX_CELLS, which are counted before they meet in one task."""
+    return matching.checked(cells, F.lit(1), MAX_CELLS, "map")
 
 
 def fused_map(grid: DataFrame, cell: str = "cell", value: str = "v", smooth_points: int = 11) -> DataFrame:

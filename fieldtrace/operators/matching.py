@@ -1,18 +1,22 @@
-"""Matching of query windows and passes against a reference map, in arrays.
+"""Matching of query windows and passes against a reference map.
 
-The reference is one track's cells: its windows, or its values, are gathered into one row, whose size is checked, and that
-row is broadcast. Scores are computed inside the query's row, so nothing is shuffled for them, whatever the number of queries.
+The reference is one track's cells, a table whose size is counted before it is gathered and handed to all tasks. Scores are computed where
+the query's pass is, all places of the map at once, so nothing is shuffled for them, whatever the number of queries.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.scalars import c
+from . import sliding
 
 #: Values of a reference (windows times their length, or cells) that one row may hold.
 MAX_VALUES = 4_000_000
@@ -23,44 +27,90 @@ def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one").drop("_one")
 
 
-def one_row(df: DataFrame, name: str, *columns: Column | str) -> DataFrame:
-    """A bounded table as one array, in the order of its columns; refused beyond MAX_VALUES rows."""
-    got = df.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name), F.count("*").alias("_n"))
-    return got.select(F.when(F.col("_n") <= MAX_VALUES, F.col(name)).otherwise(F.raise_error(F.lit("the reference is too large; split the track")).cast(dict(got.dtypes)[name])).alias(name))
-
+def checked(df: DataFrame, values: Column, most: int, what: str) -> DataFrame:
+    """``df``, or an error where its ``values`` sum to more than ``most``. They are summed first, so nothing is gathered before the check."""
+    size = df.agg(F.sum(values.cast("long")).alias("_size"))
+    refused = F.raise_error(F.lit(f"the {what} is too large; split the track")).cast("boolean")
+    return beside(df, size).where(F.when(F.coalesce("_size", F.lit(0)) <= most, True).otherwise(refused)).drop("_size")
 
-def feature_windows(features: DataFrame, keys: list[str], n: int, stride: int = 1, share: float = 1.0, robust: bool = False) -> DataFrame:
-    """Windows of ``n`` consecutive cells of all features: keys, start, w map<f, array>. A window needs ``share`` of its cells in each feature.
 
-    Standardised by mean and deviation, or robustly; missing cells of a kept window count as zero.
-    """
-    w = Window.partitionBy(*keys, "f").orderBy("cell").rangeBetween(0, n - 1)
-    cells = F.collect_list(F.struct("cell", "v")).over(w)
-    rows = features.where("v is not null").select(*keys, "f", F.col("cell").alias("start"), cells.alias("_c")).where((F.col("start") % stride == 0) & (F.size("_c") >= share * n))
-    values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(F.transform(F.filter("_c", lambda t: t["cell"] - F.col("start") == i), lambda t: t["v"]), F.lit(0)))
-    rows = rows.withColumn("_v", values)
-    z = arrays.robust_standardise(F.col("_v")) if robust else arrays.standardise(F.col("_v"), 1e-9)
-    rows = rows.withColumn("_z", F.transform(z, lambda x: F.coalesce(x, F.lit(0.0)))).where("_z is not null")
-    last = features.groupBy(*keys).agg(F.max("cell").alias("_last"), F.countDistinct("f").alias("_k"))
-    out = rows.groupBy(*keys, "start").agg(F.map_from_entries(F.collect_list(F.struct("f", "_z"))).alias("w"))
-    out = out.join(last, keys) if keys else beside(out, last)
-    return out.where((F.size("w") == F.col("_k")) & (F.col("start") + n - 1 <= F.col("_last"))).select(*keys, "start", "w")
-
-
-def window_scores(query: DataFrame, reference: DataFrame, n: int, variants: dict[str, tuple[list[str], str]]) -> DataFrame:
-    """Adds a column for each variant (features, mode): (s, score) of every reference start.
-
-    The score is the mean over the features of the correlation ('ncc'), or of the negative mean squared difference ('msd').
+def one_row(df: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+    """A bounded table as one array, in the order of its columns; refused beyond MAX_VALUES values (an array counts its items)."""
+    picked = df.select(*columns)
+    values = sum((F.coalesce(F.size(x), F.lit(0)) if t.startswith("array") else F.lit(1) for x, t in picked.dtypes), F.lit(0))
+    return checked(picked, values, MAX_VALUES, "reference").agg(F.array_sort(F.collect_list(F.struct(*picked.columns))).alias(name))
+
+
+def reference_arrays(features: DataFrame) -> dict[str, np.ndarray]:
+    """Every feature's values by cell from 0 on (NaN: none) of one track's map, counted before it is gathered."""
+    last = features.agg(F.max("cell").alias("n"), F.countDistinct("f").alias("k")).first()
+    if last["n"] is None:
+        return {}
+    if (last["n"] + 1) * last["k"] > MAX_VALUES:
+        raise ValueError("the reference is too large; split the track")
+    rows = features.where("cell >= 0").select("f", F.col("cell").cast("long").alias("cell"), F.col("v").cast("double").alias("v")).toArrow()
+    out = {f: np.full(last["n"] + 1, np.nan) for f in set(rows["f"].to_pylist())}
+    name, cell, v = np.array(rows["f"].to_pylist(), dtype=object), rows["cell"].to_numpy(), rows["v"].to_numpy()
+    for f, values in out.items():
+        own = name == f
+        values[cell[own]] = v[own]
+    return out
+
+
+def window_scores(features: DataFrame, reference: DataFrame, keys: list[str], n: int, stride: int, variants: dict[str, tuple[list[str], str]], share: float = 1.0) -> DataFrame:
+    """Windows of ``n`` cells of each pass (keys, f, cell, v) at every ``stride``-th start against all windows of a map (f, cell, v).
+
+    -> keys, start and for each variant (features, mode) a column of (s, score) of every start of the map: the mean over the features
+    of the correlation ('ncc') or of the negative mean squared difference ('msd') of the standardised windows. A window counts if
+    it begins with a value, has one in ``share`` of its cells, and is not flat, in each of its pass's features. The map is a counted, bounded
+    table that every task holds; a task takes passes as they come and scores all starts of a window at once, by sliding products.
     """
-    names = sorted({f for features, _ in variants.values() for f in features})
-    ref = one_row(reference.select("start", "w"), "_ref", F.col("start").alias("s"), *[F.col("w")[f].alias(f) for f in names])
-
-    def scores(features: list[str], mode: str) -> Column:
-        pair = (lambda x, y: x * y) if mode == "ncc" else (lambda x, y: -(x - y) * (x - y))
-        of = lambda r, f: arrays.total(F.zip_with(F.col("w")[f], r[f], pair)) / n
-        return F.transform("_ref", lambda r: F.struct(r["s"].alias("s"), (sum((of(r, f) for f in features[1:]), of(r, features[0])) / len(features)).alias("score")))
-
-    return beside(query, ref).withColumns({name: scores(*v) for name, v in variants.items()}).drop("_ref")
+    ref = reference_arrays(reference)
+    context = features.sparkSession.sparkContext
+    shared = context.broadcast((ref, {f: sliding.Windows(v, n, share) for f, v in ref.items()}))
+    chosen = {name: (list(fs), mode) for name, (fs, mode) in variants.items()}
+    passes = features.select(*keys, F.struct("f", F.col("cell").cast("long").alias("cell"), F.col("v").cast("double").alias("v")).alias("_t")).groupBy(*keys).agg(F.collect_list("_t").alias("_t"))
+    kinds = dict(features.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "start long", *(f"`{name}` array<struct<s:long,score:double>>" for name in chosen)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, windows = shared.value
+        good = np.logical_and.reduce([w.good for w in windows.values()]) if windows else np.empty(0, dtype=bool)
+        places = np.flatnonzero(good)
+        for batch in batches:
+            lists = batch.column(len(keys))
+            ends, flat = np.asarray(lists.offsets), lists.values
+            f, cell, v = np.array(flat.field(0).to_pylist(), dtype=object), flat.field(1).to_numpy(zero_copy_only=False), flat.field(2).to_numpy(zero_copy_only=False)
+            rows, starts, made = [], [], {name: [] for name in chosen}
+            for i in range(batch.num_rows):
+                own = slice(ends[i], ends[i + 1])
+                size, names = int(cell[own].max()) + 1, sorted(set(f[own]))
+                arrays_of = {}
+                for x in names:
+                    at = f[own] == x
+                    arrays_of[x] = np.full(size, np.nan)
+                    arrays_of[x][cell[own][at]] = v[own][at]
+                query = {x: sliding.Windows(a, n, share) for x, a in arrays_of.items()}
+                ok = np.flatnonzero(np.logical_and.reduce([w.good for w in query.values()]))
+                ok = ok[ok % stride == 0]
+                if not len(ok) or not len(places):
+                    continue
+                rows += [i] * len(ok)
+                starts.append(ok)
+                cut = {x: query[x].at(ok) for x in {y for fs, _ in chosen.values() for y in fs}}
+                for name, (fs, mode) in chosen.items():
+                    made[name].append(sum(windows[x].scores(cut[x], mode)[:, places] for x in fs) / len(fs))
+            if rows:
+                at = np.concatenate(starts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows)) for k in range(len(keys))), pa.array(at), *(_score_lists(places, np.concatenate(made[name])) for name in chosen)], names=[*keys, "start", *chosen])
+
+    return passes.mapInArrow(run, schema)
+
+
+def _score_lists(places: np.ndarray, scores: np.ndarray) -> pa.Array:
+    """Rows of scores as lists of (s, score)."""
+    pairs = pa.StructArray.from_arrays([pa.array(np.tile(places, len(scores))), pa.array(scores.ravel())], names=["s", "score"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * len(places)), pairs)
 
 
 def near_only(scores: Column | str, near: Column, radius: float | None) -> Column:
@@ -86,21 +136,38 @@ def pass_arrays(df: DataFrame, keys: list[str], cell: str = "cell", v: str = "v"
     return rows.select(*keys, F.transform("_a", lambda t: t["c"]).alias("c"), F.transform("_a", lambda t: t["v"]).alias("q"))
 
 
-def search_starts(query: DataFrame, reference: DataFrame, keys: list[str], scales: list[float], start_step: int, direction: int = 1, share: float = 0.85) -> DataFrame:
-    """Adds ``tries``: (scale, s, score) of laying the query (rel, q) out from every start at every scale of its relative distance.
+def search_starts(query: DataFrame, reference: DataFrame | None, keys: list[str], scales: list[float], start_step: int, direction: int = 1, share: float = 0.85, lags: tuple[int, int] | None = None, least: int = 3) -> DataFrame:
+    """keys and ``tries``: (scale, s, score) of laying the query (rel, q) out from every start at every scale of its relative distance.
 
-    The reference is (cell, v), cells from 0 without gaps; between cells it is linear. A try needs ``share`` of the query inside it.
+    The reference is (cell, v), cells from 0 without gaps, one counted map that every task holds; without one each row brings its own
+    as ``ref`` (an array). Between cells it is linear. A try needs ``share`` of the query inside it, and ``least`` values. Starts are all cells
+    in steps, or the whole numbers from ``lags[0]`` to ``lags[1]``. All starts of a scale are scored at once by sliding sums.
     """
-    ref = one_row(reference.select("cell", "v"), "_r", "cell", "v").select(F.transform("_r", lambda t: t["v"]).alias("_ref"))
-    rows = beside(query, ref)
-    starts = F.sequence(F.lit(0), F.size("_ref") - 1, F.lit(start_step))
-
-    def score(scale: float, s: Column) -> Column:
-        laid = F.transform("rel", lambda d: arrays.at(F.col("_ref"), s + direction * scale * d))
-        return F.struct(F.lit(float(scale)).alias("scale"), s.alias("s"), arrays.correlation(F.col("q"), laid, F.ceil(share * F.size("rel"))).alias("score"))
-
-    tries = F.flatten(F.array(*[F.transform(starts, partial(score, k)) for k in scales]))
-    return rows.withColumn("tries", F.filter(tries, lambda t: t["score"].isNotNull())).drop("_ref")
+    own = reference is None
+    held = None if own else reference_arrays(reference.select(F.lit("v").alias("f"), "cell", "v")).get("v", np.empty(0))
+    shared = query.sparkSession.sparkContext.broadcast(held)
+    kinds = dict(query.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "tries array<struct<scale:double,s:int,score:double>>"])
+    rows = query.select(*keys, F.col("rel").cast("array<double>").alias("rel"), F.col("q").cast("array<double>").alias("q"), *([F.col("ref").cast("array<double>").alias("ref")] if own else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(keys)
+        for batch in batches:
+            tries = []
+            rel, q = (batch.column(k + j).to_pylist() for j in (0, 1))
+            refs = batch.column(k + 2).to_pylist() if own else [None] * batch.num_rows
+            for d, y, mine in zip(rel, q, refs, strict=True):
+                ref = np.array(mine, dtype=np.float64) if own else shared.value
+                starts, found = np.arange(0, len(ref), start_step) if lags is None else np.arange(lags[0], lags[1] + 1, start_step), []
+                for scale in scales:
+                    if len(starts):
+                        score = sliding.laid_correlations(ref, np.array(y, dtype=np.float64), direction * scale * np.array(d, dtype=np.float64), starts, max(least, math.ceil(share * len(d))))
+                        found += [(float(scale), int(s), float(x)) for s, x in zip(starts, score, strict=True) if not np.isnan(x)]
+                tries.append([{"scale": a, "s": b, "score": x} for a, b, x in found])
+            kind = pa.list_(pa.struct([("scale", pa.float64()), ("s", pa.int32()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(k)), pa.array(tries, kind)], names=[*keys, "tries"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def best_try(df: DataFrame, keys: list[str], zone: float = 20.0) -> DataFrame:

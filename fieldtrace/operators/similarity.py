@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, stats
+from ..functions import stats
 from ..functions import windows as windows_
 from ..functions.scalars import c
 from . import matching
@@ -27,13 +27,12 @@ def unbiased(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 def best_lag(a: DataFrame, b: DataFrame, keys: list[str], cell: str, va: str, vb: str, most: int, least: int) -> DataFrame:
     """Lag in cells (the map ``b`` at cell + lag) of each pass's greatest correlation over -most..most; the first of equal ones.
 
-    The map is one track's cells, one checked row beside every pass, whose own cells are an array: all lags are scored in a row.
+    The map is one track's cells, counted before every task gets it; all lags of a pass are scored at once.
     """
-    ref = matching.one_row(b.where(c(vb).isNotNull()), "_r", cell, vb).select(F.map_from_entries("_r").alias("_ref"))
-    rows = matching.beside(matching.pass_arrays(a, keys, cell, va), ref)
-    laid = lambda lag: F.transform("c", lambda x: F.try_element_at("_ref", x + lag))
-    scores = F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.struct(arrays.correlation(F.col("q"), laid(lag), least).alias("corr"), (-lag).alias("k")))
-    best = rows.select(*keys, F.array_max(F.filter(scores, lambda s: s["corr"].isNotNull())).alias("m")).where("m is not null")
+    rows = matching.pass_arrays(a, keys, cell, va).withColumnRenamed("c", "rel")
+    ref = b.where(c(vb).isNotNull()).select(c(cell).alias("cell"), c(vb).alias("v"))
+    tried = matching.search_starts(rows, ref, keys, [1.0], 1, share=0.0, lags=(-most, most), least=least)
+    best = tried.select(*keys, F.array_max(F.transform("tries", lambda t: F.struct(t["score"].alias("corr"), (-t["s"]).alias("k")))).alias("m")).where("m is not null")
     return best.select(*keys, (-F.col("m.k")).alias("lag"), F.col("m.corr").alias("corr"))
 
 
@@ -47,15 +46,12 @@ def windows(df: DataFrame, keys: list[str], cell: str, value: str, n: int) -> Da
     return rows.where("_sd >= 1e-9").select(*keys, "start", F.transform("w", lambda x: (x - F.col("_m")) / F.col("_sd")).alias("w"))
 
 
-def window_match(query: DataFrame, reference: DataFrame, keys: list[str], n: int, zone: int, stride: int = 1) -> DataFrame:
-    """Normalised cross-correlation of every ``stride``-th query window with every reference window: best start (first of equal ones), score, runner-up at ``zone`` or further.
-
-    The reference's windows are one checked row beside every query window.
-    """
-    ref = matching.one_row(reference, "_ref", c("start").alias("s"), "w")
-    rows = matching.beside(query.where(F.col("start") % stride == 0), ref)
-    dot = lambda t: arrays.total(F.zip_with("w", t["w"], lambda x, y: x * y)) / n
-    return matching.best_of(rows.select(*keys, "start", F.transform("_ref", lambda t: F.struct(t["s"].alias("s"), dot(t).alias("score"))).alias("scores")), [*keys, "start"], zone)
+def window_match(grid: DataFrame, reference: DataFrame, keys: list[str], cell: str, value: str, n: int, zone: int, stride: int = 1) -> DataFrame:
+    """Normalised cross-correlation of every ``stride``-th window of each pass with every window of the map (cell, v): best start (first
+    of equal ones), score, runner-up at ``zone`` or further."""
+    one = grid.select(*keys, F.lit("v").alias("f"), c(cell).alias("cell"), c(value).alias("v"))
+    scores = matching.window_scores(one, reference.select(F.lit("v").alias("f"), "cell", "v"), keys, n, stride, {"scores": (["v"], "ncc")})
+    return matching.best_of(scores, [*keys, "start"], zone)
 
 
 def shift_msd(query: DataFrame, reference: DataFrame, key: str, cell: str, q: str, v: str, offsets: list[int], least: int) -> DataFrame:

@@ -286,7 +286,7 @@ THREE_SQL = ", ".join(f"'{x}'" for x in THREE)
 
 def _scores(spark, sf, n, stride, **variants):
     ft = feats(spark, sf)
-    return matching.window_scores(matching.feature_windows(ft, ["pass"], n, stride), matching.feature_windows(features.feature_reference(ft), [], n), n, variants)
+    return matching.window_scores(ft, features.feature_reference(ft), ["pass"], n, stride, variants)
 
 
 @query(f"WITH {FT}, {FREF}, sc AS ({_scored(16, 8, 'ncc', THREE_SQL)}), b AS ({_best('sc', 10)}), p AS ({_best('sc', 10, 'abs(s - start) <= 12')}) SELECT b.pass, b.start, b.pred, {r('b.best', 5)} AS best, {r('b.second', 5)} AS second, p.pred AS near_pred, {r('p.best', 5)} AS near_best FROM b JOIN p USING (pass, start)")
@@ -420,9 +420,7 @@ def c36_left_out_match(spark, sf):
     """A stretch of each pass against the map of all other passes."""
     own = matching.without_own(grid(spark, sf))
     rows = _laid(spark, sf).join(own, "pass")
-    starts = F.sequence(F.lit(0), F.size("ref") - 1)
-    tries = F.transform(starts, lambda s: F.struct(F.lit(1.0).alias("scale"), s.alias("s"), arrays.correlation(F.col("q"), F.transform("rel", lambda d: arrays.at(F.col("ref"), s + d)), F.size("rel")).alias("score")))
-    got = matching.best_try(rows.withColumn("tries", F.filter(tries, lambda t: t["score"].isNotNull())), ["pass"], 8)
+    got = matching.best_try(matching.search_starts(rows, None, ["pass"], [1.0], 1, share=1.0), ["pass"], 8)
     return got.select("pass", F.col("start").cast("long").alias("start"), det_round("score", 5).alias("score"), det_round("second", 5).alias("second"))
 
 

@@ -374,8 +374,8 @@ def _windows(spark, sf):
   b AS (SELECT pass, start, arg_min(rs, (-floor(c * 1e9 + 0.5), rs)) AS pred, max(c) AS best FROM sc GROUP BY ALL)
   SELECT b.pass, b.start, pred, {r('best', 5)} AS best, {r('max(c) FILTER (WHERE abs(rs - pred) >= 10)', 5)} AS second FROM b JOIN sc USING (pass, start) GROUP BY ALL""")
 def c7_c8_window_ncc(spark, sf):
-    q, ref = _windows(spark, sf)
-    out = similarity.window_match(q, ref, ["pass"], 16, 10, stride=5)
+    g = grid(spark, sf)
+    out = similarity.window_match(g, g.groupBy("cell").agg(F.avg("v").alias("v")), ["pass"], "cell", "v", 16, 10, stride=5)
     return out.select("pass", "start", "pred", det_round("best", 5).alias("best"), det_round("second", 5).alias("second"))
 
 
