@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, warping
 
 #: States that a reference map may have.
 MAX_STATES = 100_000
@@ -151,19 +151,24 @@ def aligned_reference(passes: DataFrame, rounds: int = 2, band: float = 6.0, acc
     return base
 
 
-def dtw_search(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, stride: int = 10, band: float = 0.08) -> DataFrame:
-    """Per query window (pass, start, w): the reference start of least warping distance, tried every ``stride`` cells."""
+def dtw_search(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, stride: int = 1, band: float = 0.08) -> DataFrame:
+    """Per query window (pass, start, w): the first reference start of least warping distance, that distance, and the share of starts
+    that lower bounds spared. Null without a start."""
 
     def run(frames):
+        searches: dict[int, warping.WarpSearch] = {}
         for pdf in frames:
             out = []
             for p, s, w in zip(pdf["pass"], pdf["start"], pdf["w"], strict=True):
                 w = np.asarray(w, dtype=float)
-                tries = [(kernels.dtw_distance(w, ref[k : k + len(w)], band), k) for k in range(0, len(ref) - len(w) + 1, stride)]
-                out.append((p, s, dist[min(tries)[1]] if tries else None, min(tries)[0] if tries else None))
-            yield pd.DataFrame(out, columns=["pass", "start", "pred", "distance"])
-
-    return queries.select("pass", "start", "w").mapInPandas(run, "pass long, start long, pred double, distance double")
+                if len(w) not in searches:
+                    searches[len(w)] = warping.WarpSearch(ref, len(w), stride, band)
+                search = searches[len(w)]
+                distance, place, warped = search.best(w)
+                out.append((p, s, dist[place] if place >= 0 else None, distance if place >= 0 else None, 1 - warped / len(search.starts) if place >= 0 else None))
+            yield pd.DataFrame(out, columns=["pass", "start", "pred", "distance", "spared"])
+
+    return queries.select("pass", "start", "w").mapInPandas(run, "pass long, start long, pred double, distance double, spared double")
 
 
 def refine_offset(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, starts: dict[int, float] | None = None, coarse: int = 0, gate: float = 8.0) -> DataFrame:

@@ -394,7 +394,7 @@ def c14_c15_dtw_search(spark, sf):
     q, _ = _windows(spark, sf)
     dist, ref = localize.check_reference(_reference(spark, sf), "cell", "v")
     z = (ref - ref.mean()) / ref.std()
-    return localize.dtw_search(q, dist, z, stride=2)
+    return localize.dtw_search(q, dist, z)
 
 
 @query()
