@@ -168,7 +168,9 @@ def dtw_search(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, stride: in
                 out.append((p, s, dist[place] if place >= 0 else None, distance if place >= 0 else None, 1 - warped / len(search.starts) if place >= 0 else None))
             yield pd.DataFrame(out, columns=["pass", "start", "pred", "distance", "spared"])
 
-    return queries.select("pass", "start", "w").mapInPandas(run, "pass long, start long, pred double, distance double, spared double")
+    # a window is much work in few bytes, so windows are dealt to all cores
+    dealt = queries.select("pass", "start", "w").repartition(queries.sparkSession.sparkContext.defaultParallelism, "pass", "start")
+    return dealt.mapInPandas(run, "pass long, start long, pred double, distance double, spared double")
 
 
 def refine_offset(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, starts: dict[int, float] | None = None, coarse: int = 0, gate: float = 8.0) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Places warped at once, at most.
-BATCH = 64
+#: Places warped at once: at first, and at most.
+FIRST, BATCH = 8, 64
 #: Share by which a bound must exceed the best distance, for rounding.
 SLACK = 1e-9
 
@@ -86,7 +86,7 @@ class WarpSearch:
         rest[:, :-1] = np.cumsum(beyond[:, ::-1], axis=1)[:, ::-1]
         best, place, warped = np.inf, -1, 0
         order = np.argsort(bound, kind="stable")
-        at, size = 0, 1
+        at, size = 0, FIRST
         while at < len(order):  # few at first, so that a good distance is known early
             part = order[at : at + size]
             at, size = at + size, min(2 * size, BATCH)
