@@ -10,7 +10,7 @@ from ..functions import stats
 from ..functions.scalars import det_round, gaussian_log, gps_week_time, log_likelihood, strip_crc, to_lat_lon, to_local_xy
 from ..functions.windows import by_pass
 from ..operators import evaluate, geometry, joins, learn, localize, maps, matching, resample, similarity
-from ..sources import logs
+from ..sources import datasource, logs
 from ..streaming import online
 from .registry import GRID, SERIES, grid, query, r, series, table
 from .results import RES, res, rounded
@@ -58,6 +58,19 @@ def s1_s2_s3_gpgga_scan(spark, sf):
     return gga(spark, sf).select("event_id", "us", det_round("lat").alias("lat"), det_round("lon").alias("lon"), "fix_quality", "satellites", "hdop", "alt_m")
 
 
+@query(f"WITH {GGA} SELECT us, {r('lat')} AS lat, {r('lon')} AS lon, fix_quality, satellites, hdop, alt_m FROM gga WHERE fix_quality > 0")
+def s1_s6_k1_log_files(spark, sf):
+    """Sentences written to log files in the shared folder and read through the log source; the fixes then go to marked CSV and come back."""
+    datasource.register(spark)
+    log, table_ = (datasource.shared_folder(spark, n) for n in ("log", "fixes"))
+    lines(spark, sf).select("value").write.option("compression", "none").text(log)
+    rows = datasource.read_logs(spark, log, suffixes=".txt", kinds="$GPGGA").where("seconds is not null")
+    got = logs.parse_gpgga(rows.select("value"), F.lit("2024-05-13"), 0).where("fix_quality > 0")
+    got.select(F.unix_micros(F.col("time").cast("timestamp")).alias("us"), "lat", "lon", "fix_quality", "satellites", "hdop", "alt_m").write.format("marked_csv").mode("append").save(table_)
+    back = spark.read.schema("us long, lat double, lon double, fix_quality int, satellites int, hdop double, alt_m double").option("header", "true").csv(table_)
+    return back.select("us", det_round("lat").alias("lat"), det_round("lon").alias("lon"), "fix_quality", "satellites", "hdop", "alt_m")
+
+
 @query(f"""WITH {GGA}, x AS (SELECT *, event_id % 7 AS file FROM gga WHERE fix_quality > 0), k AS (SELECT *, row_number() OVER (PARTITION BY file, us // 60000000 ORDER BY event_id) AS rk FROM x),
   n AS (SELECT *, count(*) OVER (PARTITION BY file) AS n FROM k WHERE rk = 1) SELECT file, us // 60000000 AS minute, event_id, fix_quality FROM n WHERE n > 1""")
 def s6_fixes_first_per_time(spark, sf):
