@@ -33,7 +33,7 @@ from .bpe import _WS, byte_symbols
 from .common import map_arrow, slices, write_shared
 
 #: A block ends with so many characters of text, different chunks, or characters in them.
-BLOCK_CHARS, BLOCK_CHUNKS, BLOCK_CHUNK_CHARS = 32 << 20, 600_000, 16 << 20
+BLOCK_CHARS, BLOCK_CHUNKS, BLOCK_CHUNK_CHARS = 32 << 20, 400_000, 12 << 20
 #: Chunks of one text handed to the libraries.
 CALL_CHUNKS = 2_000
 #: The space mark of the second tokenizer's pieces (a fixed value).

@@ -6,15 +6,17 @@ optional; neighbours with the same element become a repeated group; text that di
 the same stays a constant. Aligning is associative enough to run first inside the tasks that read the pages, then over the
 partial wrappers of a host, so a host of any size costs a task only as many rows as there are partial wrappers.
 
-The wrapper then tells main text from the rest. Constants of the wrapper, and text that many of the host's pages of different
-content share at one place (TEMPLATE_SHARE; also in optional and repeated groups), are template text and go. On a page without an
-article (or main) element the main region is where the text in the wrapper's slots is: from the root down, the block that holds
-most of the varying text, as far as a repeated group or a place where no block holds most; headings on the way stay. In a page
-with such an element only its blocks stay. Blocks in navigation, header, footer, aside, form and similar elements or classes go.
+The wrapper then tells main text from the rest. Outside articles, text that many of the host's pages of different content share at
+one place (TEMPLATE_SHARE; also in optional and repeated groups) is template text and goes. On a page without an article (or main)
+element the main region is where the text in the wrapper's slots is: from the root down, the block that holds most of the varying
+text, as far as a repeated group or a place where no block holds most; headings on the way stay. In a page with such an element its
+blocks stay, whatever its host's pages share, but for nested navigation, asides, forms, adverts and comments. Elsewhere blocks in
+navigation, header, footer, aside, form and similar elements or classes go.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import html as html_lib
@@ -38,11 +40,10 @@ MAX_DEPTH = 40
 HELD_HOSTS = 2000
 #: Texts of pages that a reading task holds before it hands them on.
 HELD_LEAVES = 100_000
-#: Pages that must agree on a text, and vary elsewhere in the article, before it counts as template text.
+#: Pages that must agree on a text outside articles before it counts as template text.
 TEMPLATE_PAGES = 5
-#: Share of a host's different pages (TEMPLATE_PAGES at least) on which a text stands at one place, as template text: elsewhere,
-#: and inside an article or main element.
-TEMPLATE_SHARE = (0.2, 0.5)
+#: Share of a host's different pages (TEMPLATE_PAGES at least) on which a text stands at one place outside articles, as template text.
+TEMPLATE_SHARE = 0.2
 #: Longest texts that tell pages of different content apart; copies of a page count once.
 TELLING = 3
 #: Characters of a constant that a wrapper keeps.
@@ -55,10 +56,15 @@ REGION_SHARE = 0.5
 BROADCAST_BYTES = 16 << 20
 SALTS = 16
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What may begin a tag or a comment, the first characters of a tag's name, and what may end or quote inside it.
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)(?=[a-zA-Z]))")
+_NAME = re.compile(r"[^\s/>]{1,64}")
+_SPECIAL = re.compile("[>\"']")
+#: The rest of a usual tag: short, with few quoted values. Others take the longer way, to the same end.
+_USUAL = re.compile(r"""[^"'>]{0,200}(?:"[^"]{0,200}"[^"'>]{0,200}){0,8}>""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary hgroup menu search dialog center".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math select option button head title object canvas audio video datalist".split())
+_RAW = frozenset("script style noscript template textarea iframe svg select option button head title object canvas audio video datalist annotation annotation-xml".split())
 _VOID = frozenset("br hr img input meta link source track wbr area base col embed param".split())
 _ENDS_P = _BLOCK - {"html", "body"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
@@ -75,6 +81,14 @@ _PLAIN = frozenset("site global top bottom left right primary secondary list lin
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TEXT = frozenset("p pre blockquote".split()) | _HEADING
 _LISTED = frozenset("ul ol li dl dt dd table tbody tr td th".split())
+#: Inside an article: elements that hold no text of it, blocks that one of _ASIDE may name, and those words. Its headings, paragraphs,
+#: lists and its own sections stay, whatever they are called.
+_NESTED = frozenset("nav aside form menu dialog search footer".split())
+_NAMED = frozenset("div section ul ol aside table".split())
+_ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo banner navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "comment comments replies respond disqus share sharing social related recommended pagination pager toolbar".split()
+)
 #: Elements to which the words never apply.
 _FRAME = frozenset("html body article main".split())
 
@@ -88,19 +102,94 @@ class Node:
         self.kids: list[Node] = []
 
 
+class _Tags:
+    """Ends of tags in a page, each found in a few steps: a quote that is never closed, or a tag that never ends, is met once."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.special: list[int] | None = None
+        self.quotes: dict[str, list[int]] = {}
+        self.ends: dict[int, int] = {}  # of a scan that stands, outside quotes, before this special character
+        self.unclosed: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the '>' that ends a tag from ``at`` on, outside quotes; -1: none."""
+        if self.special is None:
+            self.special = [m.start() for m in _SPECIAL.finditer(self.page)]
+            for i in self.special:
+                self.quotes.setdefault(self.page[i], []).append(i)
+        met, found = [], -1
+        while (k := bisect.bisect_left(self.special, at)) < len(self.special):
+            i = self.special[k]
+            if i in self.ends:
+                found = self.ends[i]
+                break
+            met.append(i)
+            if (quote := self.page[i]) == ">":
+                found = i
+                break
+            places = self.quotes[quote]
+            n = bisect.bisect_right(places, i)
+            if n == len(places):
+                break
+            at = places[n] + 1
+        for i in met:
+            self.ends[i] = found
+        return found
+
+    def behind(self, name: str, at: int) -> int:
+        """Place behind the end tag of a raw element; -1: none. An element without one is looked for once."""
+        if name in self.unclosed:
+            return -1
+        for m in re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).finditer(self.page, at):
+            if (end := self.page.find(">", m.end())) >= 0:
+                return end + 1
+            break
+        self.unclosed.add(name)
+        return -1
+
+
+class _Stack:
+    """Open blocks, with the places of each name's blocks, so that no tag walks through them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.articles = [0]  # among the blocks up to each one
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.articles.append(self.articles[-1] + _is_article(node.sym))
+        self.nodes.append(node)
+
+    def cut(self, upto: int) -> None:
+        while len(self.nodes) > upto:
+            self.places[self.nodes.pop().name].pop()
+            self.articles.pop()
+
+    def last(self, name: str) -> int | None:
+        """Place of the innermost open block of a name."""
+        places = self.places.get(name)
+        return places[-1] if places else None
+
+
 def parse(page: str | None) -> Node:
-    """Tree of block elements; text leaves have sym '#', references decoded and white space made single."""
+    """Tree of block elements; text leaves have sym '#', references decoded and white space made single.
+
+    Time is linear in the page but for the logarithm of a search, whatever is left open or nested in it. A '<' whose tag does not end is text.
+    """
     root = Node("page")
-    stack, parts, in_link, plain = [root], [], 0, False
+    stack, parts, in_link, plain = _Stack(root), [], 0, False
     page = page or ""
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal parts, plain
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1]
-            if len(stack) > MAX_DEPTH:
-                below, flat = stack[MAX_DEPTH - 1].kids, top.kids
+            top = stack.nodes[-1]
+            if len(stack.nodes) > MAX_DEPTH:
+                below, flat = stack.nodes[MAX_DEPTH - 1].kids, top.kids
                 if not (below and flat and below[-1] is flat[-1]):
                     flat.append(Node(top.text))
                     below.append(flat[-1])
@@ -110,68 +199,91 @@ def parse(page: str | None) -> Node:
 
     def close(upto: int) -> None:
         flush()
-        del stack[upto:]
+        stack.cut(upto)
 
-    at = 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        raw = page[at : m.start() if m else len(page)]
+    def say(raw: str) -> None:
+        nonlocal plain
         if raw:
-            parts.append(html_lib.unescape(raw))
+            parts.append(raw)
             if not in_link and not raw.isspace():
                 plain = True
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+
+    at = text_from = 0
+    last_end = page.rfind(">")
+    pending: list[str] = []  # text whose references are decoded together, so that a '<' in it changes nothing
+
+    def spoken() -> None:
+        if pending:
+            say(html_lib.unescape("".join(pending)))
+            pending.clear()
+
+    while m := _OPEN.search(page, at):
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif m.end() > last_end:
+            end = 0
+        elif m[1] is None:
+            end = page.find(">", m.end()) + 1
+        else:
+            word = _NAME.match(page, m.end())
+            usual = _USUAL.match(page, word.end())
+            close_at = usual.end() - 1 if usual else tags.end(word.end())
+            end = close_at + 1
+        if not end:
+            at = m.end()  # text, like what is before it
+            continue
+        pending.append(page[text_from : m.start()])
+        spoken()
+        at = text_from = end
+        if m[1] is None:
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        name, closing, attributes = word[0].lower(), bool(m[1]), page[word.end() : close_at]
         if name in _RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
-            if not m[3].endswith("/"):
-                at = end.end() if end else (len(page) if name in ("script", "style") else at)
+            if not attributes.endswith("/"):
+                behind = tags.behind(name, at)
+                at = text_from = behind if behind >= 0 else (len(page) if name in ("script", "style") else at)
         elif name in ("br", "hr"):
             parts.append(" ")
         elif name == "a":
             in_link = max(0, in_link + (-1 if closing else 1))
         elif name in _BLOCK:
-            names = [n.name for n in stack]
             if closing:
-                if name in names:
-                    close(len(names) - 1 - names[::-1].index(name))
+                if (place := stack.last(name)) is not None:
+                    close(place)
                 else:
                     flush()
                 in_link = 0
             else:
-                if name in ("html", "body") and name in names:
+                if name in ("html", "body") and stack.last(name) is not None:
                     continue
                 flush()
-                if name in _ENDS_P and "p" in names:
-                    close(len(names) - 1 - names[::-1].index("p"))
-                    names = names[: len(stack)]
-                for other in _SELF.get(name, ()):
-                    if names and names[-1] == other:
-                        close(len(stack) - 1)
-                        break
-                words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(m[3])).lower() if m[3] else ""
+                if name in _ENDS_P and (place := stack.last("p")) is not None:
+                    close(place)
+                if stack.nodes[-1].name in _SELF.get(name, ()):
+                    close(len(stack.nodes) - 1)
+                words = " ".join(v.strip("\"'") for _, v in _ATTR.findall(attributes)).lower() if attributes else ""
                 tokens = {"-".join(re.findall("[a-z]+", w)) for w in words.split()} - {""} if name not in _FRAME else ()
                 node = Node(f"{name}.{'.'.join(sorted(tokens))}" if tokens else name)
-                if len(stack) < MAX_DEPTH:
-                    stack[-1].kids.append(node)
+                if len(stack.nodes) < MAX_DEPTH:
+                    stack.nodes[-1].kids.append(node)
                 else:
                     node.text, node.linked = _flat_sym(node.sym, stack)
-                stack.append(node)
+                stack.push(node)
+    pending.append(page[text_from:])
+    spoken()
     flush()
     return root
 
 
-def _flat_sym(sym: str, stack: list[Node]) -> tuple[str, bool]:
+def _flat_sym(sym: str, stack: _Stack) -> tuple[str, bool]:
     """What a block below MAX_DEPTH counts as, by itself and the blocks around it, and whether that is outside the main text."""
-    if len(stack) > MAX_DEPTH and stack[-1].linked:
-        return stack[-1].text, True
-    if _outside(sym, any(_is_article(n.sym) for n in stack)):
+    top = stack.nodes[-1]
+    if len(stack.nodes) > MAX_DEPTH and top.linked:
+        return top.text, True
+    if _outside(sym, stack.articles[-1] > 0):
         return sym, True
-    return ("article" if any(_is_article(n.sym) for n in stack[MAX_DEPTH:]) else sym), False
+    return ("article" if stack.articles[-1] > stack.articles[MAX_DEPTH - 1] else sym), False
 
 
 # A wrapper node is [sym, mode, pages, text, kids, kind]: mode '1' once, '?' optional, '+' repeated, '*' both; text of a leaf is its
@@ -349,8 +461,10 @@ def to_regex(w: list) -> str:
 @functools.lru_cache(1 << 14)
 def _outside(sym: str, in_article: bool) -> bool:
     name, _, words = sym.partition(".")
+    if in_article:
+        return name in _NESTED or name in _NAMED and any(all(x in _ASIDE or x in _PLAIN for x in t.split("-")) and any(x in _ASIDE for x in t.split("-")) for t in words.split("."))
     if name in _OUTSIDE:
-        return not (name == "header" and in_article)
+        return True
     return any(_names_outside(x) for x in words.split(".")) if words and name not in _FRAME else False
 
 
@@ -371,18 +485,13 @@ def _has_article(w: list, anywhere: bool = False) -> bool:
     return _is_article(w[0]) or any(_has_article(k, anywhere) for k in w[4] if anywhere or not _outside(k[0], False))
 
 
-def _varies(w: list, inside: bool) -> bool:
-    inside = inside or _is_article(w[0])
-    return (w[0] == "#" and inside and w[3] is None) or any(_varies(k, inside) for k in w[4])
-
-
 def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def leaf_keys(root: Node) -> tuple[set[tuple[int, bool]], int]:
-    """(place and text of each leaf as a key, whether it is inside an article or main element), and a key of the page's content."""
-    keys: set[tuple[int, bool]] = set()
+def leaf_keys(root: Node) -> tuple[set[int], int]:
+    """Place and text of each leaf outside articles as a key, and a key of the page's content."""
+    keys: set[int] = set()
     texts: set[str] = set()
     todo = [(root, "", False)]
     while todo:
@@ -390,7 +499,8 @@ def leaf_keys(root: Node) -> tuple[set[tuple[int, bool]], int]:
         inside = inside or _is_article(node.sym)
         for k in node.kids:
             if k.sym == "#":
-                keys.add((_key(place, k.text), inside))
+                if not inside:
+                    keys.add(_key(place, k.text))
                 texts.add(k.text)
             else:
                 todo.append((k, f"{place}/{k.sym}", inside))
@@ -407,7 +517,6 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
     only_article = _has_article(own)
     hidden = not only_article and _has_article(own, True)  # all articles are in blocks that the words tell outside: such a block stays
     only_article = only_article or hidden
-    template = wrapper[2] >= TEMPLATE_PAGES and _varies(wrapper, False)
     places: dict[int, list | None] = {}  # wrapper node of each block and leaf
     mass: dict[int, int] = {}  # characters of varying text, without links, in each block
     common: set[int] = set()  # leaves of the host's template text
@@ -432,14 +541,12 @@ def extract(page: str | None, wrapper: list, shared: frozenset[int] = frozenset(
 
     def walk(node: Node, inside: bool, within: bool) -> None:
         inside, within = inside or _is_article(node.sym), within or node is region or id(node) in heads
-        listed, heading = node.name in _LISTED, node.name in _HEADING
+        listed = node.name in _LISTED
         for k in node.kids:
-            known = places[id(k)]
             if k.sym == "#":
-                constant = template and known is not None and known[3] is not None and known[1] in "1+" and inside
                 linked = k.linked and not inside and (region is None or listed)
                 wanted = inside or (within if region is not None else not only_article)
-                if wanted and not linked and (not (constant or id(k) in common) or inside and heading):
+                if wanted and not linked and (inside or id(k) not in common):
                     out.append(k.text)
             elif not _outside(k.sym, inside) or hidden and not inside and _has_article(_wrap(k), True):
                 walk(k, inside, within)
@@ -494,11 +601,11 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
 
         salt = TaskContext.get().partitionId() % SALTS
         held: dict[str, list] = {}
-        leaves: set[tuple[str, int, bool, int]] = set()
-        schema = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string()), ("leaf", pa.int64()), ("inside", pa.bool_()), ("content", pa.int64())])
+        leaves: set[tuple[str, int, int]] = set()
+        schema = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string()), ("leaf", pa.int64()), ("content", pa.int64())])
 
         def hand_on() -> pa.RecordBatch:
-            rows = [(h, salt, json.dumps(w), None, None, None) for h, w in held.items()]
+            rows = [(h, salt, json.dumps(w), None, None) for h, w in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -513,8 +620,8 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
                 h, w = host_of(url), _wrap(root)
                 held[h] = _merge(held[h], w) if h in held else w
                 keys, content = leaf_keys(root)
-                leaves.update((h, key, inside, content) for key, inside in keys)
-                leaves.add((h, 0, False, content))  # the page itself
+                leaves.update((h, key, content) for key in keys)
+                leaves.add((h, 0, content))  # the page itself
                 if len(leaves) >= HELD_LEAVES:
                     yield hand_leaves()
                 if len(held) >= HELD_HOSTS:
@@ -529,15 +636,14 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
             now = _merge(now, json.loads(p))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(now)], "pages": [now[2]]})
 
-    part = map_arrow(pages.select("url", F.col("html").cast("string").alias("html")), local, "host string, salt int, wrapper string, leaf long, inside boolean, content long")
+    part = map_arrow(pages.select("url", F.col("html").cast("string").alias("html")), local, "host string, salt int, wrapper string, leaf long, content long")
     part = write_shared(part, "host-parts")
     once = part.where("wrapper is not null").groupBy("host", "salt").applyInPandas(fold, "host string, wrapper string, pages long")
     whole = once.groupBy("host").applyInPandas(fold, "host string, wrapper string, pages long").where("pages > 1").withColumn("hk", F.xxhash64("host"))
-    seen = part.where("leaf is not null").select(F.xxhash64("host").alias("hk"), "leaf", "inside", "content").distinct().groupBy("hk", "leaf", "inside").agg(F.count("*").alias("n"))
+    seen = part.where("leaf is not null").select(F.xxhash64("host").alias("hk"), "leaf", "content").distinct().groupBy("hk", "leaf").agg(F.count("*").alias("n"))
     often = seen.where(F.col("n") >= TEMPLATE_PAGES)  # a host of fewer pages has no template text
     total = often.where("leaf = 0").select("hk", F.col("n").alias("total"))
-    share = F.when(F.col("inside"), TEMPLATE_SHARE[1]).otherwise(TEMPLATE_SHARE[0])
-    shared = often.where("leaf <> 0").join(total, "hk").where(F.col("n") >= share * F.col("total")).groupBy("hk").agg(F.collect_set("leaf").alias("shared"))
+    shared = often.where("leaf <> 0").join(total, "hk").where(F.col("n") >= TEMPLATE_SHARE * F.col("total")).groupBy("hk").agg(F.collect_set("leaf").alias("shared"))
     keys = F.coalesce(F.concat_ws(",", F.col("shared").cast("array<string>")), F.lit(""))
     return whole.join(shared, "hk", "left").select("host", F.concat(F.lit("["), "wrapper", F.lit(",["), keys, F.lit("]]")).alias("wrapper"))
 
