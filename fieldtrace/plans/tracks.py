@@ -11,7 +11,7 @@ from ..functions.scalars import det_round, gaussian_log, gps_week_time, log_like
 from ..functions.windows import by_pass
 from ..operators import evaluate, geometry, joins, learn, localize, maps, matching, resample, similarity
 from ..sources import datasource, logs
-from ..streaming import online
+from ..streaming import asof, online
 from .registry import GRID, SERIES, grid, query, r, series, table
 from .results import RES, res, rounded
 
@@ -502,6 +502,33 @@ def l1_l3_reliability_forest(spark, sf):
     return out.select("id", "tag", det_round("prob", 4).alias("prob"))
 
 
+LATE = "6 hours"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, user_id % 3 AS track, epoch_us(ts) AS t, value AS v FROM events), q AS (SELECT * FROM e WHERE event_type = 'view'),
+  p AS (SELECT track, t, max(v) AS v FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+  a AS (SELECT q.event_id, q.track, q.t, p.v AS v0, p.t AS t0 FROM q ASOF LEFT JOIN p ON q.track = p.track AND q.t >= p.t),
+  b AS (SELECT a.*, p.v AS v1, p.t AS t1 FROM a ASOF LEFT JOIN p ON a.track = p.track AND a.t <= p.t)
+  SELECT track, event_id, {r('CASE WHEN t1 = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END')} AS v FROM b""")
+def j2_j3_stream(spark, sf):
+    """The interpolating as-of join as a stream: events arrive in four files, each with rows up to five hours late from the one before."""
+    own = asof.store_session(spark)
+    folder = datasource.shared_folder(spark, "asof-stream")
+    e = table(own, sf, "events").where(F.col("event_type").isin("view", "purchase"))
+    kind = F.when(F.col("event_type") == "view", asof.QUERY).otherwise(asof.SOURCE)
+    rows = e.select((F.col("user_id") % 3).alias("track"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("v"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("id"), F.lit(5 * 3600))
+    span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
+    part = F.least(F.lit(3), F.floor((arrival - span["lo"]) * 4 / max(1, span["hi"] - span["lo"])))
+    for k in range(4):  # one after the other, as the stream takes files by their age, and a whole part at once
+        rows.where(part == k).repartition(8, "id").write.mode("append").parquet(f"{folder}/in")
+    last = rows.groupBy("track").agg(F.max("ts").alias("ts")).select("track", F.expr(f"explode(array(struct(ts, {asof.CLOSE} AS kind), struct(ts + INTERVAL 2 DAYS AS ts, {asof.TICK} AS kind)))").alias("x"))
+    last.select("track", "x.*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("v")).write.mode("append").parquet(f"{folder}/in")
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    got = asof.run_available(asof.asof_stream(stream, "track", "ts", LATE), folder)
+    return got.select("track", F.col("id").alias("event_id"), det_round("v").alias("v"))
+
+
 @query("""SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, user_id AS pass, count(*) AS n, """ + r("avg(value)") + """ AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY ALL""")
 def stream_windowed_summary(spark, sf):
     """The stream's windows over the whole table."""
