@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.scalars import det_round, number_after, short_label
-from ..operators import evaluate, maps
+from ..operators import evaluate, maps, quantiles
 from .registry import GRID, SERIES, grid, query, r, series, table
 
 RES = """res AS (SELECT o_orderkey AS id, 'seg' || (o_custkey % 40)::VARCHAR AS segment, o_orderpriority AS method, o_orderstatus AS tag, o_orderdate AS time,
@@ -95,7 +95,16 @@ WM = """c AS (SELECT cell, v, sum(n) OVER (PARTITION BY cell ORDER BY v) AS run,
 
 @query(f"WITH {SERIES}, {GRID}, {WM} SELECT cell, {r('min(v)')} AS wm FROM c WHERE run >= 0.5 * tot GROUP BY cell")
 def a10_weighted_median(spark, sf):
-    return stats.weighted_median(grid(spark, sf), ["cell"], "v", "n", "wm").select("cell", det_round("wm").alias("wm"))
+    return quantiles.weighted_median(grid(spark, sf), ["cell"], "v", "n", "wm").select("cell", det_round("wm").alias("wm"))
+
+
+@query("""WITH k AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS track, value, 1 + event_id % 3 AS n FROM events),
+  c AS (SELECT track, value, sum(n) OVER (PARTITION BY track ORDER BY value) AS run, sum(n) OVER (PARTITION BY track) AS tot FROM k) SELECT track, min(value) AS wm FROM c WHERE run >= 0.5 * tot GROUP BY track""")
+def a10_weighted_median_hot(spark, sf):
+    """Weighted medians of raw rows, half of which belong to one key."""
+    i = F.col("event_id")
+    rows = table(spark, sf, "events").select(F.when(i % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("track"), "value", (1 + i % 3).alias("n"))
+    return quantiles.weighted_median(rows, ["track"], "value", "n", "wm")
 
 
 SMOOTH = "CASE WHEN count(x) OVER w >= 1 THEN quantile_cont(x, 0.5) OVER w END"
