@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.scalars import det_round, gaussian_log, gps_week_time, log_likelihood, strip_crc, to_lat_lon, to_local_xy
 from ..functions.windows import by_pass
-from ..operators import evaluate, geometry, joins, learn, localize, maps, matching, resample, similarity
+from ..operators import evaluate, geometry, joins, learn, localize, maps, matching, resample, similarity, windowpairs
 from ..sources import datasource, logs
 from ..streaming import asof, online
 from .registry import GRID, SERIES, grid, query, r, series, table
@@ -392,6 +392,14 @@ def c7_c8_window_ncc(spark, sf):
     return out.select("pass", "start", "pred", det_round("best", 5).alias("best"), det_round("second", 5).alias("second"))
 
 
+@query(f"""WITH {SERIES}, {GRID}, {REFM}, {WIN} SELECT x.pass AS a, x.start AS a_start, y.pass AS b, y.start AS b_start, {r('list_dot_product(x.w, y.w) / 16', 5)} AS similarity
+  FROM wz x JOIN wz y ON x.pass < y.pass AND abs(x.start - y.start) <= 2 WHERE list_dot_product(x.w, y.w) / 16 >= 0.8""")
+def c1_c2_c8_alike_windows(spark, sf):
+    """Windows of different passes at most two cells apart that correlate by 0.8 or more."""
+    q, _ = _windows(spark, sf)
+    return windowpairs.alike_windows(q, "pass", 2, 0.8).withColumn("similarity", det_round("similarity", 5))
+
+
 @query(f"""WITH {SERIES}, {GRID}, {REFM}, l AS (SELECT unnest(range(-10, 11)) AS o), p AS (SELECT m.pass, o, m.v AS q, rv FROM m, l, rf WHERE rf.cell = m.cell + o),
   z AS (SELECT pass, o, (q - avg(q) OVER w) / stddev_pop(q) OVER w - (rv - avg(rv) OVER w) / stddev_pop(rv) OVER w AS d FROM p WINDOW w AS (PARTITION BY pass, o)),
   sh AS (SELECT pass, o, avg(d * d) AS msd FROM z GROUP BY ALL HAVING count(*) >= 30)
