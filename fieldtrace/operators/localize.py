@@ -123,7 +123,7 @@ def warp(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, band: float) -> D
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell", kind="stable")
-        total, at = kernels.banded_warp(pdf["cell"].to_numpy(dtype=float), pdf["v"].to_numpy(dtype=float), dist, ref, band)
+        total, at = warping.warp_path(pdf["v"].to_numpy(dtype=float), ref, pdf["cell"].to_numpy(dtype=float), dist, band)
         mapped = np.where(at >= 0, dist[np.clip(at, 0, len(dist) - 1)], np.nan)
         mapped = np.fmax.accumulate(mapped)  # a monotone map
         return pd.DataFrame({"pass": pdf["pass"], "cell": pdf["cell"], "v": pdf["v"], "mapped": mapped, "cost": total})
@@ -214,8 +214,8 @@ def warp_table(rows: DataFrame, band: float) -> DataFrame:
                 dist = np.arange(len(ref), dtype=float)
                 corr = lambda x, y: float(np.corrcoef(x, y)[0, 1]) if len(x) > 2 and x.std() > 0 and y.std() > 0 else None
                 inside = (c >= 0) & (c < len(ref))
-                _, free = kernels.warp_path((q[:, None] - ref[None, :]) ** 2)
-                _, near = kernels.banded_warp(c, q, dist, ref, band)
+                _, free = warping.warp_path(q, ref)
+                _, near = warping.warp_path(q, ref, c, dist, band)
                 ok = near >= 0
                 scale, offset = np.polyfit(c[ok], dist[near[ok]], 1) if ok.sum() > 1 else (None, None)
                 out.append((p, len(q), corr(q[inside], ref[c[inside].astype(int)]), corr(q, ref[free]) if (free >= 0).all() else None, corr(q[ok], ref[near[ok]]), scale, offset))

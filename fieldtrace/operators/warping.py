@@ -101,3 +101,72 @@ class WarpSearch:
                 if least < best or (least == best and first < place):
                     best, place = float(least), first
         return best / (2 * self.n), int(self.starts[place]) if place >= 0 else -1, warped
+
+
+# ---- paths
+#: Diagonals between two kept ones: memory is that of so many diagonals of moves, and of one diagonal for each so many.
+SEGMENT = 512
+
+
+def warp_path(q: np.ndarray, ref: np.ndarray, qs: np.ndarray | None = None, rs: np.ndarray | None = None, band: float = np.inf, open_ends: bool = True, segment: int = SEGMENT) -> tuple[float, np.ndarray]:
+    """Warp of least summed squared difference of ``q`` onto ``ref``: cost, and the last column of each row (-1: infeasible).
+
+    With coordinates ``qs`` and ``rs`` only cells at most ``band`` apart may meet. With ``open_ends`` a path may begin and end at any column.
+    Cells of one anti-diagonal do not depend on each other and are computed together. Moves are kept for one segment of diagonals at
+    a time: on the way back a segment is computed once more from the diagonals kept at its beginning, so memory does not grow with
+    the product of both lengths. Choices of equal cost: from above, then from the left, then diagonal.
+    """
+    n, m = len(q), len(ref)
+
+    def wave(d: int, before: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now, move = np.full(n, np.inf), np.zeros(n, dtype=np.int8)
+        low, high = max(0, d - m + 1), min(n - 1, d)
+        i = np.arange(low, high + 1)
+        j = d - i
+        cost = (q[i] - ref[j]) ** 2
+        if np.isfinite(band):
+            cost[np.abs(qs[i] - rs[j]) > band] = np.inf
+        best = np.where(i > 0, before[i - 1], np.inf)
+        left = np.where(j > 0, before[i], np.inf)
+        across = np.where((i > 0) & (j > 0), earlier[i - 1], np.inf)
+        kind = np.zeros(len(i), dtype=np.int8)
+        for value, k in ((left, 1), (across, 2)):
+            less = value < best
+            best, kind = np.where(less, value, best), np.where(less, np.int8(k), kind)
+        if low == 0:
+            best[0] = 0.0 if open_ends or d == 0 else left[0]
+            kind[0] = 0 if open_ends else 1
+        now[i], move[i] = best + cost, kind
+        return now, move
+
+    nothing = np.full(n, np.inf)
+    kept, last = [], np.full(m, np.inf)
+    before, earlier = nothing, nothing
+    for d in range(n + m - 1):
+        if d % segment == 0:
+            kept.append((before, earlier))
+        now, _ = wave(d, before, earlier)
+        if d >= n - 1:
+            last[d - n + 1] = now[n - 1]
+        before, earlier = now, before
+    out = np.full(n, -1, dtype=np.int64)
+    j = int(last.argmin()) if open_ends else m - 1
+    total = float(last[j])
+    if not np.isfinite(total):
+        return total, out
+    i, at, moves = n - 1, -1, []
+    while True:
+        if out[i] < 0:
+            out[i] = j
+        if i == 0 and (open_ends or j == 0):
+            return total, out
+        d = i + j
+        if d // segment != at:
+            at, moves = d // segment, []
+            before, earlier = kept[at]
+            for k in range(at * segment, d + 1):
+                now, move = wave(k, before, earlier)
+                moves.append(move)
+                before, earlier = now, before
+        k = moves[d - at * segment][i]
+        i, j = (i - 1, j) if k == 0 else (i, j - 1) if k == 1 else (i - 1, j - 1)
