@@ -21,6 +21,8 @@ SLICE_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 #: Shares that a hot key is dealt to where a join is salted.
 SALTS = 16
+#: Shares that rows with a null key are dealt to.
+NULL_SHARES = 4096
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -99,6 +101,14 @@ def attach(df: DataFrame, few: DataFrame, key: str, rows: int, spread: str) -> D
     return left.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt], "left").drop(salt)
 
 
+def left_by(df: DataFrame, few: DataFrame, key: str, spread: str, how: str) -> DataFrame:
+    """``df`` joined to ``few`` ('left' or 'left_anti') by ``key``, which is never null in ``few``. Rows with a null key match nothing; they are dealt out by ``spread``
+    instead of all meeting in one task."""
+    salt = unused([*df.columns, *few.columns], "salt")
+    dealt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(NULL_SHARES)).cast("int") + 1).otherwise(0)
+    return df.withColumn(salt, dealt).join(few.withColumn(salt, F.lit(0)), [key, salt], how).drop(salt)
+
+
 def keep_by_id(df: DataFrame, ids: DataFrame, key: str | list[str], rows: int) -> DataFrame:
     """``df`` rows whose ``key`` is in ``ids`` (``rows`` distinct keys): broadcast while the list is small, shuffled beyond."""
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids.hint("shuffle_hash"), key, "left_semi")

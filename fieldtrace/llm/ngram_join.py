@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, cut, keep_by_id, map_arrow, shingle_sets, slices, unused, write_shared
+from .common import attach, cut, keep_by_id, left_by, map_arrow, shingle_sets, slices, unused, write_shared
 from .components import connected_components
 
 #: Share of a set that the base prefix adds to the shortest valid one; each shingle added is one more match required.
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     parts = connected_components(edges)
     classes = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return sets.join(named, "digest", "left").select(
+    return left_by(sets, named, "digest", "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
@@ -305,9 +305,9 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows with a null id, null texts and wordless ones all stay; rows that repeat a staying id stay together. Columns may have any
     names. An empty table gives an empty result.
     """
-    gone = unused(docs.columns, "gone")
-    named = jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(named, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    key = unused(docs.columns, "key")
+    gone = jaccard_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return left_by(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key, "text", "left_anti").drop(key)
 
 
 def oracle(words: int, percent: int) -> str:

@@ -253,3 +253,19 @@ def test_alignment_edges(spark):
     got = {r.doc_id: r for r in alignment.align_documents(spark.createDataFrame([(1, None), (2, "word " * 100_000)], DOCS), A, B).collect()}
     assert tuple(got[1])[1:] == (0, 0, 0, 0, 0, 0, "") and got[2].n_a == 100_001
     assert got[2].n_links >= got[2].n_a and got[2].n_links == got[2].n_a + got[2].n_b - got[2].n_groups
+
+
+# ---- rows without a key
+def test_rows_without_a_key_are_dealt_out_and_kept(spark):
+    from fieldtrace.llm import ngram_join
+    from fieldtrace.llm.common import left_by
+
+    rows = [(None, f"text number {i} of many words here") for i in range(300)] + [(1, "one two three four five six"), (2, "one two three four five six"), (3, None), (None, None), (1, "one two three four five six")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("a.b", F.lit(1)).withColumn("salt", F.lit("mine"))
+    kept = ngram_join.keep_first(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if r[0] != 2)
+    few = spark.createDataFrame([(1,)], "k long")
+    many = spark.range(1000).select(F.lit(None).cast("long").alias("k"), F.col("id").cast("string").alias("t"))
+    spread = left_by(many, few.hint("shuffle_hash"), "k", "t", "left_anti").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 1 and sum(r["count"] for r in spread) == 1000
