@@ -367,25 +367,25 @@ def _reference(spark, sf):
     return grid(spark, sf).groupBy("cell").agg(F.avg("v").alias("v"))
 
 
-def _laid(spark, sf, low=10, high=30):
-    """Cells low..high of each pass by distance from the first."""
-    return matching.pass_arrays(grid(spark, sf).where(F.col("cell").between(low, high)), ["pass"]).withColumn("rel", F.transform("c", lambda x: (x - low).cast("double")))
+def _laid(spark, sf):
+    """All cells of each pass by distance from its begin."""
+    return matching.pass_arrays(grid(spark, sf), ["pass"]).withColumn("rel", F.transform("c", lambda x: x.cast("double")))
 
 
-@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, (cell - 10)::DOUBLE AS d, v AS q FROM m WHERE cell BETWEEN 10 AND 30), t AS ({_tries('qq', SCALES, 2)}), b AS ({_pick('t', 8)}) SELECT key AS pass, start, scale, {r('score', 5)} AS score, {r('second', 5)} AS second FROM b")
+@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, cell::DOUBLE AS d, v AS q FROM m), t AS ({_tries('qq', SCALES, 2)}), b AS ({_pick('t', 8)}) SELECT key AS pass, start, scale, {r('score', 5)} AS score, {r('second', 5)} AS second FROM b")
 def c29_c30_start_search(spark, sf):
-    """Start and scale of each pass's stretch by correlation with the map."""
+    """Start and scale of each pass by correlation with the map."""
     got = matching.best_try(matching.search_starts(_laid(spark, sf), _reference(spark, sf), ["pass"], SCALES, 2), ["pass"], 8)
     return got.select("pass", F.col("start").cast("long").alias("start"), "scale", det_round("score", 5).alias("score"), det_round("second", 5).alias("second"))
 
 
-LENGTHS = [16, 20, 24]
+LENGTHS = [24, 34, 44]
 
 
-@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, (cell - 10) / 20.0 AS d, v AS q FROM m WHERE cell BETWEEN 10 AND 30), t AS ({_tries('qq', LENGTHS, 2)}), b AS ({_pick('t', 8)}) SELECT key AS pass, start, scale AS length, {r('score', 5)} AS score FROM b")
+@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, cell / 47.0 AS d, v AS q FROM m), t AS ({_tries('qq', LENGTHS, 2)}), b AS ({_pick('t', 8)}) SELECT key AS pass, start, scale AS length, {r('score', 5)} AS score FROM b")
 def c31_time_scale_search(spark, sf):
-    """The length that a pass's stretch of time covers, from a sweep of assumed lengths."""
-    rows = _laid(spark, sf).withColumn("rel", F.transform("rel", lambda x: x / 20.0))
+    """The length that a pass covers, from a sweep of assumed lengths."""
+    rows = _laid(spark, sf).withColumn("rel", F.transform("rel", lambda x: x / 47.0))
     got = matching.best_try(matching.search_starts(rows, _reference(spark, sf), ["pass"], [float(x) for x in LENGTHS], 2), ["pass"], 8)
     return got.select("pass", F.col("start").cast("long").alias("start"), F.col("scale").alias("length"), det_round("score", 5).alias("score"))
 
@@ -406,10 +406,10 @@ def c32_c34_distinctive_window(spark, sf):
     return best.select("pass", "len", "first", F.col("start").cast("long").alias("start"), det_round("score", 5).alias("score"), det_round("margin", 5).alias("margin"))
 
 
-@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, (cell - 4)::DOUBLE AS d, v AS q FROM m WHERE cell BETWEEN 4 AND 43), t AS ({_tries('qq', [0.9, 1.0, 1.1], 1, 0.9)}), b AS ({_pick('t', 2)}) SELECT key AS pass, start, scale, {r('score', 5)} AS score FROM b")
+@query(f"WITH {SERIES}, {GRID}, {RFM}, qq AS (SELECT pass AS key, cell, cell::DOUBLE AS d, v AS q FROM m), t AS ({_tries('qq', [0.9, 1.0, 1.1], 1, 0.9)}), b AS ({_pick('t', 2)}) SELECT key AS pass, start, scale, {r('score', 5)} AS score FROM b")
 def c33_c35_whole_pass_alignment(spark, sf):
-    """The central part of a pass against all starts; nine tenths of it must lie on the map."""
-    got = matching.best_try(matching.search_starts(_laid(spark, sf, 4, 43), _reference(spark, sf), ["pass"], [0.9, 1.0, 1.1], 1, share=0.9), ["pass"], 2)
+    """A whole pass against all starts; nine tenths of it must lie on the map."""
+    got = matching.best_try(matching.search_starts(_laid(spark, sf), _reference(spark, sf), ["pass"], [0.9, 1.0, 1.1], 1, share=0.9), ["pass"], 2)
     return got.select("pass", F.col("start").cast("long").alias("start"), "scale", det_round("score", 5).alias("score"))
 
 
@@ -419,7 +419,8 @@ def c33_c35_whole_pass_alignment(spark, sf):
 def c36_left_out_match(spark, sf):
     """A stretch of each pass against the map of all other passes."""
     own = matching.without_own(grid(spark, sf))
-    rows = _laid(spark, sf).join(own, "pass")
+    stretch = grid(spark, sf).where(F.col("cell").between(10, 30))  # the feature: a stretch of a pass is looked for
+    rows = matching.pass_arrays(stretch, ["pass"]).withColumn("rel", F.transform("c", lambda x: (x - 10).cast("double"))).join(own, "pass")
     got = matching.best_try(matching.search_starts(rows, None, ["pass"], [1.0], 1, share=1.0), ["pass"], 8)
     return got.select("pass", F.col("start").cast("long").alias("start"), det_round("score", 5).alias("score"), det_round("second", 5).alias("second"))
 

@@ -150,9 +150,11 @@ def s14_s15_s16_segment_table(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("pass")).agg(F.min_by("event_id", "ts").alias("first_id"), F.count("*").alias("rows"), us(F.min("ts")).alias("start_us"), us(F.max("ts")).alias("end_us")).orderBy("start_us")
 
 
-@query("SELECT NULL::TIMESTAMP AS time, NULL::DOUBLE AS horiz_speed_mps WHERE false")
+@query("SELECT ts AS time, value AS horiz_speed_mps FROM events")
 def s17_optional_source(spark, sf):
-    return logs.optional_parquet(spark, f"{sf}/no_such_speed_table.parquet", "time timestamp_ntz, horiz_speed_mps double")
+    """Speeds of a table that is there and of one that is not."""
+    there = logs.optional_parquet(spark, f"{sf}/events.parquet", "ts timestamp_ntz, value double").select(F.col("ts").alias("time"), F.col("value").alias("horiz_speed_mps"))
+    return there.unionByName(logs.optional_parquet(spark, f"{sf}/no_such_speed_table.parquet", "time timestamp_ntz, horiz_speed_mps double"))
 
 
 @query(f"""WITH {RES}, k AS (SELECT method, tag, count(*) AS n, {r('median(abs(err))', 4)} AS med FROM res GROUP BY ALL) SELECT method, to_json({{'records': list_sort(list({{'method': method, 'tag': tag, 'n': n, 'med': med}}))}})::VARCHAR AS json FROM k GROUP BY method""")
