@@ -83,10 +83,14 @@ def viterbi(
     cell = float(np.median(np.diff(dist))) if states > 1 else 1.0
     dp = ll[0] + (0.0 if start is None else start)
     back = np.full((times, states), -1, dtype=np.int32)
-    fallback = False
+    fallback, known = False, {}  # moves and predecessors by reach
     for t in range(1, times):
         reach = reach_of(vmax, dt[t], cell)
-        moves = np.arange(0 if direction > 0 else -reach, (0 if direction < 0 else reach) + 1)  # state minus predecessor
+        if reach not in known:
+            moves = np.arange(0 if direction > 0 else -reach, (0 if direction < 0 else reach) + 1)  # state minus predecessor
+            before = np.arange(states)[None, :] - moves[::-1, None]  # ascending predecessor
+            known[reach] = moves, before, (before >= 0) & (before < states), np.clip(before, 0, states - 1)
+        moves, before, inside, clipped = known[reach]
         penalty = np.zeros(len(moves))
         v = moves * cell / max(dt[t], 1e-6)
         if smooth:
@@ -95,9 +99,7 @@ def viterbi(
             penalty -= speed_weight * 0.5 * ((np.abs(v) - speed[t]) / speed_sigma) ** 2
         if step is not None and step_weight and np.isfinite(step[t]):
             penalty -= step_weight * 0.5 * ((moves * cell - step[t]) / step_sigma) ** 2
-        before = np.arange(states)[None, :] - moves[::-1, None]  # ascending predecessor
-        inside = (before >= 0) & (before < states)
-        score = np.where(inside, dp[np.clip(before, 0, states - 1)], -np.inf)
+        score = np.where(inside, dp[clipped], -np.inf)
         total = score + penalty[::-1, None]
         pick = (total if mode == "exact" else score).argmax(axis=0)
         best = total[pick, np.arange(states)]

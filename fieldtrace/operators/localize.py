@@ -1,7 +1,7 @@
-"""Localisation of passes on a reference map: kernels run over (pass, configuration) groups.
+"""Localisation of passes on a reference map: kernels run over passes, one configuration after the other.
 
 The reference map is one track's cells; ``check_reference`` refuses one larger than a task should hold, and it travels to the
-tasks inside the function. Passes are independent, so the parallel unit is a pass with a configuration.
+tasks inside the function. Passes are independent and the parallel unit; rows are shuffled once, however many configurations there are.
 """
 
 from __future__ import annotations
@@ -42,10 +42,17 @@ def track(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[st
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", kind="stable")
-        cfg = dict(configs[pdf["config"].iloc[0]])
+        likelihoods: dict[tuple, np.ndarray] = {}  # shared by the configurations
+        return pd.concat([one(pdf, name, likelihoods) for name in configs], ignore_index=True)
+
+    def one(pdf: pd.DataFrame, name: str, likelihoods: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        cfg = dict(configs[name])
         column = lambda name: pdf[name].to_numpy(dtype=float)
         obs, sequence = column("obs"), cfg.pop("sequence", None)
-        ll = kernels.log_likelihood(obs, ref, cfg.pop("sigma", 1.2), cfg.pop("robust", True))
+        kind = cfg.pop("sigma", 1.2), cfg.pop("robust", True)
+        if kind not in likelihoods:
+            likelihoods[kind] = kernels.log_likelihood(obs, ref, *kind)
+        ll = likelihoods[kind]
         if gate := cfg.pop("gate", None):
             ll = kernels.uniqueness_gate(ll, dist, *gate)
         if gate := cfg.pop("rank_gate", None):
@@ -83,9 +90,9 @@ def track(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[st
                 speed = speed * scale
             got = kernels.viterbi(ll, dist, dt, vmax, speed=speed, **cfg)
             pred, score, margin, fallback = dist[got["path"]], got["score"], got["margin"], got["fallback"]
-        return pd.DataFrame({"pass": pdf["pass"], "config": pdf["config"], "idx": pdf["idx"], "pred": pred, "truth": pdf["truth"], "score": score, "margin": margin, "fallback": fallback})
+        return pd.DataFrame({"pass": pdf["pass"], "config": name, "idx": pdf["idx"], "pred": pred, "truth": pdf["truth"], "score": score, "margin": margin, "fallback": fallback})
 
-    return with_configs(passes, configs).groupBy("pass", "config").applyInPandas(run, TRACK)
+    return passes.groupBy("pass").applyInPandas(run, TRACK)
 
 
 def place_windows(queries: DataFrame, dist: np.ndarray, ref: np.ndarray, sigma: float = 0.8, step_sigma: float = 2.0, jump: int = 6) -> DataFrame:
