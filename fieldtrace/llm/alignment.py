@@ -33,9 +33,11 @@ from .bpe import _WS, byte_symbols
 from .common import map_arrow, slices, write_shared
 
 #: A block ends with so many characters of text, different chunks, or characters in them.
-BLOCK_CHARS, BLOCK_CHUNKS, BLOCK_CHUNK_CHARS = 32 << 20, 400_000, 12 << 20
+BLOCK_CHARS, BLOCK_CHUNKS, BLOCK_CHUNK_CHARS = 24 << 20, 300_000, 10 << 20
 #: Chunks of one text handed to the libraries.
 CALL_CHUNKS = 2_000
+#: Documents handed on at once.
+HANDED_DOCS = 1_000
 #: The space mark of the second tokenizer's pieces (a fixed value).
 MARK = "▁"
 _STORED = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, sizes binary, at int, a int, b int, n long"
@@ -311,8 +313,11 @@ class _Block:
         n = len(self.ids)
         sums = [_per_text(x, self.codes) for x in (n_a, n_b, n_groups, n_links)]
         digests = [hashlib.sha256(b"".join([groups[c] for c in codes.tolist()])[:-1]).hexdigest() if len(codes) else "" for codes in self.codes]
-        yield _batch(n, kind=[_DOC] * n, block=[number] * n, doc_id=self.ids, n_a=sums[0], n_b=sums[1], n_groups=sums[2], n_links=sums[3],
-                     groups_sha256=digests, codes=[_planes(c) for c in self.codes])
+        for at in range(0, n, HANDED_DOCS):
+            own = slice(at, min(n, at + HANDED_DOCS))
+            k = own.stop - at
+            yield _batch(k, kind=[_DOC] * k, block=[number] * k, doc_id=self.ids[own], n_a=sums[0][own], n_b=sums[1][own], n_groups=sums[2][own],
+                         n_links=sums[3][own], groups_sha256=digests[own], codes=[_planes(c) for c in self.codes[own]])
         place = np.searchsorted(pair, link).astype("<i4")  # of every link among the block's pairs
         yield _batch(1, kind=[_CHUNKS], block=[number], codes=[place.tobytes()], sizes=[n_links.astype("<i4").tobytes()])
         yield _batch(len(pair), kind=np.full(len(pair), _PAIR), block=np.full(len(pair), number), at=np.arange(len(pair)), a=pair >> 32, b=pair & 0xFFFFFFFF, n=count)
