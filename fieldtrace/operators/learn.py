@@ -1,7 +1,11 @@
-"""Reliability learning: candidate features and a leave-one-segment-out random forest."""
+"""Reliability learning: candidate features, a leave-one-segment-out random forest, and boosted trees of all folds at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -40,3 +44,137 @@ def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str
         out = out.unionByName(p)
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="prob").evaluate(out.withColumn(label, F.col(label).cast("double")))
     return out.drop("_x", "rawPrediction", "probability"), auc
+
+
+class Tree:
+    """A binary tree over bins of features: node k has the children 2 k + 1 (bin at most the cut) and 2 k + 2; feature -1 is a leaf."""
+
+    def __init__(self, depth: int) -> None:
+        size = 2 ** (depth + 1) - 1
+        self.feature, self.cut, self.value = np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size)
+
+    def node(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf, or the node that is not yet split, of each row."""
+        at = np.zeros(len(bins), dtype=np.int64)
+        while True:
+            f = self.feature[at]
+            inner = np.flatnonzero(f >= 0)
+            if not len(inner):
+                return at
+            at[inner] = 2 * at[inner] + 1 + (bins[inner, f[inner]] > self.cut[at[inner]])
+
+
+def best_split(hist: np.ndarray, least: int, l2: float) -> tuple[int, int, float]:
+    """Feature and last bin on the left of the greatest gain, and the gain, from sums (feature, bin, (gradient, curvature, rows)); -1: none."""
+    left = hist.cumsum(axis=1)
+    whole = left[:, -1:, :]
+    right = whole - left
+    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + l2)
+    gain = np.where((left[..., 2] >= least) & (right[..., 2] >= least), score(left) + score(right) - score(whole), -np.inf)
+    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    return (int(f), int(b), float(gain[f, b])) if gain[f, b] > 1e-9 else (-1, 0, 0.0)
+
+
+def leave_one_out_trees(df: DataFrame, segment: str, label: str, features: list[str], trees: int = 10, depth: int = 3, bins: int = 32, rate: float = 0.3, least: int = 8, l2: float = 1.0) -> DataFrame:
+    """``df`` with ``prob``: the probability of label 1 by boosted trees that were fitted on the rows of all other segments.
+
+    The folds of all segments grow together: a level of all their trees is one aggregation of histograms, whose size is that of folds,
+    nodes, features and bins, whatever the rows. While all folds score alike (at the first root) histograms are made by segment, and
+    a fold's is all segments' less its own. Null features count as 0; a null segment is a segment; rows with a null label are scored
+    but not learned from. A fold whose other rows have one class only has a null ``prob``. At most 64 segments.
+    """
+    names = sorted((r[0] for r in df.select(segment).distinct().limit(65).collect()), key=lambda x: (x is not None, x))
+    if len(names) > 64:
+        raise ValueError("more than 64 segments; group them")
+    number = {x: i for i, x in enumerate(names)}
+    folds, nf = len(names), len(features)
+    plain = df.na.fill(0.0, features)
+    shares = [i / bins for i in range(1, bins)]
+    got = plain.agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*map(F.lit, shares)), F.lit(10_000)).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    cuts = [np.unique(np.array(got[f"q{i}"] or [], dtype=float)) for i in range(nf)]
+    models: list[list[Tree]] = [[] for _ in range(folds)]
+    rows = plain.select(F.col(segment).alias("s"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).persist()
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+        binned = np.stack([np.searchsorted(cuts[i], batch.column(2 + i).to_numpy(zero_copy_only=False), "left") for i in range(nf)], axis=1) if nf else np.zeros((len(own), 0), dtype=np.int64)
+        return own, binned
+
+    def histograms(frontier: list[list[int]], by_segment: bool) -> np.ndarray:
+        """Sums by (fold, node of the frontier, feature, bin)."""
+        size = max(map(len, frontier))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((folds, size, nf, bins, 3))
+            for batch in batches:
+                own, binned = read(batch)
+                y = batch.column(1).to_numpy(zero_copy_only=False)
+                for fold in range(folds):
+                    use = np.flatnonzero(~np.isnan(y) & ((own == fold) if by_segment else (own != fold)))
+                    p = 1 / (1 + np.exp(-margin(models[fold][:-1], binned[use], rate)))
+                    node = models[fold][-1].node(binned[use])
+                    weights = (y[use] - p, p * (1 - p), np.ones(len(use)))
+                    for at, k in enumerate(frontier[fold]):
+                        here = np.flatnonzero(node == k)
+                        for i in range(nf):
+                            for w, values in enumerate(weights):
+                                total[fold, at, i, :, w] += np.bincount(binned[use][here, i], weights=values[here], minlength=bins)
+            full = np.flatnonzero(total[..., 2].ravel())
+            flat = total.reshape(-1, 3)[full]
+            yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(np.ascontiguousarray(flat[:, w])) for w in range(3))], names=["at", "g", "h", "n"])
+
+        out = np.zeros((folds * size * nf * bins, 3))
+        for r in rows.mapInArrow(run, "at long, g double, h double, n double").groupBy("at").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect():
+            out[r[0]] = r[1:]
+        out = out.reshape(folds, size, nf, bins, 3)
+        return out.sum(axis=0, keepdims=True) - out if by_segment else out
+
+    fit = np.ones(folds, dtype=bool)
+    for t in range(trees if nf and folds else 0):
+        for m in models:
+            m.append(Tree(depth))
+        frontier = [[0] for _ in range(folds)]
+        for level in range(depth + 1):
+            hist = histograms(frontier, t == 0 and level == 0)
+            if t == 0 and level == 0:  # at the margin 0 a gradient is 1/2 or -1/2, so its sum tells the classes apart
+                g, n = hist[:, 0, 0, :, 0].sum(axis=1), hist[:, 0, 0, :, 2].sum(axis=1)
+                fit = np.abs(g) < n / 2 - 1e-9
+            new: list[list[int]] = []
+            for fold in range(folds):
+                tree, below = models[fold][-1], []
+                for at, k in enumerate(frontier[fold]):
+                    own = hist[fold, at]
+                    g, h, _ = own[0].sum(axis=0)
+                    tree.value[k] = g / (h + l2)
+                    f, b, _ = best_split(own, least, l2) if level < depth else (-1, 0, 0.0)
+                    if f >= 0:
+                        tree.feature[k], tree.cut[k] = f, b
+                        below += [2 * k + 1, 2 * k + 2]
+                new.append(below)
+            frontier = new
+            if not any(frontier):
+                break
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 2 - nf + i) for i in range(2 + nf)], names=["s", "y", *(f"x{i}" for i in range(nf))])
+            own, binned = read(table)
+            prob = np.full(len(own), np.nan)
+            for fold in range(folds):
+                mine = np.flatnonzero(own == fold)
+                if fit[fold] and nf:
+                    prob[mine] = 1 / (1 + np.exp(-margin(models[fold], binned[mine], rate)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -2 - nf], pa.array(prob, pa.float64(), from_pandas=True)], names=[*batch.schema.names[: -2 - nf], "prob"])
+
+    rows.unpersist()
+    extra = {"_s": F.col(segment), "_y": F.lit(0.0), **{f"_x{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate(features)}}
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.withColumns(extra).mapInArrow(score, f"{schema}, prob double")
+
+
+def margin(trees: list[Tree], bins: np.ndarray, rate: float) -> np.ndarray:
+    """Sum of the trees' values, each by the learning rate."""
+    out = np.zeros(len(bins))
+    for t in trees:
+        out += rate * t.value[t.node(bins)]
+    return out

@@ -512,6 +512,14 @@ def l1_l3_reliability_forest(spark, sf):
     return out.select("id", "tag", det_round("prob", 4).alias("prob"))
 
 
+@query()
+def l3_left_out_trees(spark, sf):
+    """Leave-one-tag-out reliability of results by boosted trees whose folds grow together."""
+    rows = res(spark, sf).select("id", "tag", "margin", "err", (F.col("id") % 7).cast("double").alias("f1"), (F.abs("err") <= 25).cast("int").alias("good"))
+    out = learn.leave_one_out_trees(learn.disagreement(rows, ["margin", "f1"]), "tag", "good", ["margin", "f1", "cand_mean", "cand_range", "cand_gap"], trees=5)
+    return out.select("id", "tag", det_round("prob", 4).alias("prob"))
+
+
 LATE = "6 hours"
 
 
