@@ -34,7 +34,7 @@ def test_limited_fill_is_pandas_interpolation(spark):
         frames.append(pd.DataFrame({"p": p, "i": np.arange(40), "v": v}))
     pdf = pd.concat(frames)
     df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
-    got = df.select("p", "i", windows.linear_fill("v", by_pass("p", "i"), "i", limit=3).alias("f")).toPandas().sort_values(["p", "i"])
+    got = df.select("p", "i", windows.linear_fill("v", "p", "i", limit=3).alias("f")).toPandas().sort_values(["p", "i"])
     want = pdf.groupby("p")["v"].transform(lambda s: s.interpolate(limit=3, limit_direction="both"))
     np.testing.assert_allclose(got["f"].to_numpy(dtype=float), want.to_numpy(), atol=1e-12)
 
