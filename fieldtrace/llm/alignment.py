@@ -36,6 +36,8 @@ from .common import map_arrow, slices, write_shared
 BLOCK_CHARS, BLOCK_CHUNKS, BLOCK_CHUNK_CHARS = 24 << 20, 300_000, 10 << 20
 #: Chunks of one text handed to the libraries.
 CALL_CHUNKS = 2_000
+#: Tokens of the first tokenizer that DuckDB gets at once: a longer line is cut where both tokenizers begin a token.
+PIECE_TOKENS = 1 << 20
 #: Documents handed on at once.
 HANDED_DOCS = 1_000
 #: The space mark of the second tokenizer's pieces (a fixed value).
@@ -211,6 +213,29 @@ def _connect() -> duckdb.DuckDBPyConnection:
     return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
 
 
+def _pieces(at_a: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of the line of about PIECE_TOKENS tokens, cut where both tokenizers begin a token; one range at least."""
+    whole = int(at_a[-1])
+    if len(at_a) <= PIECE_TOKENS:
+        return [(0, whole)]
+    common = np.intersect1d(at_a[:-1], at_b[:-1], assume_unique=True)
+    cuts = common[np.minimum(np.searchsorted(common, at_a[PIECE_TOKENS:-1:PIECE_TOKENS]), len(common) - 1)]
+    edges = np.unique(np.concatenate([[0], cuts, [whole]])).tolist()
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _piece(rows: dict[str, pa.Table], low: int, high: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links (chunk, a, b), in the order of chunks, and groups (begin, number from 1 on) of the tokens from ``low`` to ``high``."""
+    with _connect() as db:
+        for name, table in rows.items():
+            lo, hi = table["lo"].to_numpy(), table["hi"].to_numpy()
+            part = slice(int(np.searchsorted(hi, low, "right")), int(np.searchsorted(lo, high)))
+            db.register(f"{name}_rows", table.slice(part.start, part.stop - part.start))
+            db.execute(f"CREATE TEMP TABLE {name} AS SELECT * FROM {name}_rows")
+        db.execute(_LINKS)
+        return _columns(db, _DEALT, "chunk", "a", "b"), _columns(db, _GROUPS, "lo", "g")
+
+
 class Alignment:
     """Groups and links of chunks."""
 
@@ -219,15 +244,16 @@ class Alignment:
         a, b = tokens.flat()
         at_a, at_b = _starts(encoder.length_a[a]), _starts(encoder.length_b[b])
         edge = at_a[_starts(self.n_a)]
-        with _connect() as db:
-            db.register("a_rows", pa.table({"id": a, "lo": at_a[:-1], "hi": at_a[1:]}))
-            db.register("b_rows", pa.table({"id": b, "lo": at_b[:-1], "hi": at_b[1:]}))
-            db.register("chunk_rows", pa.table({"chunk": np.arange(count), "lo": edge[:-1], "hi": edge[1:]}).filter(pa.array(self.n_a > 0)))
-            for name in ("a", "b", "chunk"):
-                db.execute(f"CREATE TEMP TABLE {'chunks' if name == 'chunk' else name} AS SELECT * FROM {name}_rows")
-            db.execute(_LINKS)
-            chunk, link_a, link_b = _columns(db, _DEALT, "chunk", "a", "b")
-            begin, number = _columns(db, _GROUPS, "lo", "g")
+        rows = {"a": pa.table({"id": a, "lo": at_a[:-1], "hi": at_a[1:]}), "b": pa.table({"id": b, "lo": at_b[:-1], "hi": at_b[1:]})}
+        rows["chunks"] = pa.table({"chunk": np.arange(count), "lo": edge[:-1], "hi": edge[1:]}).filter(pa.array(self.n_a > 0))
+        links, groups, groups_before = [], [], 0
+        for low, high in _pieces(at_a, at_b):
+            found, (begin, number) = _piece(rows, low, high)
+            links.append(found)
+            groups.append((begin, number + groups_before))
+            groups_before += len(begin)
+        chunk, link_a, link_b = (np.concatenate(x) for x in zip(*links, strict=True))
+        begin, number = (np.concatenate(x) for x in zip(*groups, strict=True))
         group_a, group_b = (number[np.searchsorted(begin, at[:-1], "right") - 1] for at in (at_a, at_b))
         self.n_links = np.bincount(chunk, minlength=count)
         #: The pair of every link, in the order of chunks.

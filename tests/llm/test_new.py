@@ -229,6 +229,24 @@ def odd_texts() -> list[tuple]:
     return [*out, (None, "nameless"), (5, out[5][1])]
 
 
+def test_a_line_in_pieces_is_aligned_like_a_whole_one(monkeypatch):
+    encoder = alignment.PairEncoder.shared(A, B)
+    rng = random.Random(6)
+    chunks = [" " + "".join(rng.choice("aeiourstnl漢é.,") for _ in range(rng.randint(1, 40))) for _ in range(300)] + [" " + "z1" * 4000]
+    tokens = encoder.encode_chunks(chunks)
+    whole = alignment.Alignment(tokens, encoder)
+    for size in (1, 50, 3000):
+        monkeypatch.setattr(alignment, "PIECE_TOKENS", size)
+        if size == 1:
+            chunks_ = chunks[:20]
+            few, cut = alignment.Alignment(encoder.encode_chunks(chunks_), encoder), 20
+        else:
+            few, cut = alignment.Alignment(tokens, encoder), len(chunks)
+        assert few.groups == whole.groups[:cut] and few.n_groups.tolist() == whole.n_groups[:cut].tolist() and few.n_links.tolist() == whole.n_links[:cut].tolist()
+        ends = np.cumsum(np.concatenate([[0], few.n_links]))
+        assert all(sorted(few.link[x:y]) == sorted(whole.link[x:y]) for x, y in zip(ends, ends[1:], strict=False))
+
+
 @pytest.mark.parametrize("block_chars", [alignment.BLOCK_CHARS, 300])  # one block for each task, and many
 def test_alignment_equals_brute_force(spark, block_chars):
     rows = odd_texts()
