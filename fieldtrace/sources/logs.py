@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gps_week_time, nmea_degrees, nmea_time, strip_crc
+from ..operators import matching
 
 # Fixed values of the formats.
 GPGGA_PREFIX, GPGGA_FIELDS = "$GPGGA", 10
 INSPVAX_PREFIX, INSPVAX_HEADER_FIELDS, INSPVAX_BODY_FIELDS = "#INSPVAX", 7, 22
 MAG_COLUMNS = ("time_text", "mag_x", "mag_y", "mag_z", "pitch", "roll", "yaw")
 
+#: Rows of a table that becomes JSON text.
+MAX_RECORDS = 1_000_000
+
 
 def parse_gpgga(lines: DataFrame, day, leap_seconds: int = 0, *keep: str) -> DataFrame:
     """Position sentences: time, lat, lon, fix_quality, satellites, hdop, alt_m. Blank quality and satellites are 0, blank hdop and altitude null."""
@@ -121,6 +125,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def records_json(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One JSON text of all rows' records (of each key's): for small summary tables only."""
+    """One JSON text of all rows' records (of each key's): for summary tables, whose rows are counted before they are gathered."""
+    df = matching.checked(df, F.lit(1), MAX_RECORDS, "summary")
     packed = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("*"))).alias("records"))).alias("json")
     return df.groupBy(*(keys or [])).agg(packed)
