@@ -15,11 +15,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows of a group in the exact mode.
-GROUP = 1024
+#: Windows of a group in the exact mode, and of a tile of the product of two groups.
+GROUP, TILE = 8192, 1024
 #: Bands of hyperplanes and planes of a band; their seed.
 BANDS, PLANES, SEED = 16, 6, 7
 _OUT = "a long, a_start long, b long, b_start long, similarity double"
@@ -35,9 +35,11 @@ def alike_windows(windows: DataFrame, key: str, radius: int, least: float, mode:
     """``a, a_start, b, b_start, similarity``: windows (key, start, w) of passes a < b with starts at most ``radius`` apart and a
     correlation of at least ``least``.
 
-    ``w`` are standardised windows of one length n (mean 0, sum of squares n). Keys and starts are not null.
+    ``w`` are standardised windows of one length n (mean 0, sum of squares n). Keys and starts are not null. Two windows of one pass
+    meet (the earlier is a) only where a boolean column ``many`` is there and true for one of them.
     """
-    rows = windows.select(F.col(key).cast("long").alias("k"), F.col("start").cast("long").alias("s"), "w").withColumn("own", F.floor(F.col("s") / (radius + 1)))
+    many = F.col("many") if "many" in windows.columns else F.lit(False)
+    rows = windows.select(F.col(key).cast("long").alias("k"), F.col("start").cast("long").alias("s"), "w", many.alias("many")).withColumn("own", F.floor(F.col("s") / (radius + 1)))
     # a window meets those of its own bucket there, and later ones of the next bucket in that one
     placed = rows.withColumn("bucket", F.explode(F.array("own", F.col("own") + 1)))
     if mode == "bands":
@@ -52,21 +54,22 @@ def alike_windows(windows: DataFrame, key: str, radius: int, least: float, mode:
         dealt = placed.withColumn("g", g).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"i": F.least("g", "o"), "j": F.greatest("g", "o"), "band": F.lit(0), "side": F.lit(0)}).drop("o")
 
     def meet(table: pa.Table) -> pa.Table:
-        k, s, own, bucket, g = (table[c].to_numpy() for c in ("k", "s", "own", "bucket", "g"))
+        k, s, own, bucket, g, many = (table[c].to_numpy() for c in ("k", "s", "own", "bucket", "g", "many"))
         w = np.stack(table["w"].to_numpy()) if len(k) else np.empty((0, 1))
         left, right = np.flatnonzero(g == table["i"][0].as_py()), np.flatnonzero(g == table["j"][0].as_py())
         out = []
-        for at in range(0, len(left), GROUP):
-            x = left[at : at + GROUP]
-            for on in range(0, len(right), GROUP):
-                y = right[on : on + GROUP]
+        for at in range(0, len(left), TILE):
+            x = left[at : at + TILE]
+            for on in range(0, len(right), TILE):
+                y = right[on : on + TILE]
                 p, q = np.nonzero(w[x] @ w[y].T >= least * w.shape[1] * (1 - 1e-9))
                 p, q = x[p], y[q]
                 # the later window is at home here; of one group each pair comes in both orders, of two in one
-                near = (k[p] < k[q]) & (np.abs(s[p] - s[q]) <= radius) if table["i"][0] == table["j"][0] else (k[p] != k[q]) & (np.abs(s[p] - s[q]) <= radius)
+                alone = (k[p] == k[q]) & (many[p] | many[q])
+                before, behind = (k[p] < k[q]) | (alone & (s[p] < s[q])), (k[p] > k[q]) | (alone & (s[p] > s[q]))
+                near = (before if table["i"][0] == table["j"][0] else before | behind) & (np.abs(s[p] - s[q]) <= radius)
                 near &= np.maximum(own[p], own[q]) == bucket[p]
-                p, q = p[near], q[near]
-                turned = k[p] > k[q]
+                p, q, turned = p[near], q[near], behind[near]
                 p, q = np.where(turned, q, p), np.where(turned, p, q)
                 score = np.einsum("ij,ij->i", w[p], w[q]) / w.shape[1]
                 keep = score >= least
@@ -78,6 +81,22 @@ def alike_windows(windows: DataFrame, key: str, radius: int, least: float, mode:
     return met.dropDuplicates(["a", "a_start", "b", "b_start"]) if mode == "bands" else met
 
 
+def alike_classes(windows: DataFrame, key: str, radius: int, least: float, **kw) -> DataFrame:
+    """``kind, a, a_start, b, b_start, similarity``: ``alike_windows`` without its copies.
+
+    Windows of one start whose values are the same up to nine decimals are a class, and its smallest pass stands for it. A 'pair' is of two classes, from
+    which windows of different passes can be taken (so both may stand at one pass, if one class has another); each further window of a class is a
+    'member' beside the first, like it by 1. What is compared grows with the different windows, what is returned with their pairs and the copies.
+    """
+    same = F.sha2(F.array_join(F.transform("w", lambda x: F.floor(x * 1e9 + 0.5).cast("string")), ","), 256)
+    p = Window.partitionBy("start", "_same")
+    rows = windows.select(F.col(key).cast("long").alias(key), F.col("start").cast("long").alias("start"), "w").withColumn("_same", same)
+    placed = rows.withColumns({"rep": F.min(key).over(p), "many": F.count("*").over(p) > 1})
+    pairs = alike_windows(placed.where(F.col(key) == F.col("rep")), key, radius, least, **kw)
+    copies = placed.where(F.col(key) != F.col("rep")).select(F.lit("member").alias("kind"), F.col("rep").alias("a"), F.col("start").alias("a_start"), F.col(key).alias("b"), F.col("start").alias("b_start"), F.lit(1.0).alias("similarity"))
+    return pairs.select(F.lit("pair").alias("kind"), "a", "a_start", "b", "b_start", "similarity").unionByName(copies)
+
+
 def _banded(placed: DataFrame, n: int, bands: int, planes: int) -> DataFrame:
     """Rows once for each band, with the sides of its planes that the window lies on."""
     hyper = np.random.default_rng(SEED).normal(size=(bands, planes, n))
