@@ -119,8 +119,9 @@ def near_only(scores: Column | str, near: Column, radius: float | None) -> Colum
 
 
 def top_entry(scores: Column | str) -> Column:
-    """(score, m) of the greatest score, m being the first such place with its sign turned."""
-    return F.array_max(F.transform(F.filter(scores, lambda t: t["score"].isNotNull() & ~F.isnan(t["score"])), lambda t: F.struct(t["score"].alias("score"), (-t["s"]).alias("m"))))
+    """(score, m) of the greatest score, m being the first such place with its sign turned. Scores the same up to nine decimals are equal."""
+    ranked = lambda t: F.struct(F.floor(t["score"].cast("double") * 1e9 + 0.5).alias("k"), (-t["s"]).alias("m"), t["score"].alias("score"))
+    return F.array_max(F.transform(F.filter(scores, lambda t: t["score"].isNotNull() & ~F.isnan(t["score"])), ranked))
 
 
 def best_of(df: DataFrame, keys: list[str], zone: float, scores: Column | str = "scores") -> DataFrame:
