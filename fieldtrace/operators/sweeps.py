@@ -100,7 +100,7 @@ def summary(metrics: DataFrame, *keys: str) -> DataFrame:
 
 
 def scale_posterior(metrics: DataFrame, key: str, scale: str, score: str, lambdas: list[float]) -> DataFrame:
-    """The scale of each key by score less lambda times its squared logarithm, for each lambda, beside the scale of the least error. First of equal ones: the smaller."""
-    picks = [F.max(F.struct((F.col(score) - lam * F.log(scale) ** 2).alias("s"), (-F.col(scale)).alias("k"))).alias(f"_{i}") for i, lam in enumerate(lambdas)]
+    """The scale of each key by score less lambda times its squared logarithm, for each lambda, beside the scale of the least error. First of equal ones (scores: up to nine decimals): the smaller."""
+    picks = [F.max(F.struct(F.floor((F.col(score) - lam * F.log(scale) ** 2) * 1e9 + 0.5).alias("s"), (-F.col(scale)).alias("k"))).alias(f"_{i}") for i, lam in enumerate(lambdas)]
     rows = metrics.groupBy(key).agg(F.min(F.struct("median_abs", scale)).alias("_best"), *picks)
     return rows.select(key, F.col(f"_best.{scale}").alias("oracle"), *[(-F.col(f"_{i}.k")).alias(f"lambda_{lam:g}") for i, lam in enumerate(lambdas)])
