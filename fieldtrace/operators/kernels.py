@@ -115,6 +115,66 @@ def viterbi(
     return {"path": path, "score": float(dp[end]), "margin": float(dp[end] - np.percentile(dp, 99)), "fallback": bool(fallback), "dp": dp, "back": back}
 
 
+def viterbi_batch(ll: np.ndarray, rows: np.ndarray, dist: np.ndarray, period: float, vmax: float, direction: int = 0, smooth: float = 0.0, speed: np.ndarray | None = None, speed_sigma: float = 0.35, speed_weight: float = 0.0, start: np.ndarray | None = None, mode: str = "exact", step: np.ndarray | None = None, step_sigma: float = 1.0, step_weight: float = 0.0, lag: int | None = None) -> dict:
+    """``viterbi`` of many passes at once, a time of all of them as one step; the same paths, scores and margins.
+
+    ``ll`` is (passes, times, states), padded behind each pass's own ``rows``; speed, step and start have a row for each pass. With ``lag``
+    ``path`` has the state at each time as known so many samples later (``fixed_lag``).
+    """
+    passes, times, states = ll.shape
+    cell = float(np.median(np.diff(dist))) if states > 1 else 1.0
+    reach, every = reach_of(vmax, period, cell), np.arange(states)
+    moves = np.arange(0 if direction > 0 else -reach, (0 if direction < 0 else reach) + 1)[::-1]  # ascending predecessor
+    v = moves * cell / max(period, 1e-6)
+    dp = ll[:, 0] + (0.0 if start is None else start)
+    back = np.full((times, passes, states), -1, dtype=np.int32)
+    fallback = np.zeros(passes, dtype=bool)
+    ends = np.empty((passes, times), dtype=np.int64) if lag is not None else None
+    if ends is not None:
+        ends[:, 0] = dp.argmax(axis=1)
+    for t in range(1, times):
+        penalty = np.zeros((passes, len(moves)))
+        if smooth:
+            penalty -= smooth * v * v
+        if speed is not None and speed_weight:
+            penalty -= np.where(np.isfinite(speed[:, t, None]), speed_weight * 0.5 * ((np.abs(v) - speed[:, t, None]) / speed_sigma) ** 2, 0.0)
+        if step is not None and step_weight:
+            penalty -= np.where(np.isfinite(step[:, t, None]), step_weight * 0.5 * ((moves * cell - step[:, t, None]) / step_sigma) ** 2, 0.0)
+        top, best, pick = np.full((passes, states), -np.inf), np.full((passes, states), -np.inf), np.tile(every - moves[0], (passes, 1))
+        for k, m in enumerate(moves):  # the first of equal ones stays
+            lo, hi = max(0, m), min(states, states + m)
+            if lo >= hi:
+                continue
+            at = dp[:, lo - m : hi - m]
+            total = at + penalty[:, k, None]
+            better = (total if mode == "exact" else at) > top[:, lo:hi]
+            top[:, lo:hi] = np.where(better, total if mode == "exact" else at, top[:, lo:hi])
+            best[:, lo:hi] = np.where(better, total, best[:, lo:hi])
+            pick[:, lo:hi] = np.where(better, every[lo:hi] - m, pick[:, lo:hi])
+        ok = np.isfinite(best)
+        live = t < rows
+        fallback |= live & ~ok.any(axis=1)
+        back[t] = np.where(ok, pick, every)
+        dp = np.where(live[:, None], np.where(ok, best, dp + FLOOR) + ll[:, t], dp)
+        if ends is not None:
+            ends[:, t] = dp.argmax(axis=1)
+    one, path, last = np.arange(passes), np.zeros((passes, times), dtype=np.int64), rows - 1
+    if lag is None:
+        state = dp.argmax(axis=1)
+        for t in range(times - 1, -1, -1):
+            path[:, t] = state
+            if t:
+                state = np.where(t <= last, back[t, one, state], state)
+    else:
+        at = np.arange(times)[None, :]
+        known = np.minimum(at + lag, last[:, None])
+        path = ends[one[:, None], known]
+        for back_by in range(lag):
+            t = known - back_by
+            path = np.where((t > at) & (t > 0), back[np.maximum(t, 0), one[:, None], path], path)
+    return {"path": path, "score": dp.max(axis=1), "margin": dp.max(axis=1) - np.percentile(dp, 99, axis=1), "fallback": fallback}
+
+
 def fixed_lag(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, lag: int, **kw) -> np.ndarray:
     """State at each time as known ``lag`` samples later; only the last ``lag`` back pointers are kept."""
     times, states = ll.shape
