@@ -44,6 +44,27 @@ def cut_blocks(df: DataFrame, keys: list[str], x: str, rows: int = BLOCK_ROWS) -
     return out.drop("_lo", "_hi", "_bins", "_cuts")
 
 
+def range_totals(points: DataFrame, t: str, value: str, spans: DataFrame, key: str, start: str, stop: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, n, total): number and sum of the points inside [start, stop] of each span, from running sums read at its two ends.
+
+    So work grows with points and spans, not with the points in each span. Sums are decimals (twelve places), hence exact in any
+    order. ``key`` is unique; spans without a point, and with a null or turned-round end, have no row.
+    """
+    held = points.where(c(t).isNotNull() & c(value).isNotNull()).groupBy(c(t).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(c(value).cast("decimal(28,12)")).alias("s"))
+    none, nothing = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,12)")
+    ends = spans.where(c(start) <= c(stop)).select(c(key).alias("key"), F.explode(F.array(F.struct(c(start).cast("double").alias("x"), F.lit(0).alias("o")), F.struct(c(stop).cast("double").alias("x"), F.lit(2).alias("o")))).alias("e"))
+    both = held.select("x", F.lit(1).alias("o"), F.lit(None).alias("key"), "n", "s").unionByName(ends.select("e.x", "e.o", "key", none.alias("n"), nothing.alias("s")))
+    cut = cut_blocks(both.withColumn("_one", F.lit(0)), ["_one"], "x", rows)
+    block = cut.groupBy("_block").agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,12)").alias("s"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    before = block.select("_block", F.coalesce(F.sum("n").over(ahead), none).alias("_n"), F.coalesce(F.sum("s").over(ahead), nothing).alias("_s"))
+    run = Window.partitionBy("_block").orderBy("x", "o").rowsBetween(Window.unboundedPreceding, 0)
+    at = cut.withColumns({"n": F.sum("n").over(run), "s": F.sum("s").over(run)}).where("o <> 1").join(F.broadcast(before), "_block")
+    sign = F.when(F.col("o") == 2, 1).otherwise(-1)
+    got = at.groupBy("key").agg(F.sum(sign * (F.col("n") + F.col("_n"))).alias("n"), F.sum(sign.cast("decimal(1,0)") * (F.col("s") + F.col("_s")).cast("decimal(36,12)")).alias("total"))
+    return got.where("n > 0").select(F.col("key").alias(key), "n", "total")
+
+
 def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
     """An equi-join whose null keys are alike; the keys of ``df`` stay."""
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}

@@ -459,13 +459,13 @@ def j5_track_velocity_asof(spark, sf):
 
 @query(f"""WITH {SERIES}, sp AS (SELECT pass AS seg, min(ts) AS t0, max(ts) AS t1 FROM s WHERE idx BETWEEN 20 AND 40 GROUP BY pass), x AS (SELECT seg, s.pass, s.idx, s.v FROM s JOIN sp ON s.ts BETWEEN t0 AND t1 WHERE s.v BETWEEN 10 AND 90) SELECT seg, count(*) AS n, {r('avg(v)')} AS mean_v FROM x GROUP BY seg""")
 def j6_align_all_passes(spark, sf):
-    """Samples of all sensors in the time range of every pass, in one join, clipped to a range."""
-    from ..operators import joins
+    """Samples of all sensors in the time range of every pass, clipped to a range: counts and sums between the two ends of each."""
+    from ..operators import series as long_series
 
     rows = series(spark, sf).withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     spans = rows.where(F.col("idx").between(20, 40)).groupBy(F.col("pass").alias("seg")).agg(F.min("sec").alias("t0"), F.max("sec").alias("t1"))
-    got = joins.interval_join(rows.select("sec", "v"), "sec", spans, "t0", "t1", 40000.0).where("v between 10 and 90")
-    return got.groupBy("seg").agg(F.count("*").alias("n"), det_round(F.avg("v")).alias("mean_v"))
+    got = long_series.range_totals(rows.where("v between 10 and 90"), "sec", "v", spans, "seg", "t0", "t1")
+    return got.select("seg", "n", det_round(F.col("total").cast("double") / F.col("n")).alias("mean_v"))
 
 
 @query(f"WITH {SERIES}, d AS (SELECT pass, idx, g, t - lag(t) OVER (PARTITION BY pass ORDER BY idx) AS dt FROM s), f AS (SELECT pass, idx, CASE WHEN g IS NOT NULL THEN least(greatest(g / 100, 0), 2) END AS sp, dt FROM d), e AS (SELECT *, lag(sp) OVER (PARTITION BY pass ORDER BY idx) AS s0 FROM f) SELECT pass, {r('coalesce(sum(0.5 * (sp + s0) * dt), 0)', 4)} AS metres FROM e GROUP BY pass")
