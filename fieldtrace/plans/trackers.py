@@ -192,10 +192,11 @@ def e24_e25_alignment_evaluation(spark, sf):
     """Passes against the raw, the aligned and the selectively aligned map of all passes."""
     g = grid(spark, sf).select("pass", "cell", "v")
     made = {"raw": maps.stack(g, "median"), "aligned": localize.aligned_reference(g), "selective": localize.aligned_reference(g, accept=(0.5, 5.0))}
-    out = None
+    laid = None  # three maps of one track, each checked for size
     for name, ref in made.items():
-        got = g.join(ref.withColumnRenamed("v", "rv"), "cell").groupBy("pass").agg(F.count("*").alias("n"), F.corr("v", "rv").alias("corr"), stats.rmse(F.col("v") - F.col("rv")).alias("rms")).withColumn("reference", F.lit(name))
-        out = got if out is None else out.unionByName(got)
+        got = ref.select("cell", F.col("v").alias("rv"), F.lit(name).alias("reference"))
+        laid = got if laid is None else laid.unionByName(got)
+    out = g.join(F.broadcast(laid), "cell").groupBy("reference", "pass").agg(F.count("*").alias("n"), F.corr("v", "rv").alias("corr"), stats.rmse(F.col("v") - F.col("rv")).alias("rms"))
     return rounded(out, ["reference", "pass", "n"], "corr", "rms", digits=4)
 
 

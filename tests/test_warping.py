@@ -137,3 +137,19 @@ def test_a_long_pair_warps_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == 0.0 and path[0] >= 200 and peak < 8 * 2500 * 3000 / 4  # a quarter of one matrix of costs
+
+
+@pytest.mark.parametrize("moves", [1, 2_000, warping.MOVES])
+@pytest.mark.parametrize("open_ends", [True, False])
+def test_pairs_warped_together_equal_each_alone(moves, open_ends):
+    rng = np.random.default_rng(moves + open_ends)
+    for m in (1, 6, 14, 40):
+        rows = np.array([1, 7, 20, 20, 3, 33])
+        q, qs = np.round(rng.normal(size=(6, 33)), 1), np.sort(rng.uniform(0, 20, (6, 33)), axis=1)  # with ties
+        q[3, 5] = np.nan
+        ref, rs = np.round(rng.normal(size=m), 1), np.sort(rng.uniform(0, 20, m))
+        for band in (np.inf, 6.0, 1.0):
+            total, got = warping.warp_paths(q, rows, ref, qs, rs, band, open_ends, moves)
+            for p, n in enumerate(rows):
+                want, path = warping.warp_path(q[p, :n], ref, qs[p, :n], rs, band, open_ends)
+                assert (total[p] == want or np.isnan(want)) and got[p, :n].tolist() == path.tolist() and (got[p, n:] == -1).all()
