@@ -433,6 +433,103 @@ def shift_cost(at: np.ndarray, q: np.ndarray, r_pos: np.ndarray, ref: np.ndarray
     return float(np.mean((z(q[inside]) - z(laid)) ** 2))
 
 
+#: Numbers of a work array where many passes are refined together.
+WORK = 1_000_000
+
+
+def shift_costs(at: np.ndarray, q: np.ndarray, rows: np.ndarray, shifts: np.ndarray, r_pos: np.ndarray, ref: np.ndarray, least: int = 3) -> np.ndarray:
+    """``shift_cost`` of many passes (passes, places; padded behind ``rows``) of one feature, under every shift of each: (passes, shifts)."""
+    laid_at = at[:, None, :] + shifts[:, :, None]
+    inside = (laid_at >= r_pos[0]) & (laid_at <= r_pos[-1]) & (np.arange(at.shape[1]) < rows[:, None])[:, None, :]
+    n = inside.sum(axis=2)
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        off = np.where(inside, x - (np.where(inside, x, 0.0).sum(axis=2) / np.maximum(n, 1))[..., None], 0.0)
+        sd = np.sqrt((off * off).sum(axis=2) / np.maximum(n, 1))
+        return off / np.where(sd > 1e-9, sd, 1.0)[..., None]
+
+    gap = standard(np.broadcast_to(q[:, None, :], laid_at.shape)) - standard(np.interp(laid_at, r_pos, ref))
+    return np.where(n < least, np.inf, (gap * gap).sum(axis=2) / np.maximum(n, 1))
+
+
+def iccp_batch(q_pos: np.ndarray, q: np.ndarray, rows: np.ndarray, r_pos: np.ndarray, ref: np.ndarray, offset: np.ndarray, gate: float = 8.0, rounds: int = 10, trim: float = 2.5, settle: float = 0.05, polish: float = 2.0, least: int = 30, matched: int = 10) -> np.ndarray:
+    """``iccp`` of many passes of one feature at once (passes, places; padded behind ``rows``), all values finite, ``r_pos`` ascending: offsets."""
+    offset, long = offset.astype(float), rows >= least
+    if len(ref) < least or not long.any():
+        return offset
+    spreads: dict[int, float] = {}
+    live = np.flatnonzero(long)
+    for _ in range(rounds):
+        of, place = np.nonzero(np.arange(q.shape[1]) < rows[live, None])
+        x, f, by = q_pos[live[of], place], q[live[of], place], offset[live[of]]
+        low, high = _within(r_pos, x, by, gate)
+        near = high - low >= 2
+        at = _nearest(ref, f[near], low[near], high[near], spreads)
+        moves, of = r_pos[at] - x[near], of[near]
+        count = np.bincount(of, minlength=len(live))
+        ends = np.cumsum(count)
+        padded = np.full((len(live), max(1, int(count.max()))), np.inf)
+        padded[of, np.arange(len(of)) - (ends - count)[of]] = moves
+        enough = count >= matched
+        off = np.abs(padded - _middle(padded, count)[:, None])
+        spread = 1.4826 * _middle(off, count)
+        go = enough.copy()
+        for k in np.flatnonzero(enough):
+            own, wide = moves[ends[k] - count[k] : ends[k]], spread[k]
+            if wide < 1e-6:
+                wide = own.std() if own.std() > 1e-6 else 1.0
+            before, offset[live[k]] = offset[live[k]], own[off[k, : count[k]] <= trim * wide].mean()
+            go[k] = not abs(offset[live[k]] - before) < settle
+        live = live[go]
+        if not len(live):
+            break
+    steps = np.arange(-round(polish * 10), round(polish * 10) + 1) * 0.1
+    live = np.flatnonzero(long)
+    for part in np.array_split(live, max(1, -(-len(live) * len(steps) * q.shape[1] // WORK))):
+        tries = offset[part, None] + steps
+        offset[part] = tries[np.arange(len(part)), shift_costs(q_pos[part], q[part], rows[part], tries, r_pos, ref).argmin(axis=1)]
+    return offset
+
+
+def _within(r_pos: np.ndarray, x: np.ndarray, offset: np.ndarray, gate: float) -> tuple[np.ndarray, np.ndarray]:
+    """First reference point of each sample with ``abs(r_pos - x - offset) <= gate``, and the first one behind them."""
+    size = len(r_pos)
+    away = lambda k: r_pos[np.clip(k, 0, size - 1)] - x - offset
+    low, high = np.searchsorted(r_pos, x + offset - gate), np.searchsorted(r_pos, x + offset + gate, "right")
+    for ends, side in ((low, -gate), (high, gate)):  # the search's bounds are rounded, so the points beside them are looked at
+        beyond = (lambda k: away(k) >= -gate) if side < 0 else (lambda k: away(k) > gate)
+        while (back := (ends > 0) & beyond(ends - 1)).any():
+            ends -= back
+        while (on := (ends < size) & ~beyond(ends)).any():
+            ends += on
+    return low, np.maximum(low, high)
+
+
+def _nearest(ref: np.ndarray, f: np.ndarray, low: np.ndarray, high: np.ndarray, spreads: dict[int, float]) -> np.ndarray:
+    """The reference point of each range whose value, scaled by the spread there, is nearest; the first of equal ones."""
+    if not len(f):
+        return low
+    pairs, which = np.unique(low * (len(ref) + 1) + high, return_inverse=True)
+    for k in pairs.tolist():
+        if k not in spreads:
+            sd = ref[k // (len(ref) + 1) : k % (len(ref) + 1)].std()
+            spreads[k] = 1.0 if sd < 1e-6 else sd
+    scale = np.array([spreads[k] for k in pairs.tolist()])[which]
+    out, wide = np.empty(len(f), dtype=np.int64), int((high - low).max())
+    for x in (slice(a, a + max(1, WORK // wide)) for a in range(0, len(f), max(1, WORK // wide))):
+        at = low[x, None] + np.arange(wide)
+        gap = ((ref[np.minimum(at, len(ref) - 1)] - f[x, None]) / scale[x, None]) ** 2
+        out[x] = low[x] + np.where(at < high[x, None], gap, np.inf).argmin(axis=1)
+    return out
+
+
+def _middle(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Median of the first ``count`` values of each row, the others being infinite or NaN; of none, infinite."""
+    ordered, one = np.sort(x, axis=1), np.arange(len(x))
+    low, high = ordered[one, np.maximum(count - 1, 0) // 2], ordered[one, np.minimum(count // 2, x.shape[1] - 1)]
+    return np.where(count > 0, (low + high) / 2, np.inf)
+
+
 def pose_graph(odometry: np.ndarray, loops: list[tuple[int, int, float]], odom_sigma: float, loop_sigma: float, robust: bool = True, rounds: int = 6, huber: float = 1.5) -> np.ndarray:
     """Least-squares positions of a chain with loop measurements x[j] - x[i] = z; Huber weights are renewed each round. The first node stays.
 

@@ -204,12 +204,8 @@ def e24_e25_alignment_evaluation(spark, sf):
 def e37_offset_cases(spark, sf):
     """Coarse search by squared difference and refinement by closest points, for several ranges."""
     dist, ref, _ = _map(spark, sf)
-    g = grid(spark, sf).select("pass", "cell", "v")
-    out = None
-    for case, (reach, gate) in {"near": (4, 4.0), "wide": (10, 8.0), "far": (16, 8.0)}.items():
-        got = localize.refine_offset(g, dist, ref, coarse=reach, gate=gate).withColumn("case", F.lit(case))
-        out = got if out is None else out.unionByName(got)
-    return out.select("case", "pass", det_round("offset", 2).alias("offset"))
+    cases = {"near": (4, 4.0), "wide": (10, 8.0), "far": (16, 8.0)}
+    return localize.refine_offsets(grid(spark, sf), dist, ref, cases).select("case", "pass", det_round("offset", 2).alias("offset"))
 
 
 # ---- graph SLAM

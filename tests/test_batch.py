@@ -48,3 +48,33 @@ def test_frames_are_cut_between_passes(cells):
         got = list(localize.together((rows.iloc[i : i + size] for i in range(0, len(rows), size)), 10, cells))
         assert np.array_equal(pd.concat(got)["pass"], rows["pass"])
         assert sum(g["pass"].nunique() for g in got) == 6  # no pass is in two
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_offsets_refined_together_equal_each_alone(seed):
+    rng = np.random.default_rng(seed)
+    rows, dist = np.array([48, 10, 30, 41, 48]), np.arange(48.0)
+    ref = np.cumsum(np.round(rng.normal(size=48), 1))
+    c = np.sort(np.stack([rng.permutation(48) for _ in rows]).astype(float), axis=1) + 0.25 * seed
+    q = np.stack([np.interp(x + s, dist, ref) for x, s in zip(c, (2, 0, -3, 5, 1), strict=True)]) + rng.normal(size=c.shape) * 0.2 * seed
+    got = kernels.iccp_batch(c, q, rows, dist, ref, np.array([2.0, 1.0, -2.0, 4.0, 0.0]), 4.0)
+    shifts = np.tile(np.arange(-20.0, 21.0), (len(rows), 1))
+    costs = kernels.shift_costs(c, q, rows, shifts, dist, ref, 30)
+    for p, n in enumerate(rows):
+        assert got[p] == pytest.approx(kernels.iccp(c[p, :n], q[p, :n], dist, ref, [2.0, 1.0, -2.0, 4.0, 0.0][p], 4.0), abs=1e-9)
+        assert costs[p] == pytest.approx([kernels.shift_cost(c[p, :n] + o, q[p, :n, None], dist, ref[:, None], 30) for o in shifts[p]], abs=1e-9)
+
+
+def test_offsets_of_passes_with_missing_values(spark):
+    from fieldtrace.operators import localize
+
+    rng = np.random.default_rng(1)
+    dist, ref = np.arange(48.0), np.cumsum(rng.normal(size=48))
+    rows = [(p, c, None if p == 2 and c == 7 else float(ref[min(47, c + p)])) for p in range(4) for c in range(44)]
+    df = spark.createDataFrame(rows, "pass long, cell long, v double")
+    got = {(r["case"], r["pass"]): r.offset for r in localize.refine_offsets(df, dist, ref, {"a": (0, 8.0), "b": (6, 4.0)}).collect()}
+    assert len(got) == 8
+    for (case, p), offset in got.items():
+        c, v = np.arange(44.0), np.array([np.nan if r[2] is None else r[2] for r in rows if r[0] == p])
+        first = 0.0 if case == "a" else float(min(range(-6, 7), key=lambda o: (kernels.shift_cost(c + o, v[:, None], dist, ref[:, None], 30), o)))
+        assert offset == pytest.approx(kernels.iccp(c, v, dist, ref, first, 8.0 if case == "a" else 4.0), abs=1e-9)
