@@ -59,6 +59,29 @@ def step_viterbi(ll: np.ndarray, expected: int, sigma: float, jump: int) -> tupl
     return state, score
 
 
+def step_viterbi_batch(ll: np.ndarray, expected: int, sigma: float, jump: int) -> tuple[np.ndarray, np.ndarray]:
+    """``step_viterbi`` of many windows of one length at once, (windows, times, states)."""
+    windows, times, states = ll.shape
+    moves = np.arange(expected - jump, expected + jump + 1)[::-1]  # ascending predecessor
+    prior = -0.5 * ((moves - expected) / sigma) ** 2
+    dp, back, every = ll[:, 0].astype(float), np.zeros((times, windows, states), dtype=np.int32), np.arange(states)
+    for t in range(1, times):
+        best, pick = np.full((windows, states), -np.inf), np.full((windows, states), -moves[0] + every)
+        for m, cost in zip(moves, prior, strict=True):  # the first of equal ones stays
+            lo, hi = max(0, m), min(states, states + m)
+            if lo < hi:
+                total = dp[:, lo - m : hi - m] + cost
+                better = total > best[:, lo:hi]
+                best[:, lo:hi] = np.where(better, total, best[:, lo:hi])
+                pick[:, lo:hi] = np.where(better, every[lo:hi] - m, pick[:, lo:hi])
+        back[t], dp = pick, best + ll[:, t]
+    one, state = np.arange(windows), dp.argmax(axis=1)
+    score = dp[one, state] / times
+    for t in range(times - 1, 0, -1):
+        state = back[t, one, state]
+    return state, score
+
+
 def uniqueness_gate(ll: np.ndarray, dist: np.ndarray, exclude: float, least: float, offset: float, span: float) -> np.ndarray:
     """Rows scaled by how far their best stands above the best at ``exclude`` or further."""
     best = ll.argmax(axis=1)

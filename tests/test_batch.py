@@ -78,3 +78,11 @@ def test_offsets_of_passes_with_missing_values(spark):
         c, v = np.arange(44.0), np.array([np.nan if r[2] is None else r[2] for r in rows if r[0] == p])
         first = 0.0 if case == "a" else float(min(range(-6, 7), key=lambda o: (kernels.shift_cost(c + o, v[:, None], dist, ref[:, None], 30), o)))
         assert offset == pytest.approx(kernels.iccp(c, v, dist, ref, first, 8.0 if case == "a" else 4.0), abs=1e-9)
+
+
+@pytest.mark.parametrize("states", [1, 3, 30])
+def test_windows_placed_together_equal_each_alone(states):
+    rng = np.random.default_rng(states)
+    ll = -rng.integers(0, 4, (9, 12, states)).astype(float)  # many equal choices
+    state, score = kernels.step_viterbi_batch(ll, 1, 2.0, 3)
+    assert [(a, b) for a, b in zip(state, score, strict=True)] == [kernels.step_viterbi(x, 1, 2.0, 3) for x in ll]

@@ -153,3 +153,16 @@ def test_pairs_warped_together_equal_each_alone(moves, open_ends):
             for p, n in enumerate(rows):
                 want, path = warping.warp_path(q[p, :n], ref, qs[p, :n], rs, band, open_ends)
                 assert (total[p] == want or np.isnan(want)) and got[p, :n].tolist() == path.tolist() and (got[p, n:] == -1).all()
+
+
+def test_windows_searched_together_equal_each_alone():
+    rng = np.random.default_rng(2)
+    ref = np.cumsum(rng.normal(size=150))
+    search = warping.WarpSearch(ref, 16, 1, 0.2)
+    windows = np.stack([ref[a : a + 16] + rng.normal(size=16) * s for a in (0, 7, 60, 134) for s in (0.0, 0.3, 3.0)])
+    distance, place, warped = search.best_of(windows)
+    for i, w in enumerate(windows):
+        costs = [kernels.dtw_distance(w, ref[a : a + 16], 0.2) for a in range(135)]
+        assert place[i] == int(np.argmin(costs)) and distance[i] == pytest.approx(min(costs))
+        assert (distance[i], place[i], warped[i]) == search.best(w)
+    assert warped.max() < 135
