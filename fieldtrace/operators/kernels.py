@@ -195,7 +195,7 @@ def viterbi_batch(ll: np.ndarray, rows: np.ndarray, dist: np.ndarray, period: fl
         for back_by in range(lag):
             t = known - back_by
             path = np.where((t > at) & (t > 0), back[np.maximum(t, 0), one[:, None], path], path)
-    return {"path": path, "score": dp.max(axis=1), "margin": dp.max(axis=1) - np.percentile(dp, 99, axis=1), "fallback": fallback}
+    return {"path": path, "score": dp.max(axis=1), "margin": dp.max(axis=1) - np.percentile(dp, 99, axis=1), "fallback": fallback, "dp": dp, "back": back}
 
 
 def fixed_lag(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: float, lag: int, **kw) -> np.ndarray:
@@ -294,6 +294,56 @@ def delayed_hypotheses(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: f
     return out
 
 
+def separated_tops(score: np.ndarray, dist: np.ndarray, k: int, separation: float) -> tuple[np.ndarray, np.ndarray]:
+    """``separated_top`` of each row of scores: row and position, the rows in order and each one's best first."""
+    left, one = np.where(np.isfinite(score), score, -np.inf), np.arange(len(score))
+    rows, tops, ranks = [], [], []
+    for rank in range(k):
+        top = left.argmax(axis=1)
+        on = np.flatnonzero(np.isfinite(left[one, top]))
+        if not len(on):
+            break
+        rows, tops, ranks = [*rows, on], [*tops, top[on]], [*ranks, np.full(len(on), rank)]
+        left[np.abs(dist[None, :] - dist[top][:, None]) < separation] = -np.inf
+        left[one, top] = -np.inf
+    if not rows:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    row, top, rank = (np.concatenate(x) for x in (rows, tops, ranks))
+    order = np.lexsort((rank, row))
+    return row[order], top[order]
+
+
+def delayed_hypotheses_batch(ll: np.ndarray, rows: np.ndarray, dist: np.ndarray, period: float, vmax: float, warmup: int, k: int = 8, separation: float = 50.0, sigma: float = 8.0, **kw) -> dict:
+    """``delayed_hypotheses`` of many passes at once ((passes, times, states), padded behind ``rows``): arrays with one entry for each hypothesis.
+
+    -> pass, path (padded), score, mean, median, p10, trim20, trim35; a pass's hypotheses in the order of ``delayed_hypotheses``.
+    """
+    w = np.minimum(warmup, rows)
+    first = viterbi_batch(ll[:, : w.max()], w, dist, period, vmax, **kw)
+    of, state = separated_tops(first["dp"], dist, k, separation)
+    prior = first["dp"][of, state][:, None] - 0.5 * ((dist[None, :] - dist[state][:, None]) / max(sigma, 1e-3)) ** 2
+    path, score = np.zeros((len(of), ll.shape[1]), dtype=np.int64), first["dp"][of, state]
+    for t in range(w.max() - 1, -1, -1):
+        path[:, t] = state
+        if t:
+            state = np.where(t < w[of], first["back"][t, of, state], state)
+    on = np.flatnonzero(rows[of] > w[of])
+    if len(on):  # those passes have all of the warm-up
+        rest = viterbi_batch(ll[of[on], warmup:], rows[of[on]] - warmup, dist, period, vmax, start=prior[on], **kw)
+        path[on, warmup:], score[on] = rest["path"], rest["score"]
+    every, n = np.arange(ll.shape[1])[None, :], rows[of]
+    seen = np.where(every < n[:, None], ll[of[:, None], every, path], np.inf)
+    out = {"pass": of, "path": path, "score": score, **{x: np.empty(len(of)) for x in ("mean", "median", "p10", "trim20", "trim35")}}
+    for size in np.unique(n):
+        own = np.flatnonzero(n == size)
+        raw = np.ascontiguousarray(seen[own, :size])
+        ordered = np.sort(raw, axis=1)
+        out["mean"][own], out["median"][own], out["p10"][own] = raw.mean(axis=1), np.median(ordered, axis=1), np.percentile(ordered, 10, axis=1)
+        for name, q in (("trim20", 0.2), ("trim35", 0.35)):
+            out[name][own] = np.ascontiguousarray(ordered[:, int(size * q) :]).mean(axis=1)
+    return out
+
+
 def hypothesis_score(h: dict, mode: str, times: int) -> float:
     """Score of a hypothesis by one of the modes."""
     per_sample = h["score"] / times

@@ -79,11 +79,12 @@ def speed_scales(scales: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5)) -> dic
 SCORE_MODES = {"sum": "score", "per_sample": "per_sample", "median": "median", "trim20": "trim20", "trim35": "trim35", "p10": "p10", "hybrid": "0.35 * per_sample + 0.65 * trim20"}
 
 
-def choose_hypotheses(found: DataFrame, key: str = "pass") -> DataFrame:
-    """Under each score mode the hypothesis of each key with the greatest score, the first of equal ones: key, mode, place, median_abs."""
+def choose_hypotheses(found: DataFrame, *keys: str) -> DataFrame:
+    """Under each score mode the hypothesis of each pass (or of each of the keys) with the greatest score, the first of equal ones: keys, mode, place, median_abs."""
+    keys = keys or ("pass",)
     picks = [F.struct(F.lit(name).alias("mode"), F.max_by(F.struct("place", "median_abs"), F.struct(F.expr(rule).alias("s"), (-F.col("place")).alias("p"))).alias("h")) for name, rule in SCORE_MODES.items()]
-    rows = found.groupBy(key).agg(F.array(*picks).alias("_p")).select(key, F.explode("_p").alias("t"))
-    return rows.select(key, "t.mode", "t.h.place", "t.h.median_abs")
+    rows = found.groupBy(*keys).agg(F.array(*picks).alias("_p")).select(*keys, F.explode("_p").alias("t"))
+    return rows.select(*keys, "t.mode", "t.h.place", "t.h.median_abs")
 
 
 def per_pass(passes: DataFrame, dist: np.ndarray, ref: np.ndarray, configs: dict[str, dict]) -> DataFrame:

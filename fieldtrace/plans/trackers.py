@@ -75,11 +75,8 @@ def v20_v21_v23_v24_motion_sweep(spark, sf):
 def v15_v17_hypothesis_sweep(spark, sf):
     """Hypotheses held over two warm-ups, chosen by each score mode."""
     dist, ref, scale = _map(spark, sf)
-    out = None
-    for warmup in (20, 40):
-        found = localize.hypotheses(_passes(spark, sf, scale), dist, ref / scale, warmup, separation=8.0)
-        got = sweeps.choose_hypotheses(found).withColumn("warmup", F.lit(warmup))
-        out = got if out is None else out.unionByName(got)
+    found = localize.hypotheses_of(_passes(spark, sf, scale), dist, ref / scale, [20, 40], separation=8.0)
+    out = sweeps.choose_hypotheses(found, "warmup", "pass")
     return out.groupBy("warmup", "mode").agg(F.count("*").alias("passes"), det_round(stats.median("median_abs"), 4).alias("median"), det_round(F.avg("median_abs"), 4).alias("mean"))
 
 

@@ -86,3 +86,20 @@ def test_windows_placed_together_equal_each_alone(states):
     ll = -rng.integers(0, 4, (9, 12, states)).astype(float)  # many equal choices
     state, score = kernels.step_viterbi_batch(ll, 1, 2.0, 3)
     assert [(a, b) for a, b in zip(state, score, strict=True)] == [kernels.step_viterbi(x, 1, 2.0, 3) for x in ll]
+
+
+@pytest.mark.parametrize("states", [2, 48])
+@pytest.mark.parametrize("warmup", [1, 10, 60])
+def test_hypotheses_of_many_passes_equal_each_alone(states, warmup):
+    rng = np.random.default_rng(warmup)
+    rows, dist = np.array([1, 9, 10, 30, 12, 30]), np.arange(states, dtype=float)
+    ref = rng.integers(0, 4, states).astype(float)
+    ll = np.stack([kernels.log_likelihood(rng.integers(0, 4, 30).astype(float), ref, 1.2) for _ in rows])
+    got = kernels.delayed_hypotheses_batch(ll, rows, dist, 1.0, 1.4, warmup, separation=8.0)
+    at = 0
+    for p, n in enumerate(rows):
+        for h in kernels.delayed_hypotheses(ll[p, :n], dist, np.ones(n), 1.4, warmup, separation=8.0):
+            assert got["pass"][at] == p and np.array_equal(got["path"][at, :n], h["path"])
+            assert all(got[k][at] == pytest.approx(h[k], abs=1e-12) for k in ("score", "mean", "median", "p10", "trim20", "trim35"))
+            at += 1
+    assert at == len(got["pass"])
