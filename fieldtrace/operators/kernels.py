@@ -11,8 +11,8 @@ FLOOR = -1e6
 
 
 def log_likelihood(obs: np.ndarray, ref: np.ndarray, sigma: float, robust: bool = True, nu: float = 3.0) -> np.ndarray:
-    """(times, states) log-likelihood of one feature; missing values give FLOOR, each row's greatest is 0."""
-    z = (obs[:, None] - ref[None, :]) / sigma
+    """(times, states) log-likelihood of one feature, on one map or on one of each time; missing values give FLOOR, each row's greatest is 0."""
+    z = (obs[:, None] - ref) / sigma
     ll = -0.5 * (nu + 1) * np.log1p(z * z / nu) if robust else -0.5 * z * z
     return normalise(np.where(np.isfinite(ll), ll, np.nan))
 
@@ -259,6 +259,42 @@ def switching_viterbi(ll: np.ndarray, dist: np.ndarray, dt: np.ndarray, vmax: fl
     return path, way
 
 
+def switching_batch(ll: np.ndarray, rows: np.ndarray, dist: np.ndarray, period: float, vmax: float, switch: float, opposite_start: float = 0.0, edge: float = 0.0, first: int = 1, edge_m: float = 5.0, smooth: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """``switching_viterbi`` of many passes at once ((passes, times, states), padded behind ``rows``)."""
+    passes, times, states = ll.shape
+    cell = float(np.median(np.diff(dist)))
+    ways, reach, every, one = (1, -1), reach_of(vmax, period, cell), np.arange(states), np.arange(passes)
+    dp = np.stack([ll[:, 0] - (0.0 if w == first else opposite_start) for w in ways], axis=1)
+    back = np.zeros((times, passes, 2, states), dtype=np.int32)  # the earlier direction's number, times states, and position
+    at_edge = (dist <= dist[0] + edge_m) | (dist >= dist[-1] - edge_m)
+    for t in range(1, times):
+        new = np.empty_like(dp)
+        for d, w in enumerate(ways):
+            best, pick = np.full((2, passes, states), -np.inf), np.tile(every, (2, passes, 1))
+            for e in range(2):
+                for k in range(reach + 1):  # the first of equal ones stays
+                    lo, hi = max(0, w * k), min(states, states + w * k)
+                    if lo < hi:
+                        value = dp[:, e, lo - w * k : hi - w * k] - (switch if e != d else 0.0)
+                        better = value > best[e, :, lo:hi]
+                        best[e, :, lo:hi] = np.where(better, value, best[e, :, lo:hi])
+                        pick[e, :, lo:hi] = np.where(better, every[lo:hi] - w * k, pick[e, :, lo:hi])
+            turned = best[1] > best[0]
+            before = np.where(turned, pick[1], pick[0])
+            back[t, :, d] = turned * states + before
+            moved = np.abs(every - before) * cell
+            new[:, d] = np.where(turned, best[1], best[0]) + ll[:, t] - smooth * (moved / max(period, 1e-6)) ** 2 - np.where(at_edge & (moved < 0.25), edge, 0.0)
+        dp = np.where((t < rows)[:, None, None], new, dp)
+    state = dp.reshape(passes, -1).argmax(axis=1)
+    path, way = np.zeros((passes, times), dtype=np.int64), np.ones((passes, times), dtype=np.int64)
+    for t in range(times - 1, -1, -1):
+        d, s = np.divmod(state, states)
+        path[:, t], way[:, t] = s, np.array(ways)[d]
+        if t:
+            state = np.where(t < rows, back[t, one, d, s], state)
+    return path, way
+
+
 def separated_top(score: np.ndarray, dist: np.ndarray, k: int, separation: float) -> list[int]:
     """Greedy best positions at least ``separation`` apart."""
     kept: list[int] = []

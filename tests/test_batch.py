@@ -103,3 +103,38 @@ def test_hypotheses_of_many_passes_equal_each_alone(states, warmup):
             assert all(got[k][at] == pytest.approx(h[k], abs=1e-12) for k in ("score", "mean", "median", "p10", "trim20", "trim35"))
             at += 1
     assert at == len(got["pass"])
+
+
+@pytest.mark.parametrize("case", [{"switch": 4.0}, {"switch": 1.0, "edge": 0.5, "smooth": 0.025}, {"switch": 8.0, "opposite_start": 4.0}])
+@pytest.mark.parametrize("states", [2, 48])
+def test_turning_passes_together_equal_each_alone(case, states):
+    rng = np.random.default_rng(states)
+    rows, dist, ref = np.array([1, 2, 30, 12, 30]), np.arange(states, dtype=float), rng.integers(0, 4, states).astype(float)
+    ll = np.stack([kernels.log_likelihood(rng.integers(0, 4, 30).astype(float), ref, 1.2) for _ in rows])
+    path, way = kernels.switching_batch(ll, rows, dist, 1.0, 1.4, **case)
+    for p, n in enumerate(rows):
+        want = kernels.switching_viterbi(ll[p, :n], dist, np.ones(n), 1.4, **case)
+        assert np.array_equal(path[p, :n], want[0]) and np.array_equal(way[p, :n], want[1])
+
+
+def test_best_configurations_and_own_maps(spark):
+    from fieldtrace.operators import localize
+
+    rng = np.random.default_rng(5)
+    dist, refs = np.arange(20.0), rng.normal(size=(6, 20))
+    obs = [(p, i, float(x), float(i % 20)) for p in range(6) for i, x in enumerate(rng.normal(size=5 + 4 * p))]
+    df = spark.createDataFrame(obs, "pass long, idx long, obs double, truth double")
+    configs = {"a": {"vmax": 1.0}, "b": {"vmax": 2.0, "smooth": 0.3}, "c": {"vmax": 1.0}}  # a and c are equal
+    rows = localize.track(df, dist, refs[0], configs).collect()
+    best = {}
+    for r in rows:
+        best[r["pass"]] = max(best.get(r["pass"], (-np.inf, "")), (r.score, r.config))
+    want = sorted((r["pass"], r.config, r.idx, r.pred) for r in rows if best[r["pass"]][1] == r.config)
+    assert sorted((r["pass"], r.config, r.idx, r.pred) for r in localize.track(df, dist, refs[0], configs, best=True).collect()) == want
+    maps = spark.createDataFrame([(p, refs[p].tolist()) for p in range(6)], "pass long, ref array<double>")
+    got = {(r["pass"], r.config, r.idx): r.pred for r in localize.track_on_own(df.join(maps, "pass").selectExpr("pass", "idx", "obs", "truth", "CASE WHEN idx = 2 THEN ref END AS ref"), configs).collect()}
+    assert len(got) == 3 * len(obs)
+    for p in range(6):
+        own = np.array([r[2] for r in obs if r[0] == p])
+        path = kernels.viterbi(kernels.log_likelihood(own, refs[p], 1.2), dist, np.ones(len(own)), 2.0, smooth=0.3)["path"]
+        assert [got[p, "b", i] for i in range(len(own))] == path.tolist()
