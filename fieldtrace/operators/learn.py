@@ -22,12 +22,20 @@ def disagreement(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("cand_gap", F.array_max(F.transform(a, lambda x: F.abs(x - F.col("cand_mean")))))
 
 
+#: Rows of a part that forests are fitted on, and the fewest and most parts: bags are drawn by part, so parts depend on the number of rows alone.
+PART_ROWS, PARTS = 20_000, (32, 1024)
+
+
 def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str, features: list[str], trees: int = 300, depth: int = 5, leaf: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
     """Probability of each row from a balanced forest trained on the other segments, and the area under the curve.
 
     ``segments`` lists the folds (a handful of named segments); a fold without both classes in training is left out; with no fold left every probability is null.
     """
-    ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0.0, features))
+    # a small file is one part, and a part one task, however much work hundreds of trees are; in order, so that bags repeat
+    plain = df.na.fill(0.0, features)
+    number = min(PARTS[1], max(PARTS[0], df.count() // PART_ROWS))
+    plain = plain.repartition(number, *features, segment, label).sortWithinPartitions(*features, segment, label)
+    ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(plain)
     parts = []
     for held in segments:
         train = ready.where(F.col(segment) != held)

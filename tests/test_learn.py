@@ -65,3 +65,14 @@ def test_folds_of_one_class_nulls_and_clashing_columns(spark):
     got = {r.id: r.prob for r in learn.leave_one_out_trees(df, "seg", "y", ["f"], trees=2).collect()}
     assert got[1] is None and got[2] is None and 0 < got[3] < 1  # without a only 0 is left, without b only 1
     assert learn.leave_one_out_trees(df.where("id > 9"), "seg", "y", ["f"], trees=1).count() == 0
+
+
+def test_a_forest_does_not_depend_on_the_parts_of_its_input(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "abc"[i % 3], int(x + rng.normal() * 0.3 > 0), float(x)) for i, x in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "id int, seg string, y int, f double")
+    got = []
+    for n in (1, 7):
+        out, auc = learn.leave_one_out_forest(df.repartition(n, "id"), ["a", "b", "c"], "seg", "y", ["f"], trees=5, depth=2)
+        got.append({r.id: r.prob for r in out.collect()})
+    assert got[0] == got[1] and len(got[0]) == 600 and auc > 0.8
