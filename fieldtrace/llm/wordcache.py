@@ -89,7 +89,49 @@ class WordTable:
             entry, at = entry[lost], (at[lost] + 1) & mask
 
 
-class WordEncoder:
+class WordNumbers:
+    """Numbers of words by their places in bytes; ``_learn`` gives those of words not met before."""
+
+    def clear(self) -> None:
+        """Forget all words."""
+        self.table, self.long = WordTable(), {}
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of new words."""
+        raise NotImplementedError
+
+    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of the word at each place of ``raw``, which eight bytes follow."""
+        size = ends - starts
+        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+        head = eight[starts] & _LOW[np.minimum(size, 16)]
+        tail = np.where(size > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+        key = WordTable.key(head, tail, size)
+        _, where, which = np.unique(key, return_index=True, return_inverse=True)
+        # words of more than 16 bytes, and ones whose keys chance to agree, are known by their bytes
+        own = where[which]
+        odd = (size > 16) | (head[own] != head) | (tail[own] != tail) | (size[own] != size)
+        numbers = np.full(len(where), -1, dtype=np.int64)
+        short = np.flatnonzero(size[where] <= 16)
+        at = where[short]
+        numbers[short] = self.table.find(key[at], head[at], tail[at], size[at])
+        new = short[numbers[short] < 0]
+        if len(new):
+            at = where[new]
+            numbers[new] = self._learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.table.add(key[at], head[at], tail[at], size[at], numbers[new])
+        out = numbers[which]
+        odd = np.flatnonzero(odd)
+        if len(odd):
+            words = [raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            fresh = list(set(words) - self.long.keys())
+            if fresh:
+                self.long.update(zip(fresh, self._learn([w.decode("utf-8", "surrogatepass") for w in fresh]).tolist(), strict=True))
+            out[odd] = [self.long[w] for w in words]
+        return out
+
+
+class WordEncoder(WordNumbers):
     """Encoder for a tokenizers file with lower-casing, white-space-dropping pre-tokenization."""
 
     _by_path: ClassVar[dict[str, WordEncoder]] = {}
@@ -122,7 +164,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         """Forget all words."""
-        self.table, self.long = WordTable(), {}
+        super().clear()
         self.words = self.filled = 0
         self.first, self.count = np.empty(1 << 11, dtype=np.int64), np.empty(1 << 11, dtype=np.int32)  # by number, into ids
         self.ids = np.empty(1 << 13, dtype=np.uint32)
@@ -169,36 +211,6 @@ class WordEncoder:
             self.words, self.filled = end, filled
         return numbers
 
-    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Number of the word at each place of ``raw``, which eight bytes follow."""
-        size = ends - starts
-        eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
-        head = eight[starts] & _LOW[np.minimum(size, 16)]
-        tail = np.where(size > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
-        key = WordTable.key(head, tail, size)
-        _, where, which = np.unique(key, return_index=True, return_inverse=True)
-        # words of more than 16 bytes, and ones whose keys chance to agree, are known by their bytes
-        own = where[which]
-        odd = (size > 16) | (head[own] != head) | (tail[own] != tail) | (size[own] != size)
-        numbers = np.full(len(where), -1, dtype=np.int64)
-        short = np.flatnonzero(size[where] <= 16)
-        at = where[short]
-        numbers[short] = self.table.find(key[at], head[at], tail[at], size[at])
-        new = short[numbers[short] < 0]
-        if len(new):
-            at = where[new]
-            numbers[new] = self._learn([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self.table.add(key[at], head[at], tail[at], size[at], numbers[new])
-        out = numbers[which]
-        odd = np.flatnonzero(odd)
-        if len(odd):
-            words = [raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
-            fresh = list(set(words) - self.long.keys())
-            if fresh:
-                self.long.update(zip(fresh, self._learn([w.decode("utf-8", "surrogatepass") for w in fresh]).tolist(), strict=True))
-            out[odd] = [self.long[w] for w in words]
-        return out
-
     def _block(self, texts: list[str | None]) -> list[np.ndarray]:
         whole: dict[int, np.ndarray] = {}
         raw = []

@@ -240,6 +240,35 @@ def test_counts_of_hot_texts_are_broadcast(spark, tmp_path, monkeypatch):
     assert len(got) == 26 and len({got[i] for i in range(20)}) == 1 and got[None] == 0
 
 
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_counts_are_sums_over_chunks_that_reach_the_library_once(name, monkeypatch):
+    monkeypatch.setattr(token_counts, "_LOADED", {})
+    counter = token_counts._counter(P.path(name))
+    if name.endswith(".model"):
+        import sentencepiece
+
+        lib = sentencepiece.SentencePieceProcessor(model_file=P.path(name))
+        want = lambda texts: [len(lib.encode(t)) for t in texts]
+    else:
+        lib = Tokenizer.from_file(P.path(name))
+        want = lambda texts: [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    rng = random.Random(12)
+    marks = [*" " * 10, *"\n\t\r\x0b\x0c\x1c\x85\xa0\u180e\u2003\u3000\u200b\ufeff\0é▁", "  ", "\r\n", "'s", "<|endoftext|>", "<s>", "<0x0A>", "中文", "😀", "12", "--", "a", "the", "The", ";", "e\u0301"]
+    odd = ["", " ", "  ", "\n", " \n", "a ", "a  ", " a", "\ta", "x" * 40, "é" * 300 + " b"] + ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(4000)]
+    assert counter(odd) == want(odd)
+    # a full table forgets, and goes on counting
+    monkeypatch.setattr(token_counts, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(token_counts, "LONG_BYTES", 100)
+    assert [n for at in range(0, len(odd), 500) for n in counter(odd[at : at + 500])] == want(odd)
+    monkeypatch.undo()
+    prose = [_prose(rng, 300) for _ in range(50)]
+    counter.clear()
+    met, alone = [], counter.alone
+    monkeypatch.setattr(counter, "alone", lambda chunks: met.extend(chunks) or alone(chunks))
+    assert counter(prose) == want(prose) and counter(prose) == want(prose)
+    assert len(met) == len(set(met)) < sum(len(t.split()) for t in prose) / 3
+
+
 # ---- classifiers
 def test_a_labelled_id_counts_once(spark):
     rng = random.Random(11)
