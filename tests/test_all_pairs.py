@@ -31,3 +31,10 @@ def test_windows_of_copies_are_pairs(spark, copied):
     copies = [r for r in rows if r.a % 1500 == r.b % 1500]
     assert len(rows) == 9 * alone + len(copies)
     assert len([r for r in copies if r.a_start == r.b_start]) == 3 * 15 * 33 and all(r.similarity == 1.0 for r in copies if r.a_start == r.b_start)
+
+
+def test_passes_and_their_copies_are_pairs(spark, copied):
+    rows = rows_of(spark, copied, "j11_c2_pairwise_similarity")
+    assert len(rows) == 45 * 44 / 2
+    copies = [r for r in rows if r.a % 1500 == r.b % 1500]
+    assert len(copies) == 3 * 15 and all(r["corr"] == 1.0 for r in copies)
