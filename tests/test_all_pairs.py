@@ -38,3 +38,10 @@ def test_passes_and_their_copies_are_pairs(spark, copied):
     assert len(rows) == 45 * 44 / 2
     copies = [r for r in rows if r.a % 1500 == r.b % 1500]
     assert len(copies) == 3 * 15 and all(r["corr"] == 1.0 for r in copies)
+
+
+def test_passes_of_a_direction_and_their_copies_are_pairs(spark, copied):
+    rows = rows_of(spark, copied, "j12_j13_direction_pairs")
+    assert len(rows) == 3 * (15 * 14 / 2)
+    copies = [r for r in rows if r.a % 1500 == r.b % 1500]
+    assert len(copies) == 3 * 15 and all((r.plus, r.minus) == (0, 0) for r in copies)
