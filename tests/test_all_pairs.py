@@ -45,3 +45,9 @@ def test_passes_of_a_direction_and_their_copies_are_pairs(spark, copied):
     assert len(rows) == 3 * (15 * 14 / 2)
     copies = [r for r in rows if r.a % 1500 == r.b % 1500]
     assert len(copies) == 3 * 15 and all((r.plus, r.minus) == (0, 0) for r in copies)
+
+
+def test_direction_pairs_make_no_sums(spark, copied):
+    got = catalog.QUERIES["j12_j13_direction_pairs"](spark, copied[0])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sab" not in plan  # five sums a pair that no column is read from
