@@ -49,3 +49,16 @@ def test_no_windows(spark):
     assert windowpairs.alike_windows(none, "pass", 3, 0.9).count() == 0
     assert windowpairs.alike_windows(none, "pass", 3, 0.9, mode="bands").count() == 0
     assert windowpairs.alike_windows(none.where(F.lit(True)), "pass", 0, 0.5).count() == 0
+
+
+def test_blocks_of_windows_meet_without_copies(spark):
+    df = spark.createDataFrame(data(8), "pass long, start long, w array<double>")
+    pairs = windowpairs.alike_windows(df, "pass", 2, 0.8, group=40)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # a window is in one block, and not dealt to each that it meets
+
+
+@pytest.mark.parametrize("size", [0, 5, 8, 4099])
+def test_places_of_hits(size):
+    hit = np.random.default_rng(size).random(size) < 0.02
+    assert windowpairs._places(hit).tolist() == np.flatnonzero(hit).tolist()
