@@ -82,6 +82,15 @@ def step_viterbi_batch(ll: np.ndarray, expected: int, sigma: float, jump: int) -
     return state, score
 
 
+def best_and_rival(ll: np.ndarray, dist: np.ndarray, exclude: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the first state of the greatest score (scores the same up to nine decimals are equal), the greatest score, and the
+    greatest of the states further than ``exclude`` from that state (NaN: there is none)."""
+    best = np.floor(ll * 1e9 + 0.5).argmax(axis=1)
+    far = np.abs(dist[None, :] - dist[best][:, None]) > exclude
+    rival = np.where(far, ll, -np.inf).max(axis=1)
+    return best, ll.max(axis=1), np.where(far.any(axis=1), rival, np.nan)
+
+
 def uniqueness_gate(ll: np.ndarray, dist: np.ndarray, exclude: float, least: float, offset: float, span: float) -> np.ndarray:
     """Rows scaled by how far their best stands above the best at ``exclude`` or further."""
     best = ll.argmax(axis=1)
