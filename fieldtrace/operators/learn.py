@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,137 @@ def disagreement(df: DataFrame, columns: list[str]) -> DataFrame:
 PART_ROWS, PARTS = 20_000, (32, 1024)
 
 
-def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str, features: list[str], trees: int = 300, depth: int = 5, leaf: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
+#: Bins of a feature; the most cells (segment, label and bins of all features) that a forest is grown on; trees that a task grows at least.
+FOREST_BINS, MOST_CELLS, TASK_TREES = 32, 200_000, 15
+
+
+def leave_one_out_forest(df: DataFrame, segments: list, segment: str, label: str, features: list[str], trees: int = 300, depth: int = 5, leaf: int = 8, seed: int = 42, most_cells: int = MOST_CELLS) -> tuple[DataFrame, float]:
     """Probability of each row from a balanced forest trained on the other segments, and the area under the curve.
 
     ``segments`` lists the folds (a handful of named segments); a fold without both classes in training is left out; with no fold left every probability is null.
+
+    A forest sees a feature's bin only, so rows of one segment and label whose features lie in the same bins are one cell with a count, and the
+    bag of a tree, a Poisson draw for each row, is one Poisson draw of the count for each cell: the same distribution for any number of rows. All rows
+    are binned and counted, and each is scored by its cell. Where there are more than ``most_cells`` cells the rows themselves go to Spark's forest.
+    """
+    nf = len(features)
+    plain = df.na.fill(0.0, features)
+    number = {c: F.col(c).cast("double") for c in features}
+    shares = [i / FOREST_BINS for i in range(1, FOREST_BINS)]
+    got = plain.agg(*[F.percentile_approx(number[f], F.array(*map(F.lit, shares)), F.lit(10_000)).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    cuts = [np.unique(np.array(got[f"q{i}"] or [], dtype=float)) for i in range(nf)]
+
+    def code(batch: pa.RecordBatch) -> np.ndarray:
+        """The bins of the last columns as one number."""
+        at = np.zeros(batch.num_rows, dtype=np.int64)
+        for i in range(nf):
+            at = at * FOREST_BINS + np.searchsorted(cuts[i], batch.column(batch.num_columns - nf + i).to_numpy(zero_copy_only=False), "left")
+        return at
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code(batch))], names=["s", "y", "cell"])
+
+    kind = dict(df.dtypes)[segment]
+    learned = plain.where(F.col(segment).isNotNull()).select(F.col(segment).alias("s"), F.col(label).cast("int").alias("y"), *[number[f].alias(f"x{i}") for i, f in enumerate(features)])
+    cells = learned.mapInArrow(coded, f"s {kind}, y int, cell long").groupBy("s", "y", "cell").count().limit(most_cells + 1).toArrow() if 0 < nf <= 12 else None
+    if cells is None or cells.num_rows > most_cells:
+        return _forest_of_rows(df, segments, segment, label, features, trees, depth, leaf, seed)
+    cells = cells.sort_by([(c, "ascending") for c in ("s", "cell", "y")])
+    own, n, at = np.array(cells["s"].to_pylist(), dtype=object), cells["count"].to_numpy(), cells["cell"].to_numpy()
+    y = np.array([-1 if v is None else v for v in cells["y"].to_pylist()], dtype=np.int64)
+    bins = np.stack([at // FOREST_BINS ** (nf - 1 - i) % FOREST_BINS for i in range(nf)], axis=1)
+    counted = {held: np.bincount(y[use], weights=n[use], minlength=2) for held in segments for use in [(own != held) & (y >= 0)]}
+    folds = [held for held, c in counted.items() if c[0] and c[1]]
+    if not folds:
+        return df.withColumn("prob", F.lit(None).cast("double")), float("nan")
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                for k, held in enumerate(folds):
+                    mine, train = own == held, (own != held) & (y >= 0)
+                    c = counted[held]
+                    total = np.zeros(mine.sum())
+                    for tree in range(first, min(trees, first + TASK_TREES)):
+                        rng = np.random.default_rng([seed, k, tree])
+                        total += forest_tree(bins, y, np.where(train, rng.poisson(n), 0), c.sum() / (2 * c), depth, leaf, rng)[mine]
+                    yield pa.RecordBatch.from_pydict({"fold": [k], "first": [first], "total": [total]}, pa.schema([("fold", pa.int32()), ("first", pa.int64()), ("total", pa.list_(pa.float64()))]))
+
+    starts = df.sparkSession.range(0, trees, TASK_TREES, -(-trees // TASK_TREES))
+    parts = sorted(starts.mapInArrow(grown, "fold int, first long, total array<double>").collect(), key=lambda r: (r.fold, r.first))  # added in one order
+    table, points = {}, []
+    for k, held in enumerate(folds):
+        mine = np.flatnonzero(own == held)
+        prob = np.sum([r.total for r in parts if r.fold == k], axis=0) / trees
+        table[held] = at[mine], prob
+        points += [(p, y[i], n[i]) for i, p in zip(mine, prob, strict=True) if y[i] >= 0]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, cell = np.array(batch.column(batch.num_columns - nf - 1).to_pylist(), dtype=object), code(batch)
+            prob = np.full(batch.num_rows, np.nan)
+            for held, (known, p) in table.items():
+                rows = np.flatnonzero(names == held)
+                prob[rows] = p[np.searchsorted(known, cell[rows])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -nf - 1], pa.array(prob)], names=[*batch.schema.names[: -nf - 1], "prob"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    scored = plain.where(F.col(segment).isin(folds)).select("*", F.col(segment).alias("_s"), *[number[f].alias(f"_x{i}") for i, f in enumerate(features)])
+    return scored.mapInArrow(score, f"{schema}, prob double"), area(points)
+
+
+def area(points: list[tuple[float, int, int]]) -> float:
+    """Area under the curve of (score, class, rows): how often a row of class 1 scores above one of class 0, equal scores by half."""
+    if not points:
+        return float("nan")
+    score, y, n = (np.array(x) for x in zip(*points, strict=True))
+    _, rank = np.unique(score, return_inverse=True)
+    neg, pos = (np.bincount(rank, weights=np.where(y == c, n, 0)) for c in (0, 1))
+    below = np.cumsum(neg) - neg
+    return float((pos * (below + neg / 2)).sum() / (pos.sum() * neg.sum())) if pos.any() and neg.any() else float("nan")
+
+
+def forest_tree(bins: np.ndarray, y: np.ndarray, bag: np.ndarray, weight: np.ndarray, depth: int, leaf: int, rng: np.random.Generator) -> np.ndarray:
+    """Weighted share of class 1 in each cell's leaf of one tree of least Gini impurity, grown on ``bag`` rows of each cell (0: not learned from).
+
+    Each node looks at the bins of a draw of the root of the number of features, rounded up, as Spark's forests do; both sides of a split hold ``leaf`` rows.
     """
+    nf = bins.shape[1]
+    used = np.flatnonzero(bag)
+    node, out = np.zeros(len(bins), dtype=np.int64), np.zeros(len(bins))
+    size, live = 1, np.ones(len(bins), dtype=bool)
+    for level in range(depth + 1):
+        own = used[live[used]]
+        hist = np.stack([np.bincount((node[own] * FOREST_BINS + bins[own, i]) * 2 + y[own], weights=bag[own], minlength=size * FOREST_BINS * 2).reshape(size, FOREST_BINS, 2) for i in range(nf)], axis=1)
+        whole = hist[:, 0].sum(axis=1) * weight
+        share = whole[:, 1] / np.maximum(whole.sum(axis=1), 1e-300)
+        feature, cut = np.full(size, -1), np.zeros(size, dtype=np.int64)
+        if level < depth:
+            left = hist.cumsum(axis=2)
+            right = left[:, :, -1:] - left
+            purity = lambda h: ((h * weight) ** 2).sum(axis=-1) / np.maximum((h * weight).sum(axis=-1), 1e-300)
+            gain = purity(left) + purity(right) - purity(left[:, :, -1:])
+            drawn = rng.random((size, nf)).argsort(axis=1).argsort(axis=1) < math.ceil(math.sqrt(nf))
+            fits = (left.sum(axis=-1) >= leaf) & (right.sum(axis=-1) >= leaf) & drawn[:, :, None]
+            gain = np.where(fits, gain, -np.inf).reshape(size, -1)
+            best = gain.argmax(axis=1)
+            split = gain[np.arange(size), best] > 1e-9 * np.maximum(whole.sum(axis=1), 1e-300)
+            feature[split], cut[split] = best[split] // FOREST_BINS, best[split] % FOREST_BINS
+        rows = np.flatnonzero(live)
+        done = rows[feature[node[rows]] < 0]
+        out[done], live[done] = share[node[done]], False
+        rows = rows[feature[node[rows]] >= 0]
+        if not len(rows):
+            break
+        first = np.cumsum(feature >= 0) - 1  # the nodes of the next level, two for each that is split
+        size = 2 * int((feature >= 0).sum())
+        node[rows] = 2 * first[node[rows]] + (bins[rows, feature[node[rows]]] > cut[node[rows]])
+    return out
+
+
+def _forest_of_rows(df: DataFrame, segments: list, segment: str, label: str, features: list[str], trees: int, depth: int, leaf: int, seed: int) -> tuple[DataFrame, float]:
+    """``leave_one_out_forest`` by Spark's forests."""
     # a small file is one part, and a part one task, however much work hundreds of trees are; in order, so that bags repeat
     plain = df.na.fill(0.0, features)
     number = min(PARTS[1], max(PARTS[0], df.count() // PART_ROWS))

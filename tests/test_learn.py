@@ -76,3 +76,48 @@ def test_a_forest_does_not_depend_on_the_parts_of_its_input(spark):
         out, auc = learn.leave_one_out_forest(df.repartition(n, "id"), ["a", "b", "c"], "seg", "y", ["f"], trees=5, depth=2)
         got.append({r.id: r.prob for r in out.collect()})
     assert got[0] == got[1] and len(got[0]) == 600 and auc > 0.8
+
+
+def test_a_tree_on_cells_splits_where_enumeration_does():
+    rng = np.random.default_rng(4)
+    bins, bag, weight = rng.integers(0, 6, size=(80, 1)), rng.poisson(3, 80), np.array([0.7, 1.9])
+    y = (rng.random(80) < 0.2 + 0.1 * bins[:, 0]).astype(int)
+
+    def grow(own: np.ndarray, level: int, out: np.ndarray) -> None:
+        of = lambda rows: np.bincount(y[rows], weights=bag[rows], minlength=2)
+        gini = lambda h: (h * weight).sum() * (1 - (((h * weight) / (h * weight).sum()) ** 2).sum())
+        best = (1e-9, None)
+        for cut in range(6) if level < 2 else ():
+            lo, hi = own[bins[own, 0] <= cut], own[bins[own, 0] > cut]
+            if bag[lo].sum() >= 8 and bag[hi].sum() >= 8:
+                best = max(best, (gini(of(own)) - gini(of(lo)) - gini(of(hi)), -cut), key=lambda x: x[0])
+        if best[1] is None:
+            out[own] = (of(own) * weight)[1] / (of(own) * weight).sum()
+        else:
+            grow(own[bins[own, 0] <= -best[1]], level + 1, out)
+            grow(own[bins[own, 0] > -best[1]], level + 1, out)
+
+    want = np.zeros(80)
+    grow(np.arange(80), 0, want)
+    assert learn.forest_tree(bins, y, bag, weight, 2, 8, rng) == pytest.approx(want) and len(set(want)) > 2
+
+
+def test_a_forest_on_cells_is_like_one_on_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 2))
+    rows = [(i, "abc"[i % 3], int(a + b * b + rng.normal() * 0.5 > 0.8), float(a), float(b)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, seg string, y int, f double, g double")
+    got = []
+    for most in (learn.MOST_CELLS, 0):  # no cell allowed: Spark's forests
+        out, auc = learn.leave_one_out_forest(df, ["a", "b", "c"], "seg", "y", ["f", "g"], trees=40, most_cells=most)
+        got.append((np.array([r.prob for r in out.orderBy("id").collect()]), auc))
+    assert len(got[0][0]) == len(got[1][0]) == 1500
+    assert np.abs(got[0][0] - got[1][0]).mean() < 0.05 and got[0][1] == pytest.approx(got[1][1], abs=0.02) and got[0][1] > 0.8
+
+
+def test_rows_that_are_alike_are_one_cell(spark):
+    """Ten times the rows are ten times the counts: the trees are grown on as many cells, and every row is scored."""
+    df = spark.range(300).selectExpr("id", "substr('abc', cast(id % 3 + 1 AS int), 1) AS seg", "cast(id % 7 > 2 AS int) AS y", "cast(id % 11 AS double) AS f")
+    many = df.crossJoin(spark.range(10).toDF("k"))
+    out, _ = learn.leave_one_out_forest(many, ["a", "b"], "seg", "y", ["f"], trees=3, most_cells=66)
+    assert "rawPrediction" not in out._jdf.queryExecution().analyzed().toString() and out.where("prob between 0 and 1").count() == 2000
